@@ -3,9 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fieldmark.llm import langid, quality_rules, secrets
-from fieldmark.llm.frames import table
+from fieldmark.llm import byte_bpe, langid, quality_rules, secrets, token_counts, token_files
+from fieldmark.llm.frames import new_path, table
+
+
+def op1_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "tokens")
+    token_files.write_tokens(table(spark, sf_dir, "documents"), path)
+    return token_files.with_crc32(token_files.read_tokens(spark, path))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,10 +24,22 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit(docs))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents")))
+    return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_language_id, op9_secret_scans)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_token_id_output, op2_quality_rules, op4_language_id, op6_token_counts, op7_byte_bpe, op9_secret_scans)
+}
 
 ORACLE_SQL: dict[str, str] = {}
