@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmark.llm import byte_bpe, langid, quality_rules, secrets, token_counts, token_files
+from fieldmark.llm import byte_bpe, chat, langid, quality_rules, secrets, substring_dedup, token_counts, token_files
 from fieldmark.llm.frames import new_path, table
 
 
@@ -24,6 +24,13 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit(docs))
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = F.lit("\\### Assistant: </turn> ok")
+    two = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), hard.alias("text"))
+    return chat.read_back(chat.examples(rows.unionByName(two)))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -37,9 +44,50 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring_dedup.repeated_units(table(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return rows.select("doc_id", "n_units", "n_removed", "n_removed_words", spans.alias("removed_spans"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_id_output, op2_quality_rules, op4_language_id, op6_token_counts, op7_byte_bpe, op9_secret_scans)
+    for f in (op1_token_id_output, op2_quality_rules, op4_language_id, op5_chat_formatting, op6_token_counts, op7_byte_bpe, op9_secret_scans, op10_substring_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {}
+
+ORACLE_SQL["op5_chat_formatting"] = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+turns AS (
+  SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY conv_id) AS n,
+    replace(replace(replace(text, '\', '\\'), '###', '\h'), '</turn>', '\e') AS body,
+    replace(replace(replace(replace(role, '\', '\\'), '###', '\h'), '</turn>', '\e'), ':', '\c') AS name
+  FROM rows WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+marked AS (
+  SELECT *, role = 'assistant' OR k = n AS is_example, 4 + length(name) + 2 + length(body) + 8 AS chars FROM turns),
+upto AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY k) AS so_far FROM marked)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(so_far) FILTER (is_example) AS BIGINT) AS formatted_chars,
+  count(*) FILTER (is_example) AS n_examples
+FROM upto GROUP BY conv_id"""
+
+ORACLE_SQL["op10_substring_dedup"] = r"""
+WITH lines AS (
+  SELECT doc_id, coalesce(text, '') AS text, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS k FROM documents),
+placed AS (
+  SELECT doc_id, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+    regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM lines),
+units AS (SELECT doc_id, start, start + length(line) AS stop, len(words) AS n, array_to_string(words, ' ') AS unit FROM placed WHERE len(words) >= 5),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY doc_id, start) AS place FROM units)
+SELECT d.doc_id, count(r.unit) AS n_units, count(r.unit) FILTER (place > 1) AS n_removed,
+  CAST(coalesce(sum(n) FILTER (place > 1), 0) AS BIGINT) AS n_removed_words,
+  coalesce(string_agg(CAST(CAST(start AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(stop AS BIGINT) AS VARCHAR), ',' ORDER BY start) FILTER (place > 1), '') AS removed_spans
+FROM documents d LEFT JOIN ranked r USING (doc_id) GROUP BY d.doc_id"""
