@@ -46,3 +46,18 @@ def remove(spark: SparkSession, path: str) -> None:
 def doc_text(docs: DataFrame) -> DataFrame:
     """(doc_id, text) alone, so that other columns are not read and cannot clash."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def maybe_in(rows: DataFrame, column: str, ids: DataFrame, flag: str, bits: int = 1 << 26) -> DataFrame:
+    """``rows`` with a boolean ``flag``: false only where ``column`` is surely not among the one column of ``ids``.
+
+    The ids go to a bitmap of ``bits`` bits, 8 MB by default whatever their number, which is broadcast.  When the
+    ids outgrow it, more rows are flagged and later joins shuffle more, with the same results."""
+    place = lambda c: F.pmod(F.xxhash64(c, F.lit("bitmap")), F.lit(bits))
+    at = ids.select(place(F.col(ids.columns[0])).alias("_p"))
+    maps = at.groupBy(F.bitmap_bucket_number("_p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_bits"))
+    marked = rows.withColumn("_p", place(F.col(column).cast("long")))
+    marked = marked.join(F.broadcast(maps), F.bitmap_bucket_number("_p") == F.col("_bucket"), "left")
+    byte = F.conv(F.hex(F.substring("_bits", (F.shiftright(F.bitmap_bit_position("_p"), 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = F.lit(1).bitwiseAND(F.call_function("shiftright", byte, F.pmod(F.bitmap_bit_position("_p"), F.lit(8)).cast("int")))
+    return marked.withColumn(flag, F.coalesce(bit == 1, F.lit(False))).drop("_p", "_bucket", "_bits")

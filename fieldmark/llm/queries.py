@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmark.llm import byte_bpe, chat, langid, quality_rules, secrets, substring_dedup, token_counts, token_files
+from fieldmark.llm import byte_bpe, chat, langid, near_dedup, quality_rules, secrets, substring_dedup, token_counts, token_files
 from fieldmark.llm.frames import new_path, table
 
 
@@ -40,6 +40,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"), near_dedup.Similar(width=3, percent=85))
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -52,8 +56,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_id_output, op2_quality_rules, op4_language_id, op5_chat_formatting, op6_token_counts, op7_byte_bpe, op9_secret_scans, op10_substring_dedup)
-}
+    for f in (
+        op1_token_id_output, op2_quality_rules, op4_language_id, op5_chat_formatting, op6_token_counts, op7_byte_bpe, op8_near_dedup,
+        op9_secret_scans, op10_substring_dedup,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}
 
