@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmark.llm import byte_bpe, chat, langid, near_dedup, quality_rules, secrets, substring_dedup, token_counts, token_files
+from fieldmark.llm import byte_bpe, chat, decontam, langid, near_dedup, quality_rules, secrets, substring_dedup, token_counts, token_files
 from fieldmark.llm.frames import new_path, table
 
 
@@ -19,6 +19,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.clean_lines(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.fit(docs))
@@ -57,7 +61,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_token_id_output, op2_quality_rules, op4_language_id, op5_chat_formatting, op6_token_counts, op7_byte_bpe, op8_near_dedup,
+        op1_token_id_output, op2_quality_rules, op3_benchmark_decontamination, op4_language_id, op5_chat_formatting, op6_token_counts, op7_byte_bpe, op8_near_dedup,
         op9_secret_scans, op10_substring_dedup,
     )
 }
