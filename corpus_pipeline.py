@@ -8,8 +8,9 @@ shared folder and read again, so a later failure costs one stage at most.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fieldmark.llm import langid, secrets
+from fieldmark.llm import byte_bpe, decontam, langid, near_dedup, secrets
 from fieldmark.llm.frames import settle, table
 
 
@@ -18,12 +19,34 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.keep_identified(docs, langid.fit(docs))
 
 
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    return near_dedup.drop_near_copies(docs, near_dedup.Similar(width=5, percent=80))
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item is found."""
+    return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets replaced in the text."""
     return secrets.redact_secrets(docs)
 
 
-STAGES = [("language_id", language_id), ("secret_scans", secret_scans)]
+def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and ids of every document, and whether the ids decode to its text."""
+    rows = byte_bpe.decode(byte_bpe.encode(docs))
+    return rows.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("minhash_near_dedup", minhash_near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("secret_scans", secret_scans),
+    ("byte_level_bpe", byte_level_bpe),
+]
 
 #: The stages need byte trees, signatures and merges, which SQL can't express.
 ORACLE_SQL = None
