@@ -55,7 +55,7 @@ SELECT p_size % 5 AS league_id, p_partkey AS player_id,
     WHEN 7 THEN 'RB' WHEN 8 THEN 'QB' ELSE 'WR' END AS position,
   concat('T', CAST(p_partkey % 16 AS VARCHAR(4))) AS team,
   round(CAST(p_partkey * 7919 % 2003 AS DOUBLE) / 80, 2) AS ppg, CAST(17 - p_partkey % 5 AS DOUBLE) AS e_games,
-  CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE round(CAST(p_partkey * 104729 % 3001 AS DOUBLE) / 12 + 1, 2) END AS adp,
+  CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE round(CAST(p_partkey * 104729 % 3001 AS DOUBLE) / 12 + 1, 1) END AS adp,
   round(1 + CAST(p_partkey % 17 AS DOUBLE) / 3, 3) AS sd_adp, CAST(p_partkey * 31 % 997 AS DOUBLE) / 60 AS weekly_sd
 FROM {part}"""
 
