@@ -53,8 +53,8 @@ SEASON_SQL = f"""{WITH}, sums AS (
   FROM reg GROUP BY ALL),
 teams AS (SELECT player_id, season, team FROM (SELECT player_id, season, team, row_number() OVER (PARTITION BY player_id, season ORDER BY count(*) DESC, max(week) DESC, team) AS n
   FROM reg GROUP BY player_id, season, team) WHERE n = 1),
-spots AS (SELECT player_id, season, min(position) AS position FROM reg GROUP BY ALL),
-seasons AS (SELECT *, points / games AS ppg, concat_ws('-', team, position) AS role_key FROM sums JOIN teams USING (player_id, season) JOIN spots USING (player_id, season))"""
+roles AS (SELECT player_id, season, min(position) AS position FROM reg GROUP BY ALL),
+seasons AS (SELECT *, points / games AS ppg, concat_ws('-', team, position) AS role_key FROM sums JOIN teams USING (player_id, season) JOIN roles USING (player_id, season))"""
 
 
 @query("b2_score", f"{WITH} SELECT player_id, season, week, points FROM scored")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("feature_queries", "identity_queries")
+MODULES = ("feature_queries", "identity_queries", "valuation_queries")
 
 
 def _all(what: str) -> dict:
@@ -31,4 +31,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["c5_positional_ranks"](spark, sf_dir)
+    return queries()["flagship_board"](spark, sf_dir)
