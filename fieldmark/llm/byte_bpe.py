@@ -20,11 +20,12 @@ from pyspark.sql import DataFrame
 
 from fieldmark.llm import vocabularies as V
 from fieldmark.llm.distinct_words import CHUNK_CHARS, over_distinct_words
+from fieldmark.llm.frames import pieces
 
 
-def _ids(ids, slots, counts, start, size, flat) -> pa.Table:
+def _ids(ids, slots, counts, start, size, flat) -> pa.RecordBatch:
     got = [V.gathered(s, start, size, flat).astype("<u4") for s in slots]
-    return pa.table([pa.array(ids, pa.int64()), pa.array([len(g) for g in got], pa.int64()), pa.array([g.tobytes() for g in got], pa.binary())], ["doc_id", "n_tokens", "ids"])
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(g) for g in got], pa.int64()), pa.array([g.tobytes() for g in got], pa.binary())], ["doc_id", "n_tokens", "ids"])
 
 
 def encode(docs: DataFrame, path: str = V.BYTE_BPE_RANKS, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
@@ -38,7 +39,7 @@ def decode(rows: DataFrame, path: str = V.BYTE_BPE_RANKS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = V.token_bytes(path)
-        for b in batches:
+        for b in pieces(batches):
             ids = b.column(names.index("ids"))
             texts = [b"".join(map(table.__getitem__, np.frombuffer(i.as_py(), "<u4").tolist())) if i.is_valid else None for i in ids]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.binary())], [*names, "decoded"])

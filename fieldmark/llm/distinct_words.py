@@ -1,13 +1,20 @@
 """Per-chunk words, encoded once each across the whole corpus, and brought back.
 
 A chunk is a run of documents of one input split, up to ``chunk_chars``
-characters.  Its distinct pre-tokens become rows (chunk, slot, word), one per
-word however often it occurs, and its documents become packed slot lists.
-Rows of a word meet in one shuffle, sorted, so that each distinct word is
-encoded once without being held; even the commonest word has one row a chunk.
-The results return to their chunk packed, and a chunk is put together in one
-bounded task.  Shuffled data thus grow with the corpus' chunks and not with
-word occurrences, and no word can become a hot key.
+characters; a digest of its texts names it.  Its distinct pre-tokens are dealt
+by a hash of the word into buckets, each a packed row (chunk, bucket, words,
+slots), and its documents become packed slot lists.  All rows of a bucket meet
+in one task, so each distinct word is encoded once; even the commonest word is
+there once a chunk.  The results return to their chunk packed, and a chunk is
+put together in one bounded task.  Shuffled data grow with the chunks'
+vocabularies and not with word occurrences, and no word can become a hot key.
+There are three buckets for each shuffle partition, so a bucket is smaller
+than a usual partition.
+
+Words and documents are made in two passes over the texts: splitting twice
+costs less than writing the slot lists to disk once more.  The rows should
+come from files (or a settled table), so that both passes read them in the
+same order; if they do not, the digests differ and the job fails.
 """
 
 from __future__ import annotations
@@ -16,18 +23,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from fieldmark.llm import pretokens
-from fieldmark.llm.frames import doc_text, settle
+from fieldmark.llm.frames import doc_text
+from fieldmark.llm.vocabularies import gathered
 
 CHUNK_CHARS = 32 << 20
-_CHUNK = "chunk long, slot int, word string, doc_ids array<long>, sizes array<int>, packed binary, counts binary"
-_NAMES = ["chunk", "slot", "word", "doc_ids", "sizes", "packed", "counts"]
-_TYPES = [pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
+_CHUNK = "chunk binary, bucket int, slots binary, lengths binary, words binary, doc_ids array<long>, sizes array<int>, packed binary, counts binary"
+_NAMES = ["chunk", "bucket", "slots", "lengths", "words", "doc_ids", "sizes", "packed", "counts"]
+_TYPES = [pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
 
 #: Encodes distinct words: to a list of ids, or of numbers, for each.
 Encoder = Callable[[list[str]], list[list[int]]]
@@ -49,95 +56,116 @@ def _batch(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns.get(c, [None] * n), t) for c, t in zip(_NAMES, _TYPES)], _NAMES)
 
 
-def chunks(docs: DataFrame, special: str | None = None, counted: bool = False, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """Word rows and document rows of all chunks. ``counted``: documents as (slot, count) and not in order."""
+def _dealt(words: dict[str, int], buckets: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+    """(bucket, slots, lengths, words), packed, of the words of a chunk; words are in order, which packs well."""
+    raw = [w.encode() for w in words]
+    hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, raw), np.uint64, len(raw)) % np.uint64(buckets)
+    order = np.argsort(hashed, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(hashed[order])) + 1):
+        if len(part):
+            found = sorted(part.tolist(), key=raw.__getitem__)
+            slots, lengths = np.array(found), np.array([len(raw[i]) for i in found])
+            yield int(hashed[found[0]]), packed(slots), packed(lengths), zstandard.ZstdCompressor(level=3).compress(b"".join(raw[i] for i in found))
+
+
+def _words(lengths: bytes, words: bytes) -> list[str]:
+    at = np.concatenate([[0], np.cumsum(unpacked(lengths))]).tolist()
+    raw = zstandard.ZstdDecompressor().decompress(words)
+    return [raw[a:b].decode() for a, b in zip(at, at[1:])]
+
+
+def chunks(docs: DataFrame, buckets: int | None, special: str | None = None, counted: bool = False, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+    """The word rows of all chunks, dealt to ``buckets``; if that is None, their document rows.
+
+    ``counted``: documents as (slot, count) and not in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, words, held = TaskContext.get().partitionId() << 32, {}, 0
+        words, held, name, rows = {}, 0, xxhash.xxh3_128(), []
 
-        def of_words() -> Iterator[pa.RecordBatch]:
-            new = list(words)
-            for a in range(0, len(new), 50_000):
-                part = new[a : a + 50_000]
-                yield _batch(chunk=[chunk] * len(part), slot=list(range(a, a + len(part))), word=part)
+        def finished() -> Iterator[pa.RecordBatch]:
+            chunk = name.digest()
+            if buckets is not None:
+                for bucket, slots, lengths, raw in _dealt(words, buckets):
+                    yield _batch(chunk=[chunk], bucket=[bucket], slots=[slots], lengths=[lengths], words=[raw])
+            for ids, sizes, blob, counts in rows:
+                yield _batch(chunk=[chunk], doc_ids=[ids], sizes=[sizes], packed=[blob], counts=[counts])
 
         for b in batches:
             texts = b.column(1).to_pylist()
-            for rows in pretokens.batches_of(texts, 1 << 20):
-                slots = pretokens.slots_of([texts[i] for i in rows], words, special)
-                pairs = [np.unique(s, return_counts=True) for s in slots] if counted else [(s, s[:0]) for s in slots]
-                ids = b.column(0).take(pa.array(rows)).to_pylist()
-                yield _batch(
-                    chunk=[chunk], doc_ids=[ids], sizes=[[len(p[0]) for p in pairs]],
-                    packed=[packed(np.concatenate([p[0] for p in pairs]))], counts=[packed(np.concatenate([p[1] for p in pairs]))],
-                )
-                held += sum(len(texts[i] or "") for i in rows)
+            for part in pretokens.batches_of(texts, 1 << 20):
+                slots = pretokens.slots_of([texts[i] for i in part], words, special)
+                for i in part:
+                    raw = (texts[i] or "").encode()
+                    name.update(len(raw).to_bytes(8, "little") + raw)
+                    held += len(raw)
+                if buckets is None:
+                    pairs = [np.unique(s, return_counts=True) for s in slots] if counted else [(s, s[:0]) for s in slots]
+                    ids = b.column(0).take(pa.array(part)).to_pylist()
+                    rows.append((ids, [len(p[0]) for p in pairs], packed(np.concatenate([p[0] for p in pairs])), packed(np.concatenate([p[1] for p in pairs]))))
                 if held >= chunk_chars:
-                    yield from of_words()
-                    chunk, words, held = chunk + 1, {}, 0
-        yield from of_words()
+                    yield from finished()
+                    words, held, name, rows = {}, 0, xxhash.xxh3_128(), []
+        yield from finished()
 
     return doc_text(docs).mapInArrow(run, _CHUNK)
 
 
 def encoded(rows: DataFrame, encode: Encoder) -> DataFrame:
-    """(chunk, slots, sizes, flat) of the word rows: 32-bit numbers packed by chunk and batch, each word encoded once."""
+    """(chunk, slots, lengths, flat) of the word rows, packed; each distinct word is encoded once."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, value = None, np.zeros(0, np.uint32)
-        for b in batches:
-            words, chunk = b.column(0).to_pylist(), b.column(1).to_numpy()
-            slot = b.column(2).to_numpy().astype("<u4")
-            new = [w for w, before in zip(words, [last, *words]) if w != before]
-            values = [value, *(np.array(v, "<u4") for v in encode(new))] if new else [value]
-            which = np.cumsum([w != before for w, before in zip(words, [last, *words])])
-            last, value = words[-1], values[-1]
-            order = np.argsort(chunk, kind="stable")
-            cuts = np.flatnonzero(np.diff(chunk[order])) + 1
-            out = []
-            for part in np.split(order, cuts):
-                got = [values[i] for i in which[part]]
-                out.append((int(chunk[part[0]]), slot[part].tobytes(), np.array([len(v) for v in got], "<u4").tobytes(), np.concatenate(got).astype("<u4").tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["chunk", "slots", "lengths", "flat"])
+    def run(group: pa.Table) -> pa.Table:
+        known: dict[str, int] = {}
+        which = [
+            np.array([known.setdefault(w, len(known)) for w in _words(n.as_py(), raw.as_py())], np.int64)
+            for n, raw in zip(group.column("lengths"), group.column("words"))
+        ]
+        values = encode(list(known))
+        size = np.array([len(v) for v in values], np.int64)
+        start, flat = np.cumsum(size) - size, np.array([i for v in values for i in v], np.int64)
+        lengths = [packed(size[k]) for k in which]
+        flats = [packed(gathered(k, start, size, flat)) for k in which]
+        return pa.table([group.column("chunk"), group.column("slots"), pa.array(lengths, pa.binary()), pa.array(flats, pa.binary())], ["chunk", "slots", "lengths", "flat"])
 
-    words = rows.filter("slot is not null").select("word", "chunk", "slot")
-    return words.repartition("word").sortWithinPartitions("word").mapInArrow(run, "chunk long, slots binary, lengths binary, flat binary")
+    return rows.select("bucket", "chunk", "slots", "lengths", "words").groupBy("bucket").applyInArrow(run, "chunk binary, slots binary, lengths binary, flat binary")
 
 
-#: Makes rows from (doc_ids, slots of each document, counts of each, start, size, flat) of a chunk.
-Finish = Callable[[list, list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray, np.ndarray], pa.Table]
+#: Makes rows from (doc_ids, slots of each document, counts of each, start, size, flat) of some documents of a chunk.
+Finish = Callable[[list, list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray, np.ndarray], pa.RecordBatch]
 
 
 def brought_back(rows: DataFrame, words: DataFrame, finish: Finish, schema: str) -> DataFrame:
-    """``finish`` of every chunk, with the encodings of its words."""
+    """``finish`` of every chunk's documents, with the encodings of its words."""
 
-    def run(group: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots, sizes, flats, docs = [], [], [], []
-        for r in group.select(["slots", "lengths", "flat", "doc_ids", "sizes", "packed", "counts"]).to_batches():
-            for i in range(len(r)):
-                if r.column(0)[i].is_valid:
-                    for to, k in ((slots, 0), (sizes, 1), (flats, 2)):
-                        to.append(np.frombuffer(r.column(k)[i].as_py(), "<u4").astype(np.int64))
+        for b in batches:
+            get = {c: b.column(b.schema.get_field_index(c)) for c in ("slots", "lengths", "flat", "doc_ids", "sizes", "packed", "counts")}
+            for i in range(len(b)):
+                if get["slots"][i].is_valid:
+                    for to, c in ((slots, "slots"), (sizes, "lengths"), (flats, "flat")):
+                        to.append(unpacked(get[c][i].as_py()))
                 else:
-                    docs.append([r.column(k)[i].as_py() for k in range(3, 7)])
-        slot, got = np.concatenate([*slots, np.zeros(0, np.int64)]), np.concatenate([*sizes, np.zeros(0, np.int64)])
-        size, start = np.zeros(len(slot), np.int64), np.zeros(len(slot), np.int64)
-        size[slot] = got
+                    docs.append([get[c][i].as_py() for c in ("doc_ids", "sizes", "packed", "counts")])
+        none = np.zeros(0, np.int64)
+        slot, got, flat = (np.concatenate([*x, none]) for x in (slots, sizes, flats))
+        known = int(slot.max()) + 1 if len(slot) else 0
+        size, start = np.full(known, -1, np.int64), np.zeros(known, np.int64)
+        size[slot] = got  # chunks with equal texts are one chunk here, whose words are there more than once
         start[slot] = np.cumsum(got) - got
-        flat = np.concatenate([*flats, np.zeros(0, np.int64)])
-        out = []
+        if not docs or (size < 0).any():
+            raise RuntimeError("the rows were read in another order the second time; settle them first")
         for ids, n, blob, counts in docs:
-            cuts = np.cumsum(n)[:-1]
-            per, times = np.split(unpacked(blob), cuts), unpacked(counts)
-            out.append(finish(ids, per, np.split(times, cuts) if len(times) else [times] * len(ids), start, size, flat))
-        return pa.concat_tables(out)
+            cuts, every, times = np.cumsum(n)[:-1], unpacked(blob), unpacked(counts)
+            if len(every) and every.max() >= known:
+                raise RuntimeError("the rows were read in another order the second time; settle them first")
+            yield finish(ids, np.split(every, cuts), np.split(times, cuts) if len(times) else [times] * len(ids), start, size, flat)
 
-    both = rows.filter("slot is null").select("chunk", "doc_ids", "sizes", "packed", "counts")
-    both = both.unionByName(words, allowMissingColumns=True)
+    both = rows.select("chunk", "doc_ids", "sizes", "packed", "counts").unionByName(words, allowMissingColumns=True)
     return both.groupBy("chunk").applyInArrow(run, schema)
 
 
 def over_distinct_words(docs: DataFrame, encode: Encoder, finish: Finish, schema: str, *, special: str | None = None, counted: bool = False, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """Split, encode each distinct word once, and finish each chunk. The split is settled, as two steps read it."""
-    rows = settle(chunks(docs, special, counted, chunk_chars), "words")
-    return brought_back(rows, encoded(rows, encode), finish, schema)
+    """Split, encode each distinct word once, and finish each chunk."""
+    buckets = 3 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = encoded(chunks(docs, buckets, special, counted, chunk_chars), encode)
+    return brought_back(chunks(docs, None, special, counted, chunk_chars), words, finish, schema)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +50,13 @@ def doc_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches in slices, so that what a task makes of one is small."""
+    for b in batches:
+        for a in range(0, len(b), rows):
+            yield b.slice(a, rows)
+
+
 def maybe_in(rows: DataFrame, column: str, ids: DataFrame, flag: str, bits: int = 1 << 26) -> DataFrame:
     """``rows`` with a boolean ``flag``: false only where ``column`` is surely not among the one column of ``ids``.
 

@@ -25,10 +25,10 @@ def _pieces(path: str, special: str | None, words: list[str]) -> list[list[int]]
     return [[len(i), len(w.encode())] for w, i in zip(words, V.library_ids(path, words))]
 
 
-def _sums(ids, slots, counts, start, size, flat) -> pa.Table:
+def _sums(ids, slots, counts, start, size, flat) -> pa.RecordBatch:
     tokens = [int((flat[start[s]] * c).sum()) for s, c in zip(slots, counts)]
     size_b = [int((flat[start[s] + 1] * c).sum()) for s, c in zip(slots, counts)]
-    return pa.table([pa.array(ids, pa.int64()), pa.array(size_b, pa.int64()), pa.array(tokens, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(size_b, pa.int64()), pa.array(tokens, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
 
 def count_tokens(docs: DataFrame, path: str = V.BYTE_BPE_JSON, limit: int = 512, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
