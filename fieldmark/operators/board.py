@@ -50,7 +50,7 @@ def live_chance(free: DataFrame, at: DataFrame) -> DataFrame:
 
 def roster(picked: DataFrame) -> DataFrame:
     """By league and team: open places by position, open flexible ones, bench by position. ``picked`` has position."""
-    n = picked.groupBy("league_id", "team_slot").pivot("position", list(SLOTS)).agg(F.count("*"))
+    n = picked.groupBy("league_id", "team_slot").pivot("position", list(SLOTS)).agg(F.count(F.lit(1)))
     have = {p: zero(p) for p in SLOTS}
     surplus = sum([F.greatest(have[p] - SLOTS[p], F.lit(0)) for p in FLEX_POSITIONS[1:]], F.greatest(have[FLEX_POSITIONS[0]] - SLOTS[FLEX_POSITIONS[0]], F.lit(0)))
     return n.select(

@@ -101,6 +101,6 @@ def undone_by_window(events: DataFrame) -> DataFrame:
     floor = F.least(F.lit(0), F.min("_raw").over(running(w)))
     h = events.withColumn("_raw", raw).withColumn("_h", F.col("_raw") - floor)
     later = F.min("_h").over(w.rowsBetween(1, Window.unboundedFollowing))
-    stands = (F.col("action") == "pick") & F.coalesce(later >= F.col("_h"), F.lit(True))
+    stands = (F.col("action") == "pick") & F.coalesce(F.col("_later") >= F.col("_h"), F.lit(True))
     return h.withColumn("_later", later).filter(stands).drop("_raw", "_h", "_later")
 

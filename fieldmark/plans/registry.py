@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("feature_queries", "identity_queries", "valuation_queries", "projection_queries")
+MODULES = ("feature_queries", "identity_queries", "valuation_queries", "projection_queries", "board_queries")
 
 
 def _all(what: str) -> dict:
