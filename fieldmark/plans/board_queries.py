@@ -270,7 +270,7 @@ def j10_profiles(spark, sf_dir):
 def pick_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").filter("event_type in ('purchase', 'error')")
     action = F.when(F.col("event_type") == "error", "undo").when(F.col("event_id") % 97 == 0, "reset").otherwise("pick")
-    return e.select("event_id", (F.col("user_id") % 20).alias("league_id"), action.alias("action"), (F.col("event_id") % 4001).alias("player_id"), F.lit(1).alias("team_slot"), F.lit("manual").alias("source"), F.col("ts").alias("picked_at"))
+    return e.select("event_id", (F.col("user_id") % 20).alias("league_id"), action.alias("action"), (F.col("event_id") % 4001).alias("player_id"), F.lit(1).alias("team_slot"), F.lit("manual").alias("source"), F.col("ts").cast("timestamp").alias("picked_at"))
 
 
 _EVENTS = "e AS (SELECT event_id, user_id % 20 AS league_id, CASE WHEN event_type = 'error' THEN -1 WHEN event_id % 97 = 0 THEN 0 ELSE 1 END AS step, ts FROM events WHERE event_type IN ('purchase', 'error'))"

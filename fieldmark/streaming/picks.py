@@ -79,3 +79,15 @@ def live_state(batch: DataFrame, plan: DataFrame) -> DataFrame:
     made = batch.filter("action = 'pick' and reason is null").groupBy("league_id").agg(F.max("live_pick_no").alias("picks_made"))
     nxt = plan.filter("live_pick_no is not null").select("league_id", "live_pick_no", "team_slot", "round")
     return made.join(nxt, "league_id").filter("live_pick_no = picks_made + 1").select("league_id", "picks_made", "team_slot", "round")
+
+
+def run_available(stream: DataFrame, path: str) -> DataFrame:
+    """Process all that a stream has now, exactly once, to Parquet under ``path``, and read it back."""
+    query = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
+
+
+def lateness(stream: DataFrame, at: str = "picked_at") -> DataFrame:
+    """``stream`` observed: per micro-batch the number of events and the newest and oldest time, to count what a watermark drops."""
+    return stream.observe("events", F.count(F.lit(1)).alias("n"), F.max(at).alias("newest"), F.min(at).alias("oldest"))
