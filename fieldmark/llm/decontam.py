@@ -8,8 +8,8 @@ the block tables give all of them.  What they give is verified by the exact
 weighted similarity of word shingles (weights are counts: sum of least over
 sum of greatest).
 
-A window at the threshold shares most of its shingles with some item.  Windows
-that share too few with all items together are passed over before
+A window at the threshold shares most of its shingles with one item of its
+size.  Windows that share too few with every such item are passed over before
 fingerprinting; none of them could be verified, so that changes no result.
 
 Items are taken in blocks of ``block_items`` items and ``block_chars``
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.llm.frames import doc_text
+from fieldmark.llm.frames import doc_text, pieces
 from fieldmark.llm.words import WordHashes, mixed, shingle_hashes
 
 _SPACED = bytes(32 if i < 128 and not chr(i).isalnum() else i for i in range(256))
@@ -101,13 +101,20 @@ class Items:
         self.how, self.vocabulary = how, {}
         hashes, grams = WordHashes(), defaultdict(list)
         by_size: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
+        self.length: list[int] = []
         for item_id, text in items:
             if words := plain_words(text):
                 ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words], np.int64)
                 k = min(how.width, len(words))
-                grams[k].append(_gram_keys(ids, k))
+                key = np.unique(_gram_keys(ids, k))
+                grams[k].append((key, np.full(len(key), len(self.length))))
+                self.length.append(len(words))
                 by_size[len(words)].append((item_id, shingle_hashes(hashes.of(words), how.width)))
-        self.grams = {k: np.unique(np.concatenate(v)) for k, v in grams.items()}
+        self.grams = {}  # shingles of each width in order, and the item that each is of
+        for k, v in grams.items():
+            key, item = np.concatenate([x for x, _ in v]), np.concatenate([x for _, x in v])
+            order = np.argsort(key, kind="stable")
+            self.grams[k] = key[order], item[order]
         self.sizes = {
             n: ([i for i, _ in v], [Counter(s.tolist()) for _, s in v], Fingerprints(np.array([simhash(s) for _, s in v]), how.radius, how.blocks))
             for n, v in sorted(by_size.items())
@@ -117,37 +124,53 @@ class Items:
         """(item_id, similarity, first word, words) of the best window of each item found in ``text``."""
         words = plain_words(text)
         ids = np.fromiter(map(self.vocabulary.get, words, repeat(-1)), np.int64, len(words))
-        support = {}
-        for k, known in self.grams.items():
+        windows: dict[int, set[int]] = defaultdict(set)
+        for k, (known, item) in self.grams.items():
             if len(ids) >= k:
                 inside = np.ones(len(ids) - k + 1, bool)
                 for j in range(k):
                     inside &= ids[j : len(ids) - k + 1 + j] >= 0
                 at = np.flatnonzero(inside)
                 key = _gram_keys(ids, k, at)
-                at = at[known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key]
-                if len(at):
-                    total = np.zeros(len(inside) + 1, np.int64)
-                    total[at + 1] = 1
-                    support[k] = np.cumsum(total)
+                low = np.searchsorted(known, key)
+                hit = known[np.minimum(low, len(known) - 1)] == key
+                at, low = at[hit], low[hit]
+                n = np.searchsorted(known, key[hit], "right") - low
+                place = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                self._windows(len(words), k, np.repeat(at, n), item[place], windows)
         best: dict[int, tuple[float, int, int]] = {}
-        for n, (names, counts, prints) in self.sizes.items() if support else ():
-            k = min(self.how.width, n)
-            if k not in support:
-                continue
+        for n, starts in sorted(windows.items()):
+            names, counts, prints = self.sizes[n]
             size = min(n, len(words))
-            shared = support[k][size - k + 1 :] - support[k][: len(support[k]) - (size - k + 1)]
-            # similarity t needs t / (1 + t) of the shingles of both together
-            least = self.how.percent * (size + n - 2 * k + 2) / (100 + self.how.percent)
-            for p in np.flatnonzero(shared >= least - 1e-9).tolist():
+            for p in sorted(starts):
                 shingles = shingle_hashes(hashes.of(words[p : p + size]), self.how.width)
-                own = Counter(shingles.tolist())
+                own = None
                 for i in prints.within(simhash(shingles)).tolist():
+                    own = own or Counter(shingles.tolist())
                     t = weighted_similarity(own, counts[i])
                     if 100 * t >= self.how.percent - 1e-9 and t > best.get(names[i], (0.0,))[0]:
                         best[names[i]] = (t, p, size)
         return [(i, *b) for i, b in sorted(best.items(), key=lambda x: (x[0] is None, x[0] or 0))]
 
+    def _windows(self, n_words: int, k: int, at: np.ndarray, item: np.ndarray, out: dict[int, set[int]]) -> None:
+        """Adds the starts of windows that share enough shingles of width ``k`` with an item of their size; ``at`` and
+        ``item`` say where the shingles of which items are."""
+        if not len(at):
+            return
+        order = np.lexsort((at, item))
+        at, item = at[order], item[order]
+        for group in np.split(np.arange(len(at)), np.flatnonzero(np.diff(item)) + 1):
+            n = self.length[item[group[0]]]
+            size = min(n, n_words)
+            # similarity t needs t / (1 + t) of the shingles of both together
+            least = self.how.percent * (size + n - 2 * k + 2) / (100 + self.how.percent) - 1e-9
+            if len(group) >= least:
+                first, last = max(0, int(at[group[0]]) - (size - k)), min(n_words - size, int(at[group[-1]]))
+                starts = np.arange(first, last + 1)
+                place = at[group]
+                shared = np.searchsorted(place, starts + size - k, "right") - np.searchsorted(place, starts)
+                out[n].update(starts[shared >= least].tolist())
+
 
 def _gram_keys(ids: np.ndarray, k: int, at: np.ndarray | None = None) -> np.ndarray:
     at = np.arange(len(ids) - k + 1) if at is None else at
@@ -175,7 +198,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, how: Match = Match())
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             hashes = WordHashes()
             names, kinds = ["doc_id", "item_id", "similarity", "first_word", "n_words"], [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
-            for b in batches:
+            for b in pieces(batches):
                 rows = [(d, *hit) for d, t in zip(b.column(0).to_pylist(), b.column(1)) for hit in shared.value.found_in(t.as_py(), hashes)]
                 cols = list(zip(*rows)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
@@ -194,7 +217,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, how: Match = Match(
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             hashes = WordHashes()
-            for b in batches:
+            for b in pieces(batches):
                 yield b.filter(pa.array([not shared.value.found_in(t.as_py(), hashes) for t in b.column("text")], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -28,10 +28,10 @@ import zstandard
 from pyspark.sql import DataFrame
 
 from fieldmark.llm import pretokens
-from fieldmark.llm.frames import doc_text
+from fieldmark.llm.frames import doc_text, give_back
 from fieldmark.llm.vocabularies import gathered
 
-CHUNK_CHARS = 32 << 20
+CHUNK_CHARS = 16 << 20
 _CHUNK = "chunk binary, bucket int, slots binary, lengths binary, words binary, doc_ids array<long>, sizes array<int>, packed binary, counts binary"
 _NAMES = ["chunk", "bucket", "slots", "lengths", "words", "doc_ids", "sizes", "packed", "counts"]
 _TYPES = [pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
@@ -106,6 +106,8 @@ def chunks(docs: DataFrame, buckets: int | None, special: str | None = None, cou
                     yield from finished()
                     words, held, name, rows = {}, 0, xxhash.xxh3_128(), []
         yield from finished()
+        words, rows = {}, []
+        give_back()
 
     return doc_text(docs).mapInArrow(run, _CHUNK)
 
@@ -159,6 +161,8 @@ def brought_back(rows: DataFrame, words: DataFrame, finish: Finish, schema: str)
             if len(every) and every.max() >= known:
                 raise RuntimeError("the rows were read in another order the second time; settle them first")
             yield finish(ids, np.split(every, cuts), np.split(times, cuts) if len(times) else [times] * len(ids), start, size, flat)
+        del slots, sizes, flats, docs, slot, got, flat, size, start
+        give_back()
 
     both = rows.select("chunk", "doc_ids", "sizes", "packed", "counts").unionByName(words, allowMissingColumns=True)
     return both.groupBy("chunk").applyInArrow(run, schema)

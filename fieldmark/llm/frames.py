@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,6 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
+    """Hand rows to Python in Arrow batches of at most ``size`` bytes, so that a worker's memory does not depend on row
+    counts. A session setting, made where the queries and stages start; a smaller one is left alone."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).rstrip("b")
+    if not now.isdigit() or int(now) > size or int(now) <= 0:
+        spark.conf.set(name, str(size))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -55,6 +68,15 @@ def pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
     for b in batches:
         for a in range(0, len(b), rows):
             yield b.slice(a, rows)
+    give_back()
+
+
+def give_back() -> None:
+    """Return what a finished task has freed to the system: workers live on, and the next stage needs the memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+    if trim:
+        trim(0)
 
 
 def maybe_in(rows: DataFrame, column: str, ids: DataFrame, flag: str, bits: int = 1 << 26) -> DataFrame:
