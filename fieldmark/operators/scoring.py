@@ -140,3 +140,12 @@ def bonus_rate(games: DataFrame, season_weights: Sequence[float] = (0.5, 0.3, 0.
     w = F.when(F.col("newest") - F.col("season") < len(season_weights), w).otherwise(0.0) * F.least("weeks", F.lit(full)) / full
     per = per.withColumn("w", w)
     return per.groupBy("player_id").agg(F.when(F.sum("w") > 0, F.sum(F.col("mean") * F.col("w")) / F.sum("w")).otherwise(0.0).alias("bonus_rate"))
+
+
+def vendor_ppg(totals: DataFrame, rates: DataFrame, known_missed: Column, least_games: int = 6, season_games: int = 17) -> DataFrame:
+    """A vendor's season total as points a game: scored without game bonuses, over the games he is expected to be there for
+    (six at least), with the player's own bonus rate on top."""
+    scored = adapt(totals).withColumn("season_points", points(bonuses=None))
+    games = F.greatest(F.lit(least_games), F.lit(season_games) - zero(known_missed))
+    out = scored.join(rates.select("player_id", "bonus_rate"), "player_id", "left")
+    return out.withColumn("vendor_ppg", F.col("season_points") / games + zero("bonus_rate"))

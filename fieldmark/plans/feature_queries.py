@@ -376,3 +376,17 @@ def c26_reconcile(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'A'")
     theirs = li.groupBy(F.col("l_suppkey").alias("player_id"), F.year("l_shipdate").alias("season")).agg(F.count("*").cast("double").alias("receptions"))
     return features.reconcile(ours, theirs, ["player_id", "season"], ["receptions"])
+
+
+@query("b6_vendor_ppg", f"""{WITH}, t AS (SELECT player_id, {', '.join(f'sum({c}) AS {c}' for c in ('passing_yards', 'passing_tds', 'passing_interceptions', 'rushing_yards', 'rushing_tds', 'receptions', 'receiving_yards', 'receiving_tds', 'fumbles_lost'))}
+  FROM reg WHERE season = 2000 GROUP BY player_id),
+per AS (SELECT player_id, season, avg({BONUS_SQL}) AS mean, count(*) AS weeks FROM reg GROUP BY ALL), w AS (SELECT *, CASE (SELECT max(season) FROM reg) - season WHEN 0 THEN 0.5 WHEN 1 THEN 0.3 WHEN 2 THEN 0.2 ELSE 0 END * least(weeks, 17) / 17 AS w FROM per),
+b AS (SELECT player_id, CASE WHEN sum(w) > 0 THEN sum(mean * w) / sum(w) ELSE 0 END AS rate FROM w GROUP BY player_id)
+SELECT player_id, round(round({BASE_SQL}, 4) / greatest(6, 17 - CASE WHEN player_id % 3 = 0 THEN player_id % 15 ELSE 0 END) + coalesce(rate, 0), 6) AS vendor_ppg FROM t LEFT JOIN b USING (player_id)""")
+def b6_vendor_ppg(spark, sf_dir):
+    reg = regular(spark, sf_dir)
+    rates = scoring.bonus_rate(reg.withColumn("bonus", scoring.bonus_points()))
+    raw = [c for c in bound(spark, sf_dir, "weekly").columns if c not in ("player_id", "season", "week", "season_type", "position", "team")]
+    totals = reg.filter("season = 2000").groupBy("player_id").agg(*[F.sum(c).alias(c) for c in raw])
+    missed = F.when(F.col("player_id") % 3 == 0, F.col("player_id") % 15)
+    return scoring.vendor_ppg(totals, rates, missed).select("player_id", F.round("vendor_ppg", 6).alias("vendor_ppg"))

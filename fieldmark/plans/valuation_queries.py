@@ -245,3 +245,15 @@ def h23_keeper_surplus(spark, sf_dir):
     by_round = draft.best_by_round(v, _ten(spark, sf_dir))
     out = draft.keeper_surplus(v.filter("kept").select("league_id", "player_id", "vorp"), by_round)
     return out.select("league_id", "player_id", "round", F.round(F.col("vorp") - F.col("mean"), 2).alias("surplus"), "break_even")
+
+
+@query("h25_keeper_verdict", f"""{_POOL}{_ROUNDS}, s AS (SELECT r.league_id, player_id, round, round(vorp - mean, 3) AS surplus FROM ranked r JOIN rounds USING (league_id) WHERE player_id % 37 = 0),
+sig AS (SELECT coalesce(a.player_id, b.player_id) AS player_id, td_diff, ppg AS last_ppg FROM (SELECT player_id, player_id % 5 AS td_diff FROM pool WHERE player_id % 2 = 0) a FULL JOIN (SELECT player_id, ppg FROM pool WHERE player_id % 3 = 0) b ON a.player_id = b.player_id)
+SELECT s.player_id, CASE WHEN surplus >= 20 THEN 'keep' WHEN surplus > 0 THEN 'lean keep' ELSE 'pass' END AS verdict, td_diff, last_ppg FROM s LEFT JOIN sig USING (player_id) WHERE round = 1 + s.player_id % 16""")
+def h25_keeper_verdict(spark, sf_dir):
+    v = valued(spark, sf_dir)
+    out = draft.keeper_surplus(v.filter("kept").select("league_id", "player_id", "vorp"), draft.best_by_round(v, _ten(spark, sf_dir)))
+    cost = v.filter("kept").select("league_id", "player_id", (1 + F.col("player_id") % 16).cast("int").alias("cost_round"))
+    luck = v.filter("player_id % 2 = 0").select("player_id", (F.col("player_id") % 5).alias("td_diff"))
+    production = v.filter("player_id % 3 = 0").select("player_id", F.col("ppg").alias("last_ppg"))
+    return draft.keeper_verdict(out, cost, luck, production).select("player_id", "verdict", "td_diff", "last_ppg")
