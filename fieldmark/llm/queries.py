@@ -6,25 +6,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldmark.llm import byte_bpe, chat, decontam, langid, near_dedup, quality_rules, secrets, substring_dedup, token_counts, token_files
-from fieldmark.llm.frames import new_path, table
+from fieldmark.llm.frames import bounded_batches, new_path, table
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    return table(spark, sf_dir, "documents")
 
 
 def op1_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "tokens")
-    token_files.write_tokens(table(spark, sf_dir, "documents"), path)
+    token_files.write_tokens(documents(spark, sf_dir), path)
     return token_files.with_crc32(token_files.read_tokens(spark, path))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.clean_lines(table(spark, sf_dir, "documents"), with_text=False)
+    return quality_rules.clean_lines(documents(spark, sf_dir), with_text=False)
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.contaminations(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return langid.identify(docs, langid.fit(docs))
 
 
@@ -36,24 +41,24 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+    return token_counts.count_tokens(documents(spark, sf_dir))
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents")))
+    rows = byte_bpe.decode(byte_bpe.encode(documents(spark, sf_dir)))
     return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_groups(table(spark, sf_dir, "documents"), near_dedup.Similar(width=3, percent=85))
+    return near_dedup.near_groups(documents(spark, sf_dir), near_dedup.Similar(width=3, percent=85))
 
 
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+    return secrets.scan_secrets(documents(spark, sf_dir))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = substring_dedup.repeated_units(table(spark, sf_dir, "documents"))
+    rows = substring_dedup.repeated_units(documents(spark, sf_dir))
     spans = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
     return rows.select("doc_id", "n_units", "n_removed", "n_removed_words", spans.alias("removed_spans"))
 
@@ -102,3 +107,38 @@ SELECT d.doc_id, count(r.unit) AS n_units, count(r.unit) FILTER (place > 1) AS n
   CAST(coalesce(sum(n) FILTER (place > 1), 0) AS BIGINT) AS n_removed_words,
   coalesce(string_agg(CAST(CAST(start AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(stop AS BIGINT) AS VARCHAR), ',' ORDER BY start) FILTER (place > 1), '') AS removed_spans
 FROM documents d LEFT JOIN ranked r USING (doc_id) GROUP BY d.doc_id"""
+
+_LOWER = "translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORD = r"[^\x20\x09-\x0D]+"
+
+ORACLE_SQL["op2_quality_rules"] = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS words FROM documents),
+cut AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
+lines AS (SELECT doc_id, line, {_LOWER.format(x='line')} AS low, regexp_extract_all(line, '{_WORD}') AS words FROM cut WHERE regexp_matches(line, '{_WORD}')),
+judged AS (SELECT *, len(words) AS k, CASE
+    WHEN length(regexp_replace(line, '[^{quality_rules.SEPARATORS}]', '', 'g')) >= 3 THEN 'navigation'
+    WHEN len(words) <= 8 AND NOT list_has_any(list_transform(regexp_extract_all(low, '{_WORD}'), lambda w: list_contains([{', '.join(f"'{w}'" for w in quality_rules.NAV_WORDS)}], w)), [false]) THEN 'navigation'
+    WHEN regexp_matches(low, '{quality_rules.BOILERPLATE}') THEN 'boilerplate'
+    WHEN length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) > 0.2 * length(line) THEN 'punctuation'
+    WHEN len(words) >= 4 AND NOT contains('{quality_rules.ENDS.replace("'", "''")}', right(regexp_replace(line, '[\x20\x09-\x0D]+$', ''), 1)) AND NOT regexp_matches(line, '[.!?…] ') THEN 'punctuation' END AS fault FROM lines),
+by_doc AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines, count(*) FILTER (fault = 'navigation') AS n_navigation, count(*) FILTER (fault = 'boilerplate') AS n_boilerplate,
+  count(*) FILTER (fault = 'punctuation') AS n_punctuation, CAST(coalesce(sum(k) FILTER (fault IS NOT NULL), 0) AS BIGINT) AS n_lost_words FROM judged GROUP BY doc_id),
+windows AS (SELECT doc_id, i, words[i : i + 2] AS w FROM d, LATERAL (SELECT unnest(range(1, len(words) - 1)) AS i)),
+often AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w) AS n FROM windows),
+covered AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM often, range(0, 3) r(j) WHERE n > 1 GROUP BY doc_id),
+base AS (SELECT d.doc_id, len(words) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  coalesce(c.n, 0) AS n_repeat_words, b.* EXCLUDE (doc_id) FROM d LEFT JOIN covered c USING (doc_id) LEFT JOIN by_doc b USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND coalesce(n_lost_words, 0) <= 0.5 * n_words AS kept, coalesce(n_lines, 0) AS n_lines, coalesce(n_navigation, 0) AS n_navigation,
+  coalesce(n_boilerplate, 0) AS n_boilerplate, coalesce(n_punctuation, 0) AS n_punctuation, coalesce(n_lost_words, 0) AS n_lost_words FROM base"""
+
+ORACLE_SQL["op8_near_dedup"] = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER.format(x="coalesce(text, '')")}, '{_WORD}') AS words FROM documents),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(words[i : i + 2], ' ') AS s FROM d, LATERAL (SELECT unnest(range(1, greatest(len(words) - 1, 2))) AS i) WHERE len(words) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id, doc_id AS root FROM d UNION SELECT e.b, r.root FROM reach r JOIN edges e ON e.a = r.doc_id),
+least AS (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM d JOIN least USING (doc_id) LEFT JOIN sizes USING (doc_id)"""
