@@ -185,7 +185,7 @@ w AS (SELECT league_id, player_id, min(position) AS position, avg(rank) AS mr, c
   max(rank) FILTER (source = 'ecr') AS er, max(std) FILTER (source = 'ecr') AS es, max(std) FILTER (source = 'site_a') AS own,
   coalesce(max(adp) FILTER (source = 'site_a'), max(adp) FILTER (source = 'site_b'), max(adp) FILTER (source = 'site_c')) AS x FROM fixed GROUP BY ALL),
 ef AS (SELECT league_id, position, regr_slope(es, er) AS eb, regr_intercept(es, er) AS ea, regr_count(es, er) AS en FROM w GROUP BY ALL),
-rf AS (SELECT league_id, regr_slope(own, x) AS b, regr_intercept(own, x) AS a FROM w GROUP BY ALL)"""
+rf AS (SELECT league_id, CASE WHEN regr_count(own, x) >= 20 THEN coalesce(regr_slope(own, x), 0.1) ELSE 0.1 END AS b, CASE WHEN regr_count(own, x) >= 20 AND regr_slope(own, x) IS NOT NULL THEN regr_intercept(own, x) ELSE 1.0 END AS a FROM w GROUP BY ALL)"""
 
 
 @query("e4_composite", f"""WITH {_COMPOSITE} SELECT league_id, player_id, n_sources, round(mr, 2) AS composite_rank, round(composite_std, 6) AS composite_std, composite_adp,

@@ -221,7 +221,7 @@ def h15_turn_plan(spark, sf_dir):
 
 
 @query("h20_spearman", f"""{_POOL}{_values_sql('pool', KEPT)}, x AS (SELECT league_id, rank() OVER (PARTITION BY league_id ORDER BY overall_rank) + (count(*) OVER (PARTITION BY league_id, overall_rank) - 1) / 2 AS a,
-  rank() OVER (PARTITION BY league_id ORDER BY adp) + (count(*) OVER (PARTITION BY league_id, adp) - 1) / 2 AS b FROM ranked WHERE adp IS NOT NULL AND overall_rank <= 150) SELECT league_id, count(*) AS n, round(corr(a, b), 6) AS spearman FROM x GROUP BY ALL""")
+  rank() OVER (PARTITION BY league_id ORDER BY adp) + (count(*) OVER (PARTITION BY league_id, adp) - 1) / 2 AS b FROM ranked WHERE adp IS NOT NULL AND overall_rank <= 150) SELECT league_id, count(*) AS n, CASE WHEN count(*) >= 30 THEN round(corr(a, b), 6) END AS spearman FROM x GROUP BY ALL""")
 def h20_spearman(spark, sf_dir):
     out = valuation.spearman(valued(spark, sf_dir).filter("overall_rank <= 150"), ["league_id"], "overall_rank", "adp")
     return out.withColumn("spearman", F.round("spearman", 6))
