@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldmark.llm.components import components
-from fieldmark.llm.frames import doc_text, maybe_in, settle
+from fieldmark.llm.frames import doc_text, maybe_in, pieces, settle
 from fieldmark.llm.words import WordHashes, lower_words, mixed, shingle_hashes
 
 _SLICE = 256
@@ -108,7 +108,7 @@ def signatures(docs: DataFrame, how: Similar) -> DataFrame:
         salt = mixed(np.arange(1, how.bands + 1, dtype=np.uint64) << np.uint64(32))
         names = ["doc_id", "n_shingles", "digest", "node", "bands", "bits"]
         kinds = [pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
-        for b in batches:
+        for b in pieces(batches):
             rows = []
             for text in b.column(1):
                 s = shingle_set(text.as_py(), how.width, known)

@@ -22,7 +22,7 @@ def lower_words(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     """Word to 64-bit hash, computed once for each distinct word; forgets all when it holds ``most`` words."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 100_000):
         super().__init__()
         self.most = most
 
