@@ -58,9 +58,13 @@ def sample(docs: DataFrame, sample_docs: int) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     rows = rows.filter("lang is not null and text is not null and length(text) > 0").filter(F.coalesce(fold("id") != 2, F.lit(False)))
     key = F.xxhash64("id", F.lit("langid"))
-    chosen = rows.select("id", "lang").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(key, "id")))
+    # First within 256 parts of a language, so that a common one is not sorted in one task; the second window then sees
+    # 256 * sample_docs rows a language at most.
+    chosen = rows.select("id", "lang", key.alias("key")).withColumn("part", F.pmod("key", F.lit(256)))
+    for by in (["lang", "part"], ["lang"]):
+        chosen = chosen.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("key", "id"))).filter(F.col("n") <= sample_docs)
     # At most sample_docs ids a language: small by its parameter.
-    chosen = chosen.filter(F.col("n") <= sample_docs).select(F.col("id").alias("id2"), F.col("lang").alias("lang2")).distinct()
+    chosen = chosen.select(F.col("id").alias("id2"), F.col("lang").alias("lang2")).distinct()
     return rows.join(F.broadcast(chosen), F.expr("id = id2 and lang = lang2"), "left_semi").select("lang", "text")
 
 
