@@ -17,8 +17,9 @@ are equal in any order. Null ids come first. Empty input: no rows.
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,38 +33,55 @@ from fieldmark.llm.frames import doc_text
 
 SCHEMA = "shard int, doc_id long, n_tokens long, start_in_shard long, ids array<int>"
 END_ID = 0
-_MOST_WORDS = 300_000
+_MOST_WORDS = 400_000
 
 
 class _Encoded:
-    """Ids of the words met so far in a task, forgotten when there are too many."""
+    """Ids of the words that a worker has met, kept from task to task; when there are too many, those of one batch only go."""
 
     def __init__(self, path: str):
         self.path, self.special = path, V.special_string(path)
-        self.forget()
-
-    def forget(self) -> None:
         self.words: dict[str, int] = {}
-        self.start, self.size, self.flat = array("q"), array("q"), array("i")
+        self.start = self.size = self.flat = self.seen = np.zeros(0, np.int64)
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.words) > _MOST_WORDS:
             self.forget()
+        before = len(self.words)
         slots = pretokens.slots_of(texts, self.words, self.special)
-        new = list(self.words)[len(self.size) :]
-        for got in V.library_ids(self.path, new):
-            self.start.append(len(self.flat))
-            self.size.append(len(got))
-            self.flat.extend(got)
-        start, size, flat = np.array(self.start), np.array(self.size), np.array(self.flat)
-        return [V.gathered(s, start, size, flat) for s in slots]
+        size, flat = V.library_flat(self.path, list(islice(self.words, before, None)))
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.flat = np.concatenate([self.flat, flat])
+        every = np.concatenate(slots)
+        here = np.bincount(every, minlength=len(self.words)) > 0
+        self.seen = np.concatenate([self.seen, np.zeros(len(size), np.int64)]) + here
+        ids, n = V.gathered(every, self.start, self.size, self.flat), self.size[every]
+        ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum([len(s) for s in slots])]
+        return np.split(ids, ends[:-1])
+
+    def forget(self) -> None:
+        keep = np.flatnonzero(self.seen > 1)
+        if len(keep) > _MOST_WORDS // 2:
+            keep = keep[:0]
+        names = list(self.words)
+        self.words = {names[k]: i for i, k in enumerate(keep.tolist())}
+        self.flat = V.gathered(keep, self.start, self.size, self.flat)
+        self.size = self.size[keep]
+        self.start = np.cumsum(self.size) - self.size
+        self.seen = np.ones(len(keep), np.int64)
+
+
+@lru_cache(2)
+def _known(path: str) -> _Encoded:
+    return _Encoded(path)
 
 
 def encode_in_order(docs: DataFrame, path: str = V.BYTE_BPE_JSON, end_id: int = END_ID) -> DataFrame:
     """Rows of ``SCHEMA`` in ascending doc_id order, partition by partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, before, known = TaskContext.get().partitionId(), 0, _Encoded(path)
+        shard, before, known = TaskContext.get().partitionId(), 0, _known(path)
         for b in batches:
             texts = b.column(1).to_pylist()
             for rows in pretokens.batches_of(texts, 2 << 20):
@@ -85,7 +103,7 @@ def encode_in_order(docs: DataFrame, path: str = V.BYTE_BPE_JSON, end_id: int =
 def write_tokens(docs: DataFrame, out: str, path: str = V.BYTE_BPE_JSON, end_id: int = END_ID, row_group_bytes: int = 64 << 20, page_bytes: int = 256 << 10, page_rows: int = 1000) -> None:
     writer = encode_in_order(docs, path, end_id).write.mode("overwrite")
     for k, v in {
-        "compression": "zstd", "parquet.enable.dictionary": True, "parquet.writer.version": "v2", "parquet.block.size": row_group_bytes,
+        "compression": "snappy", "parquet.enable.dictionary": True, "parquet.writer.version": "v2", "parquet.block.size": row_group_bytes,
         "parquet.page.size": page_bytes, "parquet.page.row.count.limit": page_rows,
     }.items():
         writer = writer.option(k, v)

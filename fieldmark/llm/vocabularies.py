@@ -60,6 +60,42 @@ def library_ids(path: str, words: list[str]) -> list[list[int]]:
     return [e.ids for e in library_tokenizer(path).encode_batch_fast(words, add_special_tokens=False)]
 
 
+@lru_cache(4)
+def space_first(path: str) -> np.ndarray:
+    """By id, whether a byte-level token begins with a space, which such vocabularies write as U+0120."""
+    names = library_tokenizer(path).get_vocab()
+    out = np.zeros(max(names.values()) + 1, np.int64)
+    out[[i for name, i in names.items() if name.startswith("\u0120")]] = 1
+    return out
+
+
+def library_flat(path: str, words: list[str], together: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """(number of ids of each word, all ids in order), as ``library_ids``.
+
+    Words of a space and letters are split off again wherever they stand, so many of them go to the library as one
+    text; of the tokens of such a word just the first one begins with the space."""
+    plain = [i for i, w in enumerate(words) if w[0] == " " and w[1:].isalpha()]
+    rest = sorted(set(range(len(words))) - set(plain))
+    encode = library_tokenizer(path).encode_batch_fast
+    size, parts = np.zeros(len(words), np.int64), []
+    order = np.array([*plain, *rest], np.int64)
+    groups = [plain[a : a + together] for a in range(0, len(plain), together)]
+    for group, e in zip(groups, encode(["".join([words[i] for i in g]) for g in groups], add_special_tokens=False)):
+        ids = np.array(e.ids, np.int64)
+        of = np.cumsum(space_first(path)[ids]) - 1
+        if int(of[-1]) + 1 != len(group):
+            raise ValueError("the library joined or split words that it should not")
+        size[group] = np.bincount(of, minlength=len(group))
+        parts.append(ids)
+    for i, e in zip(rest, encode([words[i] for i in rest], add_special_tokens=False)):
+        size[i] = len(e.ids)
+        parts.append(np.array(e.ids, np.int64))
+    flat = np.concatenate([*parts, np.zeros(0, np.int64)])
+    start = np.zeros(len(words), np.int64)
+    start[order] = np.cumsum(size[order]) - size[order]
+    return size, gathered(np.arange(len(words)), start, size, flat)
+
+
 def rank_ids(path: str, words: list[str]) -> list[list[int]]:
     encode = piece_encoder(path).encode_ordinary
     return [encode(w) for w in words]
