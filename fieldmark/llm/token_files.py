@@ -84,7 +84,7 @@ def encode_in_order(docs: DataFrame, path: str = V.BYTE_BPE_JSON, end_id: int =
         shard, before, known = TaskContext.get().partitionId(), 0, _known(path)
         for b in batches:
             texts = b.column(1).to_pylist()
-            for rows in pretokens.batches_of(texts, 2 << 20):
+            for rows in pretokens.batches_of(texts, 3 << 20):
                 ids = known.ids([texts[i] for i in rows])
                 n = np.array([len(x) + 1 for x in ids], np.int64)
                 end = np.array([end_id], np.int32)

@@ -69,7 +69,7 @@ def space_first(path: str) -> np.ndarray:
     return out
 
 
-def library_flat(path: str, words: list[str], together: int = 64) -> tuple[np.ndarray, np.ndarray]:
+def library_flat(path: str, words: list[str], together: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """(number of ids of each word, all ids in order), as ``library_ids``.
 
     Words of a space and letters are split off again wherever they stand, so many of them go to the library as one
