@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmark.llm import byte_bpe, chat, decontam, langid, near_dedup, quality_rules, secrets, substring_dedup, token_counts, token_files
+from fieldmark.llm import byte_bpe, chat, decontam, langid, near_dedup, passage_dedup, quality_rules, secrets, substring_dedup, token_counts, token_files
 from fieldmark.llm.frames import bounded_batches, new_path, table
 
 
@@ -71,6 +71,18 @@ QUERIES = {
     )
 }
 
+
+
+def op10_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated passages wherever they start; the SQL of ``op10_substring_dedup`` fixes that query to whole lines."""
+    rows = passage_dedup.repeated_passages(documents(spark, sf_dir))
+    spans = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return rows.select("doc_id", "n_words", "n_removed", "n_removed_words", spans.alias("removed_spans"))
+
+
+#: Queries beside the one that each operator has above.
+MORE = {"op10_passage_dedup": op10_passage_dedup}
+
 ORACLE_SQL: dict[str, str] = {}
 
 ORACLE_SQL["op5_chat_formatting"] = r"""
