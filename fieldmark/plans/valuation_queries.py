@@ -150,7 +150,18 @@ def h11_expected_best(spark, sf_dir):
   FROM c a JOIN c b ON a.league_id = b.league_id AND a.position = b.position AND a.player_id <> b.player_id)
 SELECT c.player_id, round(coalesce(sum(x.ppg * x.p * none), 0), 5) AS others_best FROM c LEFT JOIN pairs x ON x.me = c.player_id GROUP BY c.player_id""")
 def h12_leave_one_out(spark, sf_dir):
-    c = bound(spark, sf_dir, "pool").filter("adp < 45").select("league_id", "position", "player_id", F.col("ppg").alias("value"), valuation.p_available(F.lit(40.0), F.col("adp"), F.col("sd_adp")).alias("p"))
+    """The candidates with a position below 45 alone, as its quadratic SQL has them; h12_leave_one_out_all takes the whole pool."""
+    return _others_best(bound(spark, sf_dir, "pool").filter("adp < 45"))
+
+
+@query("h12_leave_one_out_all")
+def h12_leave_one_out_all(spark, sf_dir):
+    """Every candidate of the pool; those without a draft position are surely there."""
+    return _others_best(bound(spark, sf_dir, "pool"))
+
+
+def _others_best(candidates: DataFrame) -> DataFrame:
+    c = candidates.select("league_id", "position", "player_id", F.col("ppg").alias("value"), valuation.p_available(F.lit(40.0), F.col("adp"), F.col("sd_adp")).alias("p"))
     return valuation.leave_one_out(c, ["league_id", "position"]).select("player_id", F.round("others_best", 5).alias("others_best"))
 
 
