@@ -258,7 +258,7 @@ def j9_best_available(spark, sf_dir):
 
 @query("j10_profiles")
 def j10_profiles(spark, sf_dir):
-    v = _signalled(spark, sf_dir).filter("league_id = 0")
+    v = _signalled(spark, sf_dir)
     s = seasons(spark, sf_dir)
     market = v.select("player_id", F.lit("site").alias("source"), F.col("adp").alias("rank"))
     return snapshots.flat(board.profiles(v.select("player_id", "position"), s, market, signals.reason_rows(v)))

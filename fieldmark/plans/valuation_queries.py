@@ -175,20 +175,25 @@ plan AS (SELECT e.league_id, overall_pick, round, e.team_slot, k.player_id AS ke
   FROM every e LEFT JOIN keepers k ON k.league_id = e.league_id AND k.team_slot = e.team_slot AND k.cost_round = e.round)"""
 
 
-def leagues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").filter("c_custkey % 10 = 0")
+#: A tenth of the leagues, which the SQL of the four schedule queries takes; those named ..._all take every league.
+TENTH = "c_custkey % 10 = 0"
+_ALL_PLAN = _PLAN.replace(f" WHERE {TENTH}", "")
+
+
+def leagues(spark: SparkSession, sf_dir: str, which: str = TENTH) -> DataFrame:
+    c = table(spark, sf_dir, "customer").filter(which)
     return c.select(F.col("c_custkey").alias("league_id"), (8 + F.col("c_custkey") % 5).alias("teams"), F.lit(16).alias("rounds"))
 
 
-def keepers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def keepers(spark: SparkSession, sf_dir: str, which: str = TENTH) -> DataFrame:
     i = F.col("league_id")
-    one = leagues(spark, sf_dir).select("league_id", (1 + i % 7).cast("int").alias("team_slot"), (1 + i % 16).cast("int").alias("cost_round"), (i * 2).alias("player_id"))
-    two = leagues(spark, sf_dir).select("league_id", F.lit(8).alias("team_slot"), (1 + i % 3).cast("int").alias("cost_round"), (i * 2 + 1).alias("player_id"))
+    one = leagues(spark, sf_dir, which).select("league_id", (1 + i % 7).cast("int").alias("team_slot"), (1 + i % 16).cast("int").alias("cost_round"), (i * 2).alias("player_id"))
+    two = leagues(spark, sf_dir, which).select("league_id", F.lit(8).alias("team_slot"), (1 + i % 3).cast("int").alias("cost_round"), (i * 2 + 1).alias("player_id"))
     return one.unionByName(two)
 
 
-def plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return draft.schedule(leagues(spark, sf_dir), keepers(spark, sf_dir))
+def plan(spark: SparkSession, sf_dir: str, which: str = TENTH) -> DataFrame:
+    return draft.schedule(leagues(spark, sf_dir, which), keepers(spark, sf_dir, which))
 
 
 @query("h13_schedule", f"WITH {_PLAN} SELECT * FROM plan")
@@ -196,11 +201,25 @@ def h13_schedule(spark, sf_dir):
     return plan(spark, sf_dir)
 
 
+@query("h13_schedule_all", f"WITH {_ALL_PLAN} SELECT * FROM plan")
+def h13_schedule_all(spark, sf_dir):
+    return plan(spark, sf_dir, "true")
+
+
 @query("h13_keeper_faults", f"WITH {_PLAN}, odd AS (SELECT league_id, CASE WHEN league_id % 3 = 0 THEN 99 ELSE team_slot END AS team_slot, 1 AS cost_round, player_id FROM keepers) SELECT *, 'out of range' AS fault FROM odd WHERE team_slot = 99 UNION ALL SELECT *, 'duplicate' FROM odd o WHERE team_slot < 99 AND (SELECT count(*) FROM odd p WHERE p.league_id = o.league_id AND p.team_slot = o.team_slot) > 1")
 def h13_keeper_faults(spark, sf_dir):
-    k = keepers(spark, sf_dir)
+    return _faults(spark, sf_dir, TENTH)
+
+
+@query("h13_keeper_faults_all", ORACLES["h13_keeper_faults"].replace(_PLAN, _ALL_PLAN))
+def h13_keeper_faults_all(spark, sf_dir):
+    return _faults(spark, sf_dir, "true")
+
+
+def _faults(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
+    k = keepers(spark, sf_dir, which)
     odd = k.select("league_id", F.when(F.col("league_id") % 3 == 0, 99).otherwise(F.col("team_slot")).alias("team_slot"), F.lit(1).alias("cost_round"), "player_id")
-    return draft.keeper_faults(leagues(spark, sf_dir), odd)
+    return draft.keeper_faults(leagues(spark, sf_dir, which), odd)
 
 
 @query("h14_turns", f"""WITH {_PLAN} SELECT league_id, round, overall_pick, live_pick_no, lead(overall_pick) OVER w AS next_pick, lead(live_pick_no) OVER w - live_pick_no - 1 AS picks_until_next
@@ -209,10 +228,24 @@ def h14_turns(spark, sf_dir):
     return draft.turns(plan(spark, sf_dir), 3)
 
 
+@query("h14_turns_all", ORACLES["h14_turns"].replace(_PLAN, _ALL_PLAN))
+def h14_turns_all(spark, sf_dir):
+    return draft.turns(plan(spark, sf_dir, "true"), 3)
+
+
 @query("h14_on_clock", f"WITH {_PLAN} SELECT league_id, overall_pick, round, team_slot, coalesce(CASE WHEN league_id % 3 > 0 THEN league_id % 60 END, 0) AS picks_made FROM plan WHERE live_pick_no = coalesce(CASE WHEN league_id % 3 > 0 THEN league_id % 60 END, 0) + 1")
 def h14_on_clock(spark, sf_dir):
-    made = leagues(spark, sf_dir).filter("league_id % 3 > 0").select("league_id", (F.col("league_id") % 60).alias("picks_made"))
-    return draft.on_clock(plan(spark, sf_dir), made)
+    return _clock(spark, sf_dir, TENTH)
+
+
+@query("h14_on_clock_all", ORACLES["h14_on_clock"].replace(_PLAN, _ALL_PLAN))
+def h14_on_clock_all(spark, sf_dir):
+    return _clock(spark, sf_dir, "true")
+
+
+def _clock(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
+    made = leagues(spark, sf_dir, which).filter("league_id % 3 > 0").select("league_id", (F.col("league_id") % 60).alias("picks_made"))
+    return draft.on_clock(plan(spark, sf_dir, which), made)
 
 
 _TEN = """ten AS (SELECT league_id, i AS overall_pick, CAST((i - 1) // 10 + 1 AS INT) AS round, CASE WHEN ((i - 1) // 10) % 2 = 0 THEN (i - 1) % 10 + 1 ELSE 10 - (i - 1) % 10 END AS team_slot
