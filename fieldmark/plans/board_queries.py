@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldmark.operators import board, draft, signals
@@ -267,10 +267,12 @@ def j10_profiles(spark, sf_dir):
 # pick log
 
 
-def pick_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pick_events(spark: SparkSession, sf_dir: str, league: Column | None = None) -> DataFrame:
+    """The pick log; ``league`` of an event is one of twenty by default, as the SQL of k1_standing_picks has it."""
+    league = F.col("user_id") % 20 if league is None else league
     e = table(spark, sf_dir, "events").filter("event_type in ('purchase', 'error')")
     action = F.when(F.col("event_type") == "error", "undo").when(F.col("event_id") % 97 == 0, "reset").otherwise("pick")
-    return e.select("event_id", (F.col("user_id") % 20).alias("league_id"), action.alias("action"), (F.col("event_id") % 4001).alias("player_id"), F.lit(1).alias("team_slot"), F.lit("manual").alias("source"), F.col("ts").cast("timestamp").alias("picked_at"))
+    return e.select("event_id", league.alias("league_id"), action.alias("action"), (F.col("event_id") % 4001).alias("player_id"), F.lit(1).alias("team_slot"), F.lit("manual").alias("source"), F.col("ts").cast("timestamp").alias("picked_at"))
 
 
 _EVENTS = "e AS (SELECT event_id, user_id % 20 AS league_id, CASE WHEN event_type = 'error' THEN -1 WHEN event_id % 97 = 0 THEN 0 ELSE 1 END AS step, ts FROM events WHERE event_type IN ('purchase', 'error'))"
@@ -278,8 +280,8 @@ _EVENTS = "e AS (SELECT event_id, user_id % 20 AS league_id, CASE WHEN event_typ
 
 @query("k1_pick_log")
 def k1_pick_log(spark, sf_dir):
-    """Every event's decision, folded in batch; the stream gives the same rows."""
-    return fold_in_batch(pick_events(spark, sf_dir))
+    """Every event's decision, folded in batch; the stream gives the same rows. A league is twenty users, so leagues grow with the users."""
+    return fold_in_batch(pick_events(spark, sf_dir, F.floor(F.col("user_id") / 20)))
 
 
 @query("k1_standing_picks", f"""WITH {_EVENTS}, r AS (SELECT *, sum(step) OVER w AS raw FROM e WINDOW w AS (PARTITION BY league_id ORDER BY ts, event_id)), f AS (SELECT *, raw - least(0, min(raw) OVER (PARTITION BY league_id ORDER BY ts, event_id)) AS h FROM r)

@@ -9,9 +9,11 @@ a batch folds a league's log from the start, and both give the same rows.
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,12 +51,29 @@ def _fold(league_id: int, events: pd.DataFrame, state: tuple[list, list, list],
 
 
 def fold_in_batch(events: DataFrame, most: int = 160) -> DataFrame:
-    """Decisions on a whole log. A league's log is bounded by its draft, so a group is small."""
-
-    def run(key, group: pd.DataFrame) -> pd.DataFrame:
-        return _fold(key[0], group.drop_duplicates("event_id"), ([], [], []), most)[1]
-
-    return events.groupBy("league_id").applyInPandas(run, OUTPUT)
+    """Decisions on a whole log. What stands is bounded by the draft, but refused picks, undos and resets are not: a
+    league's events are read in order, batch by batch, and only its state is held. Of rows with one id in a league the
+    first in time counts."""
+    names = [c.split()[0] for c in EVENTS.split(", ")]
+    rest = [c for c in names if c not in ("league_id", "event_id", "picked_at")]
+    once = events.groupBy("league_id", "event_id").agg(F.min(F.struct("picked_at", *rest)).alias("_e")).select("league_id", "event_id", "_e.*")
+    ordered = once.select(*names).repartition("league_id").sortWithinPartitions(*[F.asc_nulls_last(c) for c in ("league_id", "picked_at", "event_id")])
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in OUTPUT.split(", ")])
+    Event = namedtuple("Event", names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        league, state = None, ([], [], [])
+        for b in batches:
+            rows = []
+            for e in map(Event._make, zip(*(b.column(c).to_pylist() for c in names))):
+                if e.league_id != league:
+                    league, state = e.league_id, ([], [], [])
+                state, (number, reason) = decide(state, e, most)
+                rows.append((league, e.event_id, e.action, e.player_id, e.team_slot, number, reason))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+    return ordered.mapInArrow(run, OUTPUT)
 
 
 def decisions(events: DataFrame, most: int = 160, lateness: str = "10 minutes") -> DataFrame:
