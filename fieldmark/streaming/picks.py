@@ -9,6 +9,8 @@ a batch folds a league's log from the start, and both give the same rows.
 
 from __future__ import annotations
 
+import threading
+import uuid
 from collections import namedtuple
 from collections.abc import Iterator
 
@@ -16,6 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 EVENTS = "event_id long, league_id long, action string, player_id long, team_slot int, source string, picked_at timestamp"
 OUTPUT = "league_id long, event_id long, action string, player_id long, team_slot int, live_pick_no int, reason string"
@@ -102,9 +105,43 @@ def live_state(batch: DataFrame, plan: DataFrame) -> DataFrame:
 
 def run_available(stream: DataFrame, path: str) -> DataFrame:
     """Process all that a stream has now, exactly once, to Parquet under ``path``, and read it back."""
-    query = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
+    return run_counted(stream, path)[0]
+
+
+class _Late(StreamingQueryListener):
+    """Sums what the watermark drops, over every micro-batch of one query, until that query ends."""
+
+    def __init__(self, name: str):
+        self.name, self.n, self.run, self.ended = name, 0, None, threading.Event()
+
+    def onQueryStarted(self, event) -> None:
+        if event.name == self.name:
+            self.run = event.runId
+
+    def onQueryProgress(self, event) -> None:
+        if event.progress.name == self.name:
+            self.n += sum(o.numRowsDroppedByWatermark for o in event.progress.stateOperators)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        if event.runId == self.run:
+            self.ended.set()
+
+
+def run_counted(stream: DataFrame, path: str) -> tuple[DataFrame, int]:
+    """As :func:`run_available`, and how many late events the watermark dropped."""
+    spark, late = stream.sparkSession, _Late(f"picks-{uuid.uuid4().hex}")
+    spark.streams.addListener(late)
+    try:
+        query = stream.writeStream.queryName(late.name).format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+        if not late.ended.wait(60):  # progress comes in order, and the end after it
+            raise TimeoutError("the count of late events is not complete")
+    finally:
+        spark.streams.removeListener(late)
+    return spark.read.schema(stream.schema).parquet(f"{path}/out"), late.n
 
 
 def lateness(stream: DataFrame, at: str = "picked_at") -> DataFrame:

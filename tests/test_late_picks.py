@@ -1,0 +1,17 @@
+"""Late picks are dropped by the watermark, and counted."""
+
+from pyspark.sql import functions as F
+
+from fieldmark.streaming import picks
+
+
+def test_late_events_are_counted(spark, tmp_path):
+    schema = "event_id long, league_id long, action string, player_id long, team_slot int, source string, picked_at string"
+    files = [[(1, "01:00"), (2, "01:05")], [(3, "03:00")], [(8, "03:00")], [(4, "03:01"), (5, "00:30"), (6, "02:00"), (7, "02:55")]]
+    for rows in files:  # one micro-batch each; a watermark holds from the next batch but one, where 5 and 6 are late
+        d = spark.createDataFrame([(i, 1, "pick", i, 1, "manual", f"2026-01-01 {at}:00") for i, at in rows], schema).withColumn("picked_at", F.col("picked_at").cast("timestamp"))
+        d.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out, late = picks.run_counted(picks.decisions(stream), str(tmp_path))
+    assert sorted(r.event_id for r in out.collect()) == [1, 2, 3, 4, 7, 8]
+    assert late == 2
