@@ -7,15 +7,19 @@ the next shorter context gives it among the bytes not seen so far (escape
 method C with exclusion).  The statistics are frozen, so a text has one exact
 code length per language and the shortest one wins.
 
-Frozen trees are compiled to two tables over the union of all contexts: one
-walks from the latest byte to older ones, one holds the cost of each byte in
-each language.  A text is then scored with array look-ups, a bounded piece at
-a time, whatever its length.  Prediction is one pass without a shuffle.  The
-tables are broadcast; their size is bounded by ``sample_docs`` documents per
-language and by ``max_contexts``.
+Frozen trees are compiled to tables over the union of all contexts.  One walks
+from the latest byte to older ones; one says where a byte's costs stand, one
+column a language, if any language saw it in that context; and one holds each
+context's cost of an escape to the next shorter one.  Costs are kept only for
+what was seen, so the tables, which are broadcast, grow with the sample
+(``sample_docs`` documents a language) and not with contexts times languages
+times bytes.  A text is scored with array look-ups, a bounded piece at a time,
+whatever its length.  Prediction is one pass without a shuffle.
 
 Null text, or text without letters: ``und`` with score 0, as for every text
-when no labelled rows exist.  Ties go to the first language by name.
+when no labelled rows exist.  An empty table gives no rows.  Rows that are
+repeated are one row of the sample, and are each predicted.  Ties go to the
+first language by name.
 """
 
 from __future__ import annotations
@@ -43,29 +47,40 @@ def fold(doc_id: str = "doc_id") -> F.Column:
 
 @dataclass(frozen=True)
 class Trees:
-    """``klass``: class of each byte. ``child``: node and class of the next older byte to node, -1 for none.
-    ``cost``: bits by node and class of the byte, one column a language."""
+    """``klass``: class of each byte, bytes that the sample lacks in the last one. ``child``: node and class of the next
+    older byte to node. ``entry``: node and class of the byte to a row of ``cost``. Both are -1 for none. ``cost``: bits,
+    one column a language. ``escape``: bits by node and language of going to ``parent``.
+    ``usual``: bits a byte of each language's sample."""
 
     langs: tuple[str, ...]
     order: int
     klass: np.ndarray
     child: np.ndarray
+    entry: np.ndarray
     cost: np.ndarray
+    escape: np.ndarray
+    parent: np.ndarray
+    usual: np.ndarray
+
+
+MAX_LANGUAGES = 1000
 
 
 def sample(docs: DataFrame, sample_docs: int) -> DataFrame:
-    """(lang, text) of at most ``sample_docs`` rows a language, chosen by a hash of the id among rows not held out."""
+    """(lang, text) of at most ``sample_docs`` different rows a language, the first by a hash of the id among rows not held
+    out. More than ``MAX_LANGUAGES`` values of ``lang`` are no language labels: a ValueError."""
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     rows = rows.filter("lang is not null and text is not null and length(text) > 0").filter(F.coalesce(fold("id") != 2, F.lit(False)))
-    key = F.xxhash64("id", F.lit("langid"))
-    # First within 256 parts of a language, so that a common one is not sorted in one task; the second window then sees
-    # 256 * sample_docs rows a language at most.
-    chosen = rows.select("id", "lang", key.alias("key")).withColumn("part", F.pmod("key", F.lit(256)))
-    for by in (["lang", "part"], ["lang"]):
-        chosen = chosen.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("key", "id"))).filter(F.col("n") <= sample_docs)
-    # At most sample_docs ids a language: small by its parameter.
-    chosen = chosen.select(F.col("id").alias("id2"), F.col("lang").alias("lang2")).distinct()
-    return rows.join(F.broadcast(chosen), F.expr("id = id2 and lang = lang2"), "left_semi").select("lang", "text")
+    counts = rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} values of lang")
+    # Rows with a hash below a bound are some 2 * sample_docs + 100 a language, so that no task ranks many.
+    bound = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, (2 * sample_docs + 100) / r["count"])) for r in counts], "lang2 string, share double")
+    rows = rows.withColumn("key", F.xxhash64("id", F.lit("langid")))
+    rows = rows.join(F.broadcast(bound), (F.col("lang") == F.col("lang2")) & (F.shiftrightunsigned("key", 11) <= F.col("share") * float(2**53)))
+    rows = rows.select("lang", "key", "id", "text").dropDuplicates()
+    n = F.row_number().over(Window.partitionBy("lang").orderBy("key", "id", "text"))
+    return rows.withColumn("n", n).filter(F.col("n") <= sample_docs).select("lang", "text")
 
 
 def gram_counts(texts: DataFrame, order: int) -> DataFrame:
@@ -84,71 +99,64 @@ def gram_counts(texts: DataFrame, order: int) -> DataFrame:
     return texts.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, order: int = 3, sample_docs: int = 300, max_contexts: int = 60_000) -> Trees | None:
-    """Trees from a bounded sample. Contexts beyond ``max_contexts`` give way by count, the rarest and longest first."""
-    rows = gram_counts(sample(docs, sample_docs), order).collect()  # bounded by the sample
-    if not rows:
+def fit(docs: DataFrame, order: int = 3, sample_docs: int = 300) -> Trees | None:
+    """Trees from a bounded sample; None without labelled rows."""
+    rows = gram_counts(sample(docs, sample_docs), order).toArrow()  # bounded by the sample
+    if not len(rows):
         return None
-    return compile_trees([(r.lang, r.gram, r.n) for r in rows], order, max_contexts)
+    langs, lang = np.unique(rows.column("lang").to_numpy(), return_inverse=True)
+    return compile_trees(tuple(langs.tolist()), lang, rows.column("gram").to_numpy(), rows.column("n").to_numpy(), order)
 
 
-def compile_trees(rows: list[tuple[str, int, int]], order: int, max_contexts: int) -> Trees:
-    langs = tuple(sorted({r[0] for r in rows}))
-    lang = np.array([langs.index(r[0]) for r in rows])
-    gram, n = np.array([r[1] for r in rows]), np.array([r[2] for r in rows], np.float64)
+def compile_trees(langs: tuple[str, ...], lang: np.ndarray, gram: np.ndarray, n: np.ndarray, order: int) -> Trees:
+    """Trees of counted grams: row i says that ``gram[i]`` stands ``n[i]`` times in texts of language number ``lang[i]``."""
     parts = [gram >> 8 * j & 255 for j in range(order + 1)]  # the byte itself, then older ones
     used = np.unique(np.concatenate(parts))
     klass = np.full(256, len(used), np.int32)
     klass[used] = np.arange(len(used))
     size = len(used) + 1  # the last class stands for each byte that the sample lacks
-    weight = np.ones(size)
-    weight[-1] = 256 - len(used)
-    parts = [klass[p] for p in parts]
-    child = np.full((1, size), -1, np.int32)
-    at = np.zeros(len(rows), np.int64)  # node of each row's context at this length
-    alive = np.ones(len(rows), bool)
-    cost_p = [_level(np.zeros(len(rows), np.int64), parts[0], lang, n, 1, len(langs), size, weight, np.full((1, len(langs), size), 1 / 256))]
-    for depth in range(1, order + 1):
-        key = at * size + parts[depth]
-        total = np.zeros(len(child) * size)
-        np.add.at(total, key[alive], n[alive])
-        keys = np.flatnonzero(total)
-        room = max(0, max_contexts - len(child))
-        if len(keys) > room:
-            keys = np.sort(keys[np.argsort(-total[keys], kind="stable")[:room]])
-        new = np.full(len(total), -1, np.int64)
-        new[keys] = len(child) + np.arange(len(keys))
-        child.reshape(-1)[keys] = new[keys]
-        first = len(child)
-        child = np.vstack([child, np.full((len(keys), size), -1, np.int32)])
-        got = new[key]
-        alive &= got >= 0
-        below = np.concatenate(cost_p)[keys // size]
-        if len(keys):
-            a = alive
-            cost_p.append(_level(got[a] - first, parts[0][a], lang[a], n[a], len(keys), len(langs), size, weight, below))
-        at = np.where(alive, got, at)
-    cost = -np.log2(np.concatenate(cost_p)).transpose(0, 2, 1)
-    return Trees(langs, order, klass, child, np.ascontiguousarray(cost, np.float32))
-
-
-def _level(node, symbol, lang, n, nodes, langs, size, weight, below):
-    """Probability of each byte of each class, by node and language; ``below``: the same one byte of context shorter."""
-    count = np.zeros((nodes, langs, size))
-    np.add.at(count, (node, lang, symbol), n)
-    seen = count > 0
-    total, kinds = count.sum(-1, keepdims=True), seen.sum(-1, keepdims=True)
-    left = (np.where(seen, 0, below) * weight).sum(-1, keepdims=True)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        own = np.where(seen, count / (total + kinds), kinds / (total + kinds) * below / left)
-    return np.where(total > 0, own, below)
+    symbol, parts = klass[parts[0]].astype(np.int64), [klass[p].astype(np.int64) for p in parts]
+    child, entry, escape, cost = [], [], [], []
+    nodes, first_node, first_cost, parent = 1, 0, 0, [np.zeros(1, np.int32)]
+    node = np.zeros(len(gram), np.int64)  # of each row's context at this length, counted from the first of that length
+    above = np.full((len(gram), len(langs)), 1 / 256)  # probability of each row's byte, one byte of context shorter
+    for depth in range(order + 1):
+        keys, place = np.unique(node * size + symbol, return_inverse=True)
+        count = np.zeros((len(keys), len(langs)))
+        np.add.at(count, (place, lang), n)
+        below = np.empty_like(count)
+        below[place] = above  # equal for all rows of a key
+        of = keys // size
+        total, kinds, taken = (np.zeros((nodes, len(langs))) for _ in range(3))
+        for to, what in ((total, count), (kinds, count > 0), (taken, np.where(count > 0, below, 0))):
+            np.add.at(to, of, what)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            leave = np.where(total > 0, kinds / (total + kinds) / np.maximum(1 - taken, 1e-300), 1.0)
+            p = np.where(count > 0, count / (total + kinds)[of], leave[of] * below)
+        table = np.full((nodes, size), -1, np.int32)
+        table.reshape(-1)[keys] = first_cost + np.arange(len(keys))
+        entry.append(table)
+        cost.append(-np.log2(p).astype(np.float32))
+        escape.append(-np.log2(leave).astype(np.float32))
+        first_cost += len(keys)
+        walk = np.full((nodes, size), -1, np.int32)
+        if depth < order:
+            deeper, node = np.unique(node * size + parts[depth + 1], return_inverse=True)
+            walk.reshape(-1)[deeper] = first_node + nodes + np.arange(len(deeper))
+            parent.append((first_node + deeper // size).astype(np.int32))
+            first_node, nodes = first_node + nodes, len(deeper)
+        child.append(walk)
+        above = p[place]
+    bits = -np.log2(above[np.arange(len(lang)), lang])
+    usual = np.bincount(lang, n * bits) / np.bincount(lang, n)
+    return Trees(langs, order, klass, np.concatenate(child), np.concatenate(entry), np.concatenate(cost), np.concatenate(escape), np.concatenate(parent), usual)
 
 
 def code_lengths(texts: list[bytes], trees: Trees) -> np.ndarray:
     """Bits of each text in each language."""
     out = np.zeros((len(texts), len(trees.langs)))
     size, order = trees.child.shape[1], trees.order
-    child, cost = trees.child.reshape(-1), trees.cost.reshape(-1, len(trees.langs))
+    child, entry = trees.child.reshape(-1), trees.entry.reshape(-1)
     gap = b"\0" * order
     group: list[int] = []
     held = 0
@@ -162,7 +170,20 @@ def code_lengths(texts: list[bytes], trees: Trees) -> np.ndarray:
             older = child[node * size + c[at - j]]
             dead |= older < 0
             node = np.where(dead, node, older)
-        bits = cost[node * size + c[at]]
+        byte = c[at]
+        row = entry[node * size + byte]
+        bits = trees.cost[row]
+        lost = np.flatnonzero(row < 0)  # no language saw the byte there
+        bits[lost] = 0
+        while len(lost):
+            bits[lost] += trees.escape[node[lost]]
+            end = lost[node[lost] == 0]
+            bits[end] += 8  # below all contexts, bytes are equally likely
+            lost = lost[node[lost] != 0]
+            node[lost] = trees.parent[node[lost]]
+            row = entry[node[lost] * size + byte[lost]]
+            bits[lost[row >= 0]] += trees.cost[row[row >= 0]]
+            lost = lost[row < 0]
         ends = np.concatenate([[0], np.cumsum(lengths)[:-1]])
         np.add.at(out, rows, np.add.reduceat(bits, ends, axis=0, dtype=np.float64))
 
@@ -192,20 +213,22 @@ def has_letter(text: str) -> bool:
     return bool(_ASCII_LETTER.search(text)) or any(map(str.isalpha, text))
 
 
-def predicted(texts: list[str | None], trees: Trees | None) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Language, posterior under equal priors, and bits a byte, of each text."""
-    score, per_byte = np.zeros(len(texts)), np.zeros(len(texts))
+def predicted(texts: list[str | None], trees: Trees | None) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Language, posterior under equal priors, bits a byte, and bits beyond twice the usual of that language, of each text."""
+    score, per_byte, beyond = np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts))
     langs = [UNKNOWN] * len(texts)
     rows = [i for i, t in enumerate(texts) if t and trees and has_letter(t)]
     if rows:
         raw = [texts[i].encode() for i in rows]
-        bits = code_lengths(raw, trees)
+        bits, size = code_lengths(raw, trees), np.array([len(t) for t in raw])
         best = bits.argmin(1)
-        score[rows] = 1 / np.exp2(np.maximum(bits[np.arange(len(rows)), best][:, None] - bits, -1000)).sum(1)
-        per_byte[rows] = bits[np.arange(len(rows)), best] / np.array([len(t) for t in raw])
+        least = bits[np.arange(len(rows)), best]
+        score[rows] = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(1)
+        per_byte[rows] = least / size
+        beyond[rows] = least - 2 * trees.usual[best] * size
         for i, k in zip(rows, best):
             langs[i] = trees.langs[k]
-    return langs, score, per_byte
+    return langs, score, per_byte, beyond
 
 
 def identify(docs: DataFrame, trees: Trees | None) -> DataFrame:
@@ -214,7 +237,7 @@ def identify(docs: DataFrame, trees: Trees | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            langs, score, bits = predicted(b.column(2).to_pylist(), shared.value)
+            langs, score, bits, _ = predicted(b.column(2).to_pylist(), shared.value)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(langs, pa.string()), pa.array(score), pa.array(bits)], ["doc_id", "held_out", "lang_pred", "score", "bits_per_byte"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -222,14 +245,19 @@ def identify(docs: DataFrame, trees: Trees | None) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double")
 
 
-def keep_identified(docs: DataFrame, trees: Trees | None, least_score: float = 0.3) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text has a language with at least ``least_score``."""
+def keep_identified(docs: DataFrame, trees: Trees | None, least_score: float = 0.3, slack_bits: float = 512) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text has a language with at least ``least_score`` and is written in it: it
+    takes at most twice the bits a byte that the language's sample took, and ``slack_bits`` more, enough for a key and an
+    address within a short text. Long random letters and languages that were not learned take more. Without labelled rows
+    there is nothing to judge by, and all rows stay."""
+    if trees is None:
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(trees)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            langs, score, _ = predicted(b.column("text").to_pylist(), shared.value)
-            yield b.filter(pa.array([k != UNKNOWN and s >= least_score for k, s in zip(langs, score)], pa.bool_()))
+            langs, score, _, beyond = predicted(b.column("text").to_pylist(), shared.value)
+            yield b.filter(pa.array([k != UNKNOWN and s >= least_score and x <= slack_bits for k, s, x in zip(langs, score, beyond)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

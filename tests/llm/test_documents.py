@@ -1,9 +1,12 @@
 """Rules, languages, secrets, line dedup, near-dedup, decontamination and chats against brute force."""
 
+import math
 import re
+import zlib
 from collections import Counter, defaultdict
 from functools import cache
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -70,10 +73,16 @@ def test_rules_line_by_line(docs):
 # languages
 
 
+def compiled(rows, order=3):
+    langs = tuple(sorted({r[0] for r in rows}))
+    lang, gram, n = (np.array(c, np.int64) for c in zip(*[(langs.index(r[0]), *r[1:]) for r in rows]))
+    return langid.compile_trees(langs, lang, gram, n, order)
+
+
 def test_code_lengths_by_definition():
     rows = [("x", int.from_bytes(b"\0\0\0a", "big"), 1), ("x", int.from_bytes(b"\0\0ab", "big"), 1), ("x", int.from_bytes(b"\0aba", "big"), 1), ("y", int.from_bytes(b"\0\0\0b", "big"), 1)]
-    trees = langid.compile_trees(rows, 3, 1000)
-    text = b"abz"
+    trees = compiled(rows)
+    text = b"abzab\xffb"
 
     @cache
     def p(lang, context, byte):
@@ -92,8 +101,6 @@ def test_code_lengths_by_definition():
         left = sum(shorter(b) for b in range(256) if b not in counts)
         return kinds / (total + kinds) * shorter(byte) / left
 
-    import math
-
     for k, lang in enumerate(("x", "y")):
         padded = b"\0\0\0" + text
         want = -sum(math.log2(p(lang, padded[i : i + 3], padded[i + 3])) for i in range(len(text)))
@@ -102,7 +109,7 @@ def test_code_lengths_by_definition():
 
 def test_long_texts_are_scored_whole(monkeypatch):
     rows = [("x", int.from_bytes(b"abca"[i:] + b"abca"[:i], "big"), 3) for i in range(4)]
-    trees = langid.compile_trees(rows, 3, 1000)
+    trees = compiled(rows)
     text = b"abcabca" * 50
     whole = langid.code_lengths([text], trees)
     monkeypatch.setattr(langid, "_PIECE", 16)
@@ -119,6 +126,61 @@ def test_held_out_accuracy(spark, docs):
     assert all(0 <= r.score <= 1 for r in got.collect())
 
 
+def test_trees_and_scores_by_definition(spark, docs):
+    """The registered operator's languages and scores, from the sampled texts and the definition alone."""
+    how = {"order": 2, "sample_docs": 4}
+    texts = [tuple(r) for r in langid.sample(docs, 4).collect()]
+    rows = docs.selectExpr("doc_id", "lang", "text").distinct().collect()
+    hashed = {r.doc_id: r.key for r in docs.select("doc_id", F.xxhash64(F.col("doc_id").cast("long"), F.lit("langid")).alias("key")).distinct().collect()}
+    learn = defaultdict(list)
+    for r in rows:
+        if r.lang is not None and r.text and r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            learn[r.lang].append((hashed[r.doc_id] % 2**64 >> 11, hashed[r.doc_id], r.text))
+    near = {k: {t for _, _, t in v} for k, v in learn.items()}
+    assert Counter(k for k, _ in texts) == {k: min(4, len(v)) for k, v in near.items()} and all(t in near[k] for k, t in texts)
+    counts = defaultdict(Counter)
+    for lang, text in texts:
+        raw = b"\0\0" + text.encode()
+        for i in range(2, len(raw)):
+            for d in range(3):
+                counts[lang, raw[i - d : i]][raw[i]] += 1
+
+    @cache
+    def p(lang, context, byte):
+        shorter = lambda b: p(lang, context[1:], b) if context else 1 / 256
+        seen = counts.get((lang, context))
+        if not seen:
+            return shorter(byte)
+        total, kinds = sum(seen.values()), len(seen)
+        if byte in seen:
+            return seen[byte] / (total + kinds)
+        return kinds / (total + kinds) * shorter(byte) / sum(shorter(b) for b in range(256) if b not in seen)
+
+    langs = sorted({k for k, _ in texts})
+    few = docs.filter("doc_id < 40")
+    for r in langid.fit_and_identify(spark, docs, **how).join(few.select("doc_id", "text"), "doc_id").collect():
+        raw = b"\0\0" + r.text.encode()
+        bits = [-sum(math.log2(p(k, raw[i - 2 : i], raw[i])) for i in range(2, len(raw))) for k in langs]
+        assert r.lang_pred == langs[bits.index(min(bits))]
+        assert r.score == pytest.approx(1 / sum(2 ** max(min(bits) - b, -1000) for b in bits), rel=1e-3)
+        assert r.bits_per_byte == pytest.approx(min(bits) / (len(raw) - 2), rel=1e-5)
+
+
+def test_what_language_stage_keeps(spark, docs):
+    import random
+
+    rnd, trees = random.Random(1), langid.fit(docs)
+    gibberish = " ".join("".join(rnd.choice("qxzjkvwpfb") for _ in range(7)) for _ in range(60))
+    odd = [(1, gibberish), (2, "Мороз и солнце; день чудесный! Еще ты дремлешь, друг прелестный. " * 3), (3, None), (4, ""), (5, "123 456"), (6, "The thing is."), (6, "The thing is."), (7, 'The erin token = "a448b0667399ff1a7e901d2aa447171b1a97a303" 4160062719256784 as of.')]
+    odd = spark.createDataFrame(odd, "doc_id long, text string").selectExpr("*", "1 AS beyond", "'k' AS lang_pred")
+    assert [(r.doc_id, r.beyond) for r in langid.keep_identified(odd, trees).collect()] == [(6, 1), (6, 1), (7, 1)]
+    assert langid.keep_identified(odd, None).count() == 8 and langid.keep_identified(odd.limit(0), trees).count() == 0
+    clean = docs.filter("doc_id < 900000 and text rlike '[a-z]'")
+    assert langid.keep_identified(clean, trees).count() == clean.count()
+    with pytest.raises(ValueError):
+        langid.fit(docs.selectExpr("doc_id", "text", "cast(doc_id AS string) AS lang").crossJoin(spark.range(20)).selectExpr("doc_id", "text", "concat(lang, id) AS lang"))
+
+
 def test_no_labels(spark):
     none = spark.createDataFrame([(1, "text", None)], "doc_id long, text string, lang string")
     assert [r.lang_pred for r in langid.fit_and_identify(spark, none).collect()] == ["und"]
@@ -143,8 +205,6 @@ def test_secrets_brute(text):
 
 
 def test_checksums_and_redaction(spark):
-    import zlib
-
     body, x, check = "Z" * 30, zlib.crc32(b"Z" * 30), ""
     for _ in range(6):
         x, r = divmod(x, 62)
@@ -275,8 +335,6 @@ def test_contaminations_brute(spark, sf, docs, how):
 
 
 def test_fingerprint_index_finds_all():
-    import numpy as np
-
     rnd = np.random.default_rng(3)
     base = rnd.integers(0, 2**63, 300, np.uint64)
     for radius, blocks in ((20, 4), (3, 4), (7, 8)):
