@@ -79,16 +79,38 @@ def give_back() -> None:
         trim(0)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name made from ``name`` that ``df`` does not hold in either case of its letters."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def maybe_in(rows: DataFrame, column: str, ids: DataFrame, flag: str, bits: int = 1 << 26) -> DataFrame:
     """``rows`` with a boolean ``flag``: false only where ``column`` is surely not among the one column of ``ids``.
+    ``flag`` must be a name that ``rows`` does not hold, see :func:`free_name`.
 
     The ids go to a bitmap of ``bits`` bits, 8 MB by default whatever their number, which is broadcast.  When the
     ids outgrow it, more rows are flagged and later joins shuffle more, with the same results."""
     place = lambda c: F.pmod(F.xxhash64(c, F.lit("bitmap")), F.lit(bits))
-    at = ids.select(place(F.col(ids.columns[0])).alias("_p"))
-    maps = at.groupBy(F.bitmap_bucket_number("_p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_bits"))
-    marked = rows.withColumn("_p", place(F.col(column).cast("long")))
-    marked = marked.join(F.broadcast(maps), F.bitmap_bucket_number("_p") == F.col("_bucket"), "left")
-    byte = F.conv(F.hex(F.substring("_bits", (F.shiftright(F.bitmap_bit_position("_p"), 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    bit = F.lit(1).bitwiseAND(F.call_function("shiftright", byte, F.pmod(F.bitmap_bit_position("_p"), F.lit(8)).cast("int")))
-    return marked.withColumn(flag, F.coalesce(bit == 1, F.lit(False))).drop("_p", "_bucket", "_bits")
+    at_, part, found = (free_name(rows, c) for c in ("bit_place", "bit_bucket", "bit_map"))
+    at = ids.select(place(F.col(ids.columns[0]).cast("long")).alias(at_))
+    maps = at.groupBy(F.bitmap_bucket_number(at_).alias(part)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at_)).alias(found))
+    marked = rows.withColumn(at_, place(F.col(column).cast("long")))
+    marked = marked.join(F.broadcast(maps), F.bitmap_bucket_number(at_) == F.col(part), "left")
+    byte = F.conv(F.hex(F.substring(found, (F.shiftright(F.bitmap_bit_position(at_), 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = F.lit(1).bitwiseAND(F.call_function("shiftright", byte, F.pmod(F.bitmap_bit_position(at_), F.lit(8)).cast("int")))
+    return marked.withColumn(flag, F.coalesce(bit == 1, F.lit(False))).drop(at_, part, found)
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], n: str = "n", most: int = 200) -> DataFrame:
+    """``rows`` joined with ``groups``, which has one row for each key ``on`` and the number ``n`` of its rows.
+
+    Keys with more than one row in ``most`` of all are hot; there are fewer than ``most`` of them, so they are
+    broadcast and their rows stay where they are.  The others are shuffled, and none fills a partition."""
+    groups = settle(groups, "groups")
+    total = groups.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    hot = F.broadcast(groups.filter(F.col(n) * most > total).drop(n))
+    cold = groups.filter(F.col(n) * most <= total).drop(n)
+    return rows.join(hot, on).unionByName(rows.join(hot.select(*on), on, "left_anti").join(cold, on))

@@ -73,15 +73,22 @@ QUERIES = {
 
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated whole lines of five words or more."""
+    rows = substring_dedup.repeated_units(documents(spark, sf_dir), "line", least_words=5, run_words=0)
+    spans = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return rows.select("doc_id", "n_units", "n_removed", "n_removed_words", spans.alias("removed_spans"))
+
+
 def op10_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated passages wherever they start; the SQL of ``op10_substring_dedup`` fixes that query to whole lines."""
+    """Repeated passages of 50 words wherever they start, by all windows and not by units."""
     rows = passage_dedup.repeated_passages(documents(spark, sf_dir))
     spans = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
     return rows.select("doc_id", "n_words", "n_removed", "n_removed_words", spans.alias("removed_spans"))
 
 
 #: Queries beside the one that each operator has above.
-MORE = {"op10_passage_dedup": op10_passage_dedup}
+MORE = {"op10_line_dedup": op10_line_dedup, "op10_passage_dedup": op10_passage_dedup}
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -105,7 +112,7 @@ SELECT conv_id, count(*) AS n_turns,
   count(*) FILTER (is_example) AS n_examples
 FROM upto GROUP BY conv_id"""
 
-ORACLE_SQL["op10_substring_dedup"] = r"""
+ORACLE_SQL["op10_line_dedup"] = r"""
 WITH lines AS (
   SELECT doc_id, coalesce(text, '') AS text, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
     generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS k FROM documents),
@@ -120,6 +127,33 @@ SELECT d.doc_id, count(r.unit) AS n_units, count(r.unit) FILTER (place > 1) AS n
   coalesce(string_agg(CAST(CAST(start AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(stop AS BIGINT) AS VARCHAR), ',' ORDER BY start) FILTER (place > 1), '') AS removed_spans
 FROM documents d LEFT JOIN ranked r USING (doc_id) GROUP BY d.doc_id"""
 
+ORACLE_SQL["op10_substring_dedup"] = r"""
+WITH tiles AS (
+  SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[^\n.!?,;:]+[.!?,;:]*|[\n.!?,;:]+')) AS tile,
+    generate_subscripts(regexp_extract_all(coalesce(text, ''), '[^\n.!?,;:]+[.!?,;:]*|[\n.!?,;:]+'), 1) AS k FROM documents),
+placed AS (
+  SELECT doc_id, k, tile, CAST(sum(length(tile)) OVER (PARTITION BY doc_id ORDER BY k) AS BIGINT) AS stop,
+    regexp_extract_all(translate(tile, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM tiles),
+units AS (
+  SELECT doc_id, stop - length(tile) AS start, stop, len(words) AS n, array_to_string(words, ' ') AS unit,
+    row_number() OVER (PARTITION BY doc_id ORDER BY k) AS k, CAST(sum(len(words)) OVER (PARTITION BY doc_id ORDER BY k) AS BIGINT) AS upto
+  FROM placed WHERE len(words) > 0 AND NOT regexp_matches(tile, '^[\n.!?,;:]')),
+whole AS (SELECT doc_id, array_agg(unit ORDER BY k) AS all_units FROM units GROUP BY doc_id),
+runs AS (
+  SELECT a.doc_id, a.start, a.k, b.k AS last, array_to_string(all_units[a.k : b.k], ' ') AS run
+  FROM units a ASOF JOIN units b ON a.doc_id = b.doc_id AND a.upto - a.n + 30 <= b.upto JOIN whole w ON w.doc_id = a.doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, start) AS place FROM runs),
+gone AS (SELECT DISTINCT doc_id, unnest(range(k, last + 1)) AS k FROM ranked WHERE place > 1),
+cut AS (SELECT u.*, u.k - row_number() OVER (PARTITION BY doc_id ORDER BY k) AS island FROM units u JOIN gone USING (doc_id, k)),
+spans AS (SELECT doc_id, island, min(start) AS start, max(stop) AS stop, count(*) AS n, sum(n) AS words FROM cut GROUP BY doc_id, island),
+by_doc AS (
+  SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_removed, CAST(sum(words) AS BIGINT) AS n_removed_words,
+    string_agg(CAST(start AS VARCHAR) || ':' || CAST(stop AS VARCHAR), ',' ORDER BY start) AS removed_spans FROM spans GROUP BY doc_id),
+counted AS (SELECT doc_id, count(*) AS n_units FROM units GROUP BY doc_id)
+SELECT doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_removed, coalesce(n_removed_words, 0) AS n_removed_words, coalesce(removed_spans, '') AS removed_spans
+FROM documents LEFT JOIN counted USING (doc_id) LEFT JOIN by_doc USING (doc_id)"""
+
 _LOWER = "translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"[^\x20\x09-\x0D]+"
 

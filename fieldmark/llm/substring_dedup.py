@@ -1,19 +1,29 @@
-"""Substring dedup by line hashing.
+"""Substring dedup by line and paragraph hashing, down to the clauses of lines.
 
-Documents are cut into units - lines, or paragraphs - whose text is
-normalised and digested.  All digests are grouped across the corpus; the
-occurrence that ranks first, by (doc_id, offset), stays and every other one is
-removed.  The original offsets of what is removed are kept.
+Documents are cut into units - paragraphs, lines, or clauses of lines - whose
+text is normalised.  A unit's run is the shortest sequence of units from it on
+that has ``run_words`` words; with ``run_words`` 0, each unit of ``least_words``
+words or more is its own run.  Runs are digested, all digests are grouped
+across the corpus, and the occurrence that ranks first, by (doc_id, offset),
+stays.  The units of every other one are removed; their original offsets are
+kept.
+
+Whole lines alone lose what starts or ends inside a line.  A passage holds a
+run of clauses if it has ``run_words`` words besides its broken clauses at
+both ends, so runs of 30 words find passages of 50 and more; sequences of
+common clauses that long do not occur by chance.
 
 Within a chunk of documents a digest is one row, with its first place there,
-so a line that stands in a third of all documents is one row a chunk and no
-hot key.  Grouped digests come back to their chunk, which tells the places to
-remove.
-
-Units of fewer than ``least_words`` words are left alone: they are ordinary
-repetition (headings, short sentences). Null or empty texts have no units.
-Repeated ids rank by text and then share one place: rows equal in id and text
-keep the same units.
+so a passage that stands in a third of all documents is one row a chunk.
+Digests are counted first; only those of more than one chunk are ranked, and
+the commonest of them, at most 200, are joined by broadcast, so that none is
+a hot key.
+
+Null or empty texts, texts without words and texts shorter than a run have
+nothing removed; an empty table gives no rows.  Repeated ids rank by text and
+then share one place: rows equal in id and text keep the same units.  A null
+id ranks last.  In a text that repeats itself with overlap, a unit goes if any
+later occurrence covers it.
 """
 
 from __future__ import annotations
@@ -21,29 +31,34 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldmark.llm.frames import doc_text, settle
+from fieldmark.llm.frames import doc_text, free_name, give_back, join_groups, maybe_in, settle
 from fieldmark.llm.words import ASCII_LOWER
 
-UNITS = {"line": re.compile(r"[^\n]+"), "paragraph": re.compile(r"(?:[^\n]|\n(?![ \t]*\n))+")}
+#: A clause ends with a line or after these.
+CLAUSE_ENDS = ".!?,;:"
+UNITS = {"line": re.compile(r"[^\n]+"), "paragraph": re.compile(r"(?:[^\n]|\n(?![ \t]*\n))+"), "clause": re.compile(rf"[^\n{CLAUSE_ENDS}]+[{CLAUSE_ENDS}]*")}
 
 
-def normalised(unit: str) -> bytes:
-    """A-Z lower-cased, white space runs as one space, none at the ends."""
-    return b" ".join(unit.encode().translate(ASCII_LOWER).split())
+def normalised(unit: str) -> list[bytes]:
+    """The words of a unit, A-Z lower-cased."""
+    return unit.encode().translate(ASCII_LOWER).split()
 
 
 _LAST = 2**63 - 1  # a null id ranks last
-_CHUNK_CHARS = 32 << 20
-_NAMES = ["chunk", "slot", "digest", "n", "doc", "mark", "at", "doc_ids", "marks", "sizes", "slots", "starts", "ends", "words"]
-_TYPES = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32()] + [pa.list_(t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32())]
-_SCHEMA = "chunk long, slot int, digest binary, n long, doc long, mark long, at int, doc_ids array<long>, marks array<long>, " + ", ".join(f"{c} array<int>" for c in ("sizes", "slots", "starts", "ends", "words"))
+_CHUNK_CHARS = 8 << 20
+_ROWS = 20_000
+_LISTS = ["doc_ids", "marks", "sizes", "slots", "again", "starts", "ends", "words", "until"]
+_NAMES = ["chunk", "slot", "one", "two", "doc", "mark", "at", *_LISTS]
+_TYPES = [pa.int64(), pa.int32(), *[pa.int64()] * 4, pa.int32(), *(pa.list_(pa.int64() if c in ("doc_ids", "marks") else pa.int32()) for c in _LISTS)]
+_SCHEMA = "chunk long, slot int, one long, two long, doc long, mark long, at int, " + ", ".join(f"{c} array<{'long' if c in ('doc_ids', 'marks') else 'int'}>" for c in _LISTS)
 
 
 def _batch(columns: dict) -> pa.RecordBatch:
@@ -51,79 +66,108 @@ def _batch(columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns.get(c, [None] * n), t) for c, t in zip(_NAMES, _TYPES)], _NAMES)
 
 
-def _chunks(docs: DataFrame, unit: str, least_words: int, chunk_chars: int) -> DataFrame:
-    """Digest rows (chunk, slot, digest, n, first place) and document rows (units of each document) of all chunks."""
+def runs_of(text: str, pattern: re.Pattern, least_words: int, run_words: int) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, bytes]]]:
+    """Units (start, end, words) of a text, and its runs (first unit, unit after the last, digest)."""
+    units, raw, upto = [], [], [0]
+    for m in pattern.finditer(text):
+        words = normalised(m[0])
+        if len(words) >= max(1, 0 if run_words else least_words):
+            units.append((m.start(), m.end(), len(words)))
+            raw.append(b" ".join(words))
+            upto.append(upto[-1] + len(words))
+    if run_words:
+        ends = np.searchsorted(upto, np.array(upto[:-1], np.int64) + run_words).tolist()
+        ends = ends[: sum(e <= len(units) for e in ends)]
+    else:
+        ends = range(1, len(units) + 1)
+    return units, [(i, j, xxhash.xxh3_128_digest(b" ".join(raw[i:j]))) for i, j in enumerate(ends)]
+
+
+def _chunks(docs: DataFrame, unit: str, least_words: int, run_words: int, chunk_chars: int) -> DataFrame:
+    """Digest rows (chunk, slot, digest, first place) and document rows (their units and runs) of all chunks."""
     pattern = UNITS[unit]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, known, held = TaskContext.get().partitionId() << 32, {}, 0
-
-        def of_digests() -> Iterator[pa.RecordBatch]:
-            rows = [(d, *v) for d, v in known.items()]
-            for a in range(0, len(rows), 20_000):
-                digest, slot, n, place = zip(*rows[a : a + 20_000])
-                doc, mark, at = zip(*place)
-                yield _batch({"chunk": [chunk] * len(digest), "slot": slot, "digest": digest, "n": n, "doc": doc, "mark": mark, "at": at})
+        chunk, known, held, chars = TaskContext.get().partitionId() << 32, {}, [], 0
+
+        def finished() -> Iterator[pa.RecordBatch]:
+            digests, (slots, places) = list(known), zip(*known.values()) if known else ((), ())
+            for a in range(0, len(digests), _ROWS):
+                pair = np.frombuffer(b"".join(digests[a : a + _ROWS]), np.int64).reshape(-1, 2)
+                doc, mark, at = zip(*places[a : a + _ROWS])
+                yield _batch({"chunk": [chunk] * len(pair), "slot": slots[a : a + _ROWS], "one": pair[:, 0], "two": pair[:, 1], "doc": doc, "mark": mark, "at": at})
+            for a in range(0, len(held), 256):
+                lists: dict[str, list] = {c: [] for c in _LISTS}
+                for doc_id, rank, mark, units, runs in held[a : a + 256]:
+                    n = len(lists["starts"])
+                    lists["doc_ids"].append(doc_id), lists["marks"].append(mark), lists["sizes"].append(len(units))
+                    for k, (start, end, words) in enumerate(units):
+                        slot, until = runs[k] if k < len(runs) else (-1, k)
+                        lists["starts"].append(start), lists["ends"].append(end), lists["words"].append(words), lists["slots"].append(slot), lists["until"].append(n + until)
+                        lists["again"].append(int(slot >= 0 and places[slot] != (rank, mark, start)))
+                yield _batch({"chunk": [chunk]} | {c: [v] for c, v in lists.items()})
 
         for b in batches:
-            docs_: dict[str, list] = {c: [] for c in ("doc_ids", "marks", "sizes", "slots", "starts", "ends", "words")}
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
                 text = text.as_py() or ""
-                mark = xxhash.xxh3_64_intdigest(text) - 2**63
-                rank, size = _LAST if doc_id is None else doc_id, 0
-                for m in pattern.finditer(text):
-                    words = normalised(m[0])
-                    k = words.count(b" ") + 1 if words else 0
-                    if k < max(1, least_words):
-                        continue
-                    entry = known.setdefault(xxhash.xxh3_128_digest(words), [len(known), 0, (rank, mark, m.start())])
-                    entry[1] += 1
-                    entry[2] = min(entry[2], (rank, mark, m.start()))
-                    size += 1
-                    for c, v in zip(("slots", "starts", "ends", "words"), (entry[0], m.start(), m.end(), k)):
-                        docs_[c].append(v)
-                for c, v in zip(("doc_ids", "marks", "sizes"), (doc_id, mark, size)):
-                    docs_[c].append(v)
-                held += len(text)
-            if docs_["doc_ids"]:
-                yield _batch({"chunk": [chunk]} | {c: [v] for c, v in docs_.items()})
-            if held >= chunk_chars:
-                yield from of_digests()
-                chunk, known, held = chunk + 1, {}, 0
-        yield from of_digests()
+                rank, mark = _LAST if doc_id is None else doc_id, xxhash.xxh3_64_intdigest(text) - 2**63
+                units, runs = runs_of(text, pattern, least_words, run_words)
+                for n, (i, j, digest) in enumerate(runs):
+                    place = (rank, mark, units[i][0])
+                    entry = known.setdefault(digest, (len(known), place))
+                    if place < entry[1]:
+                        known[digest] = (entry[0], place)
+                    runs[n] = (entry[0], j)
+                held.append((doc_id, rank, mark, units, runs))
+                chars += len(text)
+                if chars >= chunk_chars:
+                    yield from finished()
+                    chunk, known, held, chars = chunk + 1, {}, [], 0
+        yield from finished()
+        known, held = {}, []
+        give_back()
 
     return doc_text(docs).mapInArrow(run, _SCHEMA)
 
 
-def repeated_units(docs: DataFrame, unit: str = "line", least_words: int = 5, chunk_chars: int = _CHUNK_CHARS) -> DataFrame:
+def _later(digests: DataFrame) -> DataFrame:
+    """(chunk, slot) of the chunks' digests whose first place is in another chunk."""
+    often = digests.groupBy("one", "two").agg(F.count("*").alias("n")).filter("n > 1")
+    often = settle(often, "repeated")
+    flag = free_name(digests, "maybe")
+    some = maybe_in(digests, "one", often.select("one"), flag).filter(flag).drop(flag)
+    # What the bitmap lets through besides is alone under its digest, and so its own first.
+    first = some.groupBy("one", "two").agg(F.min(F.struct("doc", "mark", "at")).alias("first"), F.count("*").alias("n"))
+    return join_groups(some, first, ["one", "two"]).filter(F.struct("doc", "mark", "at") > F.col("first")).select("chunk", "slot")
+
+
+def repeated_units(docs: DataFrame, unit: str = "clause", least_words: int = 5, run_words: int = 30, chunk_chars: int = _CHUNK_CHARS) -> DataFrame:
     """Per row of ``docs``: doc_id, mark (hash of its text), n_units, n_removed, n_removed_words, and ``removed``: the
-    (start, end) in the text, code points, of each unit that has an earlier occurrence."""
-    rows = settle(_chunks(docs, unit, least_words, chunk_chars), "units")
-    digests = rows.filter("slot is not null").select("chunk", "slot", "digest", "n", F.struct("doc", "mark", "at").alias("place"))
-    # A digest has one row a chunk, so its partition is bounded by the number of chunks.
-    all_of = Window.partitionBy("digest")
-    first = digests.select("chunk", "slot", F.sum("n").over(all_of).alias("total"), F.min("place").over(all_of).alias("first")).filter("total > 1")
-    first = first.select("chunk", "slot", "first.doc", "first.mark", "first.at")
-    docs_ = rows.filter("slot is null").select("chunk", "doc_ids", "marks", "sizes", "slots", "starts", "ends", "words")
+    (start, end) in the text, code points, of the units in runs that have an earlier occurrence; with ``run_words``,
+    units side by side are one span."""
+    rows = settle(_chunks(docs, unit, least_words, run_words, chunk_chars), "units")
+    later = _later(rows.filter("slot is not null").select("chunk", "slot", "one", "two", "doc", "mark", "at"))
+    docs_ = rows.filter("slot is null").select("chunk", *_LISTS)
 
     def run(group: pa.Table) -> pa.Table:
-        keep, documents = {}, []
-        for r in group.select(["slot", "doc", "mark", "at", "doc_ids", "marks", "sizes", "slots", "starts", "ends", "words"]).to_pylist():
-            if r["slot"] is not None:
-                keep[r["slot"]] = (r["doc"], r["mark"], r["at"])
-            else:
-                documents.append(r)
+        slots = group.column("slot").drop_null().to_numpy()
+        gone = np.zeros(int(slots.max()) + 2 if len(slots) else 1, bool)
+        gone[slots] = True
         out: list[tuple] = []
-        for r in documents:
+        for r in group.filter(group.column("slot").is_null()).select(_LISTS).to_batches(max_chunksize=1):
+            ids, marks, sizes, slot, again, starts, ends, words, until = (r.column(c).values.to_numpy(zero_copy_only=False) if c != "doc_ids" else r.column(c)[0].as_py() for c in _LISTS)
+            away = (again > 0) | gone[np.where(slot < len(gone), slot, -1)]  # the last place of ``gone`` stands for none
+            cover = np.zeros(len(slot) + 1, np.int64)
+            np.add.at(cover, np.flatnonzero(away), 1)
+            np.subtract.at(cover, until[away], 1)
+            cover = np.cumsum(cover)[:-1] > 0
             a = 0
-            for doc_id, mark, size in zip(r["doc_ids"], r["marks"], r["sizes"]):
-                rank, gone, words = _LAST if doc_id is None else doc_id, [], 0
-                for i in range(a, a + size):
-                    first_place = keep.get(r["slots"][i])
-                    if first_place and first_place != (rank, mark, r["starts"][i]):
-                        gone.append({"start": r["starts"][i], "end": r["ends"][i]})
-                        words += r["words"][i]
-                out.append((doc_id, mark, size, len(gone), words, gone))
+            for doc_id, mark, size in zip(ids, marks.tolist(), sizes.tolist()):
+                at = np.flatnonzero(cover[a : a + size]) + a
+                cut = np.flatnonzero(np.diff(at) > 1) if run_words else np.arange(len(at) - 1)
+                firsts, lasts = (at[np.concatenate([[0], cut + 1])], at[np.concatenate([cut, [len(at) - 1]])]) if len(at) else (at, at)
+                spans = [{"start": s, "end": e} for s, e in zip(starts[firsts].tolist(), ends[lasts].tolist())]
+                out.append((doc_id, mark, size, len(at), int(words[at].sum()), spans))
                 a += size
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         kinds = [pa.int64()] * 5 + [span]
@@ -131,25 +175,26 @@ def repeated_units(docs: DataFrame, unit: str = "line", least_words: int = 5, ch
         return pa.table([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names)
 
     schema = "doc_id long, mark long, n_units long, n_removed long, n_removed_words long, removed array<struct<start:int,end:int>>"
-    return docs_.unionByName(first, allowMissingColumns=True).groupBy("chunk").applyInArrow(run, schema)
+    return docs_.unionByName(later, allowMissingColumns=True).groupBy("chunk").applyInArrow(run, schema)
 
 
 def without(docs: DataFrame, repeated: DataFrame) -> DataFrame:
     """``docs`` with the removed units cut from ``text``, each with the line end after it; all rows and columns stay."""
-    spans = repeated.filter("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.col("removed").alias("_removed"))
+    id_, mark, own, removed = (free_name(docs, c) for c in ("id", "mark", "own", "removed"))
+    spans = repeated.filter("n_removed > 0").select(F.col("doc_id").alias(id_), F.col("mark").alias(mark), F.col("removed").alias(removed))
     # Rows equal in id and text have equal spans.
-    spans = spans.groupBy("_id", "_mark").agg(F.first("_removed").alias("_removed"))
+    spans = spans.groupBy(id_, mark).agg(F.first(removed).alias(removed))
     names = docs.columns
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            mark = [xxhash.xxh3_64_intdigest(t or "") - 2**63 for t in b.column("text").to_pylist()]
-            yield b.append_column("_mark2", pa.array(mark, pa.int64()))
+            found = [xxhash.xxh3_64_intdigest(t or "") - 2**63 for t in b.column("text").to_pylist()]
+            yield b.append_column(own, pa.array(found, pa.int64()))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []
-            for text, gone in zip(b.column("text").to_pylist(), b.column("_removed").to_pylist()):
+            for text, gone in zip(b.column("text").to_pylist(), b.column(removed).to_pylist()):
                 parts, at = [], 0
                 for span in gone or []:
                     parts.append(text[at : span["start"]])
@@ -158,6 +203,6 @@ def without(docs: DataFrame, repeated: DataFrame) -> DataFrame:
             b = b.select(names)
             yield b.set_column(names.index("text"), "text", pa.array(texts, pa.string()))
 
-    marked = docs.mapInArrow(marks, T.StructType([*docs.schema.fields, T.StructField("_mark2", T.LongType())]))
-    joined = marked.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark2") == F.col("_mark")), "left")
-    return joined.select(*names, "_removed").mapInArrow(cut, docs.schema)
+    marked = docs.mapInArrow(marks, T.StructType([*docs.schema.fields, T.StructField(own, T.LongType())]))
+    joined = marked.join(spans, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(mark)), "left")
+    return joined.select(*names, removed).mapInArrow(cut, docs.schema)

@@ -29,7 +29,7 @@ def docs(spark, sf):
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql(spark, sf, name):
-    assert_same(queries.QUERIES[name](spark, sf), queries.ORACLE_SQL[name], sf)
+    assert_same((queries.QUERIES | queries.MORE)[name](spark, sf), queries.ORACLE_SQL[name], sf)
 
 
 def test_every_operator_has_a_query():
@@ -223,7 +223,7 @@ def test_checksums_and_redaction(spark):
 def test_line_dedup_edges(spark):
     rows = [(1, "a b c d e f\nx\na b c  d e F\n\nq", "z"), (2, "A b c d e f\n1 2 3 4 5 6", "y"), (2, "A b c d e f\n1 2 3 4 5 6", "y"), (None, "1 2 3 4 5 6", None), (3, None, None), (4, "", "")]
     d = spark.createDataFrame(rows, "doc_id long, text string, removed string")
-    got = substring_dedup.repeated_units(d)
+    got = substring_dedup.repeated_units(d, "line", run_words=0)
     assert Counter((r.doc_id, r.n_units, tuple(map(tuple, r.removed))) for r in got.collect()) == Counter(
         [(1, 2, ((14, 26),)), (2, 2, ((0, 11),)), (2, 2, ((0, 11),)), (None, 1, ((0, 11),)), (3, 0, ()), (4, 0, ())]
     )
@@ -234,7 +234,7 @@ def test_line_dedup_edges(spark):
 
 def test_paragraphs_and_small_chunks(spark):
     d = spark.createDataFrame([(k, "one two three\nfour five\n\nsix seven eight nine ten") for k in range(6)], "doc_id long, text string").coalesce(1)
-    got = {r.doc_id: r.n_removed for r in substring_dedup.repeated_units(d, "paragraph", chunk_chars=60).collect()}
+    got = {r.doc_id: r.n_removed for r in substring_dedup.repeated_units(d, "paragraph", run_words=0, chunk_chars=60).collect()}
     assert got == {0: 0, 1: 2, 2: 2, 3: 2, 4: 2, 5: 2}
 
 
