@@ -121,9 +121,9 @@ def test_clauses_of_a_passage_in_mid_line(spark):
     assert substring_dedup.repeated_units(d.limit(0)).count() == 0 and substring_dedup.without(d.limit(0), got).count() == 0
 
 
-def test_clauses_find_passages(spark, sf):
+def test_clauses_find_passages(spark):
     """Documents that repeat 50 words of an earlier one are found, and few others that have no 50 words twice."""
-    d = table(spark, sf, "documents").select("doc_id", "text")
+    d = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
     first, across, any_ = {}, set(), set()
     for doc_id, text in sorted((tuple(r) for r in d.collect()), key=lambda r: r[0]):
         words = (text or "").lower().split()
