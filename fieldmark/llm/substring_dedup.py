@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldmark.llm.distinct_words import packed, unpacked
 from fieldmark.llm.frames import doc_text, free_name, give_back, join_groups, maybe_in, settle
 from fieldmark.llm.words import ASCII_LOWER
 
@@ -55,10 +56,9 @@ def normalised(unit: str) -> list[bytes]:
 _LAST = 2**63 - 1  # a null id ranks last
 _CHUNK_CHARS = 8 << 20
 _ROWS = 20_000
-_LISTS = ["doc_ids", "marks", "sizes", "slots", "again", "starts", "ends", "words", "until"]
-_NAMES = ["chunk", "slot", "one", "two", "doc", "mark", "at", *_LISTS]
-_TYPES = [pa.int64(), pa.int32(), *[pa.int64()] * 4, pa.int32(), *(pa.list_(pa.int64() if c in ("doc_ids", "marks") else pa.int32()) for c in _LISTS)]
-_SCHEMA = "chunk long, slot int, one long, two long, doc long, mark long, at int, " + ", ".join(f"{c} array<{'long' if c in ('doc_ids', 'marks') else 'int'}>" for c in _LISTS)
+_SCHEMA = "chunk long, slot int, one long, two long, doc long, mark long, at int, doc_ids array<long>, marks array<long>, packed binary"
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+_NAMES, _TYPES = zip(*((c, _KINDS[k]) for c, k in (field.split() for field in _SCHEMA.split(", "))))
 
 
 def _batch(columns: dict) -> pa.RecordBatch:
@@ -97,15 +97,14 @@ def _chunks(docs: DataFrame, unit: str, least_words: int, run_words: int, chunk_
                 doc, mark, at = zip(*places[a : a + _ROWS])
                 yield _batch({"chunk": [chunk] * len(pair), "slot": slots[a : a + _ROWS], "one": pair[:, 0], "two": pair[:, 1], "doc": doc, "mark": mark, "at": at})
             for a in range(0, len(held), 256):
-                lists: dict[str, list] = {c: [] for c in _LISTS}
-                for doc_id, rank, mark, units, runs in held[a : a + 256]:
-                    n = len(lists["starts"])
-                    lists["doc_ids"].append(doc_id), lists["marks"].append(mark), lists["sizes"].append(len(units))
+                part, numbers = held[a : a + 256], []
+                for _, rank, mark, units, runs in part:
                     for k, (start, end, words) in enumerate(units):
                         slot, until = runs[k] if k < len(runs) else (-1, k)
-                        lists["starts"].append(start), lists["ends"].append(end), lists["words"].append(words), lists["slots"].append(slot), lists["until"].append(n + until)
-                        lists["again"].append(int(slot >= 0 and places[slot] != (rank, mark, start)))
-                yield _batch({"chunk": [chunk]} | {c: [v] for c, v in lists.items()})
+                        numbers.append((slot + 1, slot >= 0 and places[slot] != (rank, mark, start), start, end, words, until - k))
+                every = np.array(numbers, np.int64).reshape(-1, 6).T.reshape(-1)
+                sizes = np.array([len(d[3]) for d in part], np.int64)
+                yield _batch({"chunk": [chunk], "doc_ids": [[d[0] for d in part]], "marks": [[d[2] for d in part]], "packed": [packed(np.concatenate([sizes, every]))]})
 
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
@@ -147,22 +146,25 @@ def repeated_units(docs: DataFrame, unit: str = "clause", least_words: int = 5,
     units side by side are one span."""
     rows = settle(_chunks(docs, unit, least_words, run_words, chunk_chars), "units")
     later = _later(rows.filter("slot is not null").select("chunk", "slot", "one", "two", "doc", "mark", "at"))
-    docs_ = rows.filter("slot is null").select("chunk", *_LISTS)
+    docs_ = rows.filter("slot is null").select("chunk", "doc_ids", "marks", "packed")
 
     def run(group: pa.Table) -> pa.Table:
         slots = group.column("slot").drop_null().to_numpy()
-        gone = np.zeros(int(slots.max()) + 2 if len(slots) else 1, bool)
-        gone[slots] = True
+        gone = np.zeros(int(slots.max()) + 2 if len(slots) else 1, bool)  # the first place stands for no run
+        gone[slots + 1] = True
         out: list[tuple] = []
-        for r in group.filter(group.column("slot").is_null()).select(_LISTS).to_batches(max_chunksize=1):
-            ids, marks, sizes, slot, again, starts, ends, words, until = (r.column(c).values.to_numpy(zero_copy_only=False) if c != "doc_ids" else r.column(c)[0].as_py() for c in _LISTS)
-            away = (again > 0) | gone[np.where(slot < len(gone), slot, -1)]  # the last place of ``gone`` stands for none
+        of_docs = group.filter(group.column("slot").is_null())
+        for ids, marks, blob in zip(*(of_docs.column(c).to_pylist() for c in ("doc_ids", "marks", "packed"))):
+            numbers = unpacked(blob)
+            sizes = numbers[: len(ids)]
+            slot, again, starts, ends, words, until = numbers[len(ids) :].reshape(6, -1)
+            away = (again > 0) | gone[np.where(slot < len(gone), slot, 0)]
             cover = np.zeros(len(slot) + 1, np.int64)
             np.add.at(cover, np.flatnonzero(away), 1)
-            np.subtract.at(cover, until[away], 1)
+            np.subtract.at(cover, (np.arange(len(slot)) + until)[away], 1)
             cover = np.cumsum(cover)[:-1] > 0
             a = 0
-            for doc_id, mark, size in zip(ids, marks.tolist(), sizes.tolist()):
+            for doc_id, mark, size in zip(ids, marks, sizes.tolist()):
                 at = np.flatnonzero(cover[a : a + size]) + a
                 cut = np.flatnonzero(np.diff(at) > 1) if run_words else np.arange(len(at) - 1)
                 firsts, lasts = (at[np.concatenate([[0], cut + 1])], at[np.concatenate([cut, [len(at) - 1]])]) if len(at) else (at, at)

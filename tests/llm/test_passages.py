@@ -101,6 +101,7 @@ def told_runs(rows):
 def test_clause_runs_brute(spark, width, how):
     rnd = random.Random(width)
     rows = [(rnd.choice([None, *range(30)]), "".join(rnd.choice(["a", "B", "b", "ü", "cc"]) + rnd.choice([" ", " ", "\n", ". ", ",", "!? "]) for _ in range(rnd.randrange(40)))) for _ in range(60)]
+    rows += [(rnd.randrange(200, 900), rnd.choice(["x", "y", "z. "]) * 3 + " q,") for _ in range(300)]
     rows += rows[:3] + [(100, "a b, " * 20), (7, "a b, " * 20), (8, None), (9, " ,.\n"), (10, "long, text. " * 20_000)]
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert told_runs(substring_dedup.repeated_units(d, run_words=width, **how)) == brute_runs(rows, width)
