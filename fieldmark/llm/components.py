@@ -11,23 +11,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.llm.frames import settle
+from fieldmark.llm.frames import join_groups, settle
 
 
-def _joined_to_least(pairs: DataFrame) -> DataFrame:
-    """(v, m) for every (u, v): m is the least of u and its neighbours."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-    return pairs.join(least, F.col("u") == F.col("w")).select("u", "v", "m")
+def _joined_to_least(pairs: DataFrame, total: int) -> DataFrame:
+    """(u, v, m) for every (u, v) of ``total``: m is the least of u and its neighbours. A star's centre is a hot key."""
+    least = pairs.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
+    return join_groups(pairs, least, ["u"], total=total)
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _joined_to_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return _joined_to_least(both, 2 * total).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    near = _joined_to_least(down)
+    near = _joined_to_least(down, total)
     return near.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
 
@@ -42,6 +42,6 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while (now := _mark(edges)) != before:
         before = now
-        edges = settle(_small_star(_large_star(edges)), "edges")
+        edges = settle(_small_star(_large_star(edges, now[0]), now[0]), "edges")
     star = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return star.unionByName(star.select(F.col("root").alias("node"), "root").distinct())

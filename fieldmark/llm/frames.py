@@ -104,13 +104,14 @@ def maybe_in(rows: DataFrame, column: str, ids: DataFrame, flag: str, bits: int
     return marked.withColumn(flag, F.coalesce(bit == 1, F.lit(False))).drop(at_, part, found)
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], n: str = "n", most: int = 200) -> DataFrame:
-    """``rows`` joined with ``groups``, which has one row for each key ``on`` and the number ``n`` of its rows.
+def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], n: str = "n", how: str = "inner", total: int | None = None, most: int = 200) -> DataFrame:
+    """``rows`` joined (inner or left) with ``groups``, which has one row for each key ``on`` and the number ``n`` of its rows.
 
-    Keys with more than one row in ``most`` of all are hot; there are fewer than ``most`` of them, so they are
+    Keys with more than one row in ``most`` of ``total`` are hot; there are fewer than ``most`` of them, so they are
     broadcast and their rows stay where they are.  The others are shuffled, and none fills a partition."""
-    groups = settle(groups, "groups")
-    total = groups.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    if total is None:
+        groups = settle(groups, "groups")
+        total = groups.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
     hot = F.broadcast(groups.filter(F.col(n) * most > total).drop(n))
     cold = groups.filter(F.col(n) * most <= total).drop(n)
-    return rows.join(hot, on).unionByName(rows.join(hot.select(*on), on, "left_anti").join(cold, on))
+    return rows.join(hot, on).unionByName(rows.join(hot.select(*on), on, "left_anti").join(cold, on, how))

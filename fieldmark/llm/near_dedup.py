@@ -1,34 +1,36 @@
-"""MinHash near-dedup with b-bit signatures.
+"""MinHash near-dedup with b-bit MinHash signatures.
 
 A document is the set of its distinct word shingles.  Every set gets 240
 minima; bands of 5 of them make bucket keys, and the low 4 bits of each are
 packed into a 120-byte signature.
 
-1.  Buckets whose least and greatest set differ link each of their sets to
-    the least one.  Equal sets are one set here, so exact copies add nothing.
-2.  Components of those links part the sets into groups that share no bucket:
-    no two sets of different groups are compared.
-3.  A group's texts meet once.  Equal bits of two signatures, corrected for
-    chance, estimate the similarity; pairs that may reach the threshold and
-    are not connected yet are confirmed on the full sets.  A group beyond
-    ``block_shingles`` or ``block_docs`` is dealt into blocks, and each pair of
-    blocks is a task of its own, so memory stays bounded and no pair is left
-    out.  A task returns the links of a spanning forest: never more than its
-    documents, whatever the number of similar pairs.
+1.  Equal sets are one set from here on, so exact copies add nothing.
+2.  Buckets with two sets or more are kept, of those with the same members one.
+    Equal bits of two signatures, corrected for chance, estimate the similarity
+    of two members; those that may reach the threshold are linked.
+3.  Components of these links part the sets into groups.  A group's texts meet,
+    and links are confirmed on the full sets.
 4.  Components of the confirmed links are the result.
 
+Buckets and groups are linked by :func:`linked`: one beyond a size is dealt
+into blocks, each with the group's leader besides.  What is connected with the
+leader needs no other comparison; only the rest of a block visits the other
+blocks.  A group of copies of one text costs one comparison a member, no task
+holds more than a block and its visitors, and no pair is left out.
+
 Two sets at similarity 0.85 share no bucket with probability 6e-13, at 0.8
 5e-9; the estimate may err by six standard deviations before a pair is lost.
 
 Null text, or text without words: the empty set, linked with nothing. Null
 ids: linked with nothing, component null, kept. Rows with the same id and set
-are one document and have the same result.
+are one document and have the same result. An empty table gives no rows. Other
+columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldmark.llm.components import components
-from fieldmark.llm.frames import doc_text, maybe_in, pieces, settle
+from fieldmark.llm.frames import doc_text, free_name, give_back, join_groups, maybe_in, pieces, settle
 from fieldmark.llm.words import WordHashes, lower_words, mixed, shingle_hashes
 
 _SLICE = 256
@@ -53,6 +55,7 @@ class Similar:
     percent: int = 80
     bands: int = 48
     rows: int = 5
+    block_sets: int = 20_000
     block_shingles: int = 2_000_000
     block_docs: int = 4_000
     margin: float = 6.0
@@ -101,12 +104,12 @@ def matches(one: np.ndarray, many: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, how: Similar) -> DataFrame:
-    """doc_id, n_shingles, digest and node (128 and 64 bits) of the set, bands, bits."""
+    """doc_id, mark (hash of the text), n_shingles, digest and node (128 and 64 bits) of the set, bands, bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, by = WordHashes(), factors(how.size)
         salt = mixed(np.arange(1, how.bands + 1, dtype=np.uint64) << np.uint64(32))
-        names = ["doc_id", "n_shingles", "digest", "node", "bands", "bits"]
+        names = ["doc_id", "mark", "n_shingles", "digest", "node", "bands", "bits"]
         kinds = [pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
         for b in pieces(batches):
             rows = []
@@ -122,105 +125,241 @@ def signatures(docs: DataFrame, how: Similar) -> DataFrame:
                 d = digest(s)
                 rows.append((len(s), d, int.from_bytes(d[:8], "big", signed=True), band.view(np.int64).tolist(), packed_bits(least).tobytes()))
             cols = list(zip(*rows)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(c, k) for c, k in zip(cols, kinds))], names)
 
-    return doc_text(docs).mapInArrow(run, "doc_id long, n_shingles long, digest binary, node long, bands array<long>, bits binary")
+    rows = doc_text(docs).withColumn("mark", F.xxhash64("text"))
+    return rows.mapInArrow(run, "doc_id long, mark long, n_shingles long, digest binary, node long, bands array<long>, bits binary")
 
 
-class _Forest:
-    def __init__(self, n: int):
-        self.up = list(range(n))
+class _Labels:
+    """Which of n things are connected, as numbers."""
 
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
+    def __init__(self, n: int):
+        self.of = np.arange(n)
 
     def join(self, i: int, j: int) -> None:
-        self.up[self.root(j)] = self.root(i)
-
-
-def links_within(sets: list[np.ndarray], bits: np.ndarray, block: list[int], how: Similar) -> list[tuple[int, int]]:
-    """A spanning forest of the similar pairs; with two blocks present, of the pairs across them."""
-    size = np.array([len(s) for s in sets])
-    order = np.argsort(size, kind="stable")
-    size, bits, side = size[order], bits[order], np.array(block)[order]
-    two, least, forest, out = len(set(block)) > 1, how.least_matches(), _Forest(len(sets)), []
-    for i in range(len(order)):
-        end = np.searchsorted(size, size[i] * 100 // how.percent, "right")  # beyond it, sizes alone rule a link out
-        n = matches(bits[i], bits[i + 1 : end])
-        near = np.flatnonzero((n >= least) & (side[i + 1 : end] != side[i]) if two else n >= least)
-        for j in (near[np.argsort(-n[near], kind="stable")] + i + 1).tolist():
-            if forest.root(i) == forest.root(j):
-                continue
-            a, b = sets[order[i]], sets[order[j]]
-            common = int(np.count_nonzero(b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a))
-            if 100 * common >= how.percent * (len(a) + len(b) - common):
-                forest.join(i, j)
-                out.append((int(order[i]), int(order[j])))
-    return out
-
-
-def confirmed_links(docs: DataFrame, sig: DataFrame, how: Similar) -> DataFrame:
-    """Links (u, v) between digests whose components are those of all similar pairs."""
-    keys = sig.select("node", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub <> top")
-    near = keys.join(shared.select(F.col("key").alias("k"), "hub"), F.col("key") == F.col("k")).filter("node <> hub")
-    groups = components(near.select(F.col("node").alias("u"), F.col("hub").alias("v")))
-    members = sig.join(groups.withColumnRenamed("node", "g"), F.col("node") == F.col("g"))
-    one = members.groupBy("root", "digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"))
-    one = settle(one, "members")
-    weight = one.groupBy("root").agg(F.sum("n").alias("sum_n"), F.count("*").alias("docs"))
-    blocks = F.greatest(F.ceil(F.col("sum_n") / how.block_shingles), F.ceil(F.col("docs") / how.block_docs)).cast("int")
-    weight = weight.filter("docs > 1").select(F.col("root").alias("r"), blocks.alias("blocks"))
-    one = one.join(weight, F.col("root") == F.col("r")).withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
-    texts = maybe_in(doc_text(docs), "doc_id", one.select("rep"), "maybe").filter("maybe").select("doc_id", "text")
-    full = one.join(texts, F.col("rep") == F.col("doc_id"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    full = full.select("root", "digest", "bits", "block", "blocks", "text", other)
-    full = full.select("root", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "digest", "bits", "block", "text")
-
-    def run(group: pa.Table) -> pa.Table:
-        known, seen, sets, block, bits = WordHashes(), set(), [], [], []
-        digests: list[bytes] = []
-        two = group.column("a")[0].as_py() != group.column("b")[0].as_py()
-        for d, bit, k, text in zip(*(group.column(c) for c in ("digest", "bits", "block", "text"))):
-            s = shingle_set(text.as_py(), how.width, known)
-            d = d.as_py()
-            if d in seen or digest(s) != d:  # an id may have several texts
-                continue
-            seen.add(d)
-            digests.append(d)
-            sets.append(s)
-            block.append(k.as_py())
-            bits.append(np.frombuffer(bit.as_py(), np.uint64))
-        pairs = links_within(sets, np.array(bits), block, how) if len(set(block)) == 1 + two else []
-        return pa.table([pa.array([digests[p[i]] for p in pairs], pa.binary()) for i in (0, 1)], ["u", "v"])
+        if self.of[i] != self.of[j]:
+            self.of[self.of == self.of[j]] = self.of[i]
+
 
-    return full.groupBy("root", "a", "b").applyInArrow(run, "u binary, v binary")
+#: Of a group's columns, as lists: makes what ``Similarity`` needs.
+Read = Callable[[dict[str, list]], tuple]
+#: Yields those of ``others`` that are linked with ``i``; what has become connected meanwhile may be passed over.
+Similarity = Callable[[tuple, int, np.ndarray, _Labels], Iterator[int]]
+
+
+def _sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[dict[str, list]]:
+    """The groups of sorted rows, one after another; a group may run over batches."""
+    held, last = None, None
+    for b in batches:
+        columns = {c: b.column(i).to_pylist() for i, c in enumerate(b.schema.names)}
+        key = list(zip(*(columns[k] for k in keys)))
+        a = 0
+        for z in range(1, len(b) + 1):
+            if z < len(b) and key[z] == key[a]:
+                continue
+            part = {c: v[a:z] for c, v in columns.items()}
+            if held is not None and last == key[a]:
+                for c, v in part.items():
+                    held[c] += v
+            else:
+                if held is not None:
+                    yield held
+                held, last = part, key[a]
+            a = z
+    if held is not None:
+        yield held
+
+
+def _batches(rows: Iterator[tuple], names: list[str], kinds: list[pa.DataType], most: int = 4096, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for r in rows:
+        held.append(r)
+        size += sum(len(v) for v in r if isinstance(v, (bytes, str)))
+        if len(held) >= most or size >= most_bytes:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names)
+
+
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string(), "boolean": pa.bool_()}
+
+
+def linked(members: DataFrame, id_: str, kept: list[str], read: Read, similar: Similarity) -> tuple[DataFrame, DataFrame | None]:
+    """Connects the members of each group: columns g (group), ``id_``, blocks, lead (one member leads), and what ``read``
+    takes, of which ``kept`` is needed for a visit.
+
+    Gives (``id_``, label) of every member and links (u, v) between labels of groups with several blocks, None if there
+    are none.  Members are connected by similar pairs of their group if their labels are equal or connected by links."""
+    kind = dict(members.dtypes)
+    members = members.withColumn("home", F.pmod(F.xxhash64(id_), F.col("blocks")).cast("int"))
+    members = members.withColumn("block", F.explode(F.when(F.col("lead"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("home"))))
+    names = ["g", id_, "home", "blocks", "label", "led", *kept]
+    kinds = [kind["g"], kind[id_], "int", "int", kind[id_], "boolean", *(kind[c] for c in kept)]
+    arrow, label_kind = [_ARROW[k] for k in kinds], _ARROW[kind[id_]]
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for group in _sorted_groups(batches, ["g", "block"]):
+                ids, held = group[id_], read(group)
+                labels, first = _Labels(len(ids)), group["lead"].index(True) if True in group["lead"] else 0
+                for i in [first, *(k for k in range(len(ids)) if k != first)]:
+                    others = np.flatnonzero(labels.of != labels.of[i])
+                    for j in similar(held, i, others, labels) if len(others) else ():
+                        labels.join(i, j)
+                of = labels.of.tolist()
+                name = {of[first]: ids[first]}  # the leader's part is named after it, the others after their least
+                for k in sorted(range(len(ids)), key=ids.__getitem__):
+                    name.setdefault(of[k], ids[k])
+                for k, home in enumerate(group["home"]):
+                    if home == group["block"][k]:  # the leader is at home in one block
+                        several = group["blocks"][k] > 1
+                        yield (group["g"][k], ids[k], home, group["blocks"][k], name[of[k]], of[k] == of[first], *(group[c][k] if several else None for c in kept))
+
+        yield from _batches(rows(), names, arrow)
+        give_back()
+
+    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for group in _sorted_groups(batches, ["g", "block"]):
+                held, labels, number = read(group), _Labels(len(group["g"])), {}
+                labels.of = np.array([number.setdefault(x, len(number)) for x in group["label"]])
+                at_home = np.array(group["home"]) == np.array(group["block"])
+                for i in np.flatnonzero(~at_home).tolist():
+                    others = np.flatnonzero(at_home & (labels.of != labels.of[i]))
+                    for j in similar(held, i, others, labels) if len(others) else ():
+                        labels.join(i, j)
+                        yield group["label"][i], group["label"][j]
+
+        yield from _batches(rows(), ["u", "v"], [label_kind, label_kind])
+        give_back()
+
+    dealt = members.repartition("g", "block").sortWithinPartitions("g", "block")
+    done = settle(dealt.mapInArrow(within, ", ".join(f"{c} {k}" for c, k in zip(names, kinds))), "linked")
+    more = done.filter("blocks > 1")
+    if more.isEmpty():
+        return done.select(id_, "label"), None
+    guests = more.filter("not led").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("block <> home")
+    both = more.withColumn("block", F.col("home")).unionByName(guests).drop("led", "blocks")
+    links = both.repartition("g", "block").sortWithinPartitions("g", "block").mapInArrow(visits, f"u {kind[id_]}, v {kind[id_]}")
+    return done.select(id_, "label"), settle(links, "links")
+
+
+def _alike(how: Similar) -> tuple[Read, Similarity]:
+    """Sets whose signatures are equal in so many places that they may be similar."""
+    least = how.least_matches()
+
+    def read(group: dict[str, list]) -> tuple:
+        return (np.frombuffer(b"".join(group["bits"]), np.uint64).reshape(len(group["bits"]), -1),)
+
+    def similar(held: tuple, i: int, others: np.ndarray, labels: _Labels) -> Iterator[int]:
+        yield from others[matches(held[0][i], held[0][others]) >= least].tolist()
+
+    return read, similar
+
+
+def _confirmed(how: Similar) -> tuple[Read, Similarity]:
+    """Sets that are similar, the likeliest by their signatures first."""
+    least, known = how.least_matches(), WordHashes()
+
+    def read(group: dict[str, list]) -> tuple:
+        sets = [shingle_set(t, how.width, known) for t in group["text"]]
+        return np.frombuffer(b"".join(group["bits"]), np.uint64).reshape(len(sets), -1), np.array([len(s) for s in sets]), sets
+
+    def similar(held: tuple, i: int, others: np.ndarray, labels: _Labels) -> Iterator[int]:
+        bits, size, sets = held
+        others = others[(100 * np.minimum(size[others], size[i]) >= how.percent * np.maximum(size[others], size[i]))]
+        n = matches(bits[i], bits[others])
+        order = np.argsort(-n, kind="stable")
+        for j in others[order[n[order] >= least]].tolist():
+            if labels.of[i] != labels.of[j]:
+                a, b = sets[i], sets[j]
+                common = int(np.count_nonzero(b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a))
+                if 100 * common >= how.percent * (len(a) + len(b) - common):
+                    yield j
+
+    return read, similar
+
+
+def distinct_sets(all_sig: DataFrame) -> DataFrame:
+    """One row for each set: digest, node, n_shingles, bands, bits, copies, and first: the least (doc_id, mark) that has it."""
+    rows = all_sig.filter("doc_id is not null and n_shingles > 0")
+    often = settle(rows.groupBy("digest", "node").count().filter("count > 1").select("node"), "copies")
+    # Only rows that may have copies are shuffled with what they hold.
+    rows = maybe_in(rows, "node", often, "maybe").withColumn("first", F.struct("doc_id", "mark"))
+    wide = ["node", "n_shingles", "bands", "bits"]
+    many = rows.filter("maybe").groupBy("digest").agg(F.min("first").alias("first"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in wide))
+    one = rows.filter("not maybe").withColumn("copies", F.lit(1).cast("long"))
+    return one.select("digest", "first", "copies", *wide).unionByName(many)
+
+
+def candidate_groups(sets: DataFrame, how: Similar) -> DataFrame:
+    """(node, root): the sets that share a bucket with one that they may be similar to, in groups."""
+    keys = sets.select("node", F.explode("bands").alias("key"))
+    shared = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top"), F.count("*").alias("n"), F.bit_xor("node").alias("x")).filter("hub <> top")
+    # Buckets with equal members are one.
+    buckets = settle(shared.groupBy("hub", "top", "n", "x").agg(F.min("key").alias("key")).select("key", "hub", "n"), "buckets")
+    near = maybe_in(sets.select("node", "bits", F.explode("bands").alias("key")), "key", buckets.select("key"), "maybe").filter("maybe")
+    near = join_groups(near.select("key", "node", "bits"), buckets.withColumn("blocks", F.ceil(F.col("n") / how.block_sets).cast("int")), ["key"])
+    near = near.select(F.col("key").alias("g"), "node", "bits", "blocks", (F.col("node") == F.col("hub")).alias("lead"))
+    of, links = linked(near, "node", ["bits"], *_alike(how))
+    edges = of.select(F.col("node").alias("u"), F.col("label").alias("v"))
+    return components(edges if links is None else edges.unionByName(links))
+
+
+def owners(docs: DataFrame, sets: DataFrame, how: Similar) -> DataFrame:
+    """(digest, owner) of the sets in candidate groups: the least (doc_id, mark) that confirmed links reach."""
+    members = sets.select("digest", "node", "n_shingles", "bits", "first").join(candidate_groups(sets, how), "node")
+    members = settle(members.select(F.col("root").alias("g"), "digest", "node", "n_shingles", "bits", "first"), "members")
+    weight = members.groupBy("g").agg(F.sum("n_shingles").alias("all_shingles"), F.count("*").alias("n"))
+    blocks = F.greatest(F.ceil(F.col("all_shingles") / how.block_shingles), F.ceil(F.col("n") / how.block_docs)).cast("int")
+    full = join_groups(members, weight.select("g", "n", blocks.alias("blocks")), ["g"])
+    texts = doc_text(docs).withColumn("mark", F.xxhash64("text"))
+    texts = maybe_in(texts, "mark", members.select("first.mark"), "maybe").filter("maybe and doc_id is not null")
+    texts = texts.select(F.struct("doc_id", "mark").alias("first"), "text").groupBy("first").agg(F.first("text").alias("text"))
+    full = full.join(texts, "first").select("g", "digest", "bits", "text", "blocks", (F.col("node") == F.col("g")).alias("lead"))
+    of, links = linked(full, "digest", ["bits", "text"], *_confirmed(how))
+    if links is not None:
+        roots = components(links).select(F.col("node").alias("label"), "root")
+        of = of.join(roots, "label", "left").select("digest", F.coalesce("root", "label").alias("label"))
+    of = of.join(members.select("digest", "first"), "digest")
+    return join_groups(of, of.groupBy("label").agg(F.min("first").alias("owner"), F.count("*").alias("n")), ["label"]).select("digest", "owner")
+
+
+def _rows(docs: DataFrame, how: Similar) -> DataFrame:
+    """Per row of ``docs``: doc_id, mark, n_shingles, and owner, the (doc_id, mark) of the document that stands for its
+    group; null for what has neither copies nor links."""
+    all_sig = settle(signatures(docs, how), "signatures")
+    sets = settle(distinct_sets(all_sig), "sets")
+    of_set = sets.select("digest", "node", "first", "copies").join(owners(docs, sets, how), "digest", "left").filter("copies > 1 or owner is not null")
+    of_set = settle(of_set.select("digest", "node", F.coalesce("owner", "first").alias("owner"), F.col("copies").alias("n")), "owners")
+    rows = maybe_in(all_sig.select("doc_id", "mark", "n_shingles", "digest", "node"), "node", of_set.select("node"), "maybe")
+    some = join_groups(rows.filter("maybe"), of_set.drop("node"), ["digest"], how="left")
+    owner = F.when(F.col("doc_id").isNotNull(), F.col("owner")).alias("owner")
+    alone = rows.filter("not maybe").withColumn("owner", F.lit(None).cast("struct<doc_id:bigint,mark:bigint>"))
+    return some.select("doc_id", "mark", "n_shingles", owner).unionByName(alone.select("doc_id", "mark", "n_shingles", "owner"))
 
 
 def near_groups(docs: DataFrame, how: Similar = Similar()) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (the least id that links reach), kept (its own is the least)."""
-    all_sig = settle(signatures(docs, how), "signatures")
-    sig = all_sig.filter("doc_id is not null and n_shingles > 0")
-    roots = components(confirmed_links(docs, sig, how))
-    least = sig.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
-    # Sets with links are few among all: only they pass through the second grouping.
-    linked = least.join(roots.select(F.col("node").alias("digest"), "root"), "digest")
-    by_root = linked.groupBy("root").agg(F.min("first_id").alias("component"))
-    of_set = linked.join(by_root, "root").select("digest", "component")
-    of_set = least.join(of_set, "digest", "left").select(F.col("digest").alias("d"), F.coalesce("component", "first_id").alias("component"))
-    out = all_sig.select("doc_id", "n_shingles", "digest").join(of_set, F.col("digest") == F.col("d"), "left")
-    component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
+    component = F.coalesce("owner.doc_id", F.when((F.col("n_shingles") == 0) | F.col("doc_id").isNotNull(), F.col("doc_id")))
+    out = _rows(docs, how).select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def drop_near_copies(docs: DataFrame, how: Similar = Similar()) -> DataFrame:
-    """``docs`` without the documents whose group has a smaller id; all columns stay."""
-    gone = settle(near_groups(docs, how).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    marked = maybe_in(docs, "doc_id", gone, "_maybe")
-    unsure = marked.filter("_maybe").join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    return marked.filter("not _maybe").unionByName(unsure).select(*docs.columns)
+    """``docs`` with one document of each group, that of the least id; all columns stay.
+
+    Where an id has several texts, each is judged for itself; of rows with the same id and text, and of texts with the
+    same id in one group, one stays.  Rows without an id or without words all stay."""
+    mark, id_, gone, flag = (free_name(docs, c) for c in ("mark", "id", "gone", "flag"))
+    rows = _rows(docs, how).filter("owner is not null and n_shingles > 0")
+    rows = rows.groupBy(F.col("doc_id").alias(id_), F.col("mark").alias(mark)).agg(F.count("*").alias("n"), F.max(F.struct("doc_id", "mark") != F.col("owner")).alias(gone))
+    rows = settle(rows.filter(F.col(gone) | (F.col("n") > 1)).drop("n"), "gone")
+    text_mark = F.xxhash64(F.col("text").cast("string"))
+    marked = maybe_in(docs.withColumn(mark, text_mark), mark, rows.select(mark), flag)
+    right = rows.select(id_, F.col(mark).alias(mark + "2"), gone)
+    some = marked.filter(flag).join(right, (F.col("doc_id").cast("long") == F.col(id_)) & (F.col(mark) == F.col(mark + "2")), "left")
+    again = some.filter(~F.col(gone)).dropDuplicates([id_, mark])
+    return marked.filter(~F.col(flag)).select(*docs.columns).unionByName(some.filter(F.col(gone).isNull()).select(*docs.columns)).unionByName(again.select(*docs.columns))

@@ -265,7 +265,7 @@ def brute_components(rows, width, percent):
     return {i: (len(sets[i]), root(i) if i in up else i) for i in sets}
 
 
-@pytest.mark.parametrize("how", [near_dedup.Similar(3, 85), near_dedup.Similar(block_docs=2)])
+@pytest.mark.parametrize("how", [near_dedup.Similar(3, 85), near_dedup.Similar(block_docs=2, block_sets=2)])
 def test_near_groups_brute(docs, how):
     want = brute_components(docs.collect(), how.width, how.percent)
     want[None] = (want[None][0], None)
@@ -288,7 +288,36 @@ def test_chain_of_near_copies(spark):
 def test_drop_near_copies_keeps_columns(docs):
     out = near_dedup.drop_near_copies(docs)
     assert out.columns == docs.columns
-    assert out.count() == near_dedup.near_groups(docs).filter("kept").count()
+    assert out.count() == near_dedup.near_groups(docs).filter("kept").count() - 1  # one row is there twice
+
+
+def test_drop_near_copies_by_id_and_text(spark):
+    x, y = " ".join(f"x{i}" for i in range(30)), " ".join(f"y{i}" for i in range(30))
+    rows = [(3, x), (5, x), (5, y), (5, y), (6, y.upper()), (7, None), (7, None), (8, " "), (8, " "), (None, x), (None, x), (9, y + " " + x), (4, "z " * 50_000), (2, "z " * 50_000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", *(f"{k} AS {c}" for k, c in enumerate(["_p", "_bits", "_gone", "_maybe", "mark", "id", "gone", "flag", "bit_place", "bit_map", "node", "n", "owner", "digest", "Maybe"])))
+    out = near_dedup.drop_near_copies(d)
+    assert out.columns == d.columns
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter(rows) - Counter([(5, x), (5, y), (6, y.upper()), (4, "z " * 50_000)])
+    assert all(list(r)[2:] == list(range(15)) for r in out.collect())
+    assert near_dedup.drop_near_copies(d.limit(0)).count() == 0 and near_dedup.near_groups(d.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("how", [{"block_sets": 3}, {"block_docs": 3, "block_sets": 5}, {"block_shingles": 100}])
+def test_blocks_lose_no_link(spark, how):
+    """Groups in many blocks, whose members are not all like the leader."""
+    import random
+
+    rnd, words = random.Random(4), [f"w{i}" for i in range(300)]
+    rows = []
+    for g in range(3):
+        base = rnd.sample(words, 40)
+        for k in range(25):
+            if k % 5 == 0:
+                base = [rnd.choice(words) if rnd.random() < 0.04 else w for w in base]
+            rows.append((rnd.randrange(10**6), " ".join(w if rnd.random() < 0.99 else rnd.choice(words) for w in base)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    sim = near_dedup.Similar(3, 70, **how)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_groups(d, sim).collect()} == brute_components(d.collect(), 3, 70)
 
 
 def test_components_of_a_long_path(spark):
