@@ -1,42 +1,49 @@
 """Benchmark decontamination.
 
 Every benchmark item is looked for in every window of a document that has the
-item's number of words.  A window's SimHash fingerprint is looked up in an
-index of the items' fingerprints, cut into blocks: two fingerprints within
-``radius`` bits differ by ``radius // blocks`` bits at most in some block, so
-the block tables give all of them.  What they give is verified by the exact
-weighted similarity of word shingles (weights are counts: sum of least over
-sum of greatest).
+item's number of words.  A window's SimHash fingerprint is looked up in a
+multi-index of the items' fingerprints: 64 bits in 8 blocks of 8, each block a
+table from its 256 values to items.  Two fingerprints within ``radius`` bits
+differ by ``radius // blocks`` bits at most in some block, so looking up each
+block's value and its neighbours, 37 entries of a table at radius 20, gives
+all items within the radius; what is beyond it is dropped by the full
+distance.  The rest is verified by the exact weighted similarity of word
+shingles (weights are counts: sum of least over sum of greatest).
 
 A window at the threshold shares most of its shingles with one item of its
-size.  Windows that share too few with every such item are passed over before
-fingerprinting; none of them could be verified, so that changes no result.
+size.  Windows that share too few with every such item are not fingerprinted;
+none of them could be verified, so that changes no result.
 
 Items are taken in blocks of ``block_items`` items and ``block_chars``
-characters, each broadcast in turn, so that what is broadcast has a bound
-whatever the size of the benchmark.  Documents are read once a block and are
-not shuffled.  At similarity 0.8 two fingerprints differ by 9.7 of 64 bits on
-average with deviation 2.9; the default radius is 3.6 deviations beyond.
+characters, one after another: a block is broadcast, its results are settled,
+and the broadcast is destroyed, so that what the driver and a worker hold has
+a bound whatever the size of the benchmark.  Documents are read once a block
+and are not shuffled.  At similarity 0.8 two fingerprints differ by 9.7 of 64
+bits on average with deviation 2.9; the default radius is 3.6 deviations
+beyond.
 
 Words are lower-cased, and ASCII punctuation counts as white space. Null or
-empty texts and items have no windows. A document shorter than an item is one
-window. Items with fewer words than a shingle are one shingle. Repeated rows
-give repeated results; of equally similar windows the first is reported.
+empty texts and items have no windows; empty tables give no rows. A document
+shorter than an item is one window. Items with fewer words than a shingle are
+one shingle. Repeated rows give repeated results; of equally similar windows
+the first is reported. Other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Iterator
-from dataclasses import dataclass, field
-from itertools import repeat
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.llm.frames import doc_text, pieces
+from fieldmark.llm.frames import doc_text, pieces, settle
 from fieldmark.llm.words import WordHashes, mixed, shingle_hashes
 
 _SPACED = bytes(32 if i < 128 and not chr(i).isalnum() else i for i in range(256))
@@ -48,7 +55,7 @@ class Match:
     width: int = 5
     percent: int = 80
     radius: int = 20
-    blocks: int = 4
+    blocks: int = 8
     block_items: int = 20_000
     block_chars: int = 32 << 20
 
@@ -68,29 +75,26 @@ def weighted_similarity(a: Counter, b: Counter) -> float:
     return both / (sum(a.values()) + sum(b.values()) - both)
 
 
-@dataclass
 class Fingerprints:
-    """Multi-index table of fingerprints: by block, the distinct values and where they stand."""
-
-    prints: np.ndarray
-    radius: int
-    blocks: int
-    tables: list = field(default_factory=list)
-
-    def __post_init__(self):
-        for k in range(self.blocks):
-            self.tables.append(np.unique(self._block(self.prints, k), return_inverse=True))
-
-    def _block(self, x, k: int):
-        size = 64 // self.blocks
-        return x >> np.uint64(size * k) & np.uint64(2**size - 1)
+    """Multi-index of fingerprints: for each block of their bits, where each value stands."""
+
+    def __init__(self, prints: np.ndarray, radius: int, blocks: int):
+        self.prints, self.radius, bits = prints, radius, 64 // blocks
+        self.shift, self.low, size = np.arange(blocks, dtype=np.uint64) * np.uint64(bits), np.uint64(2**bits - 1), 2**bits
+        self.first = np.arange(blocks)[:, None] * size  # of each block's table
+        self.flips = np.array([sum(1 << i for i in f) for n in range(radius // blocks + 1) for f in combinations(range(bits), n)])
+        values = (prints[:, None] >> self.shift & self.low).astype(np.int64) + self.first.T
+        order = np.argsort(values.T.reshape(-1), kind="stable")
+        self.item = order % max(1, len(prints))
+        self.starts = np.searchsorted(values.T.reshape(-1)[order], np.arange(blocks * size + 1))
 
     def within(self, x: np.uint64) -> np.ndarray:
         """Numbers of all fingerprints within the radius of ``x``."""
-        found = np.zeros(len(self.prints), bool)
-        for k, (values, where) in enumerate(self.tables):
-            found |= (np.bitwise_count(values ^ self._block(x, k)) <= self.radius // self.blocks)[where]
-        rows = np.flatnonzero(found)
+        entries = (((x >> self.shift & self.low).astype(np.int64)[:, None] ^ self.flips) + self.first).reshape(-1)
+        start = self.starts[entries]
+        n = self.starts[entries + 1] - start
+        start, n = start[n > 0], n[n > 0]
+        rows = np.unique(self.item[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())])
         return rows[np.bitwise_count(self.prints[rows] ^ x) <= self.radius]
 
 
@@ -180,22 +184,33 @@ def _gram_keys(ids: np.ndarray, k: int, at: np.ndarray | None = None) -> np.ndar
     return key
 
 
-def item_blocks(benchmark: DataFrame, how: Match) -> list[Items]:
-    """The benchmark in blocks that are each small enough to broadcast."""
+def item_blocks(benchmark: DataFrame, how: Match) -> Iterator[Items]:
+    """The benchmark in blocks that are each small enough to broadcast, one at a time."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
     n, chars = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     blocks = max(1, -(-n // how.block_items), -(-chars // how.block_chars))
     deal = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    return [Items([tuple(r) for r in rows.filter(deal == k).collect()], how) for k in range(blocks)]  # a block is bounded
+    for k in range(blocks):
+        yield Items([tuple(r) for r in rows.filter(deal == k).collect()], how)  # a block is bounded
+
+
+def _by_block(benchmark: DataFrame, how: Match, found: Callable[[Broadcast], DataFrame]) -> Iterator[DataFrame]:
+    """What ``found`` makes of each block. All but the last are settled, and their broadcasts destroyed."""
+    shared = part = None
+    for items in item_blocks(benchmark, how):
+        if shared is not None:
+            yield settle(part, "block")
+            shared.destroy()
+        shared = benchmark.sparkSession.sparkContext.broadcast(items)
+        part = found(shared)
+    yield part
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, how: Match = Match()) -> DataFrame:
     """doc_id, item_id, similarity, first_word and n_words of the best window, for each item in each row of ``docs``."""
-    parts = []
-    for items in item_blocks(benchmark, how):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    def found(shared: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes = WordHashes()
             names, kinds = ["doc_id", "item_id", "similarity", "first_word", "n_words"], [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
             for b in pieces(batches):
@@ -203,22 +218,23 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, how: Match = Match())
                 cols = list(zip(*rows)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
-        parts.append(doc_text(docs).mapInArrow(run, "doc_id long, item_id long, similarity double, first_word long, n_words long"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        return doc_text(docs).mapInArrow(run, "doc_id long, item_id long, similarity double, first_word long, n_words long")
+
+    return reduce(DataFrame.unionByName, _by_block(benchmark, how, found))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, how: Match = Match()) -> DataFrame:
     """The rows of ``docs``, all columns, in which no item is found."""
-    for items in item_blocks(benchmark, how):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
+    left = docs
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    def found(shared: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes = WordHashes()
             for b in pieces(batches):
                 yield b.filter(pa.array([not shared.value.found_in(t.as_py(), hashes) for t in b.column("text")], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+        return left.mapInArrow(run, docs.schema)
+
+    for part in _by_block(benchmark, how, found):
+        left = part  # what the block leaves is looked through for the next one
+    return left

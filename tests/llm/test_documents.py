@@ -366,10 +366,36 @@ def test_contaminations_brute(spark, sf, docs, how):
 def test_fingerprint_index_finds_all():
     rnd = np.random.default_rng(3)
     base = rnd.integers(0, 2**63, 300, np.uint64)
-    for radius, blocks in ((20, 4), (3, 4), (7, 8)):
+    for radius, blocks in ((20, 8), (3, 4), (7, 8)):
         index = decontam.Fingerprints(base, radius, blocks)
         for x in rnd.integers(0, 2**63, 40, np.uint64):
             assert index.within(x).tolist() == [i for i, b in enumerate(base.tolist()) if (b ^ int(x)).bit_count() <= radius]
+        assert len(index.flips) < 2 ** (64 // blocks) // 4  # entries that are looked up in each block's table
+
+
+def test_tables_alone_give_all_similar_items(spark, sf="/root/testdata/sf0.01"):
+    """Without the shingle filter, every window of every document through the tables: nothing similar is beyond the radius."""
+    from fieldmark.llm.words import WordHashes, shingle_hashes
+
+    how, hashes = decontam.Match(), WordHashes()
+    bench = [tuple(r) for r in table(spark, sf, "benchmark").select("item_id", "text").collect()]
+    items = decontam.Items(bench, how)
+    rows = decontam.contaminations(table(spark, sf, "documents"), table(spark, sf, "benchmark"), decontam.Match(radius=64, blocks=8)).collect()
+    texts = {r.doc_id: decontam.plain_words(r.text) for r in table(spark, sf, "documents").collect()}
+    assert len(rows) > 3
+    for r in rows:  # radius 64 passes all, so these are all that the exact check accepts
+        names, _, prints = items.sizes[len(decontam.plain_words(dict(bench)[r.item_id]))]
+        window = texts[r.doc_id][r.first_word : r.first_word + r.n_words]
+        assert r.item_id in [names[i] for i in prints.within(decontam.simhash(shingle_hashes(hashes.of(window), how.width)))]
+
+
+def test_decontamination_edges(spark):
+    d = spark.createDataFrame([(1, None, 5), (2, "", 6), (3, "a b c d e f " * 20_000, 7), (3, "a b c d e f " * 20_000, 7), (4, "q r s t u v", 8)], "doc_id long, text string, item_id int")
+    bench = spark.createDataFrame([(9, "a b c d e f a b c d e f"), (9, "a b c d e f a b c d e f"), (None, "x y"), (1, None)], "item_id long, text string").selectExpr("*", "1 AS doc_id")
+    assert [(r.doc_id, r.item_id, r.first_word) for r in decontam.contaminations(d, bench).collect()] == [(3, 9, 0)] * 2
+    assert [tuple(r) for r in decontam.drop_contaminated(d, bench).orderBy("doc_id").collect()] == [(1, None, 5), (2, "", 6), (4, "q r s t u v", 8)]
+    assert decontam.contaminations(d.limit(0), bench).count() == decontam.contaminations(d, bench.limit(0)).count() == 0
+    assert decontam.drop_contaminated(d, bench.limit(0)).count() == 5
 
 
 # chats
