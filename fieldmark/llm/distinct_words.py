@@ -8,19 +8,22 @@ in one task, so each distinct word is encoded once; even the commonest word is
 there once a chunk.  The results return to their chunk packed, and a chunk is
 put together in one bounded task.  Shuffled data grow with the chunks'
 vocabularies and not with word occurrences, and no word can become a hot key.
-There are three buckets for each shuffle partition, so a bucket is smaller
-than a usual partition.
+There are three buckets for each shuffle partition.  A bucket's rows go through
+its task one after another and leave it at once; what the task holds is the
+bucket's distinct words alone, however many chunks there are.
 
 Words and documents are made in two passes over the texts: splitting twice
-costs less than writing the slot lists to disk once more.  The rows should
-come from files (or a settled table), so that both passes read them in the
-same order; if they do not, the digests differ and the job fails.
+costs less than writing the slot lists to disk once more.  Both passes must
+read the rows in the same order, so rows that come from anything but files are
+settled first; a chunk's digest tells if its texts did change.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -28,8 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 
 from fieldmark.llm import pretokens
-from fieldmark.llm.frames import doc_text, give_back
-from fieldmark.llm.vocabularies import gathered
+from fieldmark.llm.frames import doc_text, from_files, give_back, settle
 
 CHUNK_CHARS = 16 << 20
 _CHUNK = "chunk binary, bucket int, slots binary, lengths binary, words binary, doc_ids array<long>, sizes array<int>, packed binary, counts binary"
@@ -115,18 +117,22 @@ def chunks(docs: DataFrame, buckets: int | None, special: str | None = None, cou
 def encoded(rows: DataFrame, encode: Encoder) -> DataFrame:
     """(chunk, slots, lengths, flat) of the word rows, packed; each distinct word is encoded once."""
 
-    def run(group: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
-        which = [
-            np.array([known.setdefault(w, len(known)) for w in _words(n.as_py(), raw.as_py())], np.int64)
-            for n, raw in zip(group.column("lengths"), group.column("words"))
-        ]
-        values = encode(list(known))
-        size = np.array([len(v) for v in values], np.int64)
-        start, flat = np.cumsum(size) - size, np.array([i for v in values for i in v], np.int64)
-        lengths = [packed(size[k]) for k in which]
-        flats = [packed(gathered(k, start, size, flat)) for k in which]
-        return pa.table([group.column("chunk"), group.column("slots"), pa.array(lengths, pa.binary()), pa.array(flats, pa.binary())], ["chunk", "slots", "lengths", "flat"])
+        values: list[list[int]] = []
+        for b in batches:
+            get = {c: b.column(b.schema.get_field_index(c)) for c in ("chunk", "slots", "lengths", "words")}
+            sizes, flats = [], []
+            for n, raw in zip(get["lengths"], get["words"]):
+                words = _words(n.as_py(), raw.as_py())
+                new = [w for w in words if w not in known]
+                known.update(zip(new, range(len(values), len(values) + len(new))))
+                values += encode(new) if new else []
+                own = [values[known[w]] for w in words]
+                sizes.append(packed(np.array([len(v) for v in own])))
+                flats.append(packed(np.fromiter(chain.from_iterable(own), np.int64)))
+            yield pa.RecordBatch.from_arrays([get["chunk"], get["slots"], pa.array(sizes, pa.binary()), pa.array(flats, pa.binary())], ["chunk", "slots", "lengths", "flat"])
+        give_back()
 
     return rows.select("bucket", "chunk", "slots", "lengths", "words").groupBy("bucket").applyInArrow(run, "chunk binary, slots binary, lengths binary, flat binary")
 
@@ -170,6 +176,9 @@ def brought_back(rows: DataFrame, words: DataFrame, finish: Finish, schema: str)
 
 def over_distinct_words(docs: DataFrame, encode: Encoder, finish: Finish, schema: str, *, special: str | None = None, counted: bool = False, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """Split, encode each distinct word once, and finish each chunk."""
+    docs = doc_text(docs)
+    if not from_files(docs):
+        docs = settle(docs, "texts")
     buckets = 3 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     words = encoded(chunks(docs, buckets, special, counted, chunk_chars), encode)
     return brought_back(chunks(docs, None, special, counted, chunk_chars), words, finish, schema)

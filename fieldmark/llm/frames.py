@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -63,6 +64,12 @@ def doc_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def from_files(df: DataFrame) -> bool:
+    """Whether rows are read from files and come in the same order each time: nothing but columns and filters follow."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return {re.match(r"\W*(\w+)", line)[1] for line in plan.splitlines()} <= {"Project", "Filter", "Relation"}
+
+
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Batches in slices, so that what a task makes of one is small."""
     for b in batches:

@@ -10,6 +10,7 @@ import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from fieldmark.llm import byte_bpe, pretokens, token_counts, token_files
 from fieldmark.llm import vocabularies as V
@@ -99,3 +100,12 @@ def test_empty_tables(spark):
 
 def test_digests_are_of_little_endian_ids():
     assert hashlib.sha256(np.array([1, 256], "<u4").tobytes()).hexdigest() == hashlib.sha256(b"\1\0\0\0\0\1\0\0").hexdigest()
+
+
+def test_rows_in_no_fixed_order(spark):
+    """Rows that come otherwise at each reading are settled first."""
+    rows = [(k, None if k % 7 == 0 else f"word{k % 13} and  {k} é\n" * (k % 5)) for k in range(200)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5).orderBy(F.rand())
+    got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(d).collect()}
+    back = {r.doc_id: bytes(r.decoded) for r in byte_bpe.decode(byte_bpe.encode(d)).collect()}
+    assert got.keys() == back.keys() == set(range(200)) and back == {k: (t or "").encode() for k, t in rows}
