@@ -12,9 +12,17 @@ from pyspark.sql import types as T
 
 #: Endings that are no part of a name.
 SUFFIXES = ("jr", "sr", "ii", "iii", "iv", "v")
-#: Other sources' spellings of teams and positions.
-TEAMS = {"JAC": "JAX", "LAR": "LA", "WSH": "WAS", "ARZ": "ARI", "BLT": "BAL", "CLV": "CLE", "HST": "HOU", "OAK": "LV", "SD": "LAC", "STL": "LA"}
-POSITIONS = {"DST": "DEF", "D/ST": "DEF", "PK": "K", "HB": "RB", "FB": "RB"}
+#: The clubs, codes that are no club, and other sources' spellings of teams and positions.
+CLUBS = (
+    "ARI", "ATL", "BAL", "BUF", "CAR", "CHI", "CIN", "CLE", "DAL", "DEN", "DET", "GB", "HOU", "IND", "JAX", "KC", "LA", "LAC", "LV", "MIA", "MIN", "NE", "NO", "NYG", "NYJ", "PHI", "PIT",
+    "SEA", "SF", "TB", "TEN", "WAS",
+)
+NO_CLUB = ("FA",)
+TEAMS = {
+    "LAR": "LA", "JAC": "JAX", "WSH": "WAS", "OAK": "LV", "SD": "LAC", "STL": "LA", "AZ": "ARI", "ARZ": "ARI", "SFO": "SF", "KCC": "KC", "LVR": "LV", "NOS": "NO", "TAM": "TB", "GNB": "GB",
+    "NWE": "NE", "NOR": "NO", "SFA": "SF", "CLV": "CLE", "BLT": "BAL", "HST": "HOU",
+}
+POSITIONS = {"FB": "RB", "HB": "RB", "PK": "K", "DST": "DEF", "D/ST": "DEF"}
 
 
 @F.pandas_udf(T.StringType())
@@ -24,12 +32,13 @@ def _plain(names: pd.Series) -> pd.Series:
 
 
 def normal_name(name: Column, python: bool = True) -> Column:
-    """Lower case without accents, punctuation and suffixes; words split by one space. Null stays null.
+    """Lower case without accents and suffixes, of a to z, digits and single spaces alone. ``-``, ``_`` and ``/`` split
+    words, all else is dropped. Null stays null.
 
-    ``python=False`` keeps accents and stays in generated code, for sources known to be plain."""
+    ``python=False`` drops accented letters and stays in generated code, for sources known to be plain."""
     plain = F.lower(_plain(name) if python else name)
-    words = F.split(F.trim(F.regexp_replace(F.regexp_replace(plain, r"[.'’`]", ""), r"[^\p{L}\p{N}]+", " ")), " ")
-    return F.array_join(F.filter(words, lambda w: ~w.isin(*SUFFIXES)), " ")
+    words = F.split(F.regexp_replace(F.regexp_replace(plain, "[-_/]", " "), "[^a-z0-9 ]", ""), " ")
+    return F.array_join(F.filter(words, lambda w: ~w.isin("", *SUFFIXES)), " ")
 
 
 def mapped(c: Column, spelling: Mapping[str, str]) -> Column:
@@ -38,5 +47,15 @@ def mapped(c: Column, spelling: Mapping[str, str]) -> Column:
     return F.coalesce(table[code], code)
 
 
+def team(c: Column) -> Column:
+    """The club's code; null for null or empty."""
+    return mapped(F.nullif(c, F.lit("")), TEAMS)
+
+
+def position(c: Column) -> Column:
+    """The first position of a list such as ``WR,RB``; null for null or empty."""
+    return mapped(F.split(F.nullif(c, F.lit("")), ",")[0], POSITIONS)
+
+
 def blank_to_null(c: Column) -> Column:
     return F.nullif(F.trim(c), F.lit(""))

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldmark.functions.columns import top
-from fieldmark.functions.names import blank_to_null
+from fieldmark.functions.names import CLUBS, NO_CLUB, blank_to_null
 
 
 def _once(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -116,8 +116,22 @@ def match_market(names: DataFrame, hub: DataFrame) -> DataFrame:
 
 
 def id_coverage(hub: DataFrame, ids: Sequence[str]) -> DataFrame:
-    """Players, and how many have each id."""
-    return hub.agg(F.count("*").alias("players"), *[F.count(i).alias(i) for i in ids])
+    """Players, and how many have each id; a blank one is none."""
+    return hub.agg(F.count("*").alias("players"), *[F.count(blank_to_null(F.col(i).cast("string"))).alias(i) for i in ids])
+
+
+#: How two kinds of player ids are written.
+ID_STYLES = {"gsis_style": r"^\d{2}-\d{7}$", "esb_style": r"^[A-Z]{3}\d{6}$"}
+
+
+def id_styles(players: DataFrame, column: str, keys: Sequence[str] = (), styles: Mapping[str, str] = ID_STYLES) -> DataFrame:
+    """Per ``keys``: rows, ids that are there, and how many are written in each style."""
+    return players.groupBy(*keys).agg(F.count("*").alias("rows"), F.count(column).alias("non_null"), *[F.count_if(F.col(column).rlike(p)).alias(k) for k, p in styles.items()])
+
+
+def unknown_teams(players: DataFrame, known: Sequence[str] = (*CLUBS, *NO_CLUB)) -> DataFrame:
+    """Team codes that are not known, and how many players have them. No row is the good case."""
+    return players.filter(~F.col("team").isin(*known)).groupBy("team").agg(F.count("*").alias("players"))
 
 
 def resolved_share(ranks: DataFrame, depth: int) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldmark.functions.names import POSITIONS, TEAMS, mapped, normal_name
+from fieldmark.functions import names
+from fieldmark.functions.names import POSITIONS, TEAMS, normal_name
 from fieldmark.operators import identity, market
 from fieldmark.plans.bindings import bound, ctes, table
 
@@ -23,17 +24,25 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-_NAME_SQL = """list_aggregate(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(strip_accents({x})), '[.''’`]', '', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' '),
-  lambda w: w NOT IN ('jr', 'sr', 'ii', 'iii', 'iv', 'v')), 'string_agg', ' ')"""
+_NAME_SQL = """coalesce(array_to_string(list_filter(string_split(regexp_replace(regexp_replace(lower(strip_accents({x})), '[-_/]', ' ', 'g'), '[^a-z0-9 ]', '', 'g'), ' '),
+  lambda w: w NOT IN ('', 'jr', 'sr', 'ii', 'iii', 'iv', 'v')), ' '), '')"""
 
 
-@query("d1_normal_names", f"""WITH n AS (SELECT doc_id, regexp_extract(text, '^[^ \\n]+ [^ \\n]+') || CASE doc_id % 3 WHEN 0 THEN ' Jr.' WHEN 1 THEN ' III' ELSE '' END AS name, source AS team FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, coalesce({_NAME_SQL.format(x='name')}, '') AS name_norm, CASE team WHEN 'src1' THEN 'SRC1' ELSE upper(team) END AS team FROM n""")
+def _map_sql(x: str, spelling: dict[str, str]) -> str:
+    return f"CASE upper(trim({x})) {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in spelling.items())} ELSE upper(trim({x})) END"
+
+
+_CODES = "AZ LAR SFO kc FA NOR XX GNB"
+_SPOTS = "WR,RB fb D/ST PK,K qb"
+
+
+@query("d1_normal_names", f"""WITH n AS (SELECT doc_id, text || CASE doc_id % 3 WHEN 0 THEN ' Jr.' WHEN 1 THEN ' III' ELSE '' END AS name, string_split('{_CODES}', ' ')[CAST(doc_id % 8 AS INT) + 1] AS team, string_split('{_SPOTS}', ' ')[CAST(doc_id % 5 AS INT) + 1] AS spot FROM documents)
+SELECT doc_id, CASE WHEN name IS NOT NULL THEN {_NAME_SQL.format(x='name')} END AS name_norm, {_map_sql('team', TEAMS)} AS team, {_map_sql("string_split(spot, ',')[1]", POSITIONS)} AS position FROM n""")
 def d1_normal_names(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter("text is not null")
+    d = table(spark, sf_dir, "documents")
     end = F.when(F.col("doc_id") % 3 == 0, " Jr.").when(F.col("doc_id") % 3 == 1, " III").otherwise("")
-    name = F.concat(F.regexp_extract("text", r"^[^ \n]+ [^ \n]+", 0), end)
-    return d.select("doc_id", normal_name(name).alias("name_norm"), mapped(F.col("source"), TEAMS | POSITIONS).alias("team"))
+    pick = lambda codes, n: F.element_at(F.split(F.lit(codes), " "), (F.col("doc_id") % n + 1).cast("int"))
+    return d.select("doc_id", normal_name(F.concat("text", end)).alias("name_norm"), names.team(pick(_CODES, 8)).alias("team"), names.position(pick(_SPOTS, 5)).alias("position"))
 
 
 _HUB = """hub AS (SELECT c_custkey + 1 AS player_id, concat('p ', CAST(c_custkey % 400 AS VARCHAR(9))) AS name_norm, concat('N', CAST(c_nationkey AS VARCHAR(9))) AS team, c_mktsegment AS position,
@@ -127,6 +136,31 @@ def d8_id_coverage(spark, sf_dir):
     return identity.id_coverage(_frame(spark, sf_dir, _HUB), ["a_id", "b_id"])
 
 
+_IDS = """ids AS (SELECT c_custkey AS player_id, c_nationkey AS class, CASE WHEN c_custkey % 7 > 0 THEN CASE c_custkey % 3 WHEN 0 THEN concat('00-', lpad(CAST(c_custkey AS VARCHAR(9)), 7, '0'))
+  WHEN 1 THEN concat('ABC', lpad(CAST(c_custkey AS VARCHAR(9)), 6, '0')) ELSE concat('x', CAST(c_custkey AS VARCHAR(9))) END END AS gsis_id FROM {customer})"""
+
+
+@query("d8_id_styles", f"""WITH {_IDS.format(customer='customer')} SELECT class, count(*) AS rows, count(gsis_id) AS non_null, count(*) FILTER (regexp_matches(gsis_id, '^[0-9]{{2}}-[0-9]{{7}}$')) AS gsis_style,
+  count(*) FILTER (regexp_matches(gsis_id, '^[A-Z]{{3}}[0-9]{{6}}$')) AS esb_style FROM ids GROUP BY class""")
+def d8_id_styles(spark, sf_dir):
+    return identity.id_styles(_frame(spark, sf_dir, _IDS), "gsis_id", ["class"])
+
+
+@query("d8_unknown_teams", f"WITH t AS (SELECT string_split('AZ LAR XX FA QQQ', ' ')[CAST(c_custkey % 5 AS INT) + 1] AS team FROM customer) SELECT team, count(*) AS players FROM t WHERE team IN ('XX', 'QQQ') GROUP BY team")
+def d8_unknown_teams(spark, sf_dir):
+    code = F.element_at(F.split(F.lit("AZ LAR XX FA QQQ"), " "), (F.col("c_custkey") % 5 + 1).cast("int"))
+    return identity.unknown_teams(table(spark, sf_dir, "customer").select(names.team(code).alias("team")))
+
+
+@query("d8_resolved_share", """WITH r AS (SELECT concat('s', CAST(c_nationkey AS VARCHAR)) AS source, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS rank, CASE WHEN c_custkey % 6 > 0 THEN c_custkey END AS player_id FROM customer)
+SELECT source, count(*) AS n, count(player_id) / count(*) AS resolved FROM r WHERE rank <= 20 GROUP BY source""")
+def d8_resolved_share(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    rank = F.row_number().over(Window.partitionBy("c_nationkey").orderBy(F.desc("c_acctbal"), "c_custkey"))
+    ranks = c.select(F.concat(F.lit("s"), "c_nationkey").alias("source"), rank.alias("rank"), F.when(F.col("c_custkey") % 6 > 0, F.col("c_custkey")).alias("player_id"))
+    return identity.resolved_share(ranks, 20)
+
+
 @query("d9_listing", f"""WITH {ctes('pool')} SELECT player_id, name, CAST(rank AS DOUBLE) AS rank FROM (SELECT p_partkey AS player_id, p_name AS name, p_type AS position FROM part) p LEFT JOIN (SELECT player_id, adp AS rank FROM pool WHERE player_id % 2 = 0) r USING (player_id)
 WHERE name LIKE '%ring%' AND position = 'SMALL' ORDER BY rank NULLS LAST, player_id LIMIT 20""")
 def d9_listing(spark, sf_dir):

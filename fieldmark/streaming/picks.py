@@ -1,7 +1,7 @@
 """A draft's picks as a stream of events, with state per league.
 
-Events are picks, undos (of the last manual pick that stands) and resets; a
-player is drafted once, a schedule's slot once, and a finished draft takes no
+Events are picks, undos (of the last standing pick, if it is a manual one) and
+resets; a player is drafted once, a schedule's slot once, and a finished draft takes no
 more.  What is refused goes to the output with its reason.  The rules are one
 small function over (state, event); a stream keeps the state between batches,
 a batch folds a league's log from the start, and both give the same rows.
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
 EVENTS = "event_id long, league_id long, action string, player_id long, team_slot int, source string, picked_at timestamp"
-OUTPUT = "league_id long, event_id long, action string, player_id long, team_slot int, live_pick_no int, reason string"
+OUTPUT = "league_id long, event_id long, action string, player_id long, team_slot int, picked_at timestamp, live_pick_no int, standing int, reason string"
 _STATE = "event_ids array<long>, players array<long>, manual array<boolean>"
 
 
@@ -31,10 +31,11 @@ def decide(state: tuple[list, list, list], event, most: int) -> tuple[tuple[list
     if event.action == "reset":
         return ([], [], []), (None, None)
     if event.action == "undo":
-        for i in range(len(ids) - 1, -1, -1):
-            if manual[i]:
-                return (ids[:i] + ids[i + 1 :], players[:i] + players[i + 1 :], manual[:i] + manual[i + 1 :]), (i + 1, None)
-        return state, (None, "nothing to undo")
+        if not ids:
+            return state, (None, "nothing to undo")
+        if not manual[-1]:
+            return state, (None, "last pick is not manual")
+        return (ids[:-1], players[:-1], manual[:-1]), (len(ids), None)
     if event.action != "pick" or event.player_id is None or pd.isna(event.player_id):
         return state, (None, "unknown event")
     if int(event.player_id) in players:
@@ -48,9 +49,9 @@ def _fold(league_id: int, events: pd.DataFrame, state: tuple[list, list, list],
     rows = []
     for e in events.sort_values(["picked_at", "event_id"]).itertuples():
         state, (number, reason) = decide(state, e, most)
-        rows.append((league_id, e.event_id, e.action, e.player_id, e.team_slot, number, reason))
+        rows.append((league_id, e.event_id, e.action, e.player_id, e.team_slot, e.picked_at, number, len(state[0]), reason))
     out = pd.DataFrame(rows, columns=[c.split()[0] for c in OUTPUT.split(", ")])
-    return state, out.astype({"player_id": "Int64", "team_slot": "Int32", "live_pick_no": "Int32"})
+    return state, out.astype({"player_id": "Int64", "team_slot": "Int32", "live_pick_no": "Int32", "standing": "Int32"})
 
 
 def fold_in_batch(events: DataFrame, most: int = 160) -> DataFrame:
@@ -61,7 +62,7 @@ def fold_in_batch(events: DataFrame, most: int = 160) -> DataFrame:
     rest = [c for c in names if c not in ("league_id", "event_id", "picked_at")]
     once = events.groupBy("league_id", "event_id").agg(F.min(F.struct("picked_at", *rest)).alias("_e")).select("league_id", "event_id", "_e.*")
     ordered = once.select(*names).repartition("league_id").sortWithinPartitions(*[F.asc_nulls_last(c) for c in ("league_id", "picked_at", "event_id")])
-    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "timestamp": pa.timestamp("us", "UTC")}
     schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in OUTPUT.split(", ")])
     Event = namedtuple("Event", names)
 
@@ -73,7 +74,7 @@ def fold_in_batch(events: DataFrame, most: int = 160) -> DataFrame:
                 if e.league_id != league:
                     league, state = e.league_id, ([], [], [])
                 state, (number, reason) = decide(state, e, most)
-                rows.append((league, e.event_id, e.action, e.player_id, e.team_slot, number, reason))
+                rows.append((league, e.event_id, e.action, e.player_id, e.team_slot, e.picked_at, number, len(state[0]), reason))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
     return ordered.mapInArrow(run, OUTPUT)
@@ -85,7 +86,7 @@ def decisions(events: DataFrame, most: int = 160, lateness: str = "10 minutes")
     Events of a micro-batch are taken in time order; a league's state is at most ``most`` picks."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         events_ = pd.concat(list(batches))
         before = tuple(list(x) for x in state.get) if state.exists else ([], [], [])
         after, out = _fold(key[0], events_, before, most)
@@ -97,10 +98,29 @@ def decisions(events: DataFrame, most: int = 160, lateness: str = "10 minutes")
 
 
 def live_state(batch: DataFrame, plan: DataFrame) -> DataFrame:
-    """After a micro-batch: picks made and who is on the clock, for ``foreachBatch``."""
-    made = batch.filter("action = 'pick' and reason is null").groupBy("league_id").agg(F.max("live_pick_no").alias("picks_made"))
-    nxt = plan.filter("live_pick_no is not null").select("league_id", "live_pick_no", "team_slot", "round")
-    return made.join(nxt, "league_id").filter("live_pick_no = picks_made + 1").select("league_id", "picks_made", "team_slot", "round")
+    """After a micro-batch of decisions: picks that stand and who is on the clock, null when the draft is complete, for each
+    league that the batch has an event of."""
+    made = batch.groupBy("league_id").agg(F.max_by("standing", F.struct("picked_at", "event_id")).alias("picks_made"))
+    nxt = plan.filter("live_pick_no is not null").select("league_id", (F.col("live_pick_no") - 1).cast("int").alias("picks_made"), "team_slot", "round")
+    return made.join(nxt, ["league_id", "picks_made"], "left").select("league_id", "picks_made", "team_slot", "round")
+
+
+def follow(stream: DataFrame, plan: DataFrame, path: str) -> DataFrame:
+    """Process all that a stream of decisions has now; after each micro-batch write its decisions and the leagues' live
+    state under ``path``, each batch in a folder of its own, so that a repeated batch replaces itself. Gives the state
+    as of each league's last batch."""
+    spark = stream.sparkSession
+
+    def put(batch: DataFrame, number: int) -> None:
+        at = f"{path}/decisions/batch={number}"
+        batch.write.mode("overwrite").parquet(at)
+        done = batch.sparkSession.read.schema(batch.schema).parquet(at)
+        live_state(done, plan).write.mode("overwrite").parquet(f"{path}/live/batch={number}")
+
+    stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    live = spark.read.option("basePath", f"{path}/live").parquet(f"{path}/live")
+    last = F.max_by(F.struct("picks_made", "team_slot", "round"), "batch").alias("s")
+    return live.groupBy("league_id").agg(last).select("league_id", "s.*")
 
 
 def run_available(stream: DataFrame, path: str) -> DataFrame:

@@ -23,7 +23,7 @@ def test_rules(spark):
     ]
     got = _plain(picks.fold_in_batch(_events(spark, rows), most=2))
     assert [(n, why) for _, _, _, n, why in got] == [
-        (1, None), (None, "already drafted"), (2, None), (1, None), (None, "nothing to undo"), (2, None), (None, "draft complete"), (None, None), (None, "unknown event"),
+        (1, None), (None, "already drafted"), (2, None), (None, "last pick is not manual"), (None, "last pick is not manual"), (None, "already drafted"), (None, "draft complete"), (None, None), (None, "unknown event"),
     ]
 
 
@@ -44,3 +44,34 @@ def test_live_state(spark):
     rows = [(k, 1, "pick", k, 1, "manual", f"2026-01-01 00:00:0{k}") for k in range(1, 4)]
     r = picks.live_state(picks.fold_in_batch(_events(spark, rows)), plan).first()
     assert (r.picks_made, r.team_slot, r.round) == (3, 4, 1)
+    undone = [*rows, (4, 1, "undo", None, None, "manual", "2026-01-01 00:00:04"), (5, 2, "undo", None, None, "manual", "2026-01-01 00:00:05")]
+    state = {r.league_id: (r.picks_made, r.team_slot) for r in picks.live_state(picks.fold_in_batch(_events(spark, undone)), plan).collect()}
+    assert state == {1: (2, 3), 2: (0, None)}  # the second league has no plan
+    reset = [*undone, (6, 1, "reset", None, None, "manual", "2026-01-01 00:00:06")]
+    assert picks.live_state(picks.fold_in_batch(_events(spark, reset)), plan).filter("league_id = 1").first().picks_made == 0
+    full = [(k, 1, "pick", k, 1, "manual", f"2026-01-01 00:00:{k:02}") for k in range(1, 21)]
+    assert tuple(picks.live_state(picks.fold_in_batch(_events(spark, full), most=20), plan).first()) == (1, 20, None, None)
+
+
+def test_undo_and_reset(spark):
+    one = lambda k, action, player=None, source="manual": (k, 1, action, player, 1, source, f"2026-01-01 00:00:{k:02}")
+    rows = [one(1, "undo"), one(2, "pick", 10), one(3, "undo"), one(4, "pick", 10), one(5, "pick", 11, "feed"), one(6, "undo"), one(7, "pick", 12), one(8, "undo"), one(9, "reset"), one(10, "pick", 11)]
+    got = sorted((r.event_id, r.live_pick_no, r.standing, r.reason) for r in picks.fold_in_batch(_events(spark, rows)).collect())
+    assert got == [
+        (1, None, 0, "nothing to undo"), (2, 1, 1, None), (3, 1, 0, None), (4, 1, 1, None), (5, 2, 2, None), (6, None, 2, "last pick is not manual"), (7, 3, 3, None), (8, 3, 2, None),
+        (9, None, 0, None), (10, 1, 1, None),
+    ]
+
+
+def test_follow_keeps_live_state(spark, tmp_path):
+    from fieldmark.operators import draft
+
+    plan = draft.schedule(spark.createDataFrame([(1, 10, 2), (2, 10, 2)], "league_id long, teams long, rounds int"))
+    log = [(1, 1, "pick", 1), (2, 2, "pick", 1), (3, 1, "pick", 2), (4, 1, "undo", None), (5, 1, "pick", 3), (6, 1, "reset", None)]
+    for k, (i, league, action, player) in enumerate(log):  # one micro-batch each
+        d = _events(spark, [(i, league, action, player, 1, "manual", f"2026-01-01 00:00:0{i}")])
+        d.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    live = picks.follow(picks.decisions(stream, lateness="1 day"), plan, str(tmp_path / "out"))
+    assert sorted(map(tuple, live.collect())) == [(1, 0, 1, 1), (2, 1, 2, 1)]
+    assert spark.read.parquet(str(tmp_path / "out/decisions")).count() == 6
