@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldmark.functions.names import normal_name
 from fieldmark.functions.columns import flag, running, zero
 from fieldmark.operators.valuation import expected_best, p_available
 
@@ -83,11 +84,26 @@ def surplus_wide(surplus: DataFrame, rounds: int) -> DataFrame:
     return surplus.groupBy("league_id", "player_id", "break_even").pivot("round", list(range(1, rounds + 1))).agg(F.first("surplus"))
 
 
+#: The two verdicts.
+KEEP, INSTEAD = "KEEP", "DRAFT INSTEAD"
+
+
+def keeper_report(candidates: DataFrame, people: DataFrame, surplus: DataFrame) -> DataFrame:
+    """Per candidate (league_id, name, cost_round): the player of that normalised name, the least id where several have it,
+    his surplus at the cost round, and the verdict. Names that nobody has stay, with ``found`` false and no verdict."""
+    known = people.select("league_id", "player_id", normal_name(F.col("name")).alias("name_norm")).groupBy("league_id", "name_norm").agg(F.min("player_id").alias("player_id"))
+    at = surplus.select("league_id", "player_id", F.col("round").alias("cost_round"), "surplus", "break_even")
+    asked = candidates.withColumn("name_norm", normal_name(F.col("name"))).join(known, ["league_id", "name_norm"], "left").join(at, ["league_id", "player_id", "cost_round"], "left")
+    found = F.col("player_id").isNotNull()
+    verdict = F.when(found, F.when(F.col("surplus") > 0, KEEP).otherwise(INSTEAD))
+    return asked.select("league_id", "name", "cost_round", found.alias("found"), "player_id", "surplus", "break_even", verdict.alias("verdict"))
+
+
 def keeper_verdict(surplus: DataFrame, cost: DataFrame, luck: DataFrame, production: DataFrame) -> DataFrame:
-    """Keep or not at the asked round, with the signals that either table has."""
+    """Keep where the value is above what the asked round gives, else draft instead; with the signals that either table has."""
     signals = luck.join(production, "player_id", "full")
     at = surplus.join(cost, ["league_id", "player_id"]).filter(F.col("round") == F.col("cost_round"))
-    verdict = F.when(F.col("surplus") >= 20, "keep").when(F.col("surplus") > 0, "lean keep").otherwise("pass")
+    verdict = F.when(F.col("surplus") > 0, KEEP).otherwise(INSTEAD)
     return at.join(signals, "player_id", "left").withColumn("verdict", verdict)
 
 

@@ -22,33 +22,50 @@ def chosen(*pairs: tuple[str, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(flag(c), F.lit(name)) for name, c in pairs]))
 
 
+#: The names of signals as results have them.
+GAINS = {
+    "target_share": "opportunity_gain", "touchdowns": "negative_td_luck", "depth": "depth_chart_rise", "points": "ppg_trend_up", "share": "elite_opportunity", "youth": "young_with_role",
+    "luck": "underperformed_expected_points", "vacated": "inherits_vacated_opportunity", "model": "our_model_sees_more_than_the_vendor", "context": "team_context_tailwind",
+    "capital": "high_draft_capital_with_a_role", "line": "team_context:offensive line upgrade",
+}
+RISKS = {
+    "touchdowns": "positive_td_luck", "injuries": "injury_prone", "structural": "structural_injury_return", "age": "age_cliff", "experts": "expert_disagreement", "absence": "announced_absence",
+    "team": "team_context:", "caller": "new play-caller", "passer": "unsettled QB room", "line": "offensive line downgrade",
+}
+
+
 def support() -> Column:
-    c = F.col
+    """What speaks for a player beyond the market's view; the team's context counts once."""
+    c, name = F.col, GAINS
+    skill_youth = c("position").isin(*SKILL) & (c("age") <= 24) & (F.coalesce("ppg", F.lit(0)) > 0)
     return chosen(
-        ("rising_targets", c("yoy_target_share") >= 0.03), ("td_due", c("td_diff") <= -3), ("depth_up", c("depth_change") < 0), ("ppg_up", c("yoy_ppg") >= 2),
-        ("workload", (c("target_share") >= 0.25) | (c("carry_share") >= 0.55)), ("young", (c("age") <= 24) & (c("ppg") > 0) & c("position").isin(*SKILL)),
-        ("unlucky", c("ppg_diff") <= -1), ("vacated", c("vacated_gain") >= 0.02), ("inhouse_higher", c("inhouse_edge") >= 1), ("context", c("context") >= 1.02),
-        ("rookie_capital", c("is_rookie") & (c("draft_round") <= 2) & (c("depth_rank") <= 2)), ("line_better", c("line_delta") >= 1),
+        (name["target_share"], c("yoy_target_share") >= 0.03), (name["touchdowns"], c("td_diff") <= -3), (name["depth"], c("depth_change") < 0), (name["points"], c("yoy_ppg") >= 2),
+        (name["share"], flag(c("target_share") >= 0.25) | flag(c("carry_share") >= 0.55)), (name["youth"], skill_youth), (name["luck"], c("ppg_diff") <= -1), (name["vacated"], c("vacated_gain") >= 0.02),
+        (name["model"], c("inhouse_edge") >= 1), (name["context"], c("context") >= 1.02), (name["capital"], c("is_rookie") & (c("draft_round") <= 2) & (c("depth_rank") <= 2)), (name["line"], c("line_delta") >= 1),
     )
 
 
 def risk() -> Column:
-    c = F.col
-    return chosen(
-        ("td_luck", c("td_diff") >= 3), ("injury_prone", c("injury_prone")), ("structural", c("structural_return")), ("age_cliff", c("past_cliff")),
-        ("disagreement", c("disagreement") >= c("disagreement_cut")), ("will_miss", c("known_missed") >= 2),
-        ("team_context", flag(c("new_caller")) | flag(c("qb_unsettled")) | flag(c("line_delta") <= -1)),
+    """What speaks against a player; new caller, unsettled passer and a worse line are one signal of the team."""
+    c, name = F.col, RISKS
+    team = chosen((name["caller"], c("new_caller")), (name["passer"], c("qb_unsettled")), (name["line"], c("line_delta") <= -1))
+    own = chosen(
+        (name["touchdowns"], c("td_diff") >= 3), (name["injuries"], c("injury_prone")), (name["structural"], c("structural_return")), (name["age"], c("past_cliff")),
+        (name["experts"], c("disagreement") >= c("disagreement_cut")), (name["absence"], c("known_missed") >= 2),
     )
+    return F.concat(own, F.when(F.size(team) > 0, F.array(F.concat(F.lit(name["team"]), F.array_join(team, ", ")))).otherwise(F.array().cast("array<string>")))
 
 
 def flags(support_: Column, risk_: Column) -> Column:
-    """Sleeper or value where the room is late and signals support it; bust or reach where it is early and risks are there."""
+    """What a player is marked with; then sleeper or value where the room is late and signals support it, bust or reach
+    where it is early and risks are there."""
     c = F.col
     open_ = flag(c("adp") <= 220) & ~c("position").isin("K", "DEF")
     up = open_ & flag((c("gap_z") >= 1) & (c("gap") >= 6)) & (F.size(support_) >= 2)
     down = open_ & flag((c("gap_z") <= -1) & (c("gap") <= -6)) & (F.size(risk_) >= 2)
     reach = flag(c("pos_gap") > -5)
-    return chosen(("value", up & c("established")), ("sleeper", up & ~c("established")), ("positional_reach", down & reach), ("bust", down & ~reach), ("rookie", c("is_rookie")), ("injury_prone", c("injury_prone")))
+    marks = [("injury_prone", c("injury_prone")), ("structural_injury_return", c("structural_return")), ("rookie", c("is_rookie")), ("new_play_caller", c("new_caller")), ("qb_uncertain_team", c("qb_unsettled"))]
+    return chosen(*marks, ("value", up & flag(c("established"))), ("sleeper", up & ~flag(c("established"))), ("positional_reach", down & reach), ("bust", down & ~reach))
 
 
 def _rule(rule: str, priority: int, when: Column, text: Column, kind: str, polarity: Column | int) -> Column:
@@ -96,7 +113,7 @@ def reason_rows(ranked: DataFrame) -> DataFrame:
 
 
 def prior_ranks(seasons: DataFrame, season: int, least_games: int = 8) -> DataFrame:
-    """Rank by points a game among all of a position, kept only for those with enough games."""
-    w = Window.partitionBy("position").orderBy(F.desc("ppg"))
-    r = seasons.filter(F.col("season") == season).withColumn("prior_rank", F.rank().over(w))
+    """Place by points a game among all of a position, equal ones by id, kept only for those with enough games."""
+    w = Window.partitionBy("position").orderBy(F.desc("ppg"), "player_id")
+    r = seasons.filter(F.col("season") == season).withColumn("prior_rank", F.row_number().over(w))
     return r.filter(F.col("games") >= least_games).select("player_id", "prior_rank")

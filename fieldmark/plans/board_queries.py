@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldmark.operators import board, draft, signals
-from fieldmark.operators.valuation import room_gaps
+from fieldmark.operators.valuation import nearest_decile_cut, room_gaps
 from fieldmark.plans.bindings import ctes, table
 from fieldmark.plans.feature_queries import SEASON_SQL, seasons
 from fieldmark.plans.valuation_queries import KEPT, _GAPS, _TEN, _p_sql, _ten, _values_sql, valued
@@ -115,28 +115,39 @@ def _signalled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranked players with signals that their ids stand in for."""
     i = F.col("player_id")
     d = lambda m, s: (i % m - s).cast("double")
-    return room_gaps(valued(spark, sf_dir)).withColumns({
+    v = room_gaps(valued(spark, sf_dir)).withColumn("disagreement", (i % 101).cast("double") / 10 - 5)
+    v = v.join(F.broadcast(nearest_decile_cut(v).withColumnRenamed("cut", "disagreement_cut")), "league_id")  # a row a league
+    return v.withColumns({
         "yoy_target_share": d(11, 5) / 100, "td_diff": d(13, 6), "depth_change": i % 3 - 1, "yoy_ppg": d(9, 4), "target_share": (i % 7).cast("double") / 16, "carry_share": (i % 5).cast("double") / 8,
         "age": (i % 15 + 21).cast("double"), "ppg_diff": d(5, 2), "vacated_gain": F.lit(0.0), "inhouse_edge": d(7, 3), "context": F.lit(1.0), "is_rookie": i % 13 == 0, "draft_round": (i % 7 + 1).cast("int"),
-        "depth_rank": i % 3 + 1, "line_delta": i % 5 - 2, "injury_prone": i % 6 == 0, "structural_return": i % 17 == 0, "past_cliff": i % 15 + 21 >= 31, "disagreement": d(4, 2), "disagreement_cut": F.lit(1.0),
+        "depth_rank": i % 3 + 1, "line_delta": i % 5 - 2, "injury_prone": i % 6 == 0, "structural_return": i % 17 == 0, "past_cliff": i % 15 + 21 >= 31,
         "known_missed": i % 4, "new_caller": i % 8 == 0, "qb_unsettled": i % 9 == 0, "established": F.col("adp") <= 50, "status": F.when(i % 10 == 0, "IR").otherwise("Active"), "missed_3y": i % 12,
         "new_coach": i % 16 == 0, "age_factor": F.when(i % 15 == 0, 0.9).otherwise(1.0),
     })
 
 
 _S = f"""{_POOL}{_GAPS}, s AS (SELECT r.*, room_adp - our_pick AS gap, round((room_adp - our_pick) / greatest(r.sd_adp, 1.0), 3) AS gap_z, pos_gap, r.player_id AS i FROM ranked r LEFT JOIN free f USING (player_id)),
-c AS (SELECT *, CAST(i % 11 - 5 >= 3 AS INT) + CAST(i % 13 - 6 <= -3 AS INT) + CAST(i % 3 - 1 < 0 AS INT) + CAST(i % 9 - 4 >= 2 AS INT) + CAST((i % 7) / 16.0 >= 0.25 OR (i % 5) / 8.0 >= 0.55 AS INT)
-    + CAST(i % 15 + 21 <= 24 AND ppg > 0 AND position IN ('RB', 'WR', 'TE') AS INT) + CAST(i % 5 - 2 <= -1 AS INT) + CAST(i % 7 - 3 >= 1 AS INT) + CAST(i % 13 = 0 AND i % 7 + 1 <= 2 AND i % 3 + 1 <= 2 AS INT) + CAST(i % 5 - 2 >= 1 AS INT) AS n_support,
-  CAST(i % 13 - 6 >= 3 AS INT) + CAST(i % 6 = 0 AS INT) + CAST(i % 17 = 0 AS INT) + CAST(i % 15 + 21 >= 31 AS INT) + CAST(i % 4 - 2 >= 1 AS INT) + CAST(i % 4 >= 2 AS INT) + CAST(i % 8 = 0 OR i % 9 = 0 OR i % 5 - 2 <= -1 AS INT) AS n_risk FROM s)"""
-
-
-@query("h17_signals", f"{_S} SELECT player_id, n_support, n_risk FROM c")
+d AS (SELECT *, (i % 101) / 10.0 - 5 AS disagreement, row_number() OVER (PARTITION BY league_id ORDER BY (i % 101), i) AS k, count(*) OVER (PARTITION BY league_id) AS n FROM s),
+cuts AS (SELECT league_id, CASE WHEN max(n) > 50 THEN max(disagreement) FILTER (k = floor(0.9 * (n - 1) + 0.5) + 1) ELSE 1.0 END AS cut FROM d GROUP BY league_id),
+team AS (SELECT *, concat_ws(', ', CASE WHEN i % 8 = 0 THEN 'new play-caller' END, CASE WHEN i % 9 = 0 THEN 'unsettled QB room' END, CASE WHEN i % 5 - 2 <= -1 THEN 'offensive line downgrade' END) AS bad FROM d JOIN cuts USING (league_id)),
+c AS (SELECT *, list_filter([CASE WHEN i % 11 - 5 >= 3 THEN 'opportunity_gain' END, CASE WHEN i % 13 - 6 <= -3 THEN 'negative_td_luck' END, CASE WHEN i % 3 - 1 < 0 THEN 'depth_chart_rise' END, CASE WHEN i % 9 - 4 >= 2 THEN 'ppg_trend_up' END,
+    CASE WHEN (i % 7) / 16.0 >= 0.25 OR (i % 5) / 8.0 >= 0.55 THEN 'elite_opportunity' END, CASE WHEN i % 15 + 21 <= 24 AND ppg > 0 AND position IN ('RB', 'WR', 'TE') THEN 'young_with_role' END,
+    CASE WHEN i % 5 - 2 <= -1 THEN 'underperformed_expected_points' END, CASE WHEN i % 7 - 3 >= 1 THEN 'our_model_sees_more_than_the_vendor' END,
+    CASE WHEN i % 13 = 0 AND i % 7 + 1 <= 2 AND i % 3 + 1 <= 2 THEN 'high_draft_capital_with_a_role' END, CASE WHEN i % 5 - 2 >= 1 THEN 'team_context:offensive line upgrade' END], lambda x: x IS NOT NULL) AS support,
+  list_filter([CASE WHEN i % 13 - 6 >= 3 THEN 'positive_td_luck' END, CASE WHEN i % 6 = 0 THEN 'injury_prone' END, CASE WHEN i % 17 = 0 THEN 'structural_injury_return' END, CASE WHEN i % 15 + 21 >= 31 THEN 'age_cliff' END,
+    CASE WHEN disagreement >= cut THEN 'expert_disagreement' END, CASE WHEN i % 4 >= 2 THEN 'announced_absence' END, CASE WHEN bad <> '' THEN 'team_context:' || bad END], lambda x: x IS NOT NULL) AS risk FROM team),
+z AS (SELECT *, len(support) AS n_support, len(risk) AS n_risk FROM c)"""
+
+
+@query("h17_signals", f"{_S} SELECT player_id, array_to_string(support, '|') AS support, array_to_string(risk, '|') AS risk FROM z")
 def h17_signals(spark, sf_dir):
-    return _signalled(spark, sf_dir).select("player_id", F.size(signals.support()).alias("n_support"), F.size(signals.risk()).alias("n_risk"))
+    return _signalled(spark, sf_dir).select("player_id", F.array_join(signals.support(), "|").alias("support"), F.array_join(signals.risk(), "|").alias("risk"))
 
 
-@query("h18_flags", f"""{_S}, o AS (SELECT *, coalesce(adp <= 220, false) AND position NOT IN ('K', 'DEF') AS o FROM c) SELECT player_id, concat_ws('|', CASE WHEN o AND gap_z >= 1 AND gap >= 6 AND n_support >= 2 AND adp <= 50 THEN 'value' END, CASE WHEN o AND gap_z >= 1 AND gap >= 6 AND n_support >= 2 AND NOT adp <= 50 THEN 'sleeper' END,
-  CASE WHEN o AND gap_z <= -1 AND gap <= -6 AND n_risk >= 2 AND pos_gap > -5 THEN 'positional_reach' END, CASE WHEN o AND gap_z <= -1 AND gap <= -6 AND n_risk >= 2 AND NOT pos_gap > -5 THEN 'bust' END, CASE WHEN i % 13 = 0 THEN 'rookie' END, CASE WHEN i % 6 = 0 THEN 'injury_prone' END) AS flags FROM o""")
+@query("h18_flags", f"""{_S}, o AS (SELECT *, coalesce(adp <= 220, false) AND position NOT IN ('K', 'DEF') AS o FROM z) SELECT player_id, concat_ws('|', CASE WHEN i % 6 = 0 THEN 'injury_prone' END, CASE WHEN i % 17 = 0 THEN 'structural_injury_return' END,
+  CASE WHEN i % 13 = 0 THEN 'rookie' END, CASE WHEN i % 8 = 0 THEN 'new_play_caller' END, CASE WHEN i % 9 = 0 THEN 'qb_uncertain_team' END,
+  CASE WHEN o AND gap_z >= 1 AND gap >= 6 AND n_support >= 2 AND adp <= 50 THEN 'value' END, CASE WHEN o AND gap_z >= 1 AND gap >= 6 AND n_support >= 2 AND NOT adp <= 50 THEN 'sleeper' END,
+  CASE WHEN o AND gap_z <= -1 AND gap <= -6 AND n_risk >= 2 AND pos_gap > -5 THEN 'positional_reach' END, CASE WHEN o AND gap_z <= -1 AND gap <= -6 AND n_risk >= 2 AND NOT pos_gap > -5 THEN 'bust' END) AS flags FROM o""")
 def h18_flags(spark, sf_dir):
     s = _signalled(spark, sf_dir)
     return s.select("player_id", F.array_join(signals.flags(signals.support(), signals.risk()), "|").alias("flags"))
@@ -147,7 +158,7 @@ def h19_reasons(spark, sf_dir):
     return signals.reason_rows(_signalled(spark, sf_dir))
 
 
-@query("h16_established", f"""{SEASON_SQL}, r AS (SELECT *, rank() OVER (PARTITION BY position ORDER BY ppg DESC) AS k FROM seasons WHERE season = 2000) SELECT player_id, coalesce(k <= 2 * CASE position WHEN 'QB' THEN 1 WHEN 'WR' THEN 3 WHEN 'RB' THEN 2 WHEN 'TE' THEN 1 END, false) AS established FROM r WHERE games >= 8""")
+@query("h16_established", f"""{SEASON_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY position ORDER BY ppg DESC, player_id) AS k FROM seasons WHERE season = 2000) SELECT player_id, coalesce(k <= 2 * CASE position WHEN 'QB' THEN 1 WHEN 'WR' THEN 3 WHEN 'RB' THEN 2 WHEN 'TE' THEN 1 END, false) AS established FROM r WHERE games >= 8""")
 def h16_established(spark, sf_dir):
     s = seasons(spark, sf_dir)
     r = signals.prior_ranks(s, 2000).join(s.filter("season = 2000").select("player_id", "position"), "player_id")
@@ -278,10 +289,27 @@ def pick_events(spark: SparkSession, sf_dir: str, league: Column | None = None)
 _EVENTS = "e AS (SELECT event_id, user_id % 20 AS league_id, CASE WHEN event_type = 'error' THEN -1 WHEN event_id % 97 = 0 THEN 0 ELSE 1 END AS step, ts FROM events WHERE event_type IN ('purchase', 'error'))"
 
 
-@query("k1_pick_log")
+_FOLD = """WITH RECURSIVE e AS (SELECT event_id, CAST(floor(user_id / 20) AS BIGINT) AS league_id, CASE WHEN event_type = 'error' THEN 'undo' WHEN event_id % 97 = 0 THEN 'reset' ELSE 'pick' END AS action, event_id % 4001 AS player_id,
+    CASE WHEN event_id % 5 = 0 THEN 'feed' ELSE 'manual' END AS source, CAST(ts AS TIMESTAMP) AS picked_at, row_number() OVER (PARTITION BY CAST(floor(user_id / 20) AS BIGINT) ORDER BY ts, event_id) AS n FROM events WHERE event_type IN ('purchase', 'error')),
+fold AS (
+  SELECT league_id, 0::BIGINT AS n, []::BIGINT[] AS players, []::BOOLEAN[] AS manual, NULL::BIGINT AS event_id, NULL::INT AS live_pick_no, NULL::VARCHAR AS reason FROM (SELECT DISTINCT league_id FROM e)
+  UNION ALL
+  SELECT league_id, n, CASE WHEN did AND action = 'pick' THEN list_append(players, player_id) WHEN action = 'reset' THEN [] WHEN did AND action = 'undo' THEN players[:-2] ELSE players END,
+    CASE WHEN did AND action = 'pick' THEN list_append(manual, source = 'manual') WHEN action = 'reset' THEN [] WHEN did AND action = 'undo' THEN manual[:-2] ELSE manual END, event_id,
+    CAST(CASE WHEN did AND action = 'pick' THEN len(players) + 1 WHEN did AND action = 'undo' THEN len(players) END AS INT), reason
+  FROM (SELECT *, reason IS NULL AND action <> 'reset' AS did FROM (
+    SELECT f.league_id, e.n, f.players, f.manual, e.event_id, e.action, e.player_id, e.source,
+      CASE WHEN e.action = 'pick' AND list_contains(f.players, e.player_id) THEN 'already drafted' WHEN e.action = 'pick' AND len(f.players) >= 160 THEN 'draft complete'
+        WHEN e.action = 'undo' AND len(f.players) = 0 THEN 'nothing to undo' WHEN e.action = 'undo' AND NOT f.manual[-1] THEN 'last pick is not manual' END AS reason
+    FROM fold f JOIN e ON e.league_id = f.league_id AND e.n = f.n + 1)))
+SELECT f.league_id, f.event_id, e.action, e.player_id, CAST(1 AS INT) AS team_slot, f.live_pick_no, CAST(len(f.players) AS INT) AS standing, f.reason FROM fold f JOIN e USING (league_id, n)"""
+
+
+@query("k1_pick_log", _FOLD)
 def k1_pick_log(spark, sf_dir):
     """Every event's decision, folded in batch; the stream gives the same rows. A league is twenty users, so leagues grow with the users."""
-    return fold_in_batch(pick_events(spark, sf_dir, F.floor(F.col("user_id") / 20)))
+    source = F.when(F.col("event_id") % 5 == 0, "feed").otherwise("manual")
+    return fold_in_batch(pick_events(spark, sf_dir, F.floor(F.col("user_id") / 20)).withColumn("source", source)).drop("picked_at")
 
 
 @query("k1_standing_picks", f"""WITH {_EVENTS}, r AS (SELECT *, sum(step) OVER w AS raw FROM e WINDOW w AS (PARTITION BY league_id ORDER BY ts, event_id)), f AS (SELECT *, raw - least(0, min(raw) OVER (PARTITION BY league_id ORDER BY ts, event_id)) AS h FROM r)

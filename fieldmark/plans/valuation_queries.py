@@ -293,7 +293,7 @@ def h23_keeper_surplus(spark, sf_dir):
 
 @query("h25_keeper_verdict", f"""{_POOL}{_ROUNDS}, s AS (SELECT r.league_id, player_id, round, round(vorp - mean, 3) AS surplus FROM ranked r JOIN rounds USING (league_id) WHERE player_id % 37 = 0),
 sig AS (SELECT coalesce(a.player_id, b.player_id) AS player_id, td_diff, ppg AS last_ppg FROM (SELECT player_id, player_id % 5 AS td_diff FROM pool WHERE player_id % 2 = 0) a FULL JOIN (SELECT player_id, ppg FROM pool WHERE player_id % 3 = 0) b ON a.player_id = b.player_id)
-SELECT s.player_id, CASE WHEN surplus >= 20 THEN 'keep' WHEN surplus > 0 THEN 'lean keep' ELSE 'pass' END AS verdict, td_diff, last_ppg FROM s LEFT JOIN sig USING (player_id) WHERE round = 1 + s.player_id % 16""")
+SELECT s.player_id, CASE WHEN surplus > 0 THEN 'KEEP' ELSE 'DRAFT INSTEAD' END AS verdict, td_diff, last_ppg FROM s LEFT JOIN sig USING (player_id) WHERE round = 1 + s.player_id % 16""")
 def h25_keeper_verdict(spark, sf_dir):
     v = valued(spark, sf_dir)
     out = draft.keeper_surplus(v.filter("kept").select("league_id", "player_id", "vorp"), draft.best_by_round(v, _ten(spark, sf_dir)))
@@ -301,3 +301,17 @@ def h25_keeper_verdict(spark, sf_dir):
     luck = v.filter("player_id % 2 = 0").select("player_id", (F.col("player_id") % 5).alias("td_diff"))
     production = v.filter("player_id % 3 = 0").select("player_id", F.col("ppg").alias("last_ppg"))
     return draft.keeper_verdict(out, cost, luck, production).select("player_id", "verdict", "td_diff", "last_ppg")
+
+
+@query("h25_keeper_report", f"""{_POOL}{_ROUNDS}, s AS (SELECT r.league_id, player_id, round, round(vorp - mean, 3) AS surplus FROM ranked r JOIN rounds USING (league_id) WHERE player_id % 37 = 0),
+evens AS (SELECT player_id, min(round) FILTER (surplus > 0) AS break_even FROM s GROUP BY player_id),
+asked AS (SELECT league_id, player_id, CASE WHEN player_id % 2 = 0 THEN concat('PLÁYER-', CAST(player_id AS VARCHAR), ' Jr.') ELSE concat('nobody ', CAST(player_id AS VARCHAR)) END AS name, CAST(1 + player_id % 16 AS INT) AS cost_round FROM pool WHERE player_id % 37 = 0)
+SELECT a.league_id, a.name, a.cost_round, a.player_id % 2 = 0 AS found, CASE WHEN a.player_id % 2 = 0 THEN a.player_id END AS player_id, surplus, CASE WHEN a.player_id % 2 = 0 THEN break_even END AS break_even,
+  CASE WHEN a.player_id % 2 = 0 THEN CASE WHEN surplus > 0 THEN 'KEEP' ELSE 'DRAFT INSTEAD' END END AS verdict
+FROM asked a LEFT JOIN s ON s.player_id = a.player_id AND s.round = a.cost_round AND a.player_id % 2 = 0 LEFT JOIN evens ON evens.player_id = a.player_id""")
+def h25_keeper_report(spark, sf_dir):
+    v = valued(spark, sf_dir)
+    i = F.col("player_id")
+    surplus = draft.keeper_surplus(v.filter("kept").select("league_id", "player_id", "vorp"), draft.best_by_round(v, _ten(spark, sf_dir)))
+    asked = v.filter("kept").select("league_id", F.when(i % 2 == 0, F.concat(F.lit("PLÁYER-"), i, F.lit(" Jr."))).otherwise(F.concat(F.lit("nobody "), i)).alias("name"), (1 + i % 16).cast("int").alias("cost_round"))
+    return draft.keeper_report(asked, v.select("league_id", "player_id", F.concat(F.lit("player "), i).alias("name")), surplus)
