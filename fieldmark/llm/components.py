@@ -11,17 +11,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.llm.frames import join_groups, settle
-
-HOT = 200  # keys with more than one edge in so many are hot
+from fieldmark.llm.frames import LEAST_HOT, join_groups, settle
 
 
 def _joined_to_least(pairs: DataFrame, total: int, degree: int) -> DataFrame:
     """(u, v, m) for every (u, v) of at most ``total``: m is the least of u and its neighbours, of whom no node has more than
     ``degree``."""
     least = pairs.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
-    if degree * HOT > total:  # a star's centre is a hot key
-        return join_groups(pairs, least, ["u"], total=total, most=HOT)
+    if degree > LEAST_HOT:  # a star's centre may be a hot key
+        return join_groups(pairs, least, ["u"], total=total)
     return pairs.join(least.drop("n").withColumnRenamed("u", "w"), F.col("u") == F.col("w")).select("u", "v", "m")
 
 

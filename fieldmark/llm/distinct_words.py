@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from fieldmark.llm import pretokens
 from fieldmark.llm.frames import doc_text, from_files, give_back, settle
 
-CHUNK_CHARS = 16 << 20
+CHUNK_CHARS = 8 << 20
 _CHUNK = "chunk binary, bucket int, slots binary, lengths binary, words binary, doc_ids array<long>, sizes array<int>, packed binary, counts binary"
 _NAMES = ["chunk", "bucket", "slots", "lengths", "words", "doc_ids", "sizes", "packed", "counts"]
 _TYPES = [pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]

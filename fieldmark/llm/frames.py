@@ -20,6 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 BATCH_BYTES = 8 << 20
+LEAST_HOT = 10_000  # rows of one key that are no load for a task
 
 
 def bounded_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
@@ -114,11 +115,15 @@ def maybe_in(rows: DataFrame, column: str, ids: DataFrame, flag: str, bits: int
 def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], n: str = "n", how: str = "inner", total: int | None = None, most: int = 200) -> DataFrame:
     """``rows`` joined (inner or left) with ``groups``, which has one row for each key ``on`` and the number ``n`` of its rows.
 
-    Keys with more than one row in ``most`` of ``total`` are hot; there are fewer than ``most`` of them, so they are
-    broadcast and their rows stay where they are.  The others are shuffled, and none fills a partition."""
+    Keys with more than one row in ``most`` of ``total`` are hot, if they have more than ``LEAST_HOT`` rows; there are
+    fewer than ``most`` of them, so they are broadcast and their rows stay where they are.  The others are shuffled, and
+    none fills a partition."""
     if total is None:
         groups = settle(groups, "groups")
         total = groups.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
-    hot = F.broadcast(groups.filter(F.col(n) * most > total).drop(n))
-    cold = groups.filter(F.col(n) * most <= total).drop(n)
+    if total <= LEAST_HOT:
+        return rows.join(groups.drop(n), on, how)
+    bound = max(LEAST_HOT, total // most)
+    hot = F.broadcast(groups.filter(F.col(n) > bound).drop(n))
+    cold = groups.filter(F.col(n) <= bound).drop(n)
     return rows.join(hot, on).unionByName(rows.join(hot.select(*on), on, "left_anti").join(cold, on, how))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldmark.llm.frames import pieces
+from fieldmark.llm.frames import give_back, pieces
 
 UNKNOWN = "und"
 _PIECE = 1 << 18
@@ -105,7 +105,10 @@ def fit(docs: DataFrame, order: int = 3, sample_docs: int = 300) -> Trees | None
     if not len(rows):
         return None
     langs, lang = np.unique(rows.column("lang").to_numpy(), return_inverse=True)
-    return compile_trees(tuple(langs.tolist()), lang, rows.column("gram").to_numpy(), rows.column("n").to_numpy(), order)
+    trees = compile_trees(tuple(langs.tolist()), lang, rows.column("gram").to_numpy(), rows.column("n").to_numpy(), order)
+    del rows, lang
+    give_back()  # the driver lives on, too
+    return trees
 
 
 def compile_trees(langs: tuple[str, ...], lang: np.ndarray, gram: np.ndarray, n: np.ndarray, order: int) -> Trees:

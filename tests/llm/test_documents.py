@@ -327,6 +327,27 @@ def test_components_of_a_long_path(spark):
     assert components(edges.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_join_groups_with_hot_keys(spark, monkeypatch, how):
+    from fieldmark.llm import frames
+
+    monkeypatch.setattr(frames, "LEAST_HOT", 5)
+    rows = spark.createDataFrame([(k % 7 if k > 100 else 0, k) for k in range(150)] + [(None, 1), (99, 2)], "k long, x long")
+    groups = rows.filter("k < 50").groupBy("k").agg(F.count("*").alias("n"), F.max("x").alias("top"))
+    want = rows.join(groups.drop("n"), ["k"], how)
+    assert Counter(map(tuple, frames.join_groups(rows, groups, ["k"], how=how, most=4).select("k", "x", "top").collect())) == Counter(map(tuple, want.select("k", "x", "top").collect()))
+
+
+def test_components_with_hot_centres(spark, monkeypatch):
+    from fieldmark.llm import components as c
+    from fieldmark.llm import frames
+
+    monkeypatch.setattr(frames, "LEAST_HOT", 2)
+    monkeypatch.setattr(c, "LEAST_HOT", 2)
+    edges = spark.createDataFrame([(1000, i) for i in range(40)] + [(i, i + 100) for i in range(40)] + [(5000, 5001)], "u long, v long")
+    assert {r.node: r.root for r in components(edges).collect()} == {i: 0 for i in [*range(40), *range(100, 140), 1000]} | {5000: 5000, 5001: 5000}
+
+
 def test_maybe_in_has_no_false_negatives(spark):
     rows, ids = spark.range(3000), spark.range(0, 3000, 7)
     got = {r.id: r.flag for r in maybe_in(rows, "id", ids, "flag", bits=1 << 16).collect()}
