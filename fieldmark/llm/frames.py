@@ -33,10 +33,13 @@ def bounded_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The cluster's shared folder, ``spark.checkpoint.dir``; a temporary one only where that is unset and all runs on one
+    machine (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="fieldmark-")
