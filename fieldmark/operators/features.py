@@ -36,20 +36,26 @@ def team_totals(lines: DataFrame, stats: Sequence[str]) -> DataFrame:
 def season_shares(lines: DataFrame, stats: Sequence[str]) -> DataFrame:
     """Share of each stint's team total, summed over a player's season; 0 where the team has none."""
     stint = lines.filter(F.col("team").isNotNull()).groupBy("player_id", "season", "team").agg(*[total(s).alias(s) for s in stats])
-    joined = stint.join(team_totals(lines, stats), ["season", "team"])
+    joined = stint.join(team_totals(stint, stats), ["season", "team"])  # both sides from one pass over the lines
     return joined.groupBy("player_id", "season").agg(*[F.sum(ratio(F.col(s), F.col(f"team_{s}"), 0.0)).alias(f"{s}_share") for s in stats])
 
 
 def season_totals(lines: DataFrame, points: Column, stats: Sequence[str]) -> DataFrame:
     """Games, points and rates of each player and season, with the commonest team and position as its role."""
-    scored = lines.withColumn("points", points)
-    sums = scored.groupBy("player_id", "season").agg(
-        F.count("*").alias("games"), F.round(F.sum("points"), 4).alias("points"), *[total(s).alias(s) for s in stats],
-        F.avg("targets").alias("mean_targets"),
-    )
     keys = ["player_id", "season"]
-    role = dominant(scored, keys, "team", "week").join(dominant(scored, keys, "position", "week"), keys, "full")
-    out = sums.join(role, keys, "left").withColumn("role_key", F.concat_ws("-", "team", "position"))
+    # Lines are summed up by team and position first; the few sums of a player's season give its totals and its role.
+    parts = lines.withColumn("points", points).groupBy(*keys, "team", "position").agg(
+        F.count("*").alias("games"), F.sum("points").alias("points"), *[total(s).alias(s) for s in stats],
+        F.sum("targets").alias("_targets"), F.count("targets").alias("_counted"), F.max("week").alias("_week"),
+    )
+    parts = parts.repartition(*keys)
+    of = {c: Window.partitionBy(*keys, c) for c in ("team", "position")}
+    order = {f"_{c}": F.when(F.col(c).isNotNull(), F.struct((-F.sum("games").over(w)).alias("n"), (-F.max("_week").over(w)).alias("week"), F.col(c).alias("value"))) for c, w in of.items()}
+    out = parts.withColumns(order).groupBy(*keys).agg(
+        F.sum("games").alias("games"), F.round(F.sum("points"), 4).alias("points"), *[F.sum(s).alias(s) for s in stats],
+        ratio(F.sum("_targets"), F.sum("_counted")).alias("mean_targets"), *[F.min(f"_{c}")["value"].alias(c) for c in of],
+    )
+    out = out.withColumn("role_key", F.concat_ws("-", "team", "position"))
     rates = {f"{s}_pg": F.col(s) / F.col("games") for s in stats}
     opportunities = (zero("targets") + zero("carries")) / F.col("games")
     return out.withColumns({"ppg": F.col("points") / F.col("games"), "opportunities_pg": opportunities} | rates)

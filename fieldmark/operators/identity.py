@@ -12,17 +12,17 @@ from fieldmark.functions.columns import top
 from fieldmark.functions.names import CLUBS, NO_CLUB, blank_to_null
 
 
-def _once(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows whose keys are not null and occur once."""
-    known = df.filter(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
-    return known.withColumn("_n", F.count("*").over(Window.partitionBy(*keys))).filter("_n = 1").drop("_n")
+def _named(hub: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys (with ``_`` before their names) that are not null and that one hub row has, and its player as ``_player``."""
+    known = hub.filter(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
+    once = known.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("player_id").alias("_player")).filter("_n = 1")
+    return once.select(*[F.col(k).alias(f"_{k}") for k in keys], "_player")
 
 
 def _step(left: DataFrame, hub: DataFrame, on: Sequence[str], how: str) -> tuple[DataFrame, DataFrame]:
     """(matched, remainder) of joining source rows to hub rows that the keys name without doubt."""
-    side = _once(hub, on).select(*[F.col(k).alias(f"_{k}") for k in on], F.col("player_id").alias("_player"))
     cond = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_{k}") for k in on])
-    joined = left.join(side, cond, "left")
+    joined = left.join(_named(hub, on), cond, "left")
     got = joined.filter(F.col("_player").isNotNull()).select(*left.columns, F.col("_player").alias("player_id"), F.lit(how).alias("matched_by"))
     return got, joined.filter(F.col("_player").isNull()).select(*left.columns)
 
@@ -32,13 +32,14 @@ def crosswalk(source: DataFrame, hub: DataFrame, ids: Sequence[str]) -> DataFram
 
     Ids in order of priority, then name, team and position, then name and position where only one player has them;
     what is left is unlinked (null player, ``new``). ``source`` has source_id, the ids, name_norm, team, position."""
-    found, left = [], source
     steps = [([i], f"id:{i}") for i in ids] + [(["name_norm", "team", "position"], "name_team_pos"), (["name_norm", "position"], "name_pos")]
-    for on, how in steps:
-        got, left = _step(left, hub, on, how)
-        found.append(got)
-    found.append(left.select("*", F.lit(None).cast("long").alias("player_id"), F.lit("new").alias("matched_by")))
-    return reduce(lambda a, b: a.unionByName(b), found)
+    rows = source.withColumns({"player_id": F.lit(None).cast("long"), "matched_by": F.lit("new")})
+    for on, how in steps:  # one row set goes through all steps; only rows that have no player yet are joined
+        cond = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_{k}") for k in on], F.col("player_id").isNull())
+        rows = rows.join(_named(hub, on), cond, "left")
+        now = {"player_id": F.coalesce("player_id", "_player"), "matched_by": F.when(F.col("_player").isNotNull(), how).otherwise(F.col("matched_by"))}
+        rows = rows.withColumns(now).select(*source.columns, "player_id", "matched_by")
+    return rows
 
 
 def crosswalk_all(sources: Sequence[tuple[str, DataFrame, Sequence[str]]], hub: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -11,7 +11,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldmark.functions.columns import clip, ratio, running, total, zero
+from fieldmark.functions.columns import clip, flag, ratio, running, total, zero
+from fieldmark.operators import scoring
 from fieldmark.operators.features import RECENCY, recency_weight
 
 #: Opportunities at which a player's own rate counts half, by rate.
@@ -41,10 +42,10 @@ def share_per_game(shares: DataFrame, team_games: Column, games: Column, columns
 
 def own_share(seasons: DataFrame, column: str, latest: int, least: int = QUALIFYING) -> DataFrame:
     """Recency-weighted share over seasons with enough games in the role of the last one."""
-    enough = seasons.filter(F.col("games") >= least)
-    role = enough.groupBy("player_id").agg(F.max_by("role_key", "season").alias("role"))
+    role = F.max_by("role_key", "season").over(Window.partitionBy("player_id"))
+    enough = seasons.filter(F.col("games") >= least).withColumn("role", role)
     w = recency_weight(F.col("season"), latest, RECENCY)
-    same = enough.join(role, "player_id").filter(F.col("role_key") == F.col("role"))
+    same = enough.filter(F.col("role_key") == F.col("role"))
     g = same.groupBy("player_id").agg(F.sum(w * F.col(column)).alias("s"), F.sum(w).alias("w"), F.sum("games").alias("games"))
     return g.select("player_id", F.when(F.col("w") > 0, F.col("s") / F.col("w")).alias("own"), "games")
 
@@ -74,24 +75,26 @@ def round_factors(rookies: DataFrame, column: str, low: float = 0.2, high: float
 def shrunk_rates(history: DataFrame, k: Mapping[str, int] = SHRINK) -> DataFrame:
     """Each rate as a mixture of a player's own and his position's, own weight n / (n + k).
 
-    ``history``: player_id, position and sums; the position's rate is that of all its players together."""
-    p = Window.partitionBy("position")
+    ``history``: player_id, position and sums; the position's rate is that of all its players together.  Those means are
+    one row a position, so they are broadcast."""
+    means = history.groupBy(F.col("position").alias("_position")).agg(*[ratio(F.sum(a), F.sum(n), 0.0).alias(f"_{name}") for name, (a, n) in RATES.items()])
+    both = history.join(F.broadcast(means), F.col("position").eqNullSafe(F.col("_position")))
     out = {}
     for name, (a, n) in RATES.items():
-        own, mean = ratio(F.col(a), F.col(n)), ratio(F.sum(a).over(p), F.sum(n).over(p), 0.0)
+        own, mean = ratio(F.col(a), F.col(n)), F.col(f"_{name}")
         w = F.col(n) / (F.col(n) + k[name])
         out[name] = w * F.coalesce(own, mean) + (1 - w) * mean
-    return history.select("player_id", "position", *[c.alias(name) for name, c in out.items()])
+    return both.select("player_id", "position", *[c.alias(name) for name, c in out.items()])
 
 
 def efficiency_history(seasons: DataFrame) -> DataFrame:
     """Sums over seasons in the role of the last season; over all seasons for players who have none such with work."""
     stats = sorted({s for pair in RATES.values() for s in pair})
-    role = seasons.groupBy("player_id").agg(F.max_by("role_key", "season").alias("role"))
-    same = seasons.join(role, "player_id").filter((F.col("role_key") == F.col("role")) & (F.col("targets") + F.col("carries") + F.col("attempts") > 0))
-    rest = seasons.join(same.select("player_id").distinct(), "player_id", "left_anti")
-    both = same.select(*seasons.columns).unionByName(rest)
-    return both.groupBy("player_id").agg(F.max_by("position", "season").alias("position"), *[F.sum(s).alias(s) for s in stats])
+    player = Window.partitionBy("player_id")
+    role = seasons.withColumn("role", F.max_by("role_key", "season").over(player))
+    role = role.withColumn("same", flag((F.col("role_key") == F.col("role")) & (F.col("targets") + F.col("carries") + F.col("attempts") > 0)))
+    used = role.withColumn("any", F.max("same").over(player)).filter(F.col("same") | ~F.col("any"))
+    return used.groupBy("player_id").agg(F.max_by("position", "season").alias("position"), *[F.sum(s).alias(s) for s in stats])
 
 
 def stability(seasons: DataFrame, name: str, least: int = 25, pairs: int = 15) -> DataFrame:
@@ -123,8 +126,13 @@ def measured_budget(shares: DataFrame, column: str, team_games: int = 17, games:
     return real.groupBy("season", "team").agg(F.sum("pg").alias("sum")).groupBy().agg(F.percentile("sum", F.lit(0.5)).alias("budget"))
 
 
-def fit_to_budget(players: DataFrame, budget: float, redistribute: bool = True, most_gain: float = 0.5) -> DataFrame:
-    """A team's free share goes to its players by share, none gaining over half of his own; then teams over budget are scaled down."""
+def fit_to_budget(players: DataFrame, budget: float | Column | DataFrame, redistribute: bool = True, most_gain: float = 0.5) -> DataFrame:
+    """A team's free share goes to its players by share, none gaining over half of his own; then teams over budget are scaled down.
+
+    ``budget`` may be the one row of :func:`measured_budget`; one without teams to measure counts as 1."""
+    if isinstance(budget, DataFrame):
+        one = budget.select(F.coalesce("budget", F.lit(1.0)).alias("_budget"))
+        return fit_to_budget(players.join(F.broadcast(one), how="cross"), F.col("_budget"), redistribute, most_gain).drop("_budget")  # one row
     team = Window.partitionBy("team")
     had = F.sum("share").over(team)
     gain = F.least(F.col("share") / had * F.greatest(F.lit(0.0), F.lit(budget) - had), most_gain * F.col("share")) if redistribute else F.lit(0.0)
@@ -143,10 +151,13 @@ def context_factor(position: Column, qb_tier: Column, unsettled: Column, line_de
     return F.round(clip(out, 0.94, 1.06), 4)
 
 
-def points_per_game(players: DataFrame, age_factor: Column, context: Column) -> DataFrame:
-    """Share of the team's work a game times efficiency, as points of the default league, with age and context."""
-    t, c, a = F.col("targets_pg"), F.col("carries_pg"), F.col("attempts_pg")
-    receiving = t * (F.col("ypt") * 0.1 + F.col("catch") * 0.5 + F.col("rec_td") * 6)
-    rushing = c * (F.col("ypc") * 0.1 + F.col("rush_td") * 6)
-    passing = a * (F.col("ypa") * 0.04 + F.col("pass_td") * 6 - F.col("pass_int") * 2)
-    return players.withColumn("inhouse_ppg", (receiving + rushing + passing) * age_factor * context)
+def points_per_game(players: DataFrame, age_factor: Column, context: Column, **rules) -> DataFrame:
+    """Work a game times efficiency, as points under a league's rules, with age and context.
+
+    ``players``: targets_pg, carries_pg, attempts_pg, the rates and position; ``rules`` go to :func:`scoring.points`
+    (weights, whole yards, overrides by position). Bonuses are a matter of single games and are not added here."""
+    work = {"targets": "targets_pg", "carries": "carries_pg", "attempts": "attempts_pg"}
+    line = players.withColumns({stat: F.col(work[n]) * F.col(rate) for rate, (stat, n) in RATES.items()})
+    points = scoring.points(bonuses=None, position=F.col("position"), **rules)
+    scored = scoring.adapt(line).select(*[F.col(c) for c in players.columns if c not in RATES], points.alias("_points"))
+    return scored.withColumn("inhouse_ppg", F.col("_points") * age_factor * context).drop("_points")

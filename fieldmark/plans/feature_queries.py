@@ -328,10 +328,13 @@ def c21_expected_games(spark, sf_dir):
     return p.select("player_id", e.alias("e_games"))
 
 
-@query("c22_age", f"""WITH {ctes('players')}, a AS (SELECT *, date_diff('day', birth_date, DATE '2001-09-01') / 365.25 AS age FROM players)
-SELECT player_id, round(age, 6) AS age, CASE position WHEN 'RB' THEN CASE WHEN floor(age) <= 27 THEN 1.0 WHEN floor(age) <= 28 THEN 0.97 WHEN floor(age) <= 29 THEN 0.92 WHEN floor(age) <= 30 THEN 0.85 ELSE 0.78 END
+AGE_FACTOR_SQL = """CASE position WHEN 'RB' THEN CASE WHEN floor(age) <= 27 THEN 1.0 WHEN floor(age) <= 28 THEN 0.97 WHEN floor(age) <= 29 THEN 0.92 WHEN floor(age) <= 30 THEN 0.85 ELSE 0.78 END
   WHEN 'WR' THEN CASE WHEN floor(age) <= 23 THEN 1.05 WHEN floor(age) <= 29 THEN 1.0 WHEN floor(age) <= 31 THEN 0.96 ELSE 0.88 END WHEN 'TE' THEN CASE WHEN floor(age) <= 25 THEN 1.03 WHEN floor(age) <= 31 THEN 1.0 ELSE 0.93 END
-  WHEN 'QB' THEN CASE WHEN floor(age) <= 35 THEN 1.0 ELSE 0.95 END ELSE 1.0 END::DOUBLE AS age_factor,
+  WHEN 'QB' THEN CASE WHEN floor(age) <= 35 THEN 1.0 ELSE 0.95 END ELSE 1.0 END::DOUBLE"""
+
+
+@query("c22_age", f"""WITH {ctes('players')}, a AS (SELECT *, date_diff('day', birth_date, DATE '2001-09-01') / 365.25 AS age FROM players)
+SELECT player_id, round(age, 6) AS age, {AGE_FACTOR_SQL} AS age_factor,
   coalesce(CASE position WHEN 'RB' THEN floor(age) >= 29 WHEN 'WR' THEN floor(age) >= 31 WHEN 'TE' THEN floor(age) >= 32 END, false) AS past_cliff FROM a""")
 def c22_age(spark, sf_dir):
     p = bound(spark, sf_dir, "players").withColumn("age", features.age_at(F.col("birth_date"), F.lit("2001-09-01").cast("date")))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmark.operators import context, features, projection
+from fieldmark.operators import context, features, projection, scoring
 from fieldmark.operators.valuation import spearman
 from fieldmark.plans.bindings import bound, table
-from fieldmark.plans.feature_queries import SEASON_SQL, WITH, regular, seasons
+from fieldmark.plans.feature_queries import AGE_FACTOR_SQL, SEASON_SQL, WITH, regular
 from fieldmark.plans.valuation_queries import valued
+from fieldmark.sources.settled import settle
 from fieldmark.sources.snapshots import latest_ok
 
 QUERIES: dict = {}
@@ -26,6 +27,7 @@ def query(name: str, sql: str | None = None):
     return put
 
 
+_STATS = sorted({s for pair in projection.RATES.values() for s in pair})
 _VOL = """vol AS (SELECT player_id, season, count(*) AS games, max(position) AS position, sum(targets) AS targets, sum(carries) AS carries, sum(attempts) AS attempts, sum(receptions) AS receptions,
   sum(receiving_yards) AS receiving_yards, sum(receiving_tds) AS receiving_tds, sum(rushing_yards) AS rushing_yards, sum(rushing_tds) AS rushing_tds, sum(passing_yards) AS passing_yards, sum(passing_tds) AS passing_tds,
   sum(passing_interceptions) AS passing_interceptions FROM reg GROUP BY ALL)"""
@@ -36,14 +38,23 @@ _FRAME = f"{SEASON_SQL}, {_SHARE}"
 _PG = f"{_FRAME}, pg AS (SELECT *, least(greatest(targets_share * 17 / greatest(games, 8), 0), 1) AS pg FROM frame)"
 
 
-def frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Player-seasons with shares, a depth rank and a draft round."""
-    s = seasons(spark, sf_dir).select("player_id", "season", "games", "position", "team", "role_key", "targets", "carries", "attempts")
-    out = s.join(features.season_shares(regular(spark, sf_dir), ["targets"]), ["player_id", "season"])
-    out = out.withColumns({"depth_rank": 1 + F.col("player_id") % 3, "draft_round": 1 + F.col("player_id") % 5})
+def player_seasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Player-seasons with their role, sums and shares: what the projection needs of the weekly lines."""
+    lines = regular(spark, sf_dir)
+    s = features.season_totals(lines, scoring.points(), _STATS).select("player_id", "season", "games", "position", "team", "role_key", *_STATS)
+    return s.join(features.season_shares(lines, ["targets"]), ["player_id", "season"], "left")
+
+
+def framed(seasons: DataFrame) -> DataFrame:
+    """Player-seasons that have shares, with a depth rank and a draft round."""
+    out = seasons.filter("targets_share is not null").withColumns({"depth_rank": 1 + F.col("player_id") % 3, "draft_round": 1 + F.col("player_id") % 5})
     return projection.share_per_game(out, F.lit(17), F.col("games"), ["targets_share"])
 
 
+def frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return framed(player_seasons(spark, sf_dir))
+
+
 @query("g1_volume", f"{WITH}, {_VOL} SELECT player_id, season, games, targets, rushing_yards, passing_interceptions FROM vol")
 def g1_volume(spark, sf_dir):
     return projection.volume(regular(spark, sf_dir)).select("player_id", "season", "games", "targets", "rushing_yards", "passing_interceptions")
@@ -86,7 +97,6 @@ def _rate_sql(name: str, a: str, n: str, k: int) -> str:
     return f"{n} / ({n} + {k}) * coalesce({a} / nullif({n}, 0), {mean}) + (1 - {n} / ({n} + {k})) * {mean} AS {name}"
 
 
-_STATS = sorted({s for pair in projection.RATES.values() for s in pair})
 _HISTORY = f"""h AS (SELECT v.*, s.role_key FROM vol v JOIN seasons s USING (player_id, season)), hl AS (SELECT player_id, arg_max(role_key, season) AS role FROM h GROUP BY player_id),
 same AS (SELECT h.* FROM h JOIN hl USING (player_id) WHERE role_key = role AND targets + carries + attempts > 0), used AS (SELECT * FROM same UNION ALL SELECT * FROM h WHERE player_id NOT IN (SELECT player_id FROM same)),
 history AS (SELECT player_id, arg_max(position, season) AS position, {', '.join(f'sum({s}) AS {s}' for s in _STATS)} FROM used GROUP BY player_id),
@@ -94,9 +104,7 @@ rates AS (SELECT player_id, position, {', '.join(_rate_sql(n, a, b, projection.S
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = projection.volume(regular(spark, sf_dir))
-    role = seasons(spark, sf_dir).select("player_id", "season", "role_key")
-    return projection.efficiency_history(v.join(role, ["player_id", "season"]))
+    return projection.efficiency_history(player_seasons(spark, sf_dir))
 
 
 @query("g7_efficiency_history", f"{SEASON_SQL}, {_VOL}, {_HISTORY} SELECT player_id, position, targets, rushing_yards, attempts FROM history")
@@ -126,8 +134,8 @@ shared AS (SELECT *, coalesce(CASE WHEN position = 'QB' AND depth_rank > 1 THEN
 _SHARED = f"{_PG}, {_OWN}, {_SLOTS}, {_ROUNDS}, {_NOW}"
 
 
-def shared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = frame(spark, sf_dir)
+def shared(f: DataFrame) -> DataFrame:
+    """Shares of the latest season's players; ``f`` is read for each of their sources, so it is settled."""
     own = projection.own_share(f, "targets_share_pg", 2001).withColumnRenamed("games", "own_games")
     now = f.filter("season = 2001").select("player_id", "position", "team", "depth_rank", "draft_round", (F.col("player_id") % 13 == 0).alias("is_rookie"))
     p = projection.slot_of(now, projection.slot_baseline(f, "targets_share_pg")).join(own, "player_id", "left")
@@ -136,7 +144,7 @@ def shared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("g9_share_source", f"{_SHARED} SELECT player_id, round(share, 6) AS share, share_source FROM shared")
 def g9_share_source(spark, sf_dir):
-    return shared(spark, sf_dir).select("player_id", F.round("share", 6).alias("share"), "share_source")
+    return shared(settle(frame(spark, sf_dir), "seasons")).select("player_id", F.round("share", 6).alias("share"), "share_source")
 
 
 @query("g10_measured_budget", f"{_FRAME}, s AS (SELECT season, team, sum(targets_share * 17 / games) AS s FROM frame WHERE games >= 3 AND targets_share >= 0.01 GROUP BY ALL) SELECT round(quantile_cont(s, 0.5), 6) AS budget FROM s")
@@ -144,13 +152,18 @@ def g10_measured_budget(spark, sf_dir):
     return projection.measured_budget(frame(spark, sf_dir), "targets_share").select(F.round("budget", 6).alias("budget"))
 
 
-_FIT = """had AS (SELECT *, sum(share) OVER (PARTITION BY team) AS had FROM shared), g AS (SELECT *, CASE WHEN team IS NOT NULL AND had > 0 THEN least(share / had * greatest(0.0, 1.2 - had), 0.5 * share) ELSE 0 END AS gain FROM had),
-n AS (SELECT *, sum(share + gain) OVER (PARTITION BY team) AS now_had FROM g), fit AS (SELECT *, (share + gain) * CASE WHEN team IS NOT NULL AND now_had > 1.2 THEN 1.2 / now_had ELSE 1 END AS final FROM n)"""
+_FIT = """real AS (SELECT season, team, sum(targets_share * 17 / games) AS s FROM frame WHERE games >= 3 AND targets_share >= 0.01 GROUP BY ALL), bud AS (SELECT coalesce(quantile_cont(s, 0.5), 1.0) AS budget FROM real),
+had AS (SELECT *, sum(share) OVER (PARTITION BY team) AS had FROM shared), g AS (SELECT *, CASE WHEN team IS NOT NULL AND had > 0 THEN least(share / had * greatest(0.0, (SELECT budget FROM bud) - had), 0.5 * share) ELSE 0 END AS gain FROM had),
+n AS (SELECT *, sum(share + gain) OVER (PARTITION BY team) AS now_had FROM g), fit AS (SELECT *, (share + gain) * CASE WHEN team IS NOT NULL AND now_had > (SELECT budget FROM bud) THEN (SELECT budget FROM bud) / now_had ELSE 1 END AS final FROM n)"""
+
+
+def fitted(f: DataFrame) -> DataFrame:
+    return projection.fit_to_budget(shared(f), projection.measured_budget(f, "targets_share"))
 
 
 @query("g11_fit_to_budget", f"{_SHARED}, {_FIT} SELECT player_id, round(gain, 6) AS gain, round(final, 6) AS share FROM fit")
 def g11_fit_to_budget(spark, sf_dir):
-    return projection.fit_to_budget(shared(spark, sf_dir), 1.2).select("player_id", F.round("gain", 6).alias("gain"), F.round("share", 6).alias("share"))
+    return fitted(settle(frame(spark, sf_dir), "seasons")).select("player_id", F.round("gain", 6).alias("gain"), F.round("share", 6).alias("share"))
 
 
 _CONTEXT = """CASE WHEN position IN ('RB', 'WR', 'TE') THEN CASE player_id % 5 WHEN 1 THEN 0.04 WHEN 2 THEN 0.02 WHEN 4 THEN -0.03 ELSE 0 END + CASE WHEN player_id % 7 = 0 THEN -0.02 ELSE 0 END ELSE 0 END
@@ -167,14 +180,20 @@ def g12_context_factor(spark, sf_dir):
     return bound(spark, sf_dir, "players").select("player_id", _context().alias("factor"))
 
 
-@query("g13_projection", f"""{_SHARED}, {_FIT}, {_VOL}, {_HISTORY}
-SELECT player_id, round((30 * final * (ypt * 0.1 + catch * 0.5 + rec_td * 6) + 10 * final * (ypc * 0.1 + rush_td * 6) + 5 * final * (ypa * 0.04 + pass_td * 6 - pass_int * 2)) * round(least(greatest(1 + {_CONTEXT.replace('position', 'f.position')}, 0.94), 1.06), 4), 4) AS inhouse_ppg
-FROM fit f JOIN rates USING (player_id)""")
+@query("g13_projection", f"""{_SHARED}, {_FIT}, {_VOL}, {_HISTORY},
+aged AS (SELECT player_id, {AGE_FACTOR_SQL} AS aged FROM (SELECT player_id, position, (DATE '2001-09-01' - birth_date) / 365.25 AS age FROM players)),
+ppg AS (SELECT player_id, f.position AS pos, 30 * final * (ypt * 0.1 + catch * CASE f.position WHEN 'TE' THEN 1.0 ELSE 0.5 END + rec_td * 6) + 10 * final * (ypc * 0.1 + rush_td * 6) + 5 * final * (ypa * 0.04 + pass_td * 6 - pass_int * 2) AS raw FROM fit f JOIN rates USING (player_id))
+SELECT player_id, round(round(raw, 4) * coalesce(aged, 1.0) * round(least(greatest(1 + {_CONTEXT.replace('position', 'pos')}, 0.94), 1.06), 4), 3) AS inhouse_ppg
+FROM ppg LEFT JOIN aged USING (player_id)""")
 def g13_projection(spark, sf_dir):
-    """Own and slot shares, budget, shrunk rates and context, as points a game."""
-    p = projection.fit_to_budget(shared(spark, sf_dir), 1.2).select("player_id", "share").join(projection.shrunk_rates(history(spark, sf_dir)), "player_id")
-    p = p.withColumns({"targets_pg": 30 * F.col("share"), "carries_pg": 10 * F.col("share"), "attempts_pg": 5 * F.col("share")})
-    return projection.points_per_game(p, F.lit(1.0), _context()).select("player_id", F.round("inhouse_ppg", 4).alias("inhouse_ppg"))
+    """Own and slot shares, measured budget, shrunk rates, a league's scoring (tight ends get a point a catch), age and
+    context, as points a game.  The weekly lines are read once, for player-seasons that are settled."""
+    s = settle(player_seasons(spark, sf_dir), "seasons")
+    p = fitted(framed(s)).select("player_id", "share").join(projection.shrunk_rates(projection.efficiency_history(s)), "player_id")
+    born = bound(spark, sf_dir, "players").select("player_id", features.age_at(F.col("birth_date"), F.lit("2001-09-01").cast("date")).alias("age"))
+    p = p.join(born, "player_id", "left").withColumns({"targets_pg": 30 * F.col("share"), "carries_pg": 10 * F.col("share"), "attempts_pg": 5 * F.col("share")})
+    out = projection.points_per_game(p, features.age_factor(F.col("position"), F.col("age")), _context(), overrides={"TE": {"rec": 1.0}})
+    return out.select("player_id", F.round("inhouse_ppg", 3).alias("inhouse_ppg"))
 
 
 def _curated(spark: SparkSession, sf_dir: str) -> DataFrame:
