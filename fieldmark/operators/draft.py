@@ -65,11 +65,14 @@ def turn_plan(candidates: DataFrame, picks: DataFrame, k: int = 5, least: float
 
 
 def best_by_round(pool: DataFrame, plan: DataFrame) -> DataFrame:
-    """Expected best value by round: mean, least and greatest over the slots' live picks."""
+    """Expected best value by round: mean, least and greatest over the slots' live picks.
+
+    Only candidates above their baseline meet the picks: the others are worth 0, come after all of these, and add nothing.
+    A baseline is set by a league's starters, so they are few however many players there are. Without any, 0 is expected."""
     picks = plan.filter("live_pick_no is not null").select("league_id", "round", F.col("overall_pick").alias("pick"))
-    each = pool.select("league_id", "player_id", F.greatest("vorp", F.lit(0.0)).alias("value"), "adp", "sd_adp").join(picks, "league_id")
+    each = picks.join(pool.filter("vorp > 0").select("league_id", "player_id", F.col("vorp").alias("value"), "adp", "sd_adp"), "league_id", "left")
     each = each.withColumn("p", p_available(F.col("pick"), F.col("adp"), F.col("sd_adp")))
-    best = expected_best(each, ["league_id", "round", "pick"])
+    best = expected_best(each, ["league_id", "round", "pick"]).withColumn("expected_best", F.coalesce("expected_best", F.lit(0.0)))
     return best.groupBy("league_id", "round").agg(F.avg("expected_best").alias("mean"), F.min("expected_best").alias("least"), F.max("expected_best").alias("greatest"))
 
 

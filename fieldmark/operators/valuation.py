@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldmark.functions.columns import before, normal_cdf, running, zero
+from fieldmark.sources.settled import settle
 from fieldmark.operators.market import nearest_quantile
 
 #: Starters of a lineup by position, flexible places and who may fill them, bench, and its share by position.
@@ -124,15 +125,18 @@ def consensus_tiers(pool: DataFrame, k: Mapping[str, int], window: int = 60) ->
     schema = "league_id long, player_id long, position string, tier int"
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.dropna(subset=["composite_rank"]).sort_values(["composite_rank", "player_id"])
-        tier = np.zeros(len(g), int)
-        if len(g):
-            first = g["composite_rank"].to_numpy()[:window]
-            tier[: len(first)] = np.maximum.accumulate(_dense(mixture_tiers(-first, k.get(g["position"].iloc[0], 8))))
-            tier[len(first) :] = tier[len(first) - 1] + 1
+        g = group.sort_values("n")
+        tier = np.maximum.accumulate(_dense(mixture_tiers(-g["composite_rank"].to_numpy(), k.get(g["position"].iloc[0], 8))))
         return g.assign(tier=tier)[["league_id", "player_id", "position", "tier"]]
 
-    return pool.select("league_id", "player_id", "position", "composite_rank").groupBy("league_id", "position").applyInPandas(fit, schema)
+    w = Window.partitionBy("league_id", "position").orderBy("composite_rank", "player_id")
+    known = pool.select(F.col("league_id").cast("long").alias("league_id"), F.col("player_id").cast("long").alias("player_id"), "position", "composite_rank").filter("composite_rank is not null")
+    known = known.withColumn("n", F.row_number().over(w))
+    # Python sees a window's ranks of each group; the rest need only its last tier.
+    tiers = settle(known.filter(F.col("n") <= window).groupBy("league_id", "position").applyInPandas(fit, schema), "tiers")
+    last = tiers.groupBy(F.col("league_id").alias("_l"), F.col("position").alias("_p")).agg((F.max("tier") + 1).alias("tier"))
+    rest = known.filter(F.col("n") > window).join(last, F.col("league_id").eqNullSafe(F.col("_l")) & F.col("position").eqNullSafe(F.col("_p")))
+    return tiers.unionByName(rest.select("league_id", "player_id", "position", "tier"))
 
 
 def _dense(tiers: np.ndarray) -> np.ndarray:
