@@ -1,18 +1,16 @@
-"""Reading tables, and cutting lineage in the folder that the cluster shares."""
+"""Reading tables, and joins and flags that several operators share. Lineage is cut by :mod:`fieldmark.sources.settled`."""
 
 from __future__ import annotations
 
 import ctypes
 import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
+from fieldmark.sources.settled import new_path, settle  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,37 +30,6 @@ def bounded_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
         spark.conf.set(name, str(size))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, ``spark.checkpoint.dir``; a temporary one only where that is unset and all runs on one
-    machine (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="fieldmark-")
-    return _own[app]
-
-
-def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
-def settle(df: DataFrame, what: str = "table") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: its lineage ends there, and a lost executor costs no rerun."""
-    path = new_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder that this library made in the shared folder."""
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
-
-
 def doc_text(docs: DataFrame) -> DataFrame:
     """(doc_id, text) alone, so that other columns are not read and cannot clash."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
