@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmark.llm import byte_bpe, chat, decontam, langid, near_dedup, passage_dedup, quality_rules, secrets, substring_dedup, token_counts, token_files
+from fieldmark.llm import (
+    alignment, byte_bpe, chat, decontam, langid, near_dedup, passage_dedup, quality_rules, repair, secrets, simhash_dedup, substring_dedup, token_counts, token_files,
+)
 from fieldmark.llm.frames import bounded_batches, new_path, table
 
 
@@ -63,16 +65,28 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_units", "n_removed", "n_removed_words", spans.alias("removed_spans"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.repair(repair.damage(rows), rows)
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignments(documents(spark, sf_dir))
+
+
+def op13_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.near_groups(documents(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_id_output, op2_quality_rules, op3_benchmark_decontamination, op4_language_id, op5_chat_formatting, op6_token_counts, op7_byte_bpe, op8_near_dedup,
-        op9_secret_scans, op10_substring_dedup,
+        op9_secret_scans, op10_substring_dedup, op11_conversation_repair, op12_token_alignment, op13_simhash_dedup,
     )
 }
 
 
-
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated whole lines of five words or more."""
     rows = substring_dedup.repeated_units(documents(spark, sf_dir), "line", least_words=5, run_words=0)
@@ -188,3 +202,44 @@ edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach AS (SELECT doc_id, doc_id AS root FROM d UNION SELECT e.b, r.root FROM reach r JOIN edges e ON e.a = r.doc_id),
 least AS (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM d JOIN least USING (doc_id) LEFT JOIN sizes USING (doc_id)"""
+
+#: Nodes of the edit lattice as (from, insertions, to, price), and what a row does to a state; one step a row of a conversation.
+ORACLE_SQL["op11_conversation_repair"] = r"""
+WITH RECURSIVE named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ord(x) AS UBIGINT)) AS bytes
+  FROM conversations),
+kinds AS (
+  SELECT *, xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, bytes), lambda c, b:
+    list_reduce(list_prepend(xor(c, b), range(8)::UBIGINT[]), lambda x, k: xor(x >> 1, 3988292384::UBIGINT * (x & 1))))) % 20 AS kind FROM named),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM kinds WHERE kind <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS k, left(role, 1) AS initial,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth, right(regexp_replace(text, '[\x20\x09-\x0D]+$', ''), 1) AS last FROM damaged),
+faulty AS (
+  SELECT *, CASE WHEN last = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN NOT contains('.!?', last) THEN 'truncated' ELSE '' END AS fault,
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY k) || initial AS adjacent FROM placed),
+counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (adjacent NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM faulty GROUP BY conv_id),
+adding(q, ins, q2, price, added) AS (VALUES ('E', '', 'E', 0, []), ('S', '', 'S', 0, []), ('U', '', 'U', 0, []), ('A', '', 'A', 0, []), ('E', 'I', 'U', 2, ['user:']), ('S', 'I', 'U', 2, ['user:']),
+  ('A', 'I', 'U', 2, ['user:']), ('U', 'I', 'A', 2, ['assistant:']), ('E', 'II', 'A', 4, ['user:', 'assistant:']), ('S', 'II', 'A', 4, ['user:', 'assistant:'])),
+acting(q, act, initial, q2, price) AS (VALUES ('E', 'K', 's', 'S', 0), ('E', 'K', 'u', 'U', 0), ('S', 'K', 'u', 'U', 0), ('A', 'K', 'u', 'U', 0), ('U', 'K', 'a', 'A', 0),
+  ('E', 'R', NULL, 'U', 2), ('S', 'R', NULL, 'U', 2), ('A', 'R', NULL, 'U', 2), ('U', 'R', NULL, 'A', 2), ('E', 'D', NULL, 'E', 3), ('S', 'D', NULL, 'S', 3), ('U', 'D', NULL, 'U', 3), ('A', 'D', NULL, 'A', 3)),
+ways AS (
+  SELECT conv_id, 1::BIGINT AS k, 'E' AS q, {'cost': 0, 'audit': '', 'out': CAST([] AS VARCHAR[])} AS best FROM counted
+  UNION ALL
+  SELECT w.conv_id, w.k + 1, t.q2, min({'cost': w.best.cost + a.price + t.price + CASE WHEN t.act <> 'D' AND f.fault = 'truncated' THEN 1 ELSE 0 END, 'audit': w.best.audit || a.ins || t.act,
+    'out': list_concat(w.best.out, a.added, CASE t.act WHEN 'K' THEN [f.role || ':' || f.text] WHEN 'R' THEN [CASE t.q2 WHEN 'U' THEN 'user:' ELSE 'assistant:' END || f.text] ELSE [] END)})
+  FROM ways w JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.k = w.k JOIN adding a ON a.q = w.q
+    JOIN acting t ON t.q = a.q2 AND (t.initial IS NULL OR t.initial = f.initial) AND (t.act = 'D' OR f.fault NOT IN ('blank', 'duplicate'))
+  GROUP BY w.conv_id, w.k, t.q2),
+ended AS (
+  SELECT w.conv_id, min({'cost': w.best.cost + a.price, 'audit': w.best.audit || a.ins, 'out': list_concat(w.best.out, a.added)}) AS best
+  FROM ways w JOIN counted c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND w.k = c.n + 1 JOIN adding a ON a.q = w.q AND a.q2 IN ('E', 'A') GROUP BY w.conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(best.cost, 0) AS BIGINT) AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.out, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id"""

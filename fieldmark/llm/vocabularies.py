@@ -14,12 +14,15 @@ import tokenizers
 
 BYTE_BPE_JSON = public_tokenizers.path("byte_bpe_50k.json")
 BYTE_BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 @lru_cache(4)
-def library_tokenizer(path: str) -> tokenizers.Tokenizer:
+def library_tokenizer(path: str, plain_text: bool = False) -> tokenizers.Tokenizer:
+    """``plain_text``: strings of special tokens inside texts are text like any other."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     found = tokenizers.Tokenizer.from_file(path)
+    found.encode_special_tokens = plain_text
     found.no_truncation()
     found.no_padding()
     return found
@@ -69,14 +72,14 @@ def space_first(path: str) -> np.ndarray:
     return out
 
 
-def library_flat(path: str, words: list[str], together: int = 256) -> tuple[np.ndarray, np.ndarray]:
+def library_flat(path: str, words: list[str], together: int = 256, plain_text: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(number of ids of each word, all ids in order), as ``library_ids``.
 
     Words of a space and letters are split off again wherever they stand, so many of them go to the library as one
     text; of the tokens of such a word just the first one begins with the space."""
     plain = [i for i, w in enumerate(words) if w[0] == " " and w[1:].isalpha()]
     rest = sorted(set(range(len(words))) - set(plain))
-    encode = library_tokenizer(path).encode_batch_fast
+    encode = library_tokenizer(path, plain_text).encode_batch_fast
     size, parts = np.zeros(len(words), np.int64), []
     order = np.array([*plain, *rest], np.int64)
     groups = [plain[a : a + together] for a in range(0, len(plain), together)]
