@@ -49,6 +49,14 @@ def sample_std(columns: Sequence[Column]) -> Column:
     return F.when(n > 1, F.sqrt(s / (n - 1)))
 
 
+def free_name(names: Sequence[str], name: str) -> str:
+    """A column name made from ``name`` that ``names`` do not hold in either case of its letters."""
+    held = {c.lower() for c in names}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def before(w: WindowSpec) -> WindowSpec:
     """The rows before the current one."""
     return w.rowsBetween(Window.unboundedPreceding, -1)

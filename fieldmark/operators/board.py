@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,31 +28,44 @@ def undrafted(ranked: DataFrame, picks: DataFrame, keepers: DataFrame) -> DataFr
 
 
 def live_room(free: DataFrame, made: DataFrame) -> DataFrame:
-    """Room order of those left, counted on from the picks made."""
-    known = free.filter(F.col("adp").isNotNull()).join(made, "league_id", "left")
-    n = F.row_number().over(Window.partitionBy("league_id").orderBy("adp", "player_id"))
-    return known.withColumn("live_adp", n + zero("picks_made")).drop("picks_made")
+    """Room order of those left, counted on from the picks made; unknown for those without a draft position, who stay."""
+    n = F.row_number().over(Window.partitionBy("league_id").orderBy(F.asc_nulls_last("adp"), "player_id"))
+    both = free.join(made.select("league_id", "picks_made"), "league_id", "left")
+    return both.withColumn("live_adp", F.when(F.col("adp").isNotNull(), n + zero("picks_made"))).drop("picks_made")
 
 
 def horizon(plan: DataFrame, made: DataFrame, slot: int) -> DataFrame:
-    """The last pick before it is our turn again: before our next pick, or before the one after if we are on the clock."""
-    live = plan.filter("live_pick_no is not null").join(made, "league_id", "left").withColumn("picks_made", zero("picks_made"))
-    mine = live.filter((F.col("team_slot") == slot) & (F.col("live_pick_no") > F.col("picks_made") + 1))
-    nxt = mine.groupBy("league_id").agg(F.min("live_pick_no").alias("next_live"))
-    every = live.groupBy("league_id").agg(F.max("picks_made").alias("picks_made"))
-    return every.join(nxt, "league_id", "left").select("league_id", "picks_made", (F.col("next_live") - 1).alias("horizon"))
+    """Per league: picks_made, the last pick before the one that we decide about, and that one's round.
+
+    We decide about our next pick, or about the one after while we are on the clock; at our last pick there is no other.
+    Leagues where we have no pick left have a null horizon."""
+    live = plan.filter("live_pick_no is not null").join(made.select("league_id", "picks_made"), "league_id", "left").withColumn("picks_made", zero("picks_made"))
+    mine = (F.col("team_slot") == slot) & (F.col("live_pick_no") > F.col("picks_made"))
+    at = F.struct("live_pick_no", "round")
+    both = live.groupBy("league_id").agg(F.max("picks_made").alias("picks_made"), F.min(F.when(mine, at)).alias("first"), F.min(F.when(mine & (F.col("live_pick_no") > F.col("picks_made") + 1), at)).alias("second"))
+    target = F.coalesce("second", "first")
+    return both.select("league_id", "picks_made", (target["live_pick_no"] - 1).alias("horizon"), target["round"].alias("horizon_round"))
+
+
+def _there(default: float | None) -> Column:
+    """Chance to be there at the horizon of a player with a room order, and ``default`` without one."""
+    sd = F.coalesce(F.nullif(F.col("sd_adp"), F.lit(0.0)), F.lit(10.0))
+    p = F.when(F.col("horizon").isNull(), None).when(F.col("live_adp").isNull(), F.lit(default)).when(F.col("horizon") <= F.col("picks_made"), 1.0)
+    return p.otherwise(p_available(F.col("horizon"), F.col("live_adp").cast("double"), sd))
 
 
 def live_chance(free: DataFrame, at: DataFrame) -> DataFrame:
-    """Chance to be there at the horizon: unknown without a draft position, sure if nobody picks before."""
-    both = free.join(at, "league_id")
-    p = F.when(F.col("live_adp").isNull(), None).when(F.col("horizon").isNull() | (F.col("horizon") <= F.col("picks_made")), 1.0)
-    return both.withColumn("p", p.otherwise(p_available(F.col("horizon"), F.col("live_adp").cast("double"), F.col("sd_adp"))))
+    """Chance to be there at the horizon: unknown without a draft position or a horizon, sure if nobody picks before, and
+    with a deviation of 10 where none is known."""
+    return free.join(at, "league_id").withColumn("p", _there(None))
 
 
-def roster(picked: DataFrame) -> DataFrame:
-    """By league and team: open places by position, open flexible ones, bench by position. ``picked`` has position."""
+def roster(picked: DataFrame, teams: DataFrame | None = None) -> DataFrame:
+    """By league and team: open places by position, open flexible ones, bench by position. ``picked`` has position, keepers
+    among them; teams of ``teams`` (league_id, team_slot) without players have all places open."""
     n = picked.groupBy("league_id", "team_slot").pivot("position", list(SLOTS)).agg(F.count(F.lit(1)))
+    if teams is not None:
+        n = teams.select("league_id", "team_slot").distinct().join(n, ["league_id", "team_slot"], "full")
     have = {p: zero(p) for p in SLOTS}
     surplus = sum([F.greatest(have[p] - SLOTS[p], F.lit(0)) for p in FLEX_POSITIONS[1:]], F.greatest(have[FLEX_POSITIONS[0]] - SLOTS[FLEX_POSITIONS[0]], F.lit(0)))
     return n.select(
@@ -65,16 +80,28 @@ def bye_stacks(picked: DataFrame, byes: DataFrame, least: int = 3) -> DataFrame:
 
 
 def slot_weight(position: Column, open_: Column, open_flex: Column, depth: Column) -> Column:
-    """What another player of the position is worth to a roster."""
+    """What another player of the position is worth to a roster with so many open places and a bench so deep."""
     needed = (open_ > 0) | (position.isin(*FLEX_POSITIONS) & (open_flex > 0))
-    deep = F.greatest(F.lit(0.10), 0.35 * F.pow(F.lit(0.55), depth - 1))
+    deep = F.greatest(F.lit(0.10), 0.35 * F.pow(F.lit(0.55), F.greatest(depth - 1, F.lit(0))))
     return F.when(needed, 1.0).when(position.isin(*NO_VALUE), 0.03).when(position == "QB", 0.15).otherwise(F.round(deep, 3))
 
 
-def live_vona(free: DataFrame, weight: Column) -> DataFrame:
-    """Value over the best other one expected at the horizon, in the same position, weighted by what the roster needs."""
-    c = free.withColumns({"value": F.greatest("vorp", F.lit(0.0)), "p": F.coalesce("p", F.lit(1.0)), "slot_weight": weight})
-    return leave_one_out(c, ["league_id", "position"]).withColumn("vona", F.col("slot_weight") * F.greatest(F.col("value") - F.col("others_best"), F.lit(0.0)))
+def position_weights(rosters: DataFrame, slot: int) -> DataFrame:
+    """(league_id, position, slot_weight) of our team's roster, see :func:`roster`."""
+    each = F.array(*[F.struct(F.lit(p).alias("position"), F.col(f"open_{p}").alias("open"), F.col("open_FLEX").alias("flex"), F.col(f"bench_{p}").alias("bench")) for p in SLOTS])
+    rows = rosters.filter(F.col("team_slot") == slot).select("league_id", F.explode(each).alias("r"))
+    return rows.select("league_id", "r.position", slot_weight(F.col("r.position"), F.col("r.open"), F.col("r.flex"), F.col("r.bench")).alias("slot_weight"))
+
+
+def live_vona(free: DataFrame, weights: DataFrame) -> DataFrame:
+    """Those that have a value, with the best other one expected at the horizon in the same position, and what a player is
+    worth over him, weighted by what our roster needs. If nobody picks before the horizon no other one counts.
+
+    ``free`` has live_adp and the league's horizon; where there is none, vona is null."""
+    c = free.filter(F.col("vorp").isNotNull() & ~F.col("position").isin(*NO_VALUE)).withColumns({"value": F.greatest("vorp", F.lit(0.0)), "p_other": _there(1.0)})
+    c = leave_one_out(c.withColumn("p_other", zero("p_other")), ["league_id", "position"], p="p_other").drop("p_other").join(weights, ["league_id", "position"], "left")
+    best = F.when(F.col("horizon") > F.col("picks_made"), F.col("others_best")).when(F.col("horizon").isNotNull(), 0.0)
+    return c.withColumn("others_best", best).withColumn("vona", F.col("slot_weight") * (F.col("value") - F.col("others_best")))
 
 
 def panel(free: DataFrame, round_now: Column, k: int = 5) -> DataFrame:
@@ -85,18 +112,48 @@ def panel(free: DataFrame, round_now: Column, k: int = 5) -> DataFrame:
     return free.filter(~none | (round_now >= LATE_ROUND)).withColumn("place", n).filter(F.col("place") <= k)
 
 
+def live_tables(ranked: DataFrame, plan: DataFrame, kept: DataFrame, standing: DataFrame, live: DataFrame, slot: int, k: int = 3) -> dict[str, DataFrame]:
+    """What a draft's screen shows of the leagues in ``live`` (league_id, picks_made), for our team at ``slot``:
+
+    ``rosters``, places of every team; ``board``, each player left with his room order, chance and value over the best
+    other one; ``panel``, the first ``k`` of each position. All work is within those leagues: other rows of ``ranked``,
+    ``plan``, ``kept`` (league_id, team_slot, player_id) and ``standing`` are filtered before anything is sorted."""
+    of = lambda df: df.join(F.broadcast(live.select("league_id")), "league_id", "left_semi")  # noqa: E731  the leagues of a micro-batch
+    ranked, plan, kept, standing = of(ranked), of(plan), of(kept), of(standing)
+    held = kept.select("league_id", "team_slot", "player_id").unionByName(standing.select("league_id", "team_slot", "player_id"))
+    rosters = roster(held.join(ranked.select("league_id", "player_id", "position"), ["league_id", "player_id"]), plan)
+    free = live_room(undrafted(ranked, standing.select("league_id", "player_id"), kept.select("league_id", "player_id")), live)
+    chance = live_chance(free, horizon(plan, live, slot))
+    vona = live_vona(chance, position_weights(rosters, slot)).select("league_id", "player_id", "slot_weight", "others_best", "vona")
+    board = chance.join(vona, ["league_id", "player_id"], "left")
+    shown = panel(board.filter("horizon is not null"), F.col("horizon_round"), k)
+    return {
+        "rosters": rosters, "board": board.select("league_id", "player_id", "position", "live_adp", "p", "slot_weight", "others_best", "vona"),
+        "panel": shown.select("league_id", "position", "place", "player_id", "p", "others_best", "vona"),
+    }
+
+
 def team_rosters(plan: DataFrame, picks: DataFrame) -> DataFrame:
-    """Picks in the order made, put to the schedule's live picks, with whether the team that picked was on turn."""
-    made = picks.withColumn("live_pick_no", F.row_number().over(Window.partitionBy("league_id").orderBy("picked_at", "event_id")).cast("long"))
-    made = made.select("league_id", "live_pick_no", "player_id", F.col("team_slot").alias("picked_by"))
-    return plan.filter("live_pick_no is not null").join(made, ["league_id", "live_pick_no"]).select("league_id", "live_pick_no", "team_slot", "picked_by", "player_id", (F.col("team_slot") == F.col("picked_by")).alias("on_turn"))
+    """Every team's players: keepers in their holes, and picks, in the order made, at the schedule's live slots, with the team
+    that made each and whether it was on turn. Slots to come have no player. ``picks``: league_id, player_id, team_slot,
+    overall_pick."""
+    made = picks.withColumn("live_pick_no", F.row_number().over(Window.partitionBy("league_id").orderBy("overall_pick", "player_id")).cast("long"))
+    made = made.select("league_id", "live_pick_no", F.col("player_id").alias("picked"), F.col("team_slot").alias("picked_by"))
+    both = plan.join(made, ["league_id", "live_pick_no"], "left")
+    return both.select(
+        "league_id", "overall_pick", "round", "live_pick_no", "team_slot", F.coalesce("keeper_player_id", "picked").alias("player_id"), F.col("keeper_player_id").isNotNull().alias("is_keeper"), "picked_by",
+        F.when(F.col("picked").isNotNull(), F.col("picked_by") == F.col("team_slot")).alias("on_turn"),
+    )
 
 
 def drift(placed: DataFrame) -> DataFrame:
-    """Picks that each team should have and has; a difference says who picks out of turn."""
-    want = placed.groupBy("league_id", "team_slot").agg(F.count("*").alias("expected"))
-    have = placed.groupBy("league_id", F.col("picked_by").alias("team_slot")).agg(F.count("*").alias("actual"))
-    return want.join(have, ["league_id", "team_slot"], "full").select("league_id", "team_slot", zero("expected").alias("expected"), zero("actual").alias("actual"))
+    """Live picks that each team should have made so far and has made, idle teams too, and whether they differ."""
+    made = placed.filter("picked_by is not null")
+    teams = placed.select("league_id", "team_slot").distinct()
+    want = made.groupBy("league_id", "team_slot").agg(F.count("*").alias("expected"))
+    have = made.groupBy("league_id", F.col("picked_by").alias("team_slot")).agg(F.count("*").alias("actual"))
+    both = teams.join(want, ["league_id", "team_slot"], "full").join(have, ["league_id", "team_slot"], "full")
+    return both.select("league_id", "team_slot", zero("expected").alias("expected"), zero("actual").alias("actual"), (zero("expected") != zero("actual")).alias("offender"))
 
 
 def lineup_tally(picked: DataFrame) -> DataFrame:
@@ -115,10 +172,29 @@ def sort_board(board: DataFrame, by: str, descending: bool = False) -> DataFrame
     return board.orderBy(F.desc_nulls_last(by) if descending else F.asc_nulls_last(by), "overall_rank")
 
 
-def best_available(board: DataFrame) -> DataFrame:
-    """Each league's highest-ranked player who is still free."""
-    free = board.filter("not drafted")
-    return free.groupBy("league_id").agg(F.min_by("player_id", "overall_rank").alias("player_id"), F.min("overall_rank").alias("overall_rank"))
+def filter_board(board: DataFrame, position: str | None = None, marks: Sequence[str] = (), hide_drafted: bool = False, search: str = "") -> DataFrame:
+    """Rows of a position, with all of the given flags, still free, and whose name, team and position hold a text in any case."""
+    if position:
+        board = board.filter(F.col("position") == position)
+    for m in marks:
+        board = board.filter(flag(F.array_contains("flags", m)))
+    if hide_drafted:
+        board = board.filter(~flag(F.col("drafted")))
+    text = search.strip().lower()
+    if text:
+        hay = F.lower(F.concat_ws(" ", "name", F.coalesce("team", F.lit("")), "position"))
+        board = board.filter(F.contains(hay, F.lit(text)))
+    return board
+
+
+def best_available(board: DataFrame, round_now: Column | None = None) -> DataFrame:
+    """Each league's highest-ranked player who is still free. Kickers and defences are held back until their rounds, also
+    where the round is not known, unless nobody else is left."""
+    free = board.filter(~flag(F.col("drafted")))
+    late = flag(round_now >= LATE_ROUND) if round_now is not None else F.lit(False)
+    held_back = F.col("position").isin(*NO_VALUE) & ~late
+    first = F.min(F.struct(held_back.alias("held_back"), "overall_rank", "player_id")).alias("first")
+    return free.groupBy("league_id").agg(first).select("league_id", "first.player_id", "first.overall_rank")
 
 
 def profiles(players: DataFrame, seasons: DataFrame, market: DataFrame, why: DataFrame) -> DataFrame:

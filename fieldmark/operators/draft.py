@@ -108,18 +108,3 @@ def keeper_verdict(surplus: DataFrame, cost: DataFrame, luck: DataFrame, product
     at = surplus.join(cost, ["league_id", "player_id"]).filter(F.col("round") == F.col("cost_round"))
     verdict = F.when(F.col("surplus") > 0, KEEP).otherwise(INSTEAD)
     return at.join(signals, "player_id", "left").withColumn("verdict", verdict)
-
-
-def undone_by_window(events: DataFrame) -> DataFrame:
-    """Picks that stand after undos, by windows alone: an undo pairs with the pick at the same height of the stack.
-
-    Height is picks less undos so far; a pick stands if no later undo comes down to its height again."""
-    w = Window.partitionBy("league_id").orderBy("picked_at", "event_id")
-    step = F.when(F.col("action") == "pick", 1).when(F.col("action") == "undo", -1).otherwise(0)
-    raw = F.sum(step).over(running(w))
-    floor = F.least(F.lit(0), F.min("_raw").over(running(w)))
-    h = events.withColumn("_raw", raw).withColumn("_h", F.col("_raw") - floor)
-    later = F.min("_h").over(w.rowsBetween(1, Window.unboundedFollowing))
-    stands = (F.col("action") == "pick") & F.coalesce(F.col("_later") >= F.col("_h"), F.lit(True))
-    return h.withColumn("_later", later).filter(stands).drop("_raw", "_h", "_later")
-

@@ -6,15 +6,17 @@ tasks; one league's pool is a draft's size and fits a task by its nature.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from fieldmark.functions.columns import before, normal_cdf, running, zero
+from fieldmark.functions.columns import before, free_name, normal_cdf, running, zero
 from fieldmark.sources.settled import settle
 from fieldmark.operators.market import nearest_quantile
 
@@ -170,32 +172,101 @@ def expected_best(candidates: DataFrame, keys: list[str], value: str = "value",
     return candidates.withColumn("_e", F.col(value) * F.col(p) * none_better).groupBy(*keys).agg(F.sum("_e").alias("expected_best"))
 
 
-def others_best(values_: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Expected best without each candidate in turn; values in falling order.
-
-    Nothing is divided out, so candidates who are surely there do no harm: the head before a candidate and the tail
-    after it are each summed on their own."""
-    n = len(values_)
-    tail = np.zeros(n + 1)
-    for i in range(n - 1, -1, -1):
-        tail[i] = values_[i] * p[i] + (1 - p[i]) * tail[i + 1]
-    out, head, none = np.zeros(n), 0.0, 1.0
-    for i in range(n):
-        out[i] = head + none * tail[i + 1]
-        head += values_[i] * p[i] * none
-        none *= 1 - p[i]
-    return out
-
-
-def leave_one_out(candidates: DataFrame, keys: list[str]) -> DataFrame:
-    """``candidates`` (player_id, value, p and keys) with ``others_best``. A group is a league's position."""
-    schema = T.StructType([*candidates.schema.fields, T.StructField("others_best", T.DoubleType())])
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.sort_values(["value", "player_id"], ascending=[False, True])
-        return g.assign(others_best=others_best(g["value"].to_numpy(float), g["p"].to_numpy(float)))
-
-    return candidates.groupBy(*keys).applyInPandas(run, schema)
+def leave_one_out(candidates: DataFrame, keys: list[str], value: str = "value", p: str = "p") -> DataFrame:
+    """``candidates`` with ``others_best``: the expected best of all others of their group, by value and then player_id.
+
+    A candidate maps what is expected after him, E, to ``v p + (1 - p) E``, and such maps compose: of a run of candidates to
+    ``b + a E``.  Groups are cut into runs by range partitions, so a large one spreads over tasks; each run gives its (a, b),
+    a few rows a group are scanned from both ends, and each run is finished with what comes before and after it.  Nothing is
+    divided out, so candidates who are surely there do no harm. Null values or chances are not allowed."""
+    kind, names = candidates.schema, candidates.columns
+    marks = [free_name(names, c) for c in ("run", "a", "b", "none_before", "best_before", "best_after")]
+    run_, a_, b_, none_, before_, after_ = marks
+    order = [*keys, F.desc(value), "player_id"]
+    dealt = candidates.repartitionByRange(*order).withColumn(run_, F.spark_partition_id())
+    dealt = settle(dealt, "runs")  # the partition is part of the key from here on
+    # The map of a run: its rows are few enough for one partition, which is what they came from.
+    ordered = dealt.repartition(*keys, run_).sortWithinPartitions(*keys, run_, F.desc(value), "player_id")
+    where = {c: i for i, c in enumerate([*names, run_])}
+    by = [where[c] for c in (*keys, run_)]
+
+    def runs_of(batches: Iterator[pa.RecordBatch], columns: list[int]) -> Iterator[tuple[tuple, list[list], bool]]:
+        """(key, columns, whether the run ends there) of sorted rows, batch by batch."""
+        held = None
+        for batch in batches:
+            got = [batch.column(i).to_pylist() for i in columns]
+            key = list(zip(*(batch.column(i).to_pylist() for i in by)))
+            cuts = [0, *(i for i in range(1, len(key)) if key[i] != key[i - 1]), len(key)]
+            for s, z in zip(cuts, cuts[1:]):
+                if held is not None:
+                    yield *held, held[0] != key[s]
+                held = key[s], [g[s:z] for g in got]
+        if held is not None:
+            yield *held, True
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, a, b = [], 1.0, 0.0
+        for key, (v, p_), ends in runs_of(batches, [where[value], where[p]]):
+            for x, y in zip(v, p_):
+                b, a = b + a * x * y, a * (1 - y)
+            if ends:
+                out.append((*key, a, b))
+                a, b = 1.0, 0.0
+        columns = list(zip(*out)) or [()] * (len(keys) + 3)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, few_arrow)], schema=few_arrow)
+
+    few = T.StructType([*(kind[k] for k in keys), T.StructField(run_, T.IntegerType()), T.StructField(a_, T.DoubleType()), T.StructField(b_, T.DoubleType())])
+    few_arrow = to_arrow_schema(few)
+    each = settle(ordered.mapInArrow(mapped, few), "run_maps")
+    # Runs of a group are as many as the partitions that it spans.
+    listed = each.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(run_, a_, b_))).alias("_runs"))
+    start = F.struct(F.lit(1.0).alias(none_), F.lit(0.0).alias(before_))
+    ahead = lambda upto: F.aggregate(upto, start, lambda s, r: F.struct((s[none_] * r[a_]).alias(none_), (s[before_] + s[none_] * r[b_]).alias(before_)))
+    behind = lambda rest: F.aggregate(F.reverse(rest), F.lit(0.0), lambda e, r: r[b_] + r[a_] * e)
+    n = F.size("_runs")
+    scanned = F.transform("_runs", lambda r, i: F.struct(r[run_].alias(run_), ahead(F.slice("_runs", F.lit(1), i)).alias("s"), behind(F.slice("_runs", i + 2, n)).alias(after_)))
+    ends_ = listed.select(*keys, F.explode(scanned).alias("_r")).select(*keys, f"_r.{run_}", f"_r.s.{none_}", f"_r.s.{before_}", f"_r.{after_}")
+    ends_ = ends_.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(run_).alias("_run"), none_, before_, after_)
+    both = dealt.join(ends_, [*(dealt[k].eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)), dealt[run_] == F.col("_run")]).select(*names, run_, none_, before_, after_)
+    both = both.repartition(*keys, run_).sortWithinPartitions(*keys, run_, F.desc(value), "player_id")
+    at = {c: i for i, c in enumerate([*names, run_, none_, before_, after_])}
+    out_schema = T.StructType([*kind.fields, T.StructField("others_best", T.DoubleType())])
+
+    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            whole = pa.Table.from_batches(held)
+            v, p_, none, best, after = (whole.column(at[c]).to_pylist() for c in (value, p, none_, before_, after_))
+            tail = [0.0] * len(v)  # what is expected after each one
+            e = after[-1]
+            for i in range(len(v) - 1, -1, -1):
+                tail[i] = e
+                e = v[i] * p_[i] + (1 - p_[i]) * e
+            q, head, others = none[0], best[0], []
+            for i in range(len(v)):
+                others.append(head + q * tail[i])
+                head += v[i] * p_[i] * q
+                q *= 1 - p_[i]
+            whole = whole.select(names).append_column("others_best", pa.array(others, pa.float64()))
+            yield from whole.to_batches()
+
+        last = None
+        for batch in batches:
+            key = list(zip(*(batch.column(i).to_pylist() for i in by)))
+            cuts = [0, *(i for i in range(1, len(key)) if key[i] != key[i - 1]), len(key)]
+            for s, z in zip(cuts, cuts[1:]):
+                if z == s:
+                    continue
+                if held and key[s] != last:
+                    yield from done()
+                    held.clear()
+                held.append(batch.slice(s, z - s))
+                last = key[s]
+        if held:
+            yield from done()
+
+    return both.mapInArrow(finished, out_schema)
 
 
 def nearest_decile_cut(valued: DataFrame) -> DataFrame:

@@ -48,15 +48,15 @@ SELECT s_suppkey AS player_id, s_name AS name,
   s_suppkey % 13 = 0 AS is_rookie
 FROM {supplier}"""
 
-#: A pool to be drafted: parts, in leagues by size, with points a game, games and an average draft position.
+#: A pool to be drafted: parts, in leagues of 400 by key, so that leagues grow with the table, with points a game, games and an average draft position.
 POOL = """
-SELECT p_size % 5 AS league_id, p_partkey AS player_id,
+SELECT CAST(floor(p_partkey / 400) AS INT) AS league_id, p_partkey AS player_id,
   CASE p_partkey % 12 WHEN 0 THEN 'QB' WHEN 1 THEN 'K' WHEN 2 THEN 'DEF' WHEN 3 THEN 'TE' WHEN 4 THEN 'TE' WHEN 5 THEN 'RB' WHEN 6 THEN 'RB'
     WHEN 7 THEN 'RB' WHEN 8 THEN 'QB' ELSE 'WR' END AS position,
   concat('T', CAST(p_partkey % 16 AS VARCHAR(4))) AS team,
   round(CAST(p_partkey * 7919 % 2003 AS DOUBLE) / 50, 2) AS ppg, CAST(17 - p_partkey % 5 AS DOUBLE) AS e_games,
   CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE round(CAST(p_partkey * 104729 % 3001 AS DOUBLE) / 12 + 1, 1) END AS adp,
-  round(1 + CAST(p_partkey % 17 AS DOUBLE) / 3, 3) AS sd_adp, CAST(p_partkey * 31 % 997 AS DOUBLE) / 60 AS weekly_sd
+  CASE WHEN p_partkey % 19 = 0 THEN NULL ELSE round(1 + CAST(p_partkey % 17 AS DOUBLE) / 3, 3) END AS sd_adp, CAST(p_partkey * 31 % 997 AS DOUBLE) / 60 AS weekly_sd
 FROM {part}"""
 
 _TABLES = {"weekly": (WEEKLY, ["lineitem"]), "expected": (EXPECTED, ["lineitem"]), "players": (PLAYERS, ["supplier"]), "pool": (POOL, ["part"])}

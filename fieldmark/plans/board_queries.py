@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fieldmark.functions.columns import zero
 from fieldmark.operators import board, draft, signals
 from fieldmark.operators.valuation import nearest_decile_cut, room_gaps
 from fieldmark.plans.bindings import ctes, table
 from fieldmark.plans.feature_queries import SEASON_SQL, seasons
-from fieldmark.plans.valuation_queries import KEPT, _GAPS, _TEN, _p_sql, _ten, _values_sql, valued
+from fieldmark.plans.valuation_queries import KEPT, _GAPS, _PLAN, _TEN, _cdf, _ten, _values_sql, others_sql, plan, valued, valued_once
 from fieldmark.sources import payloads, snapshots
-from fieldmark.streaming.picks import fold_in_batch
+from fieldmark.streaming import picks
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -167,104 +168,168 @@ def h16_established(spark, sf_dir):
 
 # board
 
-_PICKED = "player_id % 9 = 1"
-
-
-def _picks(v: DataFrame) -> DataFrame:
-    return v.filter(_PICKED).select("league_id", "player_id", (1 + F.col("player_id") % 10).cast("int").alias("team_slot"), F.col("player_id").alias("overall_pick"), "position", "team", F.col("player_id").alias("event_id"), F.lit(0).alias("picked_at"))
+MY_SLOT = 10
+#: Picks made in a league: none, our turn, between turns, our last turn, after it, and late between turns.
+_MADE = "CASE league_id % 6 WHEN 0 THEN 37 WHEN 1 THEN 9 WHEN 2 THEN 0 WHEN 3 THEN 150 WHEN 4 THEN 118 ELSE 155 END"
 
 
 def _kept(v: DataFrame) -> DataFrame:
     return v.filter(KEPT).select("league_id", "player_id", (1 + F.col("player_id") % 7).cast("int").alias("team_slot"))
 
 
-_BOARD = f"{_POOL}{_values_sql('pool', KEPT)}"
-
-
-@query("j1_board", f"""{_BOARD}, b AS (SELECT *, CAST(CASE WHEN {KEPT} THEN 1 + player_id % 7 WHEN {_PICKED} THEN 1 + player_id % 10 END AS INT) AS owner FROM ranked)
-SELECT league_id, player_id, vorp AS value, owner, owner IS NOT NULL AS drafted, coalesce(owner = 3, false) AS is_mine, concat_ws(',', CASE WHEN {KEPT} THEN 'kept' END, CASE WHEN {_PICKED} THEN 'drafted' END, CASE WHEN owner = 3 THEN 'mine' END) AS tags FROM b""")
-def j1_board(spark, sf_dir):
-    v = valued(spark, sf_dir)
-    return board.rows(v, _picks(v), _kept(v), 3).select("league_id", "player_id", "value", "owner", "drafted", "is_mine", F.array_join("tags", ",").alias("tags"))
-
-
-_FREE = f"made AS (SELECT league_id, count(*) AS picks_made FROM ranked WHERE {_PICKED} GROUP BY ALL), free AS (SELECT r.*, coalesce(picks_made, 0) + row_number() OVER (PARTITION BY r.league_id ORDER BY adp, player_id) AS live_adp FROM ranked r LEFT JOIN made USING (league_id) WHERE NOT ({_PICKED}) AND NOT ({KEPT}) AND adp IS NOT NULL)"
+def _picks(v: DataFrame, schedule: DataFrame) -> DataFrame:
+    """The room takes players in the order of their draft position; every tenth pick is made by the first team instead."""
+    n = F.row_number().over(Window.partitionBy("league_id").orderBy(F.asc_nulls_last("adp"), "player_id"))
+    taken = v.filter(f"NOT ({KEPT})").withColumn("overall_pick", n).filter(F.col("overall_pick") <= F.expr(_MADE))
+    taken = taken.join(schedule.select("league_id", F.col("overall_pick").cast("int").alias("overall_pick"), F.col("team_slot").alias("scheduled")), ["league_id", "overall_pick"])
+    return taken.select("league_id", "player_id", F.when(F.col("overall_pick") % 10 == 0, 1).otherwise(F.col("scheduled")).cast("int").alias("team_slot"), "overall_pick", "position", "team")
 
 
-def _live(spark, sf_dir):
-    v = valued(spark, sf_dir)
-    made = _picks(v).groupBy("league_id").agg(F.count("*").alias("picks_made"))
-    return board.live_room(board.undrafted(v, _picks(v), _kept(v)), made), made
+_BOARD = f"WITH RECURSIVE {ctes('pool')}, {_values_sql('pool', KEPT)}, {_TEN}, {f"""order_ AS (SELECT *, row_number() OVER (PARTITION BY league_id ORDER BY adp NULLS LAST, player_id) AS k FROM ranked WHERE NOT ({KEPT})),
+picks AS (SELECT o.league_id, player_id, position, team, k AS overall_pick, t.team_slot AS scheduled, CASE WHEN k % 10 = 0 THEN 1 ELSE t.team_slot END AS team_slot
+  FROM order_ o JOIN ten t ON t.league_id = o.league_id AND t.overall_pick = k WHERE k <= {_MADE.replace('league_id', 'o.league_id')}),
+made AS (SELECT l.league_id, count(p.player_id) AS picks_made FROM (SELECT DISTINCT league_id FROM pool) l LEFT JOIN picks p USING (league_id) GROUP BY l.league_id),
+keepers_ AS (SELECT league_id, player_id, position, team, 1 + player_id % 7 AS team_slot FROM ranked WHERE {KEPT}),
+held AS (SELECT league_id, team_slot, player_id, position, team FROM picks UNION ALL SELECT league_id, team_slot, player_id, position, team FROM keepers_)"""}"
 
 
-@query("j2_live_room", f"{_BOARD}, {_FREE} SELECT league_id, player_id, live_adp FROM free")
+@query("j1_board", f"""{_BOARD} SELECT r.league_id, r.player_id, vorp AS value, CAST(coalesce(p.team_slot, k.team_slot) AS INT) AS owner, coalesce(p.team_slot, k.team_slot) IS NOT NULL AS drafted,
+  coalesce(coalesce(p.team_slot, k.team_slot) = {MY_SLOT}, false) AS is_mine, concat_ws(',', CASE WHEN k.team_slot IS NOT NULL THEN 'kept' END, CASE WHEN p.team_slot IS NOT NULL THEN 'drafted' END, CASE WHEN coalesce(p.team_slot, k.team_slot) = {MY_SLOT} THEN 'mine' END) AS tags
+FROM ranked r LEFT JOIN picks p USING (player_id) LEFT JOIN keepers_ k USING (player_id)""")
+def j1_board(spark, sf_dir):
+    v = valued_once(spark, sf_dir)
+    return board.rows(v, _picks(v, _ten(spark, sf_dir)), _kept(v), MY_SLOT).select("league_id", "player_id", "value", "owner", "drafted", "is_mine", F.array_join("tags", ",").alias("tags"))
+
+
+def _live(spark, sf_dir) -> dict[str, DataFrame]:
+    v = valued_once(spark, sf_dir)
+    schedule = _ten(spark, sf_dir)
+    taken = _picks(v, schedule)
+    made = v.select("league_id").distinct().join(taken.groupBy("league_id").agg(F.count("*").alias("picks_made")), "league_id", "left").select("league_id", zero("picks_made").alias("picks_made"))
+    return board.live_tables(v, schedule, _kept(v), taken, made, MY_SLOT)
+
+
+_N = ", ".join(f"count(*) FILTER (position = '{p}') AS {p}" for p in ("QB", "WR", "RB", "TE", "K", "DEF"))
+_LIVE = f"""{_BOARD},
+teams AS (SELECT DISTINCT league_id, team_slot FROM ten), counts AS (SELECT t.league_id, t.team_slot, {_N} FROM teams t LEFT JOIN held h ON h.league_id = t.league_id AND h.team_slot = t.team_slot GROUP BY ALL),
+rosters AS (SELECT league_id, team_slot, greatest(1 - QB, 0) AS open_QB, greatest(3 - WR, 0) AS open_WR, greatest(2 - RB, 0) AS open_RB, greatest(1 - TE, 0) AS open_TE, greatest(1 - K, 0) AS open_K, greatest(1 - DEF, 0) AS open_DEF,
+  greatest(1 - (greatest(WR - 3, 0) + greatest(RB - 2, 0) + greatest(TE - 1, 0)), 0) AS open_FLEX, greatest(QB - 1, 0) AS bench_QB, greatest(WR - 3, 0) AS bench_WR, greatest(RB - 2, 0) AS bench_RB, greatest(TE - 1, 0) AS bench_TE,
+  greatest(K - 1, 0) AS bench_K, greatest(DEF - 1, 0) AS bench_DEF FROM counts),
+weights AS (SELECT league_id, position, CASE WHEN open > 0 OR (position IN ('RB', 'WR', 'TE') AND open_FLEX > 0) THEN 1.0 WHEN position IN ('K', 'DEF') THEN 0.03 WHEN position = 'QB' THEN 0.15
+    ELSE round(greatest(0.10, 0.35 * pow(0.55, greatest(bench - 1, 0))), 3) END::DOUBLE AS slot_weight
+  FROM (SELECT league_id, open_FLEX, unnest(['QB', 'WR', 'RB', 'TE', 'K', 'DEF']) AS position, unnest([open_QB, open_WR, open_RB, open_TE, open_K, open_DEF]) AS open, unnest([bench_QB, bench_WR, bench_RB, bench_TE, bench_K, bench_DEF]) AS bench
+    FROM rosters WHERE team_slot = {MY_SLOT})),
+targets AS (SELECT t.league_id, max(picks_made) AS picks_made, coalesce(min(overall_pick) FILTER (team_slot = {MY_SLOT} AND overall_pick > picks_made + 1), min(overall_pick) FILTER (team_slot = {MY_SLOT} AND overall_pick > picks_made)) AS target
+  FROM ten t JOIN made USING (league_id) GROUP BY ALL),
+h AS (SELECT league_id, picks_made, target - 1 AS horizon, (target - 1) // 10 + 1 AS horizon_round FROM targets),
+free AS (SELECT r.*, picks_made, horizon, horizon_round, CASE WHEN adp IS NOT NULL THEN picks_made + row_number() OVER (PARTITION BY r.league_id ORDER BY adp NULLS LAST, r.player_id) END AS live_adp
+  FROM ranked r JOIN h USING (league_id) WHERE r.player_id NOT IN (SELECT player_id FROM held)),
+chances AS (SELECT *, CASE WHEN horizon IS NULL OR live_adp IS NULL THEN NULL WHEN horizon <= picks_made THEN 1.0::DOUBLE ELSE 1 - {_cdf("((horizon - live_adp) / greatest(coalesce(nullif(sd_adp, 0), 10.0), 1.0))")} END AS chance FROM free),
+candidates AS (SELECT league_id, position, player_id, greatest(vorp, 0) AS v, CASE WHEN horizon IS NULL THEN 0 WHEN live_adp IS NULL THEN 1 ELSE chance END AS p FROM chances WHERE position NOT IN ('K', 'DEF')),
+{others_sql('candidates')},
+board AS (SELECT c.league_id, c.player_id, c.position, live_adp, chance AS p, adp, vorp, horizon_round, w.slot_weight, CASE WHEN horizon > picks_made THEN others_best WHEN horizon IS NOT NULL THEN 0.0 END AS others_best,
+  w.slot_weight * (greatest(vorp, 0) - CASE WHEN horizon > picks_made THEN others_best WHEN horizon IS NOT NULL THEN 0.0 END) AS vona
+  FROM chances c LEFT JOIN others o ON o.league_id = c.league_id AND o.player_id = c.player_id LEFT JOIN weights w ON w.league_id = c.league_id AND w.position = c.position AND c.position NOT IN ('K', 'DEF'))"""
+
+
+@query("j2_live_room", f"{_LIVE} SELECT league_id, player_id, live_adp FROM board")
 def j2_live_room(spark, sf_dir):
-    return _live(spark, sf_dir)[0].select("league_id", "player_id", "live_adp")
-
+    return _live(spark, sf_dir)["board"].select("league_id", "player_id", "live_adp")
 
-_HORIZON = f"{_TEN}, h AS (SELECT t.league_id, max(picks_made) AS picks_made, min(overall_pick) FILTER (team_slot = 10 AND overall_pick > picks_made + 1) - 1 AS horizon FROM ten t JOIN made USING (league_id) GROUP BY ALL)"
 
-
-@query("j3_live_chance", f"{_BOARD}, {_FREE}, {_HORIZON} SELECT league_id, player_id, round(CASE WHEN horizon IS NULL OR horizon <= picks_made THEN 1.0 ELSE {_p_sql('CAST(horizon AS DOUBLE)').replace('adp IS NULL', 'live_adp IS NULL').replace(' - adp)', ' - live_adp)')} END, 6) AS p FROM free JOIN h USING (league_id)")
+@query("j3_live_chance", f"{_LIVE} SELECT league_id, player_id, round(p, 6) AS p FROM board")
 def j3_live_chance(spark, sf_dir):
-    free, made = _live(spark, sf_dir)
-    return board.live_chance(free, board.horizon(_ten(spark, sf_dir), made, 10)).select("league_id", "player_id", F.round("p", 6).alias("p"))
-
-
-_COUNTS = f"n AS (SELECT league_id, CAST(1 + player_id % 10 AS INT) AS team_slot, {', '.join(f'count(*) FILTER (position = {chr(39)}{p}{chr(39)}) AS {p}' for p in ('QB', 'WR', 'RB', 'TE', 'K', 'DEF'))} FROM pool WHERE {_PICKED} GROUP BY ALL)"
+    return _live(spark, sf_dir)["board"].select("league_id", "player_id", F.round("p", 6).alias("p"))
 
 
-@query("j4_roster", f"{_POOL}{_COUNTS} SELECT league_id, team_slot, greatest(1 - QB, 0) AS open_QB, greatest(3 - WR, 0) AS open_WR, greatest(1 - (greatest(WR - 3, 0) + greatest(RB - 2, 0) + greatest(TE - 1, 0)), 0) AS open_FLEX, greatest(RB - 2, 0) AS bench_RB FROM n")
+@query("j4_roster", f"{_LIVE} SELECT * FROM rosters")
 def j4_roster(spark, sf_dir):
-    return board.roster(_picks(valued(spark, sf_dir))).select("league_id", "team_slot", "open_QB", "open_WR", "open_FLEX", "bench_RB")
+    """Open places and bench of every team, keepers among its players; teams without any have a row."""
+    return _live(spark, sf_dir)["rosters"]
 
 
-@query("j4_bye_stacks", f"{_POOL}b AS (SELECT league_id, CAST(1 + player_id % 10 AS INT) AS team_slot, CAST(substr(team, 2) AS INT) % 3 AS bye, player_id FROM pool WHERE {_PICKED}) SELECT league_id, team_slot, bye, count(*) AS n, string_agg(player_id, ',' ORDER BY player_id) AS players FROM b GROUP BY ALL HAVING count(*) >= 3")
+@query("j4_bye_stacks", f"{_BOARD}, b AS (SELECT league_id, team_slot, CAST(substr(team, 2) AS INT) % 3 AS bye, player_id FROM held) SELECT league_id, CAST(team_slot AS INT) AS team_slot, bye, count(*) AS n, string_agg(player_id, ',' ORDER BY player_id) AS players FROM b GROUP BY ALL HAVING count(*) >= 3")
 def j4_bye_stacks(spark, sf_dir):
-    v = valued(spark, sf_dir)
+    v = valued_once(spark, sf_dir)
     byes = v.select("team").distinct().withColumn("bye", F.expr("CAST(substr(team, 2) AS INT) % 3"))
-    return board.bye_stacks(_picks(v), byes).withColumn("players", F.array_join("players", ","))
+    held = _kept(v).unionByName(_picks(v, _ten(spark, sf_dir)).select("league_id", "player_id", "team_slot")).join(v.select("league_id", "player_id", "team"), ["league_id", "player_id"])
+    return board.bye_stacks(held, byes).withColumn("players", F.array_join("players", ","))
 
 
-@query("j5_slot_weight", f"{_POOL}w AS (SELECT player_id, position, player_id % 3 AS o, player_id % 2 AS f, 1 + player_id % 4 AS d FROM pool) SELECT player_id, CASE WHEN o > 0 OR (position IN ('RB', 'WR', 'TE') AND f > 0) THEN 1.0 WHEN position IN ('K', 'DEF') THEN 0.03 WHEN position = 'QB' THEN 0.15 ELSE round(greatest(0.10, 0.35 * pow(0.55, d - 1)), 3) END::DOUBLE AS weight FROM w")
+@query("j5_slot_weight", f"{_POOL}w AS (SELECT player_id, position, player_id % 3 AS o, player_id % 2 AS f, player_id % 5 AS d FROM pool) SELECT player_id, CASE WHEN o > 0 OR (position IN ('RB', 'WR', 'TE') AND f > 0) THEN 1.0 WHEN position IN ('K', 'DEF') THEN 0.03 WHEN position = 'QB' THEN 0.15 WHEN d <= 1 THEN 0.35 ELSE round(greatest(0.10, 0.35 * pow(0.55, d - 1)), 3) END::DOUBLE AS weight FROM w")
 def j5_slot_weight(spark, sf_dir):
+    """Every branch, an empty bench among them."""
     i = F.col("player_id")
-    return valued(spark, sf_dir).select("player_id", board.slot_weight(F.col("position"), i % 3, i % 2, 1 + i % 4).cast("double").alias("weight"))
+    return valued(spark, sf_dir).select("player_id", board.slot_weight(F.col("position"), i % 3, i % 2, i % 5).cast("double").alias("weight"))
 
 
-@query("j5_live_vona")
+@query("j5_live_vona", f"{_LIVE} SELECT league_id, player_id, slot_weight, round(vona, 4) AS vona FROM board")
 def j5_live_vona(spark, sf_dir):
-    free, made = _live(spark, sf_dir)
-    return board.live_vona(board.live_chance(free, board.horizon(_ten(spark, sf_dir), made, 10)), F.lit(1.0)).select("league_id", "player_id", F.round("vona", 4).alias("vona"))
+    return _live(spark, sf_dir)["board"].select("league_id", "player_id", "slot_weight", F.round("vona", 4).alias("vona"))
 
 
-@query("j6_panel", f"{_BOARD}, n AS (SELECT *, row_number() OVER (PARTITION BY league_id, position ORDER BY CASE WHEN position IN ('K', 'DEF') THEN coalesce(adp, 1e9) ELSE -vorp END, player_id) AS place FROM ranked WHERE position NOT IN ('K', 'DEF') OR league_id >= 2) SELECT league_id, player_id, place FROM n WHERE place <= 5")
+@query("j6_panel", f"""{_LIVE}, n AS (SELECT *, row_number() OVER (PARTITION BY league_id, position ORDER BY CASE WHEN position IN ('K', 'DEF') THEN coalesce(adp, 1e9) ELSE -vorp END, player_id) AS place FROM board
+  WHERE horizon_round IS NOT NULL AND (position NOT IN ('K', 'DEF') OR horizon_round >= 12))
+SELECT league_id, position, player_id, place, round(p, 5) AS p, round(vona, 4) AS vona FROM n WHERE place <= 3""")
 def j6_panel(spark, sf_dir):
-    return board.panel(valued(spark, sf_dir), 10 + F.col("league_id")).select("league_id", "player_id", "place")
+    return _live(spark, sf_dir)["panel"].select("league_id", "position", "player_id", "place", F.round("p", 5).alias("p"), F.round("vona", 4).alias("vona"))
 
 
-_PLACED = f"{_POOL}{_TEN}, p AS (SELECT league_id, player_id, 1 + player_id % 10 AS picked_by, row_number() OVER (PARTITION BY league_id ORDER BY player_id) AS k FROM pool WHERE {_PICKED}), placed AS (SELECT p.league_id, player_id, picked_by, team_slot FROM p JOIN ten t ON t.league_id = p.league_id AND t.overall_pick = k)"
+def _kept_plan(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Schedules with the pool's keepers in holes, a team's in rounds of their own, and the picks made."""
+    v = valued_once(spark, sf_dir)
+    leagues = v.select("league_id").distinct().withColumns({"teams": F.lit(10), "rounds": F.lit(16)})
+    nth = F.row_number().over(Window.partitionBy("league_id", "team_slot").orderBy("player_id")).cast("int")
+    schedule = draft.schedule(leagues, _kept(v).withColumn("cost_round", nth))
+    return schedule, _picks(v, _ten(spark, sf_dir))
 
 
-@query("j7_team_rosters", f"{_PLACED} SELECT league_id, player_id, team_slot = picked_by AS on_turn FROM placed")
+_PLACED = f"""{_BOARD}, holes AS (SELECT *, row_number() OVER (PARTITION BY league_id, team_slot ORDER BY player_id) AS cost_round FROM keepers_),
+plan AS (SELECT t.*, h.player_id AS kept, CASE WHEN h.player_id IS NULL THEN count(*) FILTER (h.player_id IS NULL) OVER (PARTITION BY t.league_id ORDER BY t.overall_pick) END AS live
+  FROM ten t LEFT JOIN holes h ON h.league_id = t.league_id AND h.team_slot = t.team_slot AND h.cost_round = t.round),
+placed AS (SELECT p.league_id, p.overall_pick, p.team_slot, coalesce(p.kept, m.player_id) AS player_id, p.kept IS NOT NULL AS is_keeper, m.team_slot AS picked_by FROM plan p LEFT JOIN picks m ON m.league_id = p.league_id AND m.overall_pick = p.live)"""
+
+
+@query("j7_team_rosters", f"{_PLACED} SELECT league_id, overall_pick, player_id, is_keeper, CAST(picked_by AS INT) AS picked_by, team_slot = picked_by AS on_turn FROM placed")
 def j7_team_rosters(spark, sf_dir):
-    return board.team_rosters(_ten(spark, sf_dir), _picks(valued(spark, sf_dir))).select("league_id", "player_id", "on_turn")
+    return board.team_rosters(*_kept_plan(spark, sf_dir)).select("league_id", "overall_pick", "player_id", "is_keeper", "picked_by", "on_turn")
 
 
-@query("j7_drift", f"{_PLACED}, w AS (SELECT league_id, team_slot, count(*) AS expected FROM placed GROUP BY ALL), h AS (SELECT league_id, picked_by AS team_slot, count(*) AS actual FROM placed GROUP BY ALL) SELECT league_id, CAST(team_slot AS INT) AS team_slot, coalesce(expected, 0) AS expected, coalesce(actual, 0) AS actual FROM w FULL JOIN h USING (league_id, team_slot)")
+@query("j7_drift", f"""{_PLACED}, w AS (SELECT league_id, team_slot, count(picked_by) AS expected FROM placed GROUP BY ALL), h AS (SELECT league_id, picked_by AS team_slot, count(*) AS actual FROM placed WHERE picked_by IS NOT NULL GROUP BY ALL)
+SELECT league_id, CAST(team_slot AS INT) AS team_slot, expected, coalesce(actual, 0) AS actual, expected <> coalesce(actual, 0) AS offender FROM w LEFT JOIN h USING (league_id, team_slot)""")
 def j7_drift(spark, sf_dir):
-    return board.drift(board.team_rosters(_ten(spark, sf_dir), _picks(valued(spark, sf_dir))))
+    """Live picks expected of every team, idle ones too, against those made, and who is out of turn."""
+    return board.drift(board.team_rosters(*_kept_plan(spark, sf_dir)))
 
 
-@query("j8_lineup_tally", f"{_POOL}{_COUNTS}, f AS (SELECT *, least(QB, 1) + least(WR, 3) + least(RB, 2) + least(TE, 1) + least(K, 1) + least(DEF, 1) AS fixed, least(1, greatest(WR - 3, 0) + greatest(RB - 2, 0) + greatest(TE - 1, 0)) AS flex, QB + WR + RB + TE + K + DEF AS n FROM n) SELECT league_id, team_slot, fixed, flex, n - fixed - flex AS bench, n > 16 AS over_full FROM f")
+@query("j8_lineup_tally", f"""{_BOARD}, n AS (SELECT league_id, CAST(team_slot AS INT) AS team_slot, {_N} FROM picks GROUP BY ALL),
+f AS (SELECT *, least(QB, 1) + least(WR, 3) + least(RB, 2) + least(TE, 1) + least(K, 1) + least(DEF, 1) AS fixed, least(1, greatest(WR - 3, 0) + greatest(RB - 2, 0) + greatest(TE - 1, 0)) AS flex, QB + WR + RB + TE + K + DEF AS n FROM n) SELECT league_id, team_slot, fixed, flex, n - fixed - flex AS bench, n > 16 AS over_full FROM f""")
 def j8_lineup_tally(spark, sf_dir):
-    return board.lineup_tally(_picks(valued(spark, sf_dir)))
+    v = valued_once(spark, sf_dir)
+    return board.lineup_tally(_picks(v, _ten(spark, sf_dir)))
+
 
+#: Free players in half of the leagues' positions only, so that some have nobody but kickers and defences left; the round by league, unknown in some.
+_STARVED = "league_id % 2 = 0 OR position IN ('K', 'DEF')"
+_ROUND = "CASE WHEN league_id % 4 = 1 THEN NULL ELSE 10 + league_id % 4 END"
 
-@query("j9_best_available", f"{_BOARD} SELECT league_id, arg_min(player_id, overall_rank) AS player_id, min(overall_rank) AS overall_rank FROM ranked WHERE NOT ({_PICKED}) AND NOT ({KEPT}) GROUP BY league_id")
+
+@query("j9_best_available", f"""{_BOARD}, f AS (SELECT *, position IN ('K', 'DEF') AND NOT coalesce({_ROUND} >= 12, false) AS held_back FROM ranked WHERE player_id NOT IN (SELECT player_id FROM held) AND ({_STARVED}))
+SELECT league_id, player_id, overall_rank FROM (SELECT *, row_number() OVER (PARTITION BY league_id ORDER BY held_back, overall_rank) AS n FROM f) WHERE n = 1""")
 def j9_best_available(spark, sf_dir):
-    v = valued(spark, sf_dir)
-    return board.best_available(board.rows(v, _picks(v), _kept(v), 3))
+    v = valued_once(spark, sf_dir)
+    rows = board.rows(v, _picks(v, _ten(spark, sf_dir)), _kept(v), MY_SLOT).filter(_STARVED)
+    return board.best_available(rows, F.expr(_ROUND))
+
+
+@query("j9_filtered_board", f"""{_BOARD} SELECT league_id, player_id, overall_rank FROM ranked WHERE position = 'RB' AND player_id % 6 = 0 AND player_id % 4 = 0 AND player_id NOT IN (SELECT player_id FROM held) AND lower('Player ' || player_id || ' ' || team || ' RB') LIKE '%t1%'""")
+def j9_filtered_board(spark, sf_dir):
+    """Running backs that are free, carry two flags, and match a search."""
+    v = valued_once(spark, sf_dir)
+    i = F.col("player_id")
+    named = v.withColumns({"name": F.concat(F.lit("Player "), i), "flags": F.array_compact(F.array(F.when(i % 6 == 0, "injury_prone"), F.when(i % 4 == 0, "rookie")))})
+    rows = board.rows(named, _picks(v, _ten(spark, sf_dir)), _kept(v), MY_SLOT)
+    return board.sort_board(board.filter_board(rows, "RB", ["injury_prone", "rookie"], True, " T1"), "adp").select("league_id", "player_id", "overall_rank")
 
 
 @query("j10_profiles")
@@ -278,43 +343,53 @@ def j10_profiles(spark, sf_dir):
 # pick log
 
 
-def pick_events(spark: SparkSession, sf_dir: str, league: Column | None = None) -> DataFrame:
-    """The pick log; ``league`` of an event is one of twenty by default, as the SQL of k1_standing_picks has it."""
-    league = F.col("user_id") % 20 if league is None else league
+def pick_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pick log: purchases are picks of a league of twenty users, one in 97 a reset, errors undo; some name their slot."""
+    i = F.col("event_id")
     e = table(spark, sf_dir, "events").filter("event_type in ('purchase', 'error')")
-    action = F.when(F.col("event_type") == "error", "undo").when(F.col("event_id") % 97 == 0, "reset").otherwise("pick")
-    return e.select("event_id", league.alias("league_id"), action.alias("action"), (F.col("event_id") % 4001).alias("player_id"), F.lit(1).alias("team_slot"), F.lit("manual").alias("source"), F.col("ts").cast("timestamp").alias("picked_at"))
-
-
-_EVENTS = "e AS (SELECT event_id, user_id % 20 AS league_id, CASE WHEN event_type = 'error' THEN -1 WHEN event_id % 97 = 0 THEN 0 ELSE 1 END AS step, ts FROM events WHERE event_type IN ('purchase', 'error'))"
+    action = F.when(F.col("event_type") == "error", "undo").when(i % 97 == 0, "reset").otherwise("pick")
+    return e.select(
+        "event_id", F.floor(F.col("user_id") / 20).alias("league_id"), action.alias("action"), (i % 401).alias("player_id"), F.when(i % 13 == 0, 1).cast("int").alias("team_slot"),
+        F.when(i % 5 == 0, "feed").otherwise("manual").alias("source"), F.when(i % 11 == 0, i % 9 + 1).cast("int").alias("overall_pick"), F.col("ts").cast("timestamp").alias("picked_at"),
+    )
 
 
-_FOLD = """WITH RECURSIVE e AS (SELECT event_id, CAST(floor(user_id / 20) AS BIGINT) AS league_id, CASE WHEN event_type = 'error' THEN 'undo' WHEN event_id % 97 = 0 THEN 'reset' ELSE 'pick' END AS action, event_id % 4001 AS player_id,
-    CASE WHEN event_id % 5 = 0 THEN 'feed' ELSE 'manual' END AS source, CAST(ts AS TIMESTAMP) AS picked_at, row_number() OVER (PARTITION BY CAST(floor(user_id / 20) AS BIGINT) ORDER BY ts, event_id) AS n FROM events WHERE event_type IN ('purchase', 'error')),
+_LOG = f"""WITH RECURSIVE {_PLAN},
+slots AS (SELECT league_id, list({{'overall_pick': overall_pick, 'round': round, 'team_slot': team_slot}} ORDER BY overall_pick) AS slots, list(overall_pick ORDER BY overall_pick) AS numbers FROM plan WHERE live_pick_no IS NOT NULL GROUP BY league_id),
+e AS (SELECT event_id, CAST(floor(user_id / 20) AS BIGINT) AS league_id, CASE WHEN event_type = 'error' THEN 'undo' WHEN event_id % 97 = 0 THEN 'reset' ELSE 'pick' END AS action, event_id % 401 AS player_id,
+    CASE WHEN event_id % 13 = 0 THEN 1 END AS team_slot, CASE WHEN event_id % 5 = 0 THEN 'feed' ELSE 'manual' END AS source, CASE WHEN event_id % 11 = 0 THEN event_id % 9 + 1 END AS named,
+    row_number() OVER (PARTITION BY CAST(floor(user_id / 20) AS BIGINT) ORDER BY ts, event_id) AS n FROM events WHERE event_type IN ('purchase', 'error')),
 fold AS (
-  SELECT league_id, 0::BIGINT AS n, []::BIGINT[] AS players, []::BOOLEAN[] AS manual, NULL::BIGINT AS event_id, NULL::INT AS live_pick_no, NULL::VARCHAR AS reason FROM (SELECT DISTINCT league_id FROM e)
+  SELECT league_id, 0::BIGINT AS n, [] :: STRUCT(overall_pick BIGINT, player_id BIGINT, team_slot INT, manual BOOLEAN)[] AS held, NULL::BIGINT AS event_id, NULL::BIGINT AS pick, NULL::INT AS team, NULL::VARCHAR AS reason FROM (SELECT DISTINCT league_id FROM e)
   UNION ALL
-  SELECT league_id, n, CASE WHEN did AND action = 'pick' THEN list_append(players, player_id) WHEN action = 'reset' THEN [] WHEN did AND action = 'undo' THEN players[:-2] ELSE players END,
-    CASE WHEN did AND action = 'pick' THEN list_append(manual, source = 'manual') WHEN action = 'reset' THEN [] WHEN did AND action = 'undo' THEN manual[:-2] ELSE manual END, event_id,
-    CAST(CASE WHEN did AND action = 'pick' THEN len(players) + 1 WHEN did AND action = 'undo' THEN len(players) END AS INT), reason
-  FROM (SELECT *, reason IS NULL AND action <> 'reset' AS did FROM (
-    SELECT f.league_id, e.n, f.players, f.manual, e.event_id, e.action, e.player_id, e.source,
-      CASE WHEN e.action = 'pick' AND list_contains(f.players, e.player_id) THEN 'already drafted' WHEN e.action = 'pick' AND len(f.players) >= 160 THEN 'draft complete'
-        WHEN e.action = 'undo' AND len(f.players) = 0 THEN 'nothing to undo' WHEN e.action = 'undo' AND NOT f.manual[-1] THEN 'last pick is not manual' END AS reason
-    FROM fold f JOIN e ON e.league_id = f.league_id AND e.n = f.n + 1)))
-SELECT f.league_id, f.event_id, e.action, e.player_id, CAST(1 AS INT) AS team_slot, f.live_pick_no, CAST(len(f.players) AS INT) AS standing, f.reason FROM fold f JOIN e USING (league_id, n)"""
-
-
-@query("k1_pick_log", _FOLD)
+  SELECT league_id, n, CASE WHEN reason IS NOT NULL THEN held WHEN action = 'reset' THEN [] WHEN action = 'undo' THEN held[:-2]
+      ELSE list_sort(list_append(held, {{'overall_pick': pick, 'player_id': player_id, 'team_slot': team, 'manual': source = 'manual'}})) END,
+    event_id, CASE WHEN reason IS NULL AND action <> 'reset' THEN pick END, CASE WHEN reason IS NULL AND action <> 'reset' THEN team ELSE team_slot END, reason
+  FROM (SELECT *, CASE WHEN action = 'undo' THEN held[-1].team_slot ELSE coalesce(team_slot, CAST(slots[list_position(numbers, pick)].team_slot AS INT)) END AS team,
+      CASE WHEN action = 'undo' AND len(held) = 0 THEN 'nothing to undo' WHEN action = 'undo' AND NOT held[-1].manual THEN 'last pick is not manual'
+        WHEN action = 'pick' AND list_contains(list_transform(held, lambda h: h.player_id), player_id) THEN 'already drafted' WHEN action = 'pick' AND slots IS NULL THEN 'no schedule'
+        WHEN action = 'pick' AND named IS NULL AND len(held) >= len(slots) THEN 'draft complete' WHEN action = 'pick' AND NOT list_contains(numbers, pick) THEN 'no such pick'
+        WHEN action = 'pick' AND list_contains(list_transform(held, lambda h: h.overall_pick), pick) THEN 'slot taken' END AS reason
+    FROM (SELECT f.league_id, e.n, f.held, e.event_id, e.action, e.player_id, e.team_slot, e.source, e.named, s.slots, s.numbers, CASE WHEN e.action = 'undo' THEN f.held[-1].overall_pick ELSE coalesce(e.named, s.numbers[len(f.held) + 1]) END AS pick
+      FROM fold f JOIN e ON e.league_id = f.league_id AND e.n = f.n + 1 LEFT JOIN slots s ON s.league_id = f.league_id))),
+decided AS (SELECT f.*, e.action, e.player_id, list_position(s.numbers, f.pick) AS live, s.slots FROM fold f JOIN e USING (league_id, n) LEFT JOIN slots s ON s.league_id = f.league_id)"""
+
+
+@query("k1_pick_log", f"""{_LOG} SELECT league_id, event_id, action, player_id, CAST(team AS INT) AS team_slot, CAST(pick AS INT) AS overall_pick, CAST(slots[live].round AS INT) AS round, CAST(live AS INT) AS live_pick_no,
+  CAST(len(held) AS INT) AS standing, reason FROM decided""")
 def k1_pick_log(spark, sf_dir):
-    """Every event's decision, folded in batch; the stream gives the same rows. A league is twenty users, so leagues grow with the users."""
-    source = F.when(F.col("event_id") % 5 == 0, "feed").otherwise("manual")
-    return fold_in_batch(pick_events(spark, sf_dir, F.floor(F.col("user_id") / 20)).withColumn("source", source)).drop("picked_at")
+    """Every event's decision under its league's schedule of 8 to 12 teams with keepers, folded in batch; the stream gives the same rows."""
+    return picks.fold_in_batch(pick_events(spark, sf_dir), plan(spark, sf_dir)).drop("picked_at")
+
+
+@query("k2_standing_picks", f"{_LOG}, ends AS (SELECT league_id, max(n) AS n FROM decided GROUP BY league_id) SELECT league_id, CAST(h.overall_pick AS INT) AS overall_pick, CAST(h.team_slot AS INT) AS team_slot, h.player_id FROM (SELECT d.league_id, unnest(held) AS h FROM decided d JOIN ends USING (league_id, n))")
+def k2_standing_picks(spark, sf_dir):
+    """What stands at the end of each league's log: one pick a slot."""
+    return picks.standing_in_batch(picks.fold_in_batch(pick_events(spark, sf_dir), plan(spark, sf_dir)))
 
 
-@query("k1_standing_picks", f"""WITH {_EVENTS}, r AS (SELECT *, sum(step) OVER w AS raw FROM e WINDOW w AS (PARTITION BY league_id ORDER BY ts, event_id)), f AS (SELECT *, raw - least(0, min(raw) OVER (PARTITION BY league_id ORDER BY ts, event_id)) AS h FROM r)
-SELECT league_id, event_id FROM f WHERE step = 1 AND NOT EXISTS (SELECT 1 FROM f g WHERE g.league_id = f.league_id AND (g.ts, g.event_id) > (f.ts, f.event_id) AND g.h < f.h)""")
-def k1_standing_picks(spark, sf_dir):
-    """Picks that no later undo took back, by windows alone (without resets)."""
-    e = pick_events(spark, sf_dir).withColumn("action", F.when(F.col("action") == "reset", "note").otherwise(F.col("action")))
-    return draft.undone_by_window(e).select("league_id", "event_id")
+@query("k3_live_state", f"{_LOG}, ends AS (SELECT league_id, max(n) AS n FROM decided GROUP BY league_id) SELECT d.league_id, CAST(len(held) AS INT) AS picks_made, CAST(slots[len(held) + 1].team_slot AS INT) AS team_slot, CAST(slots[len(held) + 1].round AS INT) AS round FROM decided d JOIN ends USING (league_id, n)")
+def k3_live_state(spark, sf_dir):
+    """Picks made and who is on the clock in each league."""
+    schedule = plan(spark, sf_dir)
+    return picks.live_state(picks.fold_in_batch(pick_events(spark, sf_dir), schedule), schedule)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fieldmark.operators import draft, valuation
 from fieldmark.plans.bindings import bound, ctes, table
 from fieldmark.plans.feature_queries import SEASON_SQL, seasons
+from fieldmark.sources.settled import settle
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -63,6 +64,22 @@ def valued(spark: SparkSession, sf_dir: str) -> DataFrame:
     return valuation.ranks(valuation.values(p, valuation.baselines(p, TEAMS, p.filter("kept"))))
 
 
+def valued_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, written: for queries that use the valued pool several times."""
+    return settle(valued(spark, sf_dir), "valued")
+
+
+def others_sql(candidates: str) -> str:
+    """What is expected of the best other one, for rows of ``candidates`` (league_id, position, player_id, v, p): from the last
+    candidate upwards one step a rank, and the heads by windows."""
+    return f"""cand AS (SELECT *, row_number() OVER (PARTITION BY league_id, position ORDER BY v DESC, player_id) AS i, count(*) OVER (PARTITION BY league_id, position) AS n FROM {candidates}),
+tail AS (SELECT league_id, position, n AS i, 0.0::DOUBLE AS e FROM cand WHERE i = n UNION ALL
+  SELECT t.league_id, t.position, t.i - 1, c.v * c.p + (1 - c.p) * t.e FROM tail t JOIN cand c ON c.league_id = t.league_id AND c.position = t.position AND c.i = t.i),
+nobody AS (SELECT *, coalesce(product(1 - p) OVER (PARTITION BY league_id, position ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS q FROM cand),
+heads AS (SELECT *, coalesce(sum(v * p * q) OVER (PARTITION BY league_id, position ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS head FROM nobody),
+others AS (SELECT h.league_id, h.position, h.player_id, head + q * e AS others_best FROM heads h JOIN tail t ON t.league_id = h.league_id AND t.position = h.position AND t.i = h.i)"""
+
+
 @query("h1_blend", f"""{_POOL}b AS (SELECT *, CASE WHEN player_id % 4 > 0 THEN round(ppg * 0.9 + 0.5, 2) END AS own, player_id % 6 = 0 AS rookie FROM pool)
 SELECT player_id, round(CASE WHEN own IS NULL THEN ppg ELSE CASE WHEN rookie THEN 0.9 ELSE 0.7 END * ppg + (1 - CASE WHEN rookie THEN 0.9 ELSE 0.7 END) * own END + weekly_sd / 100, 6) AS blended FROM b""")
 def h1_blend(spark, sf_dir):
@@ -116,7 +133,7 @@ _GAPS = f"""{_values_sql('pool', KEPT)}, free AS (SELECT *, row_number() OVER (P
   row_number() OVER (PARTITION BY league_id, position ORDER BY adp, player_id) - row_number() OVER (PARTITION BY league_id, position ORDER BY overall_rank) AS pos_gap FROM ranked WHERE NOT ({KEPT}) AND adp IS NOT NULL)"""
 
 
-@query("h8_room_gaps", f"{_POOL}{_GAPS} SELECT r.league_id, r.player_id, room_adp, our_pick, room_adp - our_pick AS gap, round((room_adp - our_pick) / greatest(r.sd_adp, 1.0), 3) AS gap_z, pos_gap FROM ranked r LEFT JOIN free f USING (player_id)")
+@query("h8_room_gaps", f"{_POOL}{_GAPS} SELECT r.league_id, r.player_id, room_adp, our_pick, room_adp - our_pick AS gap, round((room_adp - our_pick) / greatest(coalesce(r.sd_adp, 10.0), 1.0), 3) AS gap_z, pos_gap FROM ranked r LEFT JOIN free f USING (player_id)")
 def h8_room_gaps(spark, sf_dir):
     """Room order, our pick, the gap and its deviations, and the gap within the position (H9)."""
     return valuation.room_gaps(valued(spark, sf_dir)).select("league_id", "player_id", "room_adp", "our_pick", "gap", "gap_z", "pos_gap")
@@ -146,16 +163,11 @@ def h11_expected_best(spark, sf_dir):
     return valuation.expected_best(c, ["league_id", "position"]).withColumn("expected_best", F.round("expected_best", 5))
 
 
-@query("h12_leave_one_out", f"""{_POOL}c AS (SELECT *, {_p_sql('40')} AS p FROM pool WHERE adp < 45), pairs AS (SELECT a.player_id AS me, b.*, coalesce(product(1 - b.p) OVER (PARTITION BY a.player_id ORDER BY b.ppg DESC, b.player_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS none
-  FROM c a JOIN c b ON a.league_id = b.league_id AND a.position = b.position AND a.player_id <> b.player_id)
-SELECT c.player_id, round(coalesce(sum(x.ppg * x.p * none), 0), 5) AS others_best FROM c LEFT JOIN pairs x ON x.me = c.player_id GROUP BY c.player_id""")
-def h12_leave_one_out(spark, sf_dir):
-    """The candidates with a position below 45 alone, as its quadratic SQL has them; h12_leave_one_out_all takes the whole pool."""
-    return _others_best(bound(spark, sf_dir, "pool").filter("adp < 45"))
+_WITH_POOL = f"WITH RECURSIVE {ctes('pool')}, "
 
 
-@query("h12_leave_one_out_all")
-def h12_leave_one_out_all(spark, sf_dir):
+@query("h12_leave_one_out", f"{_WITH_POOL}every AS (SELECT league_id, position, player_id, ppg AS v, {_p_sql('40')} AS p FROM pool), {others_sql('every')} SELECT player_id, round(others_best, 5) AS others_best FROM others")
+def h12_leave_one_out(spark, sf_dir):
     """Every candidate of the pool; those without a draft position are surely there."""
     return _others_best(bound(spark, sf_dir, "pool"))
 
@@ -165,7 +177,7 @@ def _others_best(candidates: DataFrame) -> DataFrame:
     return valuation.leave_one_out(c, ["league_id", "position"]).select("player_id", F.round("others_best", 5).alias("others_best"))
 
 
-_PLAN = """leagues AS (SELECT c_custkey AS league_id, CAST(8 + c_custkey % 5 AS BIGINT) AS teams, 16 AS rounds FROM customer WHERE c_custkey % 10 = 0),
+_PLAN = """leagues AS (SELECT c_custkey AS league_id, CAST(8 + c_custkey % 5 AS BIGINT) AS teams, 16 AS rounds FROM customer),
 keepers AS (SELECT league_id, CAST(1 + league_id % 7 AS INT) AS team_slot, CAST(1 + league_id % 16 AS INT) AS cost_round, league_id * 2 AS player_id FROM leagues
   UNION ALL SELECT league_id, 8, CAST(1 + league_id % 3 AS INT), league_id * 2 + 1 FROM leagues),
 every AS (SELECT league_id, teams, i AS overall_pick, CAST((i - 1) // teams + 1 AS INT) AS round, CAST(CASE WHEN ((i - 1) // teams) % 2 = 0 THEN (i - 1) % teams + 1 ELSE teams - (i - 1) % teams END AS INT) AS team_slot
@@ -175,25 +187,20 @@ plan AS (SELECT e.league_id, overall_pick, round, e.team_slot, k.player_id AS ke
   FROM every e LEFT JOIN keepers k ON k.league_id = e.league_id AND k.team_slot = e.team_slot AND k.cost_round = e.round)"""
 
 
-#: A tenth of the leagues, which the SQL of the four schedule queries takes; those named ..._all take every league.
-TENTH = "c_custkey % 10 = 0"
-_ALL_PLAN = _PLAN.replace(f" WHERE {TENTH}", "")
-
-
-def leagues(spark: SparkSession, sf_dir: str, which: str = TENTH) -> DataFrame:
-    c = table(spark, sf_dir, "customer").filter(which)
+def leagues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
     return c.select(F.col("c_custkey").alias("league_id"), (8 + F.col("c_custkey") % 5).alias("teams"), F.lit(16).alias("rounds"))
 
 
-def keepers(spark: SparkSession, sf_dir: str, which: str = TENTH) -> DataFrame:
+def keepers(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("league_id")
-    one = leagues(spark, sf_dir, which).select("league_id", (1 + i % 7).cast("int").alias("team_slot"), (1 + i % 16).cast("int").alias("cost_round"), (i * 2).alias("player_id"))
-    two = leagues(spark, sf_dir, which).select("league_id", F.lit(8).alias("team_slot"), (1 + i % 3).cast("int").alias("cost_round"), (i * 2 + 1).alias("player_id"))
+    one = leagues(spark, sf_dir).select("league_id", (1 + i % 7).cast("int").alias("team_slot"), (1 + i % 16).cast("int").alias("cost_round"), (i * 2).alias("player_id"))
+    two = leagues(spark, sf_dir).select("league_id", F.lit(8).alias("team_slot"), (1 + i % 3).cast("int").alias("cost_round"), (i * 2 + 1).alias("player_id"))
     return one.unionByName(two)
 
 
-def plan(spark: SparkSession, sf_dir: str, which: str = TENTH) -> DataFrame:
-    return draft.schedule(leagues(spark, sf_dir, which), keepers(spark, sf_dir, which))
+def plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return draft.schedule(leagues(spark, sf_dir), keepers(spark, sf_dir))
 
 
 @query("h13_schedule", f"WITH {_PLAN} SELECT * FROM plan")
@@ -201,25 +208,15 @@ def h13_schedule(spark, sf_dir):
     return plan(spark, sf_dir)
 
 
-@query("h13_schedule_all", f"WITH {_ALL_PLAN} SELECT * FROM plan")
-def h13_schedule_all(spark, sf_dir):
-    return plan(spark, sf_dir, "true")
-
-
 @query("h13_keeper_faults", f"WITH {_PLAN}, odd AS (SELECT league_id, CASE WHEN league_id % 3 = 0 THEN 99 ELSE team_slot END AS team_slot, 1 AS cost_round, player_id FROM keepers) SELECT *, 'out of range' AS fault FROM odd WHERE team_slot = 99 UNION ALL SELECT *, 'duplicate' FROM odd o WHERE team_slot < 99 AND (SELECT count(*) FROM odd p WHERE p.league_id = o.league_id AND p.team_slot = o.team_slot) > 1")
 def h13_keeper_faults(spark, sf_dir):
-    return _faults(spark, sf_dir, TENTH)
-
-
-@query("h13_keeper_faults_all", ORACLES["h13_keeper_faults"].replace(_PLAN, _ALL_PLAN))
-def h13_keeper_faults_all(spark, sf_dir):
-    return _faults(spark, sf_dir, "true")
+    return _faults(spark, sf_dir)
 
 
-def _faults(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
-    k = keepers(spark, sf_dir, which)
+def _faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = keepers(spark, sf_dir)
     odd = k.select("league_id", F.when(F.col("league_id") % 3 == 0, 99).otherwise(F.col("team_slot")).alias("team_slot"), F.lit(1).alias("cost_round"), "player_id")
-    return draft.keeper_faults(leagues(spark, sf_dir, which), odd)
+    return draft.keeper_faults(leagues(spark, sf_dir), odd)
 
 
 @query("h14_turns", f"""WITH {_PLAN} SELECT league_id, round, overall_pick, live_pick_no, lead(overall_pick) OVER w AS next_pick, lead(live_pick_no) OVER w - live_pick_no - 1 AS picks_until_next
@@ -228,24 +225,14 @@ def h14_turns(spark, sf_dir):
     return draft.turns(plan(spark, sf_dir), 3)
 
 
-@query("h14_turns_all", ORACLES["h14_turns"].replace(_PLAN, _ALL_PLAN))
-def h14_turns_all(spark, sf_dir):
-    return draft.turns(plan(spark, sf_dir, "true"), 3)
-
-
 @query("h14_on_clock", f"WITH {_PLAN} SELECT league_id, overall_pick, round, team_slot, coalesce(CASE WHEN league_id % 3 > 0 THEN league_id % 60 END, 0) AS picks_made FROM plan WHERE live_pick_no = coalesce(CASE WHEN league_id % 3 > 0 THEN league_id % 60 END, 0) + 1")
 def h14_on_clock(spark, sf_dir):
-    return _clock(spark, sf_dir, TENTH)
-
-
-@query("h14_on_clock_all", ORACLES["h14_on_clock"].replace(_PLAN, _ALL_PLAN))
-def h14_on_clock_all(spark, sf_dir):
-    return _clock(spark, sf_dir, "true")
+    return _clock(spark, sf_dir)
 
 
-def _clock(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
-    made = leagues(spark, sf_dir, which).filter("league_id % 3 > 0").select("league_id", (F.col("league_id") % 60).alias("picks_made"))
-    return draft.on_clock(plan(spark, sf_dir, which), made)
+def _clock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = leagues(spark, sf_dir).filter("league_id % 3 > 0").select("league_id", (F.col("league_id") % 60).alias("picks_made"))
+    return draft.on_clock(plan(spark, sf_dir), made)
 
 
 _TEN = """ten AS (SELECT league_id, i AS overall_pick, CAST((i - 1) // 10 + 1 AS INT) AS round, CASE WHEN ((i - 1) // 10) % 2 = 0 THEN (i - 1) % 10 + 1 ELSE 10 - (i - 1) % 10 END AS team_slot
@@ -285,7 +272,7 @@ def h24_best_by_round(spark, sf_dir):
 @query("h23_keeper_surplus", f"""{_POOL}{_ROUNDS}, s AS (SELECT r.league_id, player_id, round, vorp - mean AS surplus FROM ranked r JOIN rounds USING (league_id) WHERE player_id % 37 = 0)
 SELECT league_id, player_id, round, round(surplus, 2) AS surplus, min(round) FILTER (round(surplus, 3) > 0) OVER (PARTITION BY league_id, player_id) AS break_even FROM s""")
 def h23_keeper_surplus(spark, sf_dir):
-    v = valued(spark, sf_dir)
+    v = valued_once(spark, sf_dir)
     by_round = draft.best_by_round(v, _ten(spark, sf_dir))
     out = draft.keeper_surplus(v.filter("kept").select("league_id", "player_id", "vorp"), by_round)
     return out.select("league_id", "player_id", "round", F.round(F.col("vorp") - F.col("mean"), 2).alias("surplus"), "break_even")
@@ -295,7 +282,7 @@ def h23_keeper_surplus(spark, sf_dir):
 sig AS (SELECT coalesce(a.player_id, b.player_id) AS player_id, td_diff, ppg AS last_ppg FROM (SELECT player_id, player_id % 5 AS td_diff FROM pool WHERE player_id % 2 = 0) a FULL JOIN (SELECT player_id, ppg FROM pool WHERE player_id % 3 = 0) b ON a.player_id = b.player_id)
 SELECT s.player_id, CASE WHEN surplus > 0 THEN 'KEEP' ELSE 'DRAFT INSTEAD' END AS verdict, td_diff, last_ppg FROM s LEFT JOIN sig USING (player_id) WHERE round = 1 + s.player_id % 16""")
 def h25_keeper_verdict(spark, sf_dir):
-    v = valued(spark, sf_dir)
+    v = valued_once(spark, sf_dir)
     out = draft.keeper_surplus(v.filter("kept").select("league_id", "player_id", "vorp"), draft.best_by_round(v, _ten(spark, sf_dir)))
     cost = v.filter("kept").select("league_id", "player_id", (1 + F.col("player_id") % 16).cast("int").alias("cost_round"))
     luck = v.filter("player_id % 2 = 0").select("player_id", (F.col("player_id") % 5).alias("td_diff"))
@@ -310,7 +297,7 @@ SELECT a.league_id, a.name, a.cost_round, a.player_id % 2 = 0 AS found, CASE WHE
   CASE WHEN a.player_id % 2 = 0 THEN CASE WHEN surplus > 0 THEN 'KEEP' ELSE 'DRAFT INSTEAD' END END AS verdict
 FROM asked a LEFT JOIN s ON s.player_id = a.player_id AND s.round = a.cost_round AND a.player_id % 2 = 0 LEFT JOIN evens ON evens.player_id = a.player_id""")
 def h25_keeper_report(spark, sf_dir):
-    v = valued(spark, sf_dir)
+    v = valued_once(spark, sf_dir)
     i = F.col("player_id")
     surplus = draft.keeper_surplus(v.filter("kept").select("league_id", "player_id", "vorp"), draft.best_by_round(v, _ten(spark, sf_dir)))
     asked = v.filter("kept").select("league_id", F.when(i % 2 == 0, F.concat(F.lit("PLÁYER-"), i, F.lit(" Jr."))).otherwise(F.concat(F.lit("nobody "), i)).alias("name"), (1 + i % 16).cast("int").alias("cost_round"))

@@ -39,18 +39,22 @@ def test_age_and_games(spark):
     assert one(spark, e) == 14.6
 
 
-def test_leave_one_out():
+def test_leave_one_out(spark):
+    """One large group over many range partitions, a small one, ties, and candidates who are surely there; a clashing name."""
     rnd = np.random.default_rng(1)
-    for n in (1, 2, 5):
-        v, p = np.sort(rnd.random(n))[::-1] * 100, rnd.random(n)
-        p[0] = 1.0
-        for k in range(n):
-            rest = [(v[i], p[i]) for i in range(n) if i != k]
-            want, none = 0.0, 1.0
-            for x, q in rest:
-                want += x * q * none
-                none *= 1 - q
-            assert valuation.others_best(v, p)[k] == pytest.approx(want)
+    rows = [(1, i, float(rnd.integers(0, 60)), float(rnd.choice([0.0, 1.0, rnd.random(), rnd.random() / 30])), i) for i in range(400)] + [(None, 1000 + i, 5.0, 0.5, i) for i in range(3)]
+    df = spark.createDataFrame(rows, "league_id long, player_id long, value double, p double, run long").repartition(6)
+    got = {r.player_id: r.others_best for r in valuation.leave_one_out(df, ["league_id"]).collect()}
+    want = {}
+    for g in (1, None):
+        group = sorted((-v, i, p) for k, i, v, p, _ in rows if k == g)
+        for _, me, _ in group:
+            want[me], none = 0.0, 1.0
+            for v, i, p in group:
+                if i != me:
+                    want[me] -= v * p * none
+                    none *= 1 - p
+    assert got == pytest.approx(want)
 
 
 def test_snake(spark):

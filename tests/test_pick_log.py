@@ -2,24 +2,30 @@
 
 from pyspark.sql import functions as F
 
+from fieldmark.operators import draft
 from fieldmark.plans import registry
 from fieldmark.plans.board_queries import pick_events
 from fieldmark.streaming import picks
 
 
-def _brute(rows, most):
-    out, state, seen = [], {}, set()
+def _brute(rows, plan):
+    slots, out, state, seen = {}, [], {}, set()
+    for s in sorted(plan, key=lambda s: (s.league_id, s.overall_pick)):
+        if s.live_pick_no is not None:
+            slots.setdefault(s.league_id, []).append(picks.Slot(s.overall_pick, s.round, s.team_slot))
     for e in sorted(rows, key=lambda e: (e.picked_at, e.event_id)):
         if (e.league_id, e.event_id) not in seen:
             seen.add((e.league_id, e.event_id))
-            state[e.league_id], (n, why) = picks.decide(state.get(e.league_id, ([], [], [])), e, most)
-            out.append((e.league_id, e.event_id, e.action, n, why))
+            event = picks.Event(e.event_id, e.action, e.player_id, e.team_slot, e.source, e.overall_pick, 0)
+            state[e.league_id], d = picks.decide(state.get(e.league_id, {}), slots.get(e.league_id, []), event)
+            out.append((e.league_id, e.event_id, e.action, d.live_pick_no, d.reason))
     return sorted(out)
 
 
 def test_no_league_is_loaded_whole(spark, sf):
     events = pick_events(spark, sf)
-    out = picks.fold_in_batch(events, most=5)
+    plan = draft.schedule(events.select("league_id").distinct().withColumns({"teams": F.lit(3), "rounds": F.lit(2)}))
+    out = picks.fold_in_batch(events, plan)
     assert "InPandas" not in out._jdf.queryExecution().toString()
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")  # a league spans many batches
@@ -27,7 +33,7 @@ def test_no_league_is_loaded_whole(spark, sf):
         got = sorted((r.league_id, r.event_id, r.action, r.live_pick_no, r.reason) for r in out.collect())
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
-    assert got == _brute(events.collect(), 5)
+    assert got == _brute(events.collect(), plan.collect())
 
 
 def test_leagues_grow_with_the_users(spark):
@@ -38,5 +44,6 @@ def test_leagues_grow_with_the_users(spark):
 def test_null_leagues_and_players(spark):
     rows = [(2, None, "pick", 7, 1, "manual", "2026-01-01 00:00:02"), (1, None, "pick", None, None, None, "2026-01-01 00:00:01"), (3, 4, "pick", 7, 1, "manual", "2026-01-01 00:00:01")]
     d = spark.createDataFrame(rows, "event_id long, league_id long, action string, player_id long, team_slot int, source string, picked_at string").withColumn("picked_at", F.col("picked_at").cast("timestamp"))
-    got = {r.event_id: (r.live_pick_no, r.reason) for r in picks.fold_in_batch(d).collect()}
+    plan = draft.schedule(spark.createDataFrame([(None, 2, 2), (4, 2, 2)], "league_id long, teams long, rounds int"))
+    got = {r.event_id: (r.live_pick_no, r.reason) for r in picks.fold_in_batch(d, plan).collect()}
     assert got == {1: (None, "unknown event"), 2: (1, None), 3: (1, None)}
