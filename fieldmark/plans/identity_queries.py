@@ -87,6 +87,75 @@ def d2_sources_in_order(spark, sf_dir):
     return hub.select("player_id", "a_id", "b_id")
 
 
+#: People as a roster and three sources have them, each with some of the customers; the registry knows some by c_id.
+_PERSON = "concat('P ', CAST(c_custkey % 300 AS VARCHAR(9))) AS name, concat('p ', CAST(c_custkey % 300 AS VARCHAR(9))) AS name_norm, CASE c_mktsegment WHEN 'FURNITURE' THEN 'DEF' ELSE c_mktsegment END AS position, CASE WHEN c_custkey % 23 = 0 THEN NULL ELSE concat('N', CAST(c_nationkey AS VARCHAR(9))) END AS team"
+_ID = lambda x, every, of="c_custkey": f"CASE WHEN c_custkey % {every} > 0 THEN concat('{x}', CAST({of} AS VARCHAR(9))) END AS {x}_id"
+_PEOPLE = {
+    "roster": f"SELECT c_custkey AS place, concat('g', CAST(c_custkey AS VARCHAR(9))) AS gsis_id, {_ID('a', 3)}, {_ID('b', 5)}, {_PERSON} FROM {{customer}} WHERE c_custkey % 5 IN (0, 1)",
+    "ranks": f"SELECT c_custkey AS place, {_ID('a', 2)}, {_ID('b', 4)}, {_PERSON} FROM {{customer}} WHERE c_custkey % 5 IN (1, 2)",
+    "pool": f"SELECT c_custkey AS place, {_ID('c', 4)}, {_ID('b', 2, 'c_custkey - c_custkey % 3')}, {_PERSON} FROM {{customer}} WHERE c_custkey % 5 IN (2, 3)",
+    "projections": f"SELECT c_custkey AS place, {_ID('c', 3)}, {_ID('a', 4)}, {_PERSON} FROM {{customer}} WHERE c_custkey % 5 IN (3, 4)",
+    "registry": "SELECT concat('c', CAST(c_custkey AS VARCHAR(9))) AS c_id, CASE WHEN c_custkey % 2 = 0 THEN concat('g', CAST(c_custkey AS VARCHAR(9))) END AS gsis_id, concat('R ', CAST(c_custkey AS VARCHAR(9))) AS name, concat('r ', CAST(c_custkey AS VARCHAR(9))) AS name_norm FROM {customer} WHERE c_custkey % 7 = 3",
+}
+_ORDER = (("ranks", ("a_id", "b_id"), False), ("pool", ("c_id", "b_id"), True), ("projections", ("c_id", "a_id"), False))
+_FIELDS = ("name", "name_norm", "position", "team", "gsis_id", "a_id", "b_id", "c_id")
+
+
+def _key_sql(gsis: str, position: str, team: str, name: str) -> str:
+    return f"CASE WHEN {position} = 'DEF' THEN 'DEF:' || coalesce({team}, '') ELSE coalesce({gsis}, 'name:' || {name} || '|' || {position}) END"
+
+
+def _source_sql(k: int, name: str, ids: tuple[str, ...], registry: bool) -> str:
+    """One source's rows against the hub before it, and the hub after it."""
+    index = ", ".join(f"i{k}_{i} AS (SELECT {i} AS v, arg_min(hub_key, seq) AS hub_key FROM hub{k - 1} WHERE {i} IS NOT NULL GROUP BY 1)" for i in ids)
+    joins = " ".join(f"LEFT JOIN i{k}_{i} ON i{k}_{i}.v = s.{i}" for i in ids)
+    found = [("CASE WHEN s.position = 'DEF' THEN 'DEF:' || coalesce(s.team, '') END", "def:team"), *((f"i{k}_{i}.hub_key", f"id:{i}") for i in ids), (f"t{k}.hub_key", "name+team+pos"), (f"n{k}.hub_key", "name+pos")]
+    if registry:
+        found.append((f"CASE WHEN r.c_id IS NOT NULL THEN {_key_sql('r.gsis_id', 's.position', 's.team', 'r.name_norm')} END", "registry:c_id"))
+    found.append((_key_sql("NULL", "s.position", "s.team", "s.name_norm"), "new"))
+    how = "CASE " + " ".join(f"WHEN ({e}) IS NOT NULL THEN '{w}'" for e, w in found) + " END"
+    new = f"({how}) = 'registry:c_id'" if registry else "false"
+    gsis, person = (f"CASE WHEN {new} THEN r.gsis_id END", {c: f"CASE WHEN {new} THEN r.{c} ELSE s.{c} END" for c in ("name", "name_norm")}) if registry else ("NULL::VARCHAR", {})
+    own = {"gsis_id": gsis, **{i: f"s.{i}" for i in ids}, **{c: person.get(c, f"s.{c}") for c in ("name", "name_norm", "position", "team")}}
+    cols = ", ".join(f"{e} AS {c}" for c, e in own.items())
+    first = ", ".join(f"arg_min({c}, place) FILTER ({c} IS NOT NULL) AS {c}" for c in own)
+    fields = ", ".join(f"coalesce(h.{c}, b.{c}) AS {c}" if c in own else f"h.{c} AS {c}" for c in _FIELDS)
+    return f"""{index},
+t{k} AS (SELECT name_norm, team, position, arg_min(hub_key, seq) AS hub_key FROM hub{k - 1} WHERE name_norm IS NOT NULL AND team IS NOT NULL AND position IS NOT NULL GROUP BY ALL),
+n{k} AS (SELECT name_norm, position, min(hub_key) AS hub_key FROM hub{k - 1} WHERE name_norm IS NOT NULL AND position IS NOT NULL GROUP BY ALL HAVING count(*) = 1),
+f{k} AS (SELECT place, coalesce({', '.join(e for e, _ in found)}) AS hub_key, {how} AS how, {cols} FROM {name} s {joins} LEFT JOIN t{k} ON t{k}.name_norm = s.name_norm AND t{k}.team = s.team AND t{k}.position = s.position
+  LEFT JOIN n{k} ON n{k}.name_norm = s.name_norm AND n{k}.position = s.position {'LEFT JOIN registry r ON r.c_id = s.c_id' if registry else ''}),
+b{k} AS (SELECT hub_key, min(place) AS place, arg_max(how, place) AS how, {first} FROM f{k} GROUP BY hub_key),
+hub{k} AS (SELECT coalesce(h.hub_key, b.hub_key) AS hub_key, coalesce(h.seq, {k} * 1000000000 + b.place) AS seq, {fields}, concat_ws(';', h.match_sources, '{name}=' || b.how) AS match_sources FROM hub{k - 1} h FULL JOIN b{k} b ON h.hub_key = b.hub_key)"""
+
+
+_GROWN = f"""WITH {', '.join(f"{n} AS ({q.format(customer='customer')})" for n, q in _PEOPLE.items())},
+hub0 AS (SELECT {_key_sql('gsis_id', 'position', 'team', 'name_norm')} AS hub_key, min(place) AS seq, {', '.join(f'arg_min({c}, place) FILTER ({c} IS NOT NULL) AS {c}' for c in _FIELDS if c != 'c_id')}, NULL::VARCHAR AS c_id, 'roster=gsis_id' AS match_sources FROM roster GROUP BY 1),
+{', '.join(_source_sql(k, *s) for k, s in enumerate(_ORDER, 1))}"""
+
+
+def _people(spark, sf_dir, name: str) -> DataFrame:
+    return spark.sql(_PEOPLE[name], customer=table(spark, sf_dir, "customer"))
+
+
+def grown_hub(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    sources = [identity.Source(n, _people(spark, sf_dir, n), ids, "c_id" if known else None, _people(spark, sf_dir, "registry") if known else None) for n, ids, known in _ORDER]
+    return identity.grow_hub(identity.new_hub(_people(spark, sf_dir, "roster"), ["a_id", "b_id"], "roster"), sources)
+
+
+@query("d2_growing_hub", f"{_GROWN} SELECT hub_key, {', '.join(_FIELDS)}, match_sources FROM hub3")
+def d2_growing_hub(spark, sf_dir):
+    """A roster's hub after three sources in order: what nobody knew joins it, and later sources find it there."""
+    hub, _ = grown_hub(spark, sf_dir)
+    seen = F.concat_ws(";", *[F.when(F.col("match_sources")[n].isNotNull(), F.concat(F.lit(f"{n}="), F.col("match_sources")[n])) for n in ("roster", *(s[0] for s in _ORDER))])
+    return hub.select("hub_key", *_FIELDS, seen.alias("match_sources"))
+
+
+@query("d2_links", f"{_GROWN} SELECT 'ranks' AS source, place, hub_key, how FROM f1 UNION ALL SELECT 'pool', place, hub_key, how FROM f2 UNION ALL SELECT 'projections', place, hub_key, how FROM f3")
+def d2_links(spark, sf_dir):
+    return grown_hub(spark, sf_dir)[1]
+
+
 @query("d3_first_value", """SELECT p_name, min_by(p_type, p_partkey) AS p_type FROM part WHERE p_partkey % 3 > 0 GROUP BY p_name""".replace("min_by", "arg_min"))
 def d3_first_value(spark, sf_dir):
     p = table(spark, sf_dir, "part").withColumn("p_type", F.when(F.col("p_partkey") % 3 > 0, F.col("p_type")).otherwise("  "))
@@ -107,15 +176,33 @@ def d5_unmatched(spark, sf_dir):
     return identity.unmatched(rows).select("source_id", "source", "adp")
 
 
-@query("d6_upsert", """WITH h AS (SELECT s_suppkey + 1 AS player_id, s_name AS name, CAST(s_nationkey AS VARCHAR) AS team FROM supplier WHERE s_suppkey % 3 <> 0),
-r AS (SELECT s_name AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'moved' END AS team FROM supplier)
-SELECT coalesce(h.name, r.name) AS name, coalesce(r.team, h.team) AS team, h.player_id IS NULL AS is_new FROM h FULL JOIN r USING (name)""")
+#: The stored table before: a third of the hub, some of its id rows still without their id; texts of one column out of date.
+_STORED = "hub_key, row_number() OVER (ORDER BY hub_key) * 3 AS player_id, CASE WHEN hub_key LIKE '%7' THEN NULL ELSE gsis_id END AS gsis_id, name, name_norm, position, team, 'old' AS a_id"
+_TAG = "CASE WHEN gsis_id IS NOT NULL THEN 'id' WHEN position = 'DEF' THEN 'def' ELSE 'name' END AS kind, CASE WHEN gsis_id IS NOT NULL THEN gsis_id WHEN position = 'DEF' THEN coalesce(team, '') ELSE concat_ws('|', name_norm, position) END AS value"
+
+
+@query("d6_upsert", f"""{_GROWN}, stored AS (SELECT {_STORED} FROM hub3 WHERE hub_key LIKE '%1' OR hub_key LIKE '%7' OR hub_key LIKE '%3|%'),
+r AS (SELECT *, row_number() OVER (PARTITION BY kind, value ORDER BY hub_key) AS k FROM (SELECT *, {_TAG} FROM hub3 WHERE name IS NOT NULL AND position IS NOT NULL)), r1 AS (SELECT * FROM r WHERE k = 1),
+h AS (SELECT kind, value, min(player_id) AS player_id FROM (SELECT *, {_TAG} FROM stored) GROUP BY ALL), met AS (SELECT r1.*, h.player_id FROM r1 LEFT JOIN h ON h.kind = r1.kind AND h.value = r1.value),
+takers AS (SELECT m.value, f.player_id FROM (SELECT concat_ws('|', name_norm, position) AS by_name, min(value) AS value FROM met WHERE kind = 'id' AND player_id IS NULL GROUP BY 1) m
+  JOIN (SELECT * FROM h WHERE kind = 'name' AND value NOT IN (SELECT value FROM r1 WHERE kind = 'name')) f ON f.value = m.by_name),
+done AS (SELECT m.* EXCLUDE (player_id), coalesce(m.player_id, t.player_id) AS player_id FROM met m LEFT JOIN takers t ON m.kind = 'id' AND t.value = m.value)
+SELECT s.player_id, {', '.join(f'coalesce(d.{c}, s.{c}) AS {c}' for c in ('gsis_id', 'name', 'name_norm', 'position', 'team', 'a_id'))}, false AS is_new FROM stored s LEFT JOIN done d ON d.player_id = s.player_id
+UNION ALL SELECT NULL, gsis_id, name, name_norm, position, team, a_id, true FROM done WHERE player_id IS NULL""")
 def d6_upsert(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier")
-    hub = s.filter("s_suppkey % 3 <> 0").select((F.col("s_suppkey") + 1).alias("player_id"), F.col("s_name").alias("name"), F.col("s_nationkey").cast("string").alias("team"))
-    rows = s.select(F.col("s_name").alias("name"), F.when(F.col("s_suppkey") % 2 == 0, "moved").otherwise(" ").alias("team"))
-    out = identity.upsert(hub, rows, "name", ["team"])
-    return out.join(hub.select("player_id", F.lit(True).alias("old")), "player_id", "left").select("name", "team", F.col("old").isNull().alias("is_new"))
+    """A hub of three kinds of rows into a stored table; players who got an id keep their player_id. New ids are checked by tests."""
+    hub, _ = grown_hub(spark, sf_dir)
+    stored = stored_players(hub)
+    out = identity.upsert(stored, hub, ["gsis_id", "name", "name_norm", "position", "team", "a_id"])
+    old = out.join(stored.select("player_id", F.lit(True).alias("old")), "player_id", "left")
+    return old.withColumn("is_new", F.col("old").isNull()).withColumn("player_id", F.when(F.col("old"), F.col("player_id"))).drop("old")
+
+
+def stored_players(hub: DataFrame) -> DataFrame:
+    some = hub.filter("hub_key LIKE '%1' OR hub_key LIKE '%7' OR hub_key LIKE '%3|%'")
+    some = identity.numbered(some.select("hub_key", "gsis_id", *identity.PERSON), "hub_key", buckets=1)
+    gsis = F.when(~F.col("hub_key").like("%7"), F.col("gsis_id"))
+    return some.select((F.col("_no") * 3).cast("long").alias("player_id"), gsis.alias("gsis_id"), *identity.PERSON, F.lit("old").alias("a_id"))
 
 
 @query("d7_market_names", f"""WITH {_BOTH}, people AS (SELECT * FROM hub WHERE position <> 'FURNITURE'), d AS (SELECT * FROM hub WHERE position = 'FURNITURE'), s AS (SELECT * FROM source WHERE position <> 'FURNITURE'),
