@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldmark.functions.columns import flag, running, top, zero
+from fieldmark.operators.features import RANKED_GAMES, expected_games
 
 #: Roster states that count, and codes and code initials that do not.
 ELIGIBLE_STATES = ("ACT", "INA", "RES", "PUP")
@@ -17,8 +18,12 @@ EXCLUDED_CODES = ("R02", "R03", "R06", "R09", "R30", "R33", "R40")
 REPORTS = ("Out", "Doubtful", "Questionable")
 PRACTICE = r"(?i)did not participate|limited participation"
 NO_INJURY = r"(?i)^not injury related"
-SOFT_TISSUE = r"(?i)hamstring|calf|groin|quad|achilles tend|soft"
-STRUCTURAL = r"(?i)acl|achilles|lisfranc|patell|meniscus|fracture|knee"
+UNSPECIFIED = "Unspecified"
+#: Causes that are soft-tissue and structural injuries.
+SOFT_TISSUE = r"(?i)hamstring|groin|calf|quad|soft tissue"
+STRUCTURAL = r"(?i)\bacl\b|achilles|\bmcl\b|\bpcl\b|patell|fracture|torn"
+#: What makes a player injury-prone, the games of a season, and missed weeks that end one.
+MISS_RATE, LEAST_EVENTS, LEAST_SEASONS, GAMES, SEASON_ENDING = 0.20, 2, 2, 17, 4
 
 
 def eligible_weeks(roster: DataFrame) -> DataFrame:
@@ -35,11 +40,12 @@ def played_weeks(lines: DataFrame) -> DataFrame:
 
 
 def injury_weeks(reports: DataFrame) -> DataFrame:
-    """Distinct (player_id, season, week, cause) of weeks that count as injured; the cause is the first text that is not blank."""
+    """Distinct (player_id, season, week, cause) of weeks that count as injured; the cause is the first text that is not
+    blank, and ``Unspecified`` where there is none. Rows without a player are left out."""
     text = lambda c: F.nullif(F.trim(c), F.lit(""))
-    cause = F.coalesce(text("report_injury"), text("practice_injury"))
-    hurt = F.col("report_status").isin(*REPORTS) | F.col("practice_status").rlike(PRACTICE)
-    rows = reports.filter(flag(hurt)).withColumn("cause", cause).filter(F.col("cause").isNotNull() & ~F.col("cause").rlike(NO_INJURY))
+    cause = F.coalesce(text("report_injury"), text("practice_injury"), F.lit(UNSPECIFIED))
+    hurt = flag(F.trim("report_status").isin(*REPORTS)) | flag(F.col("practice_status").rlike(PRACTICE))
+    rows = reports.filter(F.col("player_id").isNotNull() & hurt).withColumn("cause", cause).filter(~F.col("cause").rlike(NO_INJURY))
     return rows.select("player_id", "season", "week", "cause").distinct()
 
 
@@ -53,7 +59,8 @@ def spells(weeks: DataFrame, keys: Sequence[str] = ("player_id", "season", "caus
 
 
 def ledger(eligible: DataFrame, played: DataFrame, spells_: DataFrame) -> DataFrame:
-    """Per player and season: weeks eligible, played and missed, spells, their causes, and how many were soft-tissue or structural."""
+    """Per player and season of any of the three tables: weeks eligible, played (of those) and missed, spells, their causes,
+    and how many were soft-tissue or structural."""
     keys = ["player_id", "season"]
     e = eligible.groupBy(*keys).agg(F.count("*").alias("eligible"))
     p = played.join(eligible, [*keys, "week"]).groupBy(*keys).agg(F.count("*").alias("played"))
@@ -61,7 +68,7 @@ def ledger(eligible: DataFrame, played: DataFrame, spells_: DataFrame) -> DataFr
         F.count("*").alias("spells"), F.array_sort(F.collect_set("cause")).alias("causes"), F.count_if(F.col("cause").rlike(SOFT_TISSUE)).alias("soft_tissue"),
         F.count_if(F.col("cause").rlike(STRUCTURAL)).alias("structural"),
     )
-    every = e.select(*keys).unionByName(s.select(*keys)).distinct()
+    every = e.select(*keys).unionByName(played.select(*keys)).unionByName(s.select(*keys)).distinct()
     out = every.join(e, keys, "left").join(p, keys, "left").join(s, keys, "left")
     out = out.withColumns({c: zero(c) for c in ("eligible", "played", "spells", "soft_tissue", "structural")})
     return out.withColumns({"missed": F.greatest(F.col("eligible") - F.col("played"), F.lit(0)), "causes": F.coalesce("causes", F.array().cast("array<string>"))})
@@ -75,7 +82,7 @@ def top_causes(spells_: DataFrame, k: int = 3) -> DataFrame:
     return best.groupBy("player_id").agg(ordered["cause"].alias("top_causes"))
 
 
-def season_ending(spells_: DataFrame, eligible: DataFrame, played: DataFrame, week_one: DataFrame, cutoff: Column, least: int = 4) -> DataFrame:
+def season_ending(spells_: DataFrame, eligible: DataFrame, played: DataFrame, week_one: DataFrame, cutoff: Column, least: int = SEASON_ENDING) -> DataFrame:
     """Structural spells after which nothing was played and at least ``least`` eligible weeks were missed; the latest of each player.
 
     ``week_one`` has a season's first day; a listing later than ``cutoff`` days count. Weeks of a player and season
@@ -98,24 +105,49 @@ def trailing_absence(eligible: DataFrame, played: DataFrame) -> DataFrame:
     return seen.groupBy("player_id", "season").agg(F.count_if(F.col("since") == 0).alias("trailing_missed"))
 
 
-def summary(ledgers: DataFrame, players: DataFrame, latest: int, seasons: int = 3) -> DataFrame:
-    """Totals over the last seasons, the miss rate and whether it makes a player injury-prone; all players keep a row."""
+def totals(ledgers: DataFrame, latest: int, seasons: int = 3) -> DataFrame:
+    """Per player over the last seasons: what he missed and why, and whether that makes him injury-prone."""
     recent = ledgers.filter((F.col("season") > latest - seasons) & (F.col("season") <= latest))
     t = recent.groupBy("player_id").agg(
         F.sum("eligible").alias("eligible_3y"), F.sum("played").alias("played_3y"), F.sum("missed").alias("missed_3y"), F.sum("spells").alias("events"),
         F.count_if(F.col("spells") > 0).alias("seasons_with_events"), F.sum("soft_tissue").alias("soft_tissue"), F.count_if(F.col("soft_tissue") > 0).alias("soft_seasons"),
     )
-    out = players.join(t, "player_id", "left")
-    rate = F.when(F.col("eligible_3y") > 0, F.col("missed_3y") / F.col("eligible_3y"))
-    often = (F.col("miss_rate") >= 0.20) & (F.col("events") >= 2) & (F.col("seasons_with_events") >= 2)
-    soft = (F.col("soft_tissue") >= 2) & (F.col("soft_seasons") >= 2)
-    return out.withColumn("miss_rate", rate).withColumn("injury_prone", flag(often) | flag(soft))
+    often = (F.col("miss_rate") >= MISS_RATE) & (F.col("events") >= LEAST_EVENTS) & (F.col("seasons_with_events") >= LEAST_SEASONS)
+    soft = (F.col("soft_tissue") >= LEAST_EVENTS) & (F.col("soft_seasons") >= LEAST_SEASONS)
+    rate = F.when(F.col("eligible_3y") > 0, F.round(F.col("missed_3y") / F.col("eligible_3y"), 4))
+    return t.withColumn("miss_rate", rate).withColumn("injury_prone", flag(often) | flag(soft))
+
+
+def summary(ledgers: DataFrame, players: DataFrame, causes: DataFrame, ending: DataFrame, trailing: DataFrame, status: DataFrame, latest: int, kickoff: Column, seasons: int = 3) -> DataFrame:
+    """A row for every player (player_id, position, birth_date): totals of the last seasons, his causes, whether he is
+    injury-prone or comes back from a structural injury and since which season, his state now, and the games to expect, of
+    which all history counts here.
+
+    ``causes``: :func:`top_causes`; ``ending``: :func:`season_ending`; ``trailing``: :func:`trailing_absence`, of which the
+    latest season counts; ``status``: player_id, status, body_part, known_missed. All are one row a player, so every join is
+    on player_id, which all of them are grouped by."""
+    blank = lambda c: F.nullif(F.trim(c), F.lit("")).alias(c)
+    end = ending.select("player_id", F.col("cause").alias("_cause"), F.col("season").alias("_season"))
+    last = trailing.filter(F.col("season") == latest).select("player_id", "trailing_missed")
+    now = status.select("player_id", blank("status"), blank("body_part"), "known_missed")
+    out = players
+    for part in (totals(ledgers, latest, seasons), causes, end, last, now):
+        out = out.join(part, "player_id", "left")
+    known, absent = zero("known_missed"), zero("trailing_missed") >= SEASON_ENDING
+    returns = structural_return(F.col("_cause").isNotNull(), F.col("body_part"), F.col("trailing_missed"), F.col("known_missed"))
+    out = out.withColumns({"structural_return": returns, "known_missed": known, "injury_prone": flag(F.col("injury_prone"))})
+    return out.withColumns({
+        "structural_cause": F.when(F.col("structural_return"), F.coalesce("_cause", "body_part")),
+        "structural_season": F.when(F.col("structural_return"), F.coalesce(F.col("_season"), F.when(absent, latest))),
+        "age": F.round(F.datediff(kickoff, F.col("birth_date")) / 365.25, 2),
+        "e_games": expected_games(F.lit(None).cast("double"), F.col("position"), F.col("missed_3y"), F.col("eligible_3y"), F.lit(RANKED_GAMES), F.col("known_missed")),
+    }).drop("_cause", "_season")
 
 
 def structural_return(reported: Column, body_part: Column, trailing_missed: Column, known_missed: Column) -> Column:
     """Back from a structural injury: seen in the reports, or by the state now and weeks missed; not if the season is lost."""
-    by_state = flag(body_part.rlike(STRUCTURAL)) & flag(trailing_missed >= 4)
-    return (flag(reported) | by_state) & (zero(known_missed) < 17)
+    by_state = flag(body_part.rlike(STRUCTURAL)) & flag(trailing_missed >= SEASON_ENDING)
+    return (flag(reported) | by_state) & (zero(known_missed) < GAMES)
 
 
 def chart_change(charts: DataFrame, days: int = 30) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from dataclasses import dataclass, field
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +41,7 @@ RISKS = {
 def support() -> Column:
     """What speaks for a player beyond the market's view; the team's context counts once."""
     c, name = F.col, GAINS
-    skill_youth = c("position").isin(*SKILL) & (c("age") <= 24) & (F.coalesce("ppg", F.lit(0)) > 0)
+    skill_youth = c("position").isin(*SKILL) & (c("age") <= 24) & (F.coalesce("last_ppg", F.lit(0)) > 0)
     return chosen(
         (name["target_share"], c("yoy_target_share") >= 0.03), (name["touchdowns"], c("td_diff") <= -3), (name["depth"], c("depth_change") < 0), (name["points"], c("yoy_ppg") >= 2),
         (name["share"], flag(c("target_share") >= 0.25) | flag(c("carry_share") >= 0.55)), (name["youth"], skill_youth), (name["luck"], c("ppg_diff") <= -1), (name["vacated"], c("vacated_gain") >= 0.02),
@@ -68,48 +72,97 @@ def flags(support_: Column, risk_: Column) -> Column:
     return chosen(*marks, ("value", up & flag(c("established"))), ("sleeper", up & ~flag(c("established"))), ("positional_reach", down & reach), ("bust", down & ~reach))
 
 
-def _rule(rule: str, priority: int, when: Column, text: Column, kind: str, polarity: Column | int) -> Column:
-    p = polarity if isinstance(polarity, Column) else F.lit(polarity)
-    row = F.struct(F.lit(priority).alias("priority"), F.lit(rule).alias("rule_id"), text.alias("text"), F.lit(kind).alias("kind"), p.cast("int").alias("polarity"))
-    return F.when(flag(when), row)
+@dataclass(frozen=True)
+class Rule:
+    """One kind of reason: when it is given, what it says, what kind it is, whether it speaks for a player (1), against him
+    (-1) or neither (0), the years it is about, and the numbers and texts it rests on."""
+
+    rule_id: str
+    priority: int
+    kind: str
+    when: Column
+    polarity: Column
+    text: Column
+    numbers: Mapping[str, Column] = field(default_factory=dict)
+    labels: Mapping[str, Column] = field(default_factory=dict)
+    years: str = "now"
+
+    def column(self) -> Column:
+        """A struct; null where the rule is not met."""
+        pairs = lambda m, kind: F.map_filter(F.create_map(*[x for k, v in m.items() for x in (F.lit(k), v.cast(kind))]).cast(f"map<string,{kind}>"), lambda _, v: v.isNotNull())
+        return F.when(flag(self.when), F.struct(
+            F.lit(self.priority).alias("priority"), F.lit(self.rule_id).alias("rule_id"), self.text.alias("text"), F.lit(self.kind).alias("kind"), self.polarity.cast("int").alias("polarity"),
+            F.lit(self.years).alias("years"), pairs(self.numbers, "double").alias("numbers"), pairs(self.labels, "string").alias("labels"),
+        ))
+
+
+def rules() -> list[Rule]:
+    """Every rule, over the columns that a ranked player has: his projection (ppg, vorp, e_games, pos_rank), the market's view
+    (room_adp, our_pick, gap, gap_z, ecr_sd, disagreement, vendor_ppg, inhouse_ppg), the last two seasons (last_ppg, prev_ppg,
+    target_share, prev_target_share, carry_share, td_diff, ppg_diff), durability, depth chart, team context and person.
+
+    Ids, priorities, kinds, polarities and triggers are fixed values of the rules; the wording is our own."""
+    c, f = F.col, F.format_string
+    none, zero_, up, down = F.lit(""), F.lit(0), F.lit(1), F.lit(-1)
+    side = lambda x: F.when(x > 0, 1).otherwise(-1)
+    part = lambda form, *x: F.when(reduce(lambda a, b: a & b, [y.isNotNull() for y in x]), f(form, *x)).otherwise(none)
+    whole = lambda x: x.cast("long")
+    runs = c("position").eqNullSafe(F.lit("RB")) & flag(c("carry_share") > 0)
+    target_change, ppg_change, model_gap, market = c("target_share") - c("prev_target_share"), c("last_ppg") - c("prev_ppg"), c("inhouse_ppg") - c("vendor_ppg"), c("room_adp") - c("our_pick")
+    missed_now = F.coalesce(c("known_missed"), zero_)
+    return [
+        Rule("projection", 5, "value", c("ppg").isNotNull(), zero_, F.concat(f("Projected for %.1f points a game", c("ppg")), part(", %s%d", c("position"), whole(c("pos_rank"))), part(", %.0f over replacement", c("vorp")), part(", in %.1f games", c("e_games"))),
+             {"ppg": c("ppg"), "vorp": c("vorp"), "e_games": c("e_games")}),
+        Rule("rookie_draft_capital", 8, "rookie", c("is_rookie"), F.when(c("draft_round").isNull(), -1).when(c("draft_round") == 1, 1).otherwise(0),
+             F.when(c("draft_round").isNull(), "Rookie whom no team drafted").otherwise(F.concat(f("Rookie of round %d", whole(c("draft_round"))), part(", pick %d", whole(c("draft_pick"))), part(", by %s", c("draft_team")))),
+             {"round": c("draft_round"), "pick": F.when(c("draft_round").isNotNull(), c("draft_pick"))}, {"team": F.when(c("draft_round").isNotNull(), c("draft_team"))}),
+        Rule("target_share_trend", 10, "opportunity", (F.abs(target_change) >= 0.03) & c("position").isin(*SKILL), side(target_change), f("Share of targets went from %.0f%% to %.0f%%", c("prev_target_share") * 100, c("target_share") * 100),
+             {"prev": c("prev_target_share"), "cur": c("target_share"), "delta": F.round(target_change, 3)}, years="last two"),
+        Rule("ppg_trend", 12, "opportunity", (c("prev_ppg") != 0) & (F.abs(ppg_change) >= 1.5), side(ppg_change), f("%.1f points a game after %.1f the year before", c("last_ppg"), c("prev_ppg")), {"prev": c("prev_ppg"), "cur": c("last_ppg")}, years="last two"),
+        Rule("carries_share", 14, "opportunity", (c("position") == "RB") & (c("carry_share") >= 0.55), up, f("Carried the load: %.0f%% of the team's runs", c("carry_share") * 100), {"carry_share": c("carry_share")}, years="last"),
+        Rule("depth_chart", 16, "opportunity", c("depth_rank").isNotNull(), F.when(c("depth_rank") == 1, 1).when(c("depth_rank") == 2, 0).otherwise(-1),
+             F.concat(f("Place %d of the depth chart at %s", whole(c("depth_rank")), c("position")), part(" (%s)", c("depth_as_of").cast("string")), F.when(flag(c("depth_change") != 0), f(", %s by %d in a month", F.when(c("depth_change") < 0, "up").otherwise("down"), whole(F.abs("depth_change")))).otherwise(none)),
+             {"depth_rank": c("depth_rank"), "change_30d": c("depth_change")}),
+        Rule("usage_level", 18, "opportunity", runs | (c("target_share") > 0), F.when(runs, (c("carry_share") >= 0.5).cast("int")).otherwise((c("target_share") >= 0.20).cast("int")),
+             F.when(runs, f("Took %.0f%% of the team's runs", c("carry_share") * 100)).otherwise(f("Drew %.0f%% of the team's targets", c("target_share") * 100)),
+             {"carry_share": F.when(runs, c("carry_share")), "target_share": F.when(~runs, c("target_share"))}, years="last"),
+        Rule("td_regression", 20, "regression", F.abs("td_diff") >= 3, -side(c("td_diff")), f("%.1f touchdowns %s what his chances gave", F.abs("td_diff"), F.when(c("td_diff") > 0, "above").otherwise("below")), {"td_diff": c("td_diff")}, years="last"),
+        Rule("ppg_luck", 22, "regression", F.abs("ppg_diff") >= 1, -side(c("ppg_diff")), f("%.1f points a game %s expectation", F.abs("ppg_diff"), F.when(c("ppg_diff") > 0, "above").otherwise("below")), {"ppg_diff": c("ppg_diff")}, years="last"),
+        Rule("current_injury", 28, "durability", (c("status") != "") & ~c("status").isin("Active", "ACT"), down,
+             F.concat(F.lit("On the list as "), c("status"), part(" (%s)", F.nullif(c("body_part"), none)), F.when(missed_now > 0, f(", to miss %d weeks", whole(missed_now))).otherwise(none)), {"known_missed_weeks": missed_now}, {"status": c("status")}),
+        Rule("games_missed", 30, "durability", (c("missed_3y") >= 3) & (c("eligible_3y") > 0), down,
+             F.concat(f("Out for %d of %d games in three years", whole(c("missed_3y")), whole(c("eligible_3y"))), F.when(flag(F.size("causes") > 0), F.concat(F.lit(": "), F.array_join(F.slice("causes", 1, 3), ", "))).otherwise(none), part("; %.1f games expected", c("e_games"))),
+             {"missed": c("missed_3y"), "eligible": c("eligible_3y"), "e_games": c("e_games")}, years="last three"),
+        Rule("new_play_caller", 40, "context", c("new_caller"), zero_, F.concat(F.lit("Plays are called by somebody new: "), F.coalesce(F.nullif(c("play_caller"), none), F.lit("not known yet"))), {}, {"play_caller": F.coalesce(F.nullif(c("play_caller"), none), F.lit("new play-caller"))}),
+        Rule("qb_situation", 41, "context", (c("qb_status") != "") & (c("qb_status") != "settled"), down, F.concat(F.lit("Passer not settled: "), c("qb_status"), F.lit(", first now "), F.coalesce(c("qb1"), F.lit("TBD"))), {}, {"qb_status": c("qb_status"), "projected_qb1": F.coalesce(F.nullif(c("qb1"), none), F.lit("TBD"))}),
+        Rule("ol_delta", 42, "context", c("line_delta") != 0, side(c("line_delta")), F.concat(f("Offensive line %s by %d", F.when(c("line_delta") > 0, "better").otherwise("worse"), whole(F.abs("line_delta"))), part(": %s", F.nullif(c("line_note"), none))), {"ol_delta": c("line_delta")}),
+        Rule("new_head_coach", 43, "context", c("new_coach"), zero_, F.concat(F.lit("Head coach is new: "), F.coalesce(c("coach"), F.lit("not known"))), {}, {"hc": c("coach")}),
+        Rule("adp_gap", 50, "market", (F.abs("gap") >= 6) & (F.abs("gap_z") >= 1), side(c("gap")), f("The room takes him %d picks %s than we would (%.1f deviations)", whole(F.abs("gap")), F.when(c("gap") > 0, "later").otherwise("earlier"), c("gap_z")), {"gap": c("gap"), "gap_z": c("gap_z")}),
+        Rule("expert_disagreement", 52, "market", c("disagreement") >= 1, down, F.concat(F.lit("Experts are further apart than at other ranks"), part(" (deviation %.1f)", c("ecr_sd"))), {"ecr_std": c("ecr_sd"), "residual": c("disagreement")}),
+        Rule("projection_sources", 54, "value", F.abs(model_gap) >= 1, side(model_gap), f("Own model at %.1f points a game, the vendor at %.1f", c("inhouse_ppg"), c("vendor_ppg")), {"vendor": c("vendor_ppg"), "inhouse": c("inhouse_ppg"), "blend": c("ppg")}),
+        Rule("market_position", 55, "market", c("room_adp").isNotNull() & c("our_pick").isNotNull(), zero_,
+             F.concat(f("Gone around pick %d, ours at %d: ", whole(c("room_adp")), whole(c("our_pick"))), F.when(F.abs(market) < 6, "no real difference").otherwise(f("%d picks %s", whole(F.abs(market)), F.when(market > 0, "later").otherwise("earlier")))),
+             {"room_adp": c("room_adp"), "our_pick": c("our_pick")}),
+        Rule("age", 60, "bio", c("age").isNotNull() & (c("age_factor") != 1), F.when(c("age_factor") < 1, -1).otherwise(1), f("Age %.0f: a factor of %.2f at %s", c("age"), c("age_factor"), c("position")), {"age": c("age"), "factor": c("age_factor")}),
+        Rule("experience", 62, "bio", ~flag(c("is_rookie")) & c("years_exp").isNotNull(), (c("years_exp") == 1).cast("int"), F.concat(F.when(c("years_exp") == 1, "Second season").otherwise(f("Season number %d", whole(c("years_exp") + 1))), part(", age %.0f", c("age"))), {"years_exp": c("years_exp"), "age": c("age")}),
+        Rule("contract", 70, "bio", flag(c("contract_year")) | flag(c("just_paid")), zero_, F.when(flag(c("contract_year")), "Last year of his contract").otherwise("New contract at the top of his position")),
+    ]
 
 
 def reasons() -> Column:
-    """At most six reasons by priority and rule; the plain usage line gives way where the workload one is there.
-
-    Own wording; triggers and priorities are the rules'."""
-    c, f = F.col, F.format_string
-    sign = lambda x: F.signum(x)
-    every = F.array_compact(F.array(
-        _rule("rookie_draft_capital", 8, c("is_rookie") & c("draft_round").isNotNull(), f("Rookie drafted in round %d", c("draft_round").cast("int")), "context", F.when(c("draft_round") <= 2, 1).otherwise(0)),
-        _rule("projection", 5, c("ppg").isNotNull(), f("Projected for %.1f points a game", c("ppg")), "projection", 0),
-        _rule("target_share_trend", 10, (F.abs("yoy_target_share") >= 0.03) & c("position").isin(*SKILL), f("Target share moved by %.1f points", c("yoy_target_share") * 100), "usage", sign(c("yoy_target_share"))),
-        _rule("ppg_trend", 12, F.abs("yoy_ppg") >= 1.5, f("Points a game changed by %.1f on the season before", c("yoy_ppg")), "production", sign(c("yoy_ppg"))),
-        _rule("carries_share", 14, (c("position") == "RB") & (c("carry_share") >= 0.55), f("Had %.0f%% of his team's carries", c("carry_share") * 100), "usage", 1),
-        _rule("depth_chart", 16, c("depth_change") != 0, f("Depth chart rank now %d", c("depth_rank").cast("int")), "role", -sign(c("depth_change"))),
-        _rule("usage_level", 18, c("target_share") > 0, f("Had %.0f%% of his team's targets", c("target_share") * 100), "usage", 0),
-        _rule("td_regression", 20, F.abs("td_diff") >= 3, f("Touchdowns %.1f off what chances gave", c("td_diff")), "luck", -sign(c("td_diff"))),
-        _rule("ppg_luck", 22, F.abs("ppg_diff") >= 1, f("%.1f points a game off expectation", c("ppg_diff")), "luck", -sign(c("ppg_diff"))),
-        _rule("current_injury", 28, ~c("status").isin("Active", "ACT"), F.concat(F.lit("Listed as "), c("status")), "health", -1),
-        _rule("games_missed", 30, c("missed_3y") >= 3, f("Missed %d games in three seasons", c("missed_3y").cast("int")), "health", -1),
-        _rule("new_play_caller", 40, c("new_caller"), F.lit("New play-caller"), "context", 0),
-        _rule("qb_situation", 41, c("qb_unsettled"), F.lit("Passer not settled"), "context", -1),
-        _rule("ol_delta", 42, c("line_delta") != 0, f("Line graded %+d on last year", c("line_delta").cast("int")), "context", sign(c("line_delta"))),
-        _rule("new_head_coach", 43, c("new_coach"), F.lit("New head coach"), "context", 0),
-        _rule("adp_gap", 50, (F.abs("gap") >= 6) & (F.abs("gap_z") >= 1), f("Room takes him %d picks from our place", c("gap").cast("int")), "market", sign(c("gap"))),
-        _rule("expert_disagreement", 52, c("disagreement") >= 1, F.lit("Experts disagree more than usual"), "market", -1),
-        _rule("projection_sources", 54, F.abs("inhouse_edge") >= 1, f("Own projection differs by %.1f points a game", c("inhouse_edge")), "projection", sign(c("inhouse_edge"))),
-        _rule("market_position", 55, c("adp").isNotNull(), f("Drafted around pick %.0f", c("adp")), "market", 0),
-        _rule("age", 60, c("age_factor") != 1, f("Age %.0f changes the projection", F.floor("age").cast("double")), "age", F.when(c("age_factor") > 1, 1).otherwise(-1)),
-        _rule("experience", 62, ~c("is_rookie"), F.lit("Has played in the league before"), "context", 0),
-    ))
+    """At most six reasons by priority and rule; the plain usage line gives way where the workload one is there."""
+    every = F.array_compact(F.array(*[r.column() for r in rules()]))
     heavy = F.exists(every, lambda r: r["rule_id"] == "carries_share")
-    return F.slice(F.array_sort(F.filter(every, lambda r: ~((r["rule_id"] == "usage_level") & heavy))), 1, MOST_REASONS)
+    kept = F.filter(every, lambda r: ~((r["rule_id"] == "usage_level") & heavy))
+    # Maps have no order, so the array is sorted by priority and rule alone.
+    before = lambda a, b: (a["priority"] < b["priority"]) | ((a["priority"] == b["priority"]) & (a["rule_id"] < b["rule_id"]))
+    return F.slice(F.array_sort(kept, lambda a, b: F.when(before(a, b), -1).when(before(b, a), 1).otherwise(0)), 1, MOST_REASONS)
 
 
 def reason_rows(ranked: DataFrame) -> DataFrame:
-    """One row a reason: league_id, player_id, place, rule_id, text, kind, polarity."""
-    return ranked.select("league_id", "player_id", F.posexplode(reasons()).alias("place", "r")).select("league_id", "player_id", "place", "r.rule_id", "r.text", "r.kind", "r.polarity")
+    """One row a reason: league_id, player_id, place, rule_id, text, kind, polarity, years, numbers, labels."""
+    r = ranked.select("league_id", "player_id", F.posexplode(reasons()).alias("place", "r"))
+    return r.select("league_id", "player_id", "place", "r.rule_id", "r.text", "r.kind", "r.polarity", "r.years", "r.numbers", "r.labels")
 
 
 def prior_ranks(seasons: DataFrame, season: int, least_games: int = 8) -> DataFrame:

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldmark.functions.columns import zero
+from fieldmark.functions.columns import flag, zero
 from fieldmark.operators import board, draft, signals
 from fieldmark.operators.valuation import nearest_decile_cut, room_gaps
 from fieldmark.plans.bindings import ctes, table
 from fieldmark.plans.feature_queries import SEASON_SQL, seasons
 from fieldmark.plans.valuation_queries import KEPT, _GAPS, _PLAN, _TEN, _cdf, _ten, _values_sql, others_sql, plan, valued, valued_once
 from fieldmark.sources import payloads, snapshots
+from fieldmark.sources.settled import settle
 from fieldmark.streaming import picks
 
 QUERIES: dict = {}
@@ -112,31 +113,43 @@ def a12_diff(spark, sf_dir):
 # signals
 
 
+#: What ids stand in for, as SQL of ``i``; shares and changes are exact in binary, and nulls reach every rule.
+_FACTS = {
+    "target_share": "CASE WHEN i % 29 = 7 THEN NULL ELSE (i % 7) / 16.0 END", "prev_target_share": "CASE WHEN i % 10 = 3 THEN NULL ELSE (i % 7) / 16.0 - (i % 11 - 5) / 64.0 END", "carry_share": "CASE WHEN i % 6 = 1 THEN NULL ELSE (i % 5) / 4.0 END",
+    "last_ppg": "CASE WHEN i % 12 = 5 THEN NULL ELSE (i % 20) / 2.0 END", "prev_ppg": "CASE WHEN i % 14 = 3 THEN NULL ELSE (i % 20) / 2.0 - (i % 9 - 4) END", "td_diff": "i % 13 - 6.0", "ppg_diff": "CASE WHEN i % 8 = 2 THEN NULL ELSE (i % 9 - 4) / 2.0 END",
+    "depth_rank": "CASE WHEN i % 4 = 3 THEN NULL ELSE i % 3 + 1 END", "depth_change": "CASE WHEN i % 8 = 6 THEN NULL ELSE i % 3 - 1 END", "age": "CASE WHEN i % 25 = 4 THEN NULL ELSE i % 15 + 21.0 END", "age_factor": "CASE i % 15 WHEN 0 THEN 0.875 WHEN 1 THEN 1.03125 ELSE 1.0 END",
+    "is_rookie": "i % 13 = 0", "draft_round": "CASE WHEN i % 39 = 13 THEN NULL ELSE i % 7 + 1 END", "draft_pick": "CASE WHEN i % 26 = 0 THEN NULL ELSE i % 250 + 1 END", "draft_team": "CASE WHEN i % 65 = 0 THEN NULL ELSE team END", "years_exp": "CASE WHEN i % 19 = 6 THEN NULL ELSE i % 5 END",
+    "line_delta": "CASE WHEN i % 10 = 9 THEN NULL ELSE i % 5 - 2 END", "injury_prone": "i % 6 = 0", "structural_return": "i % 17 = 0", "past_cliff": "i % 15 + 21 >= 31", "known_missed": "CASE WHEN i % 20 = 1 THEN NULL ELSE i % 4 END", "new_caller": "i % 8 = 0",
+    "play_caller": "CASE WHEN i % 16 = 0 THEN 'A Caller' END", "qb_status": "CASE i % 9 WHEN 0 THEN 'competition' WHEN 1 THEN 'injury_return' WHEN 2 THEN '' WHEN 3 THEN NULL ELSE 'settled' END", "qb1": "CASE WHEN i % 18 = 0 THEN 'A Passer' END",
+    "status": "CASE i % 10 WHEN 0 THEN 'IR' WHEN 1 THEN '' WHEN 2 THEN NULL WHEN 3 THEN 'ACT' ELSE 'Active' END", "missed_3y": "i % 12", "eligible_3y": "CASE WHEN i % 24 = 5 THEN 0 WHEN i % 24 = 7 THEN NULL ELSE 51 END", "new_coach": "i % 16 = 0",
+    "coach": "CASE WHEN i % 32 = 0 THEN 'A Coach' END", "ecr_sd": "i % 11 + 0.5", "vendor_ppg": "CASE WHEN i % 21 = 2 THEN NULL ELSE (i % 40) / 2.0 END", "inhouse_ppg": "CASE WHEN i % 22 = 4 THEN NULL ELSE (i % 40) / 2.0 + (i % 7 - 3) / 2.0 END", "contract_year": "i % 50 = 1", "just_paid": "i % 50 = 2",
+}
+
+
 def _signalled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranked players with signals that their ids stand in for."""
-    i = F.col("player_id")
-    d = lambda m, s: (i % m - s).cast("double")
-    v = room_gaps(valued(spark, sf_dir)).withColumn("disagreement", (i % 101).cast("double") / 10 - 5)
+    """Ranked players with facts that their ids stand in for."""
+    v = settle(room_gaps(valued(spark, sf_dir)).withColumn("i", F.col("player_id")).withColumn("disagreement", (F.col("i") % 101).cast("double") / 10 - 5), "gaps")
     v = v.join(F.broadcast(nearest_decile_cut(v).withColumnRenamed("cut", "disagreement_cut")), "league_id")  # a row a league
+    words = {k for k in _FACTS if k in ("is_rookie", "draft_team", "injury_prone", "structural_return", "past_cliff", "new_caller", "play_caller", "qb_status", "qb1", "status", "new_coach", "coach", "contract_year", "just_paid")}
+    v = v.withColumns({k: F.expr(e) if k in words else F.expr(e).cast("double") for k, e in _FACTS.items()})
     return v.withColumns({
-        "yoy_target_share": d(11, 5) / 100, "td_diff": d(13, 6), "depth_change": i % 3 - 1, "yoy_ppg": d(9, 4), "target_share": (i % 7).cast("double") / 16, "carry_share": (i % 5).cast("double") / 8,
-        "age": (i % 15 + 21).cast("double"), "ppg_diff": d(5, 2), "vacated_gain": F.lit(0.0), "inhouse_edge": d(7, 3), "context": F.lit(1.0), "is_rookie": i % 13 == 0, "draft_round": (i % 7 + 1).cast("int"),
-        "depth_rank": i % 3 + 1, "line_delta": i % 5 - 2, "injury_prone": i % 6 == 0, "structural_return": i % 17 == 0, "past_cliff": i % 15 + 21 >= 31,
-        "known_missed": i % 4, "new_caller": i % 8 == 0, "qb_unsettled": i % 9 == 0, "established": F.col("adp") <= 50, "status": F.when(i % 10 == 0, "IR").otherwise("Active"), "missed_3y": i % 12,
-        "new_coach": i % 16 == 0, "age_factor": F.when(i % 15 == 0, 0.9).otherwise(1.0),
-    })
+        "yoy_target_share": F.col("target_share") - F.col("prev_target_share"), "yoy_ppg": F.col("last_ppg") - F.col("prev_ppg"), "vacated_gain": F.lit(0.0), "inhouse_edge": F.col("inhouse_ppg") - F.col("vendor_ppg"), "context": F.lit(1.0),
+        "qb_unsettled": flag((F.col("qb_status") != "") & (F.col("qb_status") != "settled")), "established": F.col("adp") <= 50, "body_part": F.lit(None).cast("string"), "line_note": F.lit(None).cast("string"),
+        "depth_as_of": F.lit(None).cast("date"), "causes": F.array().cast("array<string>"),
+    }).drop("i")
 
 
-_S = f"""{_POOL}{_GAPS}, s AS (SELECT r.*, room_adp - our_pick AS gap, round((room_adp - our_pick) / greatest(r.sd_adp, 1.0), 3) AS gap_z, pos_gap, r.player_id AS i FROM ranked r LEFT JOIN free f USING (player_id)),
-d AS (SELECT *, (i % 101) / 10.0 - 5 AS disagreement, row_number() OVER (PARTITION BY league_id ORDER BY (i % 101), i) AS k, count(*) OVER (PARTITION BY league_id) AS n FROM s),
+_S = f"""{_POOL}{_GAPS}, s AS (SELECT r.*, room_adp, our_pick, room_adp - our_pick AS gap, round((room_adp - our_pick) / greatest(coalesce(r.sd_adp, 10.0), 1.0), 3) AS gap_z, pos_gap, r.player_id AS i FROM ranked r LEFT JOIN free f USING (player_id)),
+x AS (SELECT *, (i % 101) / 10.0 - 5 AS disagreement, {", ".join(f"({e}) AS {k}" for k, e in _FACTS.items())} FROM s),
+d AS (SELECT *, qb_status NOT IN ('', 'settled') AS qb_unsettled, row_number() OVER (PARTITION BY league_id ORDER BY (i % 101), i) AS k, count(*) OVER (PARTITION BY league_id) AS n FROM x),
 cuts AS (SELECT league_id, CASE WHEN max(n) > 50 THEN max(disagreement) FILTER (k = floor(0.9 * (n - 1) + 0.5) + 1) ELSE 1.0 END AS cut FROM d GROUP BY league_id),
-team AS (SELECT *, concat_ws(', ', CASE WHEN i % 8 = 0 THEN 'new play-caller' END, CASE WHEN i % 9 = 0 THEN 'unsettled QB room' END, CASE WHEN i % 5 - 2 <= -1 THEN 'offensive line downgrade' END) AS bad FROM d JOIN cuts USING (league_id)),
-c AS (SELECT *, list_filter([CASE WHEN i % 11 - 5 >= 3 THEN 'opportunity_gain' END, CASE WHEN i % 13 - 6 <= -3 THEN 'negative_td_luck' END, CASE WHEN i % 3 - 1 < 0 THEN 'depth_chart_rise' END, CASE WHEN i % 9 - 4 >= 2 THEN 'ppg_trend_up' END,
-    CASE WHEN (i % 7) / 16.0 >= 0.25 OR (i % 5) / 8.0 >= 0.55 THEN 'elite_opportunity' END, CASE WHEN i % 15 + 21 <= 24 AND ppg > 0 AND position IN ('RB', 'WR', 'TE') THEN 'young_with_role' END,
-    CASE WHEN i % 5 - 2 <= -1 THEN 'underperformed_expected_points' END, CASE WHEN i % 7 - 3 >= 1 THEN 'our_model_sees_more_than_the_vendor' END,
-    CASE WHEN i % 13 = 0 AND i % 7 + 1 <= 2 AND i % 3 + 1 <= 2 THEN 'high_draft_capital_with_a_role' END, CASE WHEN i % 5 - 2 >= 1 THEN 'team_context:offensive line upgrade' END], lambda x: x IS NOT NULL) AS support,
-  list_filter([CASE WHEN i % 13 - 6 >= 3 THEN 'positive_td_luck' END, CASE WHEN i % 6 = 0 THEN 'injury_prone' END, CASE WHEN i % 17 = 0 THEN 'structural_injury_return' END, CASE WHEN i % 15 + 21 >= 31 THEN 'age_cliff' END,
-    CASE WHEN disagreement >= cut THEN 'expert_disagreement' END, CASE WHEN i % 4 >= 2 THEN 'announced_absence' END, CASE WHEN bad <> '' THEN 'team_context:' || bad END], lambda x: x IS NOT NULL) AS risk FROM team),
+team AS (SELECT *, concat_ws(', ', CASE WHEN new_caller THEN 'new play-caller' END, CASE WHEN qb_unsettled THEN 'unsettled QB room' END, CASE WHEN line_delta <= -1 THEN 'offensive line downgrade' END) AS bad FROM d JOIN cuts USING (league_id)),
+c AS (SELECT *, list_filter([CASE WHEN target_share - prev_target_share >= 0.03 THEN 'opportunity_gain' END, CASE WHEN td_diff <= -3 THEN 'negative_td_luck' END, CASE WHEN depth_change < 0 THEN 'depth_chart_rise' END, CASE WHEN last_ppg - prev_ppg >= 2 THEN 'ppg_trend_up' END,
+    CASE WHEN target_share >= 0.25 OR carry_share >= 0.55 THEN 'elite_opportunity' END, CASE WHEN age <= 24 AND last_ppg > 0 AND position IN ('RB', 'WR', 'TE') THEN 'young_with_role' END,
+    CASE WHEN ppg_diff <= -1 THEN 'underperformed_expected_points' END, CASE WHEN inhouse_ppg - vendor_ppg >= 1 THEN 'our_model_sees_more_than_the_vendor' END,
+    CASE WHEN is_rookie AND draft_round <= 2 AND depth_rank <= 2 THEN 'high_draft_capital_with_a_role' END, CASE WHEN line_delta >= 1 THEN 'team_context:offensive line upgrade' END], lambda x: x IS NOT NULL) AS support,
+  list_filter([CASE WHEN td_diff >= 3 THEN 'positive_td_luck' END, CASE WHEN injury_prone THEN 'injury_prone' END, CASE WHEN structural_return THEN 'structural_injury_return' END, CASE WHEN past_cliff THEN 'age_cliff' END,
+    CASE WHEN disagreement >= cut THEN 'expert_disagreement' END, CASE WHEN known_missed >= 2 THEN 'announced_absence' END, CASE WHEN bad <> '' THEN 'team_context:' || bad END], lambda x: x IS NOT NULL) AS risk FROM team),
 z AS (SELECT *, len(support) AS n_support, len(risk) AS n_risk FROM c)"""
 
 
@@ -146,7 +159,7 @@ def h17_signals(spark, sf_dir):
 
 
 @query("h18_flags", f"""{_S}, o AS (SELECT *, coalesce(adp <= 220, false) AND position NOT IN ('K', 'DEF') AS o FROM z) SELECT player_id, concat_ws('|', CASE WHEN i % 6 = 0 THEN 'injury_prone' END, CASE WHEN i % 17 = 0 THEN 'structural_injury_return' END,
-  CASE WHEN i % 13 = 0 THEN 'rookie' END, CASE WHEN i % 8 = 0 THEN 'new_play_caller' END, CASE WHEN i % 9 = 0 THEN 'qb_uncertain_team' END,
+  CASE WHEN is_rookie THEN 'rookie' END, CASE WHEN new_caller THEN 'new_play_caller' END, CASE WHEN qb_unsettled THEN 'qb_uncertain_team' END,
   CASE WHEN o AND gap_z >= 1 AND gap >= 6 AND n_support >= 2 AND adp <= 50 THEN 'value' END, CASE WHEN o AND gap_z >= 1 AND gap >= 6 AND n_support >= 2 AND NOT adp <= 50 THEN 'sleeper' END,
   CASE WHEN o AND gap_z <= -1 AND gap <= -6 AND n_risk >= 2 AND pos_gap > -5 THEN 'positional_reach' END, CASE WHEN o AND gap_z <= -1 AND gap <= -6 AND n_risk >= 2 AND NOT pos_gap > -5 THEN 'bust' END) AS flags FROM o""")
 def h18_flags(spark, sf_dir):
@@ -154,9 +167,46 @@ def h18_flags(spark, sf_dir):
     return s.select("player_id", F.array_join(signals.flags(signals.support(), signals.risk()), "|").alias("flags"))
 
 
-@query("h19_reasons")
+def _why_sql() -> str:
+    """Reasons from the rules as they are stated: (id, priority, kind, years, trigger, polarity, numbers, labels)."""
+    share = "position = 'RB' AND coalesce(carry_share > 0, false)"
+    sign = lambda x: f"CASE WHEN {x} > 0 THEN 1 ELSE -1 END"
+    stated = [
+        ("projection", 5, "value", "now", "ppg IS NOT NULL", "0", {"ppg": "ppg", "vorp": "vorp", "e_games": "e_games"}, {}),
+        ("rookie_draft_capital", 8, "rookie", "now", "is_rookie", "CASE WHEN draft_round IS NULL THEN -1 WHEN draft_round = 1 THEN 1 ELSE 0 END", {"round": "draft_round", "pick": "CASE WHEN draft_round IS NOT NULL THEN draft_pick END"}, {"team": "CASE WHEN draft_round IS NOT NULL THEN draft_team END"}),
+        ("target_share_trend", 10, "opportunity", "last two", "position IN ('WR', 'TE', 'RB') AND abs(target_share - prev_target_share) >= 0.03", sign("target_share - prev_target_share"), {"prev": "prev_target_share", "cur": "target_share", "delta": "round(target_share - prev_target_share, 3)"}, {}),
+        ("ppg_trend", 12, "opportunity", "last two", "prev_ppg <> 0 AND abs(last_ppg - prev_ppg) >= 1.5", sign("last_ppg - prev_ppg"), {"prev": "prev_ppg", "cur": "last_ppg"}, {}),
+        ("carries_share", 14, "opportunity", "last", "position = 'RB' AND carry_share >= 0.55", "1", {"carry_share": "carry_share"}, {}),
+        ("depth_chart", 16, "opportunity", "now", "depth_rank IS NOT NULL", "CASE depth_rank WHEN 1 THEN 1 WHEN 2 THEN 0 ELSE -1 END", {"depth_rank": "depth_rank", "change_30d": "depth_change"}, {}),
+        ("usage_level", 18, "opportunity", "last", f"(({share}) OR target_share > 0) AND NOT (position = 'RB' AND coalesce(carry_share >= 0.55, false))", f"CASE WHEN CASE WHEN {share} THEN carry_share >= 0.5 ELSE target_share >= 0.2 END THEN 1 ELSE 0 END", {"carry_share": f"CASE WHEN {share} THEN carry_share END", "target_share": f"CASE WHEN NOT ({share}) THEN target_share END"}, {}),
+        ("td_regression", 20, "regression", "last", "abs(td_diff) >= 3", f"-({sign('td_diff')})", {"td_diff": "td_diff"}, {}),
+        ("ppg_luck", 22, "regression", "last", "abs(ppg_diff) >= 1", f"-({sign('ppg_diff')})", {"ppg_diff": "ppg_diff"}, {}),
+        ("current_injury", 28, "durability", "now", "status NOT IN ('', 'Active', 'ACT')", "-1", {"known_missed_weeks": "coalesce(known_missed, 0)"}, {"status": "status"}),
+        ("games_missed", 30, "durability", "last three", "missed_3y >= 3 AND eligible_3y > 0", "-1", {"missed": "missed_3y", "eligible": "eligible_3y", "e_games": "e_games"}, {}),
+        ("new_play_caller", 40, "context", "now", "new_caller", "0", {}, {"play_caller": "coalesce(play_caller, 'new play-caller')"}),
+        ("qb_situation", 41, "context", "now", "qb_status NOT IN ('', 'settled')", "-1", {}, {"qb_status": "qb_status", "projected_qb1": "coalesce(qb1, 'TBD')"}),
+        ("ol_delta", 42, "context", "now", "line_delta <> 0", sign("line_delta"), {"ol_delta": "line_delta"}, {}),
+        ("new_head_coach", 43, "context", "now", "new_coach", "0", {}, {"hc": "coach"}),
+        ("adp_gap", 50, "market", "now", "abs(gap) >= 6 AND abs(gap_z) >= 1", sign("gap"), {"gap": "gap", "gap_z": "gap_z"}, {}),
+        ("expert_disagreement", 52, "market", "now", "disagreement >= 1", "-1", {"ecr_std": "ecr_sd", "residual": "disagreement"}, {}),
+        ("projection_sources", 54, "value", "now", "abs(inhouse_ppg - vendor_ppg) >= 1", sign("inhouse_ppg - vendor_ppg"), {"vendor": "vendor_ppg", "inhouse": "inhouse_ppg", "blend": "ppg"}, {}),
+        ("market_position", 55, "market", "now", "room_adp IS NOT NULL AND our_pick IS NOT NULL", "0", {"room_adp": "room_adp", "our_pick": "our_pick"}, {}),
+        ("age", 60, "bio", "now", "age IS NOT NULL AND age_factor <> 1", "CASE WHEN age_factor < 1 THEN -1 ELSE 1 END", {"age": "age", "factor": "age_factor"}, {}),
+        ("experience", 62, "bio", "now", "NOT is_rookie AND years_exp IS NOT NULL", "CASE WHEN years_exp = 1 THEN 1 ELSE 0 END", {"years_exp": "years_exp", "age": "age"}, {}),
+        ("contract", 70, "bio", "now", "contract_year OR just_paid", "0", {}, {}),
+    ]
+    inputs = lambda numbers, labels: "concat_ws(';', NULL" + "".join(f", '{k}=' || printf('%.6f', CAST({v} AS DOUBLE) + 0.0)" for k, v in numbers.items()) + "".join(f", '{k}=' || {v}" for k, v in labels.items()) + ")"
+    each = " UNION ALL ".join(f"SELECT league_id, player_id, {n} AS priority, '{r}' AS rule_id, '{kind}' AS kind, '{years}' AS years, {pol} AS polarity, {inputs(num, lab)} AS inputs FROM z WHERE {when}" for r, n, kind, years, when, pol, num, lab in stated)
+    return f"{_S}, every AS ({each}), why AS (SELECT *, row_number() OVER (PARTITION BY league_id, player_id ORDER BY priority, rule_id) - 1 AS place FROM every)"
+
+
+@query("h19_reasons", f"{_why_sql()} SELECT league_id, player_id, CAST(place AS INT) AS place, rule_id, kind, years, CAST(polarity AS INT) AS polarity, inputs FROM why WHERE place < 6")
 def h19_reasons(spark, sf_dir):
-    return signals.reason_rows(_signalled(spark, sf_dir))
+    """Reasons in order with what they rest on; their wording is checked by tests."""
+    r = signals.reason_rows(_signalled(spark, sf_dir))
+    numbers = F.transform(F.map_entries("numbers"), lambda e: F.concat(e["key"], F.lit("="), F.format_string("%.6f", e["value"])))
+    labels = F.transform(F.map_entries("labels"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return r.select("league_id", "player_id", "place", "rule_id", "kind", "years", "polarity", F.array_join(F.concat(numbers, labels), ";").alias("inputs"))
 
 
 @query("h16_established", f"""{SEASON_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY position ORDER BY ppg DESC, player_id) AS k FROM seasons WHERE season = 2000) SELECT player_id, coalesce(k <= 2 * CASE position WHEN 'QB' THEN 1 WHEN 'WR' THEN 3 WHEN 'RB' THEN 2 WHEN 'TE' THEN 1 END, false) AS established FROM r WHERE games >= 8""")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldmark.operators import durability, features, scoring
+from fieldmark.sources.settled import settle
 from fieldmark.plans.bindings import bound, ctes, table
 
 QUERIES: dict = {}
@@ -217,18 +218,27 @@ def c12_team_tendencies(spark, sf_dir):
     return features.team_tendencies(regular(spark, sf_dir))
 
 
-_DAYS = """days AS (SELECT user_id AS player_id, CAST(2024 AS INT) AS season, CAST(day(ts) AS INT) AS week, event_type, event_id FROM events)"""
-_SPELLS = f"""{_DAYS}, cause_days AS (SELECT DISTINCT player_id, season, concat('knee ', event_type) AS cause, week FROM days WHERE event_type IN ('error', 'signup')),
+#: Cause texts: structural, soft-tissue, neither, near misses of both, and none at all.
+_CAUSES = ("ACL", "knee", "Hamstring ", "torn labrum", "Soft tissue", "soft", "mcl sprain", "Oracle", "Achilles", "  ", None, "Right calf", "Not injury related - rest")
+_REPORTS = {
+    "report_injury": f"CASE event_id % {len(_CAUSES)} {' '.join(f"WHEN {k} THEN '{c}'" for k, c in enumerate(_CAUSES) if c is not None)} END", "practice_injury": "CASE event_id % 2 WHEN 0 THEN ' Quad fracture' END",
+    "report_status": "CASE WHEN event_type = 'error' THEN ' Out ' WHEN event_type = 'view' THEN 'Probable' END", "practice_status": "CASE WHEN event_type = 'signup' THEN 'Did Not Participate in practice' WHEN event_type = 'click' THEN 'Full participation' END",
+}
+_DAYS = """days AS (SELECT user_id AS player_id, CAST(2022 + event_id % 3 AS INT) AS season, CAST(day(ts) AS INT) AS week, event_type, event_id FROM events)"""
+_SPELLS = f"""{_DAYS}, reports AS (SELECT *, {', '.join(f'{e} AS {c}' for c, e in _REPORTS.items())} FROM days),
+causes AS (SELECT *, coalesce(nullif(trim(report_injury), ''), nullif(trim(practice_injury), ''), 'Unspecified') AS cause FROM reports WHERE trim(report_status) IN ('Out', 'Doubtful', 'Questionable') OR regexp_matches(practice_status, '(?i)did not participate|limited participation')),
+cause_days AS (SELECT DISTINCT player_id, season, cause, week FROM causes WHERE NOT regexp_matches(cause, '(?i)^not injury related')),
 marked AS (SELECT *, CASE WHEN week - lag(week) OVER w > 2 OR lag(week) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM cause_days WINDOW w AS (PARTITION BY player_id, season, cause ORDER BY week)),
 numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY player_id, season, cause ORDER BY week) AS spell FROM marked),
 spells AS (SELECT player_id, season, cause, CAST(spell AS BIGINT) AS spell, min(week) AS first_week, max(week) AS last_week, count(*) AS listed FROM numbered GROUP BY ALL)"""
+_SOFT_SQL, _STRUCTURAL_SQL = ("regexp_matches({0}, '" + p + "')" for p in ("(?i)hamstring|groin|calf|quad|soft tissue", r"(?i)\bacl\b|achilles|\bmcl\b|\bpcl\b|patell|fracture|torn"))
 _ELIGIBLE = """eligible AS (SELECT DISTINCT player_id, season, week FROM days WHERE event_type IN ('view', 'click')),
 played AS (SELECT DISTINCT player_id, season, week FROM days WHERE event_type = 'purchase')"""
 
 
 def _days(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    return e.select(F.col("user_id").alias("player_id"), F.lit(2024).alias("season"), F.dayofmonth("ts").alias("week"), "event_type", "event_id")
+    return e.select(F.col("user_id").alias("player_id"), (2022 + F.col("event_id") % 3).cast("int").alias("season"), F.dayofmonth("ts").alias("week"), "event_type", "event_id")
 
 
 def _eligible(spark, sf_dir):
@@ -246,12 +256,7 @@ def _played(spark, sf_dir):
 
 
 def _spells(spark, sf_dir):
-    e = F.col("event_type")
-    rows = _days(spark, sf_dir).withColumns({
-        "report_injury": F.when(e == "error", F.lit(" knee error ")).when(e == "click", "Not injury related - rest").otherwise("  "),
-        "practice_injury": F.concat(F.lit("knee "), e), "report_status": F.when(e == "error", "Out"),
-        "practice_status": F.when(e.isin("signup", "click"), "Did Not Participate in practice"),
-    })
+    rows = _days(spark, sf_dir).withColumns({c: F.expr(e) for c, e in _REPORTS.items()})
     return durability.spells(durability.injury_weeks(rows))
 
 
@@ -272,47 +277,73 @@ def c15_injury_spells(spark, sf_dir):
 
 _LEDGER = f"""{_SPELLS}, {_ELIGIBLE}, e AS (SELECT player_id, season, count(*) AS eligible FROM eligible GROUP BY ALL),
 p AS (SELECT player_id, season, count(*) AS played FROM played JOIN eligible USING (player_id, season, week) GROUP BY ALL),
-s AS (SELECT player_id, season, count(*) AS spells, array_to_string(list_sort(list(DISTINCT cause)), '; ') AS causes FROM spells GROUP BY ALL),
+s AS (SELECT player_id, season, count(*) AS spells, array_to_string(list_sort(list(DISTINCT cause)), '; ') AS causes, count(*) FILTER ({_SOFT_SQL.format('cause')}) AS soft_tissue, count(*) FILTER ({_STRUCTURAL_SQL.format('cause')}) AS structural FROM spells GROUP BY ALL),
 ledger AS (SELECT player_id, season, coalesce(eligible, 0) AS eligible, coalesce(played, 0) AS played, greatest(coalesce(eligible, 0) - coalesce(played, 0), 0) AS missed,
-  coalesce(spells, 0) AS spells, coalesce(causes, '') AS causes
-  FROM (SELECT player_id, season FROM e UNION SELECT player_id, season FROM s) LEFT JOIN e USING (player_id, season) LEFT JOIN p USING (player_id, season) LEFT JOIN s USING (player_id, season))"""
+  coalesce(spells, 0) AS spells, coalesce(causes, '') AS causes, coalesce(soft_tissue, 0) AS soft_tissue, coalesce(structural, 0) AS structural
+  FROM (SELECT player_id, season FROM e UNION SELECT player_id, season FROM played UNION SELECT player_id, season FROM s) LEFT JOIN e USING (player_id, season) LEFT JOIN p USING (player_id, season) LEFT JOIN s USING (player_id, season))"""
 
 
 @query("c16_ledger", f"WITH {_LEDGER} SELECT * FROM ledger")
 def c16_ledger(spark, sf_dir):
     out = durability.ledger(_eligible(spark, sf_dir), _played(spark, sf_dir), _spells(spark, sf_dir))
-    return out.select("player_id", "season", "eligible", "played", "missed", "spells", F.array_join("causes", "; ").alias("causes"))
+    return out.select("player_id", "season", "eligible", "played", "missed", "spells", F.array_join("causes", "; ").alias("causes"), "soft_tissue", "structural")
 
 
 @query("c17_top_causes", f"""WITH {_SPELLS}, n AS (SELECT player_id, cause, count(*) AS n FROM spells GROUP BY ALL)
-SELECT player_id, string_agg(cause, '; ' ORDER BY n DESC, cause) AS top_causes FROM n GROUP BY player_id""")
+SELECT player_id, string_agg(cause, '; ' ORDER BY n DESC, cause) AS top_causes FROM (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY n DESC, cause) AS k FROM n) WHERE k <= 3 GROUP BY player_id""")
 def c17_top_causes(spark, sf_dir):
     return durability.top_causes(_spells(spark, sf_dir)).withColumn("top_causes", F.array_join("top_causes", "; "))
 
 
-@query("c18_season_ending", f"""WITH {_SPELLS}, {_ELIGIBLE}, later AS (
-  SELECT s.player_id, s.cause, s.first_week, s.last_week, sum(CASE WHEN p.week IS NULL THEN 0 ELSE 1 END) AS after, sum(CASE WHEN p.week IS NULL THEN 1 ELSE 0 END) AS unplayed
-  FROM spells s JOIN eligible e ON s.player_id = e.player_id AND s.season = e.season AND e.week >= s.first_week LEFT JOIN played p ON p.player_id = e.player_id AND p.season = e.season AND p.week = e.week GROUP BY ALL),
-ended AS (SELECT *, DATE '2024-01-01' + CAST(7 * (last_week - 1) AS INT) AS last_listed FROM later WHERE after = 0 AND unplayed >= 2)
-SELECT player_id, cause, last_listed, CAST(unplayed AS BIGINT) AS unplayed FROM (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY last_listed DESC, first_week DESC, cause) AS n FROM ended WHERE last_listed >= DATE '2024-02-01') WHERE n = 1""")
+_FIRST = "SELECT * FROM (VALUES (2022, DATE '2022-01-01'), (2023, DATE '2023-01-01'), (2024, DATE '2024-01-01')) AS w(season, first_day)"
+_ENDING = f"""first_days AS ({_FIRST}), later AS (
+  SELECT s.player_id, s.season, s.cause, s.first_week, s.last_week, sum(CASE WHEN p.week IS NULL THEN 0 ELSE 1 END) AS after, sum(CASE WHEN p.week IS NULL THEN 1 ELSE 0 END) AS unplayed
+  FROM spells s JOIN eligible e ON s.player_id = e.player_id AND s.season = e.season AND e.week >= s.first_week LEFT JOIN played p ON p.player_id = e.player_id AND p.season = e.season AND p.week = e.week WHERE {_STRUCTURAL_SQL.format('s.cause')} GROUP BY ALL),
+ended AS (SELECT *, first_day + CAST(7 * (last_week - 1) AS INT) AS last_listed FROM later JOIN first_days USING (season) WHERE after = 0 AND unplayed >= 4),
+ending AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY last_listed DESC, first_week DESC, cause) AS n FROM ended WHERE last_listed >= DATE '2023-04-01') WHERE n = 1)"""
+
+
+def _ending(spark, sf_dir):
+    return durability.season_ending(_spells(spark, sf_dir), _eligible(spark, sf_dir), _played(spark, sf_dir), spark.sql(_FIRST), F.lit("2023-04-01").cast("date"))
+
+
+@query("c18_season_ending", f"WITH {_SPELLS}, {_ELIGIBLE}, {_ENDING} SELECT player_id, season, cause, CAST(last_listed AS DATE) AS last_listed, CAST(unplayed AS BIGINT) AS unplayed FROM ending")
 def c18_season_ending(spark, sf_dir):
-    first = spark.sql("SELECT 2024 AS season, DATE '2024-01-01' AS first_day")
-    out = durability.season_ending(_spells(spark, sf_dir), _eligible(spark, sf_dir), _played(spark, sf_dir), first, F.lit("2024-02-01").cast("date"), 2)
-    return out.select("player_id", "cause", "last_listed", "unplayed")
+    return _ending(spark, sf_dir)
 
 
-@query("c19_trailing_absence", f"""WITH {_DAYS}, {_ELIGIBLE}, last AS (SELECT e.player_id, max(p.week) AS w FROM eligible e JOIN played p USING (player_id, season, week) GROUP BY ALL)
-SELECT player_id, season, count(*) FILTER (w IS NULL OR week > w) AS trailing_missed FROM eligible LEFT JOIN last USING (player_id) GROUP BY ALL""")
+_TRAILING = """last_played AS (SELECT e.player_id, e.season, max(p.week) AS w FROM eligible e JOIN played p USING (player_id, season, week) GROUP BY ALL),
+absences AS (SELECT player_id, season, count(*) FILTER (w IS NULL OR week > w) AS trailing_missed FROM eligible LEFT JOIN last_played USING (player_id, season) GROUP BY ALL)"""
+
+
+@query("c19_trailing_absence", f"WITH {_DAYS}, {_ELIGIBLE}, {_TRAILING} SELECT * FROM absences")
 def c19_trailing_absence(spark, sf_dir):
     return durability.trailing_absence(_eligible(spark, sf_dir), _played(spark, sf_dir))
 
 
-@query("c20_durability_summary", f"""WITH {_LEDGER}, {ctes('players')}
-SELECT player_id, eligible AS eligible_3y, missed AS missed_3y, round(CASE WHEN eligible > 0 THEN missed / eligible END, 6) AS miss_rate, false AS injury_prone FROM players LEFT JOIN ledger USING (player_id)""")
+#: The state now, of players who are the users of the log, some of them without one; a customer is a person with a birth date.
+_STATE = "SELECT c_custkey AS player_id, CASE c_custkey % 4 WHEN 0 THEN 'IR' WHEN 1 THEN ' ' END AS status, CASE c_custkey % 3 WHEN 0 THEN 'Knee - Torn ACL' WHEN 1 THEN '' END AS body_part, CASE WHEN c_custkey % 11 = 0 THEN 17 WHEN c_custkey % 7 = 0 THEN 3 END AS known_missed FROM {customer} WHERE c_custkey % 5 > 0"
+_USERS = "SELECT c_custkey AS player_id, CASE c_custkey % 4 WHEN 0 THEN 'WR' WHEN 1 THEN 'RB' WHEN 2 THEN 'TE' ELSE 'QB' END AS position, CASE WHEN c_custkey % 9 > 0 THEN CAST(CAST(1985 + c_custkey % 15 AS VARCHAR(4)) || '-03-0' || CAST(1 + c_custkey % 9 AS VARCHAR(1)) AS DATE) END AS birth_date FROM {customer}"
+
+
+@query("c20_durability_summary", f"""WITH {_LEDGER}, {_ENDING}, {_TRAILING}, people AS ({_USERS.format(customer='customer')}), state AS ({_STATE.format(customer='customer')}),
+t AS (SELECT player_id, sum(eligible) AS eligible_3y, sum(played) AS played_3y, sum(missed) AS missed_3y, sum(spells) AS events, count(*) FILTER (spells > 0) AS seasons_with_events, sum(soft_tissue) AS soft_tissue, count(*) FILTER (soft_tissue > 0) AS soft_seasons FROM ledger GROUP BY player_id),
+j AS (SELECT p.*, t.* EXCLUDE (player_id), e.cause, e.season, coalesce(l.trailing_missed, 0) AS trailing_missed, nullif(trim(s.status), '') AS status, nullif(trim(s.body_part), '') AS body_part, coalesce(known_missed, 0) AS known_missed, round(missed_3y / nullif(eligible_3y, 0), 4) AS miss_rate
+  FROM people p LEFT JOIN t USING (player_id) LEFT JOIN ending e USING (player_id) LEFT JOIN (SELECT * FROM absences WHERE season = 2024) l USING (player_id) LEFT JOIN state s USING (player_id)),
+r AS (SELECT *, (cause IS NOT NULL OR (coalesce({_STRUCTURAL_SQL.format('body_part')}, false) AND trailing_missed >= 4)) AND known_missed < 17 AS structural_return,
+  coalesce(miss_rate >= 0.2 AND events >= 2 AND seasons_with_events >= 2, false) OR coalesce(soft_tissue >= 2 AND soft_seasons >= 2, false) AS injury_prone,
+  CASE position WHEN 'RB' THEN 3.8 WHEN 'TE' THEN 3.2 WHEN 'QB' THEN 2.5 ELSE 3.3 END::DOUBLE AS base FROM j)
+SELECT player_id, CAST(eligible_3y AS BIGINT) AS eligible_3y, CAST(missed_3y AS BIGINT) AS missed_3y, miss_rate, injury_prone, structural_return, CASE WHEN structural_return THEN coalesce(cause, body_part) END AS structural_cause,
+  CAST(CASE WHEN structural_return THEN coalesce(season, CASE WHEN trailing_missed >= 4 THEN 2024 END) END AS INT) AS structural_season, status, body_part, CAST(known_missed AS INT) AS known_missed, round((DATE '2026-09-10' - birth_date) / 365.25, 2) AS age,
+  round(greatest(0.0::DOUBLE, least(17 - known_missed, 17 - base - CASE WHEN missed_3y / eligible_3y > base / 17 THEN (missed_3y / eligible_3y - base / 17) / 0.20 ELSE 0 END)), 2) AS e_games FROM r""")
 def c20_durability_summary(spark, sf_dir):
-    led = durability.ledger(_eligible(spark, sf_dir), _played(spark, sf_dir), _spells(spark, sf_dir))
-    out = durability.summary(led, bound(spark, sf_dir, "players"), 2024)
-    return out.select("player_id", "eligible_3y", "missed_3y", F.round("miss_rate", 6).alias("miss_rate"), "injury_prone")
+    people, state = (spark.sql(q, customer=table(spark, sf_dir, "customer")) for q in (_USERS, _STATE))
+    spells = settle(_spells(spark, sf_dir), "spells")
+    led = durability.ledger(_eligible(spark, sf_dir), _played(spark, sf_dir), spells)
+    ending = durability.season_ending(spells, _eligible(spark, sf_dir), _played(spark, sf_dir), spark.sql(_FIRST), F.lit("2023-04-01").cast("date"))
+    trailing = durability.trailing_absence(_eligible(spark, sf_dir), _played(spark, sf_dir))
+    out = durability.summary(led, people, durability.top_causes(spells), ending, trailing, state, 2024, F.lit("2026-09-10").cast("date"))
+    return out.select("player_id", "eligible_3y", "missed_3y", "miss_rate", "injury_prone", "structural_return", "structural_cause", "structural_season", "status", "body_part", "known_missed", "age", "e_games")
 
 
 @query("c21_expected_games", f"""WITH {ctes('pool')}, b AS (SELECT *, adp / 10 AS rnd, CAST(player_id % 9 AS DOUBLE) AS missed, CAST(player_id % 23 AS DOUBLE) AS played, CAST(player_id % 23 + player_id % 9 AS DOUBLE) AS eligible,
