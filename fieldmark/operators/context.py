@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -44,11 +44,28 @@ def merge(parts: Sequence[tuple[str, DataFrame, Sequence[str]]], key: str, today
 
 
 def week_coverage(lines: DataFrame, teams: int, weeks: int = 18) -> DataFrame:
-    """Per season: regular weeks, teams, weeks that lack a team, and rows after the regular season."""
-    per_week = lines.filter("season_type = 'REG'").groupBy("season", "week").agg(F.countDistinct("team").alias("teams"))
-    reg = per_week.groupBy("season").agg(F.count("*").alias("weeks"), F.min("teams").alias("least_teams"), F.count_if(F.col("teams") < teams).alias("thin_weeks"))
-    post = lines.groupBy("season").agg(F.count_if(F.col("season_type") == "POST").alias("post_rows"), F.count("*").alias("rows"))
-    return reg.join(post, "season").withColumn("complete", (F.col("weeks") == weeks) & (F.col("thin_weeks") == 0))
+    """Per season: regular weeks and teams, weeks that lack a team, weeks and rows after the regular season, all rows, and
+    whether the season passes the gate: exactly the weeks from 1 to ``weeks``, and ``teams`` teams."""
+    reg, post = F.col("season_type") == "REG", F.col("season_type") == "POST"
+    listed = lambda when: F.array_sort(F.collect_set(F.when(when, F.col("week"))))
+    per_week = lines.filter(reg).groupBy("season", "week").agg(F.countDistinct("team").alias("n"))
+    thin = per_week.groupBy("season").agg(F.min("n").alias("least_teams"), F.count_if(F.col("n") < teams).alias("thin_weeks"))
+    out = lines.groupBy("season").agg(
+        listed(reg).alias("reg_weeks"), F.count_distinct(F.when(reg, F.col("team"))).alias("reg_teams"), F.count_if(post).alias("post_rows"), listed(post).alias("post_weeks"), F.count("*").alias("rows"),
+    ).join(thin, "season", "left")
+    whole = F.array(*[F.lit(w) for w in range(1, weeks + 1)])
+    return out.withColumn("complete", (F.col("reg_weeks").cast("array<int>") == whole) & (F.col("reg_teams") == teams))
+
+
+def status_histogram(roster: DataFrame) -> DataFrame:
+    """Rows of each state and code, nulls too, the commonest first."""
+    return roster.groupBy("status", "code").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "status", "code")
+
+
+def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Rows of each table and season."""
+    parts = [d.groupBy("season").agg(F.count("*").alias("rows")).select(F.lit(n).alias("table"), "season", "rows") for n, d in tables.items()]
+    return reduce(lambda x, y: x.unionByName(y), parts)
 
 
 def stale_sources(served: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -69,14 +86,3 @@ def serving_run(runs: DataFrame) -> DataFrame:
     """The run that each league serves: the frozen one, else the newest."""
     w = Window.partitionBy("league_id").orderBy(F.desc("is_frozen"), F.desc("started_at"), F.desc("run_id"))
     return runs.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
-
-
-def freeze(runs: DataFrame, run_id: str) -> DataFrame:
-    """Runs with exactly this one frozen in its league."""
-    league = runs.filter(F.col("run_id") == run_id).select(F.col("league_id").alias("_l")).distinct()
-    out = runs.join(F.broadcast(league), F.col("league_id") == F.col("_l"), "left")  # one league
-    return out.withColumn("is_frozen", F.when(F.col("_l").isNull(), F.col("is_frozen")).otherwise(F.col("run_id") == run_id)).drop("_l")
-
-
-def config_hash(*parts: Column) -> Column:
-    return F.sha2(F.to_json(F.struct(*[p.alias(f"c{i}") for i, p in enumerate(parts)])), 256)

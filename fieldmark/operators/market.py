@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldmark.functions.columns import mean_of, sample_std
+from fieldmark.sources.settled import settle
 
 SCHEMA = "player_id long, source string, rank double, adp double, std double"
 #: Rows for a fit of deviation on draft position, and the line used with fewer; rows for a position's fit.
@@ -18,17 +21,42 @@ def collect(sources: Sequence[tuple[str, DataFrame]], sentinel: float = 999.0) -
     """All sources as long rows; draft positions from ``sentinel`` on are unknown, and a source's rank follows its order.
 
     Sources without usable rows add nothing. Ranks are numbered within a source and league, by ``order``."""
-    parts = []
-    for name, df in sources:
-        adp = F.when(F.col("adp") < sentinel, F.col("adp")).cast("double") if "adp" in df.columns else F.lit(None).cast("double")
-        std = F.col("std").cast("double") if "std" in df.columns else F.lit(None).cast("double")
-        rows = df.select("league_id", "player_id", F.lit(name).alias("source"), adp.alias("adp"), std.alias("std"), F.col("order").cast("double").alias("order")).filter("order is not null")
-        parts.append(rows)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    return _ranked([_usable(name, df, sentinel) for name, df in sources])
+
+
+def _usable(name: str, df: DataFrame, sentinel: float) -> DataFrame:
+    adp = F.when(F.col("adp") < sentinel, F.col("adp")).cast("double") if "adp" in df.columns else F.lit(None).cast("double")
+    std = F.col("std").cast("double") if "std" in df.columns else F.lit(None).cast("double")
+    return df.select("league_id", "player_id", F.lit(name).alias("source"), adp.alias("adp"), std.alias("std"), F.col("order").cast("double").alias("order")).filter("order is not null")
+
+
+def _ranked(parts: Sequence[DataFrame]) -> DataFrame:
     w = Window.partitionBy("league_id", "source").orderBy("order", "player_id")
-    return out.withColumn("rank", F.row_number().over(w).cast("double")).drop("order")
+    return reduce(lambda x, y: x.unionByName(y), parts).withColumn("rank", F.row_number().over(w).cast("double")).drop("order")
+
+
+#: Makes a source's rows when it is asked for them.
+Fetch = Callable[[], DataFrame]
+
+
+def collect_each(spark: SparkSession, sources: Sequence[tuple[str, Fetch]], sentinel: float = 999.0) -> tuple[DataFrame, DataFrame]:
+    """(:func:`collect` of the sources that can be read, what is wrong with the others: source, problem).
+
+    Each source is read and written on its own, so one that fails, while it is planned or while it runs, costs its own rows
+    alone; a source without usable rows is a problem too. With no good source the rows are empty."""
+    good, bad = [], []
+    for name, fetch in sources:
+        try:
+            rows = settle(_usable(name, fetch(), sentinel), name)
+        except (PySparkException, ValueError, KeyError) as e:
+            bad.append((name, f"{type(e).__name__}: {str(e).splitlines()[0][:200]}" if str(e) else type(e).__name__))
+            continue
+        if rows.isEmpty():
+            bad.append((name, "no rows"))
+        else:
+            good.append(rows)
+    none = spark.createDataFrame([], "league_id int, player_id long, source string, adp double, std double, order double")
+    return _ranked(good or [none]), spark.createDataFrame(bad, "source string, problem string")
 
 
 def deviation_line(rows: DataFrame, keys: Sequence[str] = ("league_id",), x: str = "adp", y: str = "std", least: int = LEAST_ROWS) -> DataFrame:

@@ -266,14 +266,27 @@ _MARKET = f"""{ctes('pool')}, long AS (
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY league_id, source ORDER BY o, player_id) AS DOUBLE) AS rank FROM long)"""
 
 
-def market_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _market_sources(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame]]:
     p = bound(spark, sf_dir, "pool")
     i, adp = F.col("player_id"), F.col("adp")
     ecr = p.select("league_id", "player_id", (-F.col("ppg")).alias("order"), F.round(1 + (i % 29).cast("double") / 8, 3).alias("std"))
     a = p.filter(i % 3 != 0).select("league_id", "player_id", adp.alias("order"), "adp", F.col("sd_adp").alias("std"))
     b = p.filter(i % 4 != 0).select("league_id", "player_id", (adp + i % 7).alias("order"), (adp + i % 7).alias("adp"))
     c = p.filter(i % 5 != 0).select("league_id", "player_id", (adp * 2).alias("order"), (adp * 2).alias("adp"))
-    return market.collect([("ecr", ecr), ("site_a", a), ("site_b", b), ("site_c", c)], sentinel=240.0)
+    return [("ecr", ecr), ("site_a", a), ("site_b", b), ("site_c", c)]
+
+
+def market_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return market.collect(_market_sources(spark, sf_dir), sentinel=240.0)
+
+
+@query("e1_collect_each", f"WITH {_MARKET} SELECT league_id, player_id, source, rank, CASE WHEN adp < 240 THEN adp END AS adp, std FROM ranked WHERE source <> 'site_b'")
+def e1_collect_each(spark, sf_dir):
+    """The same sources, of which one cannot be planned, one fails while it runs and one has nothing to offer."""
+    good = dict(_market_sources(spark, sf_dir))
+    sources = [(n, lambda d=d: d) for n, d in good.items() if n != "site_b"]
+    sources += [("lost", lambda: spark.read.parquet(f"{sf_dir}/no_such_table.parquet")), ("empty", lambda: good["ecr"].filter("false")), ("site_b", lambda: good["site_b"].withColumn("order", F.raise_error(F.lit("broken")).cast("double")))]
+    return market.collect_each(spark, sources, sentinel=240.0)[0].select("league_id", "player_id", "source", "rank", "adp", "std")
 
 
 @query("e1_collect", f"WITH {_MARKET} SELECT league_id, player_id, source, rank, CASE WHEN adp < 240 THEN adp END AS adp, std FROM ranked")

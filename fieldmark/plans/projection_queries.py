@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldmark.operators import context, features, projection, scoring
 from fieldmark.operators.valuation import spearman
-from fieldmark.plans.bindings import bound, table
+from fieldmark.plans.bindings import bound, ctes, table
 from fieldmark.plans.feature_queries import AGE_FACTOR_SQL, SEASON_SQL, WITH, regular
 from fieldmark.plans.valuation_queries import KEPT, _POOL, _values_sql, valued
 from fieldmark.sources.settled import settle
@@ -225,10 +225,24 @@ def f2_merge(spark, sf_dir):
     return context.merge(parts, "team", F.lit("2026-09-05").cast("date")).select("team", "tier", "tier2", "oldest_check", "warning")
 
 
-@query("f3_week_coverage", f"""{WITH}, w AS (SELECT season, week, count(DISTINCT team) AS t FROM reg GROUP BY ALL), r AS (SELECT season, count(*) AS weeks, min(t) AS least_teams, count(*) FILTER (t < 16) AS thin_weeks FROM w GROUP BY season)
-SELECT season, weeks, least_teams, thin_weeks, count(*) FILTER (season_type = 'POST') AS post_rows, count(*) AS rows, weeks = 18 AND thin_weeks = 0 AS complete FROM scored JOIN r USING (season) GROUP BY season, weeks, least_teams, thin_weeks""")
+@query("f3_week_coverage", f"""WITH {ctes('weekly')}, w AS (SELECT season, week, count(DISTINCT team) AS t FROM weekly WHERE season_type = 'REG' GROUP BY ALL), r AS (SELECT season, min(t) AS least_teams, count(*) FILTER (t < 16) AS thin_weeks FROM w GROUP BY season),
+c AS (SELECT season, list_sort(list(DISTINCT week) FILTER (season_type = 'REG')) AS reg, count(DISTINCT team) FILTER (season_type = 'REG') AS reg_teams, count(*) FILTER (season_type = 'POST') AS post_rows, list_sort(list(DISTINCT week) FILTER (season_type = 'POST')) AS post, count(*) AS rows FROM weekly GROUP BY season)
+SELECT season, coalesce(array_to_string(reg, ','), '') AS reg_weeks, reg_teams, post_rows, coalesce(array_to_string(post, ','), '') AS post_weeks, rows, least_teams, thin_weeks, reg IS NOT DISTINCT FROM range(1, 19) AND reg_teams = 16 AS complete FROM c LEFT JOIN r USING (season)""")
 def f3_week_coverage(spark, sf_dir):
-    return context.week_coverage(bound(spark, sf_dir, "weekly"), 16)
+    out = context.week_coverage(bound(spark, sf_dir, "weekly"), 16)
+    return out.withColumns({c: F.array_join(c, ",") for c in ("reg_weeks", "post_weeks")})
+
+
+@query("f3_status_histogram", "SELECT CASE WHEN o_orderkey % 7 > 0 THEN o_orderstatus END AS status, CASE WHEN o_orderkey % 3 > 0 THEN substr(o_orderpriority, 1, 1) END AS code, count(*) AS n FROM orders GROUP BY ALL")
+def f3_status_histogram(spark, sf_dir):
+    i = F.col("o_orderkey")
+    return context.status_histogram(table(spark, sf_dir, "orders").select(F.when(i % 7 > 0, F.col("o_orderstatus")).alias("status"), F.when(i % 3 > 0, F.substring("o_orderpriority", 1, 1)).alias("code")))
+
+
+@query("f3_row_counts", f"WITH {ctes('weekly', 'expected')} SELECT 'weekly' AS \"table\", CAST(season AS VARCHAR) AS season, count(*) AS rows FROM weekly GROUP BY season UNION ALL SELECT 'expected', season, count(*) FROM expected GROUP BY season")
+def f3_row_counts(spark, sf_dir):
+    season = F.col("season").cast("string").alias("season")
+    return context.row_counts({n: bound(spark, sf_dir, n).select(season) for n in ("weekly", "expected")})
 
 
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
