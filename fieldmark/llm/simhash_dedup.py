@@ -13,12 +13,13 @@ there, and complete distances are verified.  Of two values of a ball the lower
 one looks the higher one up, so no pair is fetched from both sides; look-ups
 where nobody is at home are left out before they are shuffled.
 
-A table has at most 2^22 entries whatever the input.  One that holds many
-fingerprints is cut again by pieces of the bits outside its segment, of which
-one is equal in both of a pair; what is still large is dealt into blocks
-(:func:`fieldmark.llm.near_dedup.linked`), where each member is compared with
-the entry's leader first.  A task holds a block and its visitors, pairs are not
-written out, and none is lost.
+A table has at most 2^22 entries whatever the input.  An entry with ``few`` at
+home is one row that its visitors are joined with.  In others members are
+connected in blocks, each of them compared with the entry's leader first
+(:func:`fieldmark.llm.near_dedup.linked`); one that outgrows a block is cut
+again by pieces of the bits outside its segment, of which one is equal in both
+of a pair.  A task holds a block and its visitors, pairs are not written out
+where many could be, and none is lost.
 
 Null text, or text without words: the zero fingerprint, which is linked like
 any other. Fewer words than a shingle has: the whole sequence is one. Null ids:
@@ -40,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldmark.llm.components import components
-from fieldmark.llm.frames import doc_text, give_back, join_groups, maybe_in, pieces, settle
+from fieldmark.llm.frames import LEAST_HOT, doc_text, join_groups, maybe_in, pieces, settle
 from fieldmark.llm.near_dedup import Read, Similarity, _Labels, linked
 from fieldmark.llm.words import lower_words
 
@@ -55,6 +56,7 @@ class Near:
     seed: int = 42
     distance: int = 4
     segments: int = 3
+    few: int = 32
     block: int = 20_000
 
     def __post_init__(self):
@@ -115,7 +117,7 @@ def look_ups(prints: DataFrame, how: Near) -> DataFrame:
     return prints.select("print", F.explode(F.concat(*entries)).alias("e")).select("e.g", "e.segment", "print", "e.own")
 
 
-def _counted(members: DataFrame, how: Near) -> DataFrame:
+def _counted(members: DataFrame) -> DataFrame:
     """(g, n, hub) of the entries with somebody at home and two members or more; the hub is the least one at home."""
     found = members.groupBy("g").agg(F.count("*").alias("n"), F.min(F.when(F.col("own"), F.col("print"))).alias("hub"))
     return found.filter("n > 1 and hub is not null")
@@ -156,16 +158,36 @@ def _cut_again(members: DataFrame, how: Near) -> DataFrame:
     return members.withColumn("g", F.explode(F.element_at(F.array(*by_segment), F.col("segment") + 1)))
 
 
+def _verified(members: DataFrame, small: DataFrame, how: Near) -> DataFrame:
+    """Edges (u, v) of the members of entries with few at home; distances are verified within the join, so that chance
+    meetings make no rows. Entries that many look up are broadcast, which there are fewer of than ``members`` has rows over
+    ``LEAST_HOT``."""
+    near = lambda h: (F.bit_count(F.col("print").bitwiseXOR(h)) <= how.distance) & (~F.col("own") | (h < F.col("print")))
+    busy = settle(members.groupBy("g").count().filter(F.col("count") > LEAST_HOT).select(F.col("g").alias("at")), "busy")
+    some, rest = small.join(F.broadcast(busy), F.col("entry") == F.col("at"), "left_semi"), small.join(F.broadcast(busy), F.col("entry") == F.col("at"), "left_anti")
+    meets = (F.col("g") == F.col("entry")) & F.exists("homes", near)
+    met = members.join(F.broadcast(some), meets).unionByName(members.join(F.broadcast(busy), F.col("g") == F.col("at"), "left_anti").join(rest, meets))
+    return met.select(F.col("print").alias("u"), F.explode(F.filter("homes", near)).alias("v"))
+
+
 def print_components(prints: DataFrame, how: Near = Near()) -> DataFrame:
     """(node, root) of every print that is linked with another; ``prints`` has one column of distinct prints."""
     every = look_ups(prints, how)
-    counted = settle(_counted(every, how), "entries")
-    every = maybe_in(every, "g", counted.select("g"), "maybe").filter("maybe").drop("maybe")
-    edges = _connected(every, counted.filter(F.col("n") <= how.block), how)
-    large = counted.filter(F.col("n") > how.block)
+    at_home = every.filter("own")
+    entries = settle(at_home.groupBy("g").agg(F.count("*").alias("n_homes")), "entries")
+    few = F.col("n_homes") <= how.few
+    small = at_home.join(entries.filter(few).select("g"), "g", "left_semi").groupBy(F.col("g").alias("entry")).agg(F.collect_list("print").alias("homes"))
+    every = maybe_in(every, "g", entries.select("g"), "maybe").filter("maybe").drop("maybe")
+    edges = _verified(every, small, how)
+    large = settle(entries.filter(~few).select("g"), "large_entries")
     if not large.isEmpty():
-        again = settle(_cut_again(every.join(F.broadcast(large.select("g")) if large.count() < 10_000 else large.select("g"), "g"), how), "cut_again")
-        edges = edges.unionByName(_connected(again, settle(_counted(again, how), "entries"), how))
+        members = settle(every.join(large, "g", "left_semi"), "members")
+        counted = settle(_counted(members), "entries")
+        edges = edges.unionByName(_connected(members, counted.filter(F.col("n") <= how.block), how))
+        again = counted.filter(F.col("n") > how.block).select("g")
+        if not again.isEmpty():
+            again = settle(_cut_again(members.join(again, "g", "left_semi"), how), "cut_again")
+            edges = edges.unionByName(_connected(again, settle(_counted(again), "entries"), how))
     return components(edges)
 
 

@@ -95,7 +95,7 @@ def roots(prints, distance):
     return {p: find(p) for p in prints if any(p != q and find(p) == find(q) for q in prints)}
 
 
-@pytest.mark.parametrize("how", [Near(), Near(block=5), Near(segments=2), Near(segments=5, block=40), Near(distance=2)])
+@pytest.mark.parametrize("how", [Near(), Near(few=1, block=5), Near(segments=2, few=2), Near(segments=5, few=4, block=40), Near(distance=2)])
 def test_no_link_is_lost(spark, how):
     """Small blocks send entries through the second cut, leaders and visits."""
     prints = near_prints(11, 400)
