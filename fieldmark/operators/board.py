@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -197,10 +198,22 @@ def best_available(board: DataFrame, round_now: Column | None = None) -> DataFra
     return free.groupBy("league_id").agg(first).select("league_id", "first.player_id", "first.overall_rank")
 
 
-def profiles(players: DataFrame, seasons: DataFrame, market: DataFrame, why: DataFrame) -> DataFrame:
-    """One nested row a player: seasons in order, market by source, reasons in order."""
-    s = seasons.groupBy("player_id").agg(F.array_sort(F.collect_list(F.struct("season", "games", "points", "ppg"))).alias("seasons"))
-    m = market.groupBy("player_id").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("source", "rank")))).alias("market"))
-    w = why.groupBy("player_id").agg(F.array_sort(F.collect_list(F.struct("place", "rule_id", "text"))).alias("why"))
-    return players.join(s, "player_id", "left").join(m, "player_id", "left").join(w, "player_id", "left")
-
+def profiles(players: DataFrame, facets: Mapping[str, tuple[DataFrame, Sequence[str]]], context: DataFrame | None = None) -> DataFrame:
+    """One nested row a player: ``players`` (player_id, team, ...) with an array of each facet's rows, in order.
+
+    A facet is (rows with player_id, the columns that order them); its other columns become structs. All facets travel as one
+    tagged union to one grouping by player, so each is shuffled once however many there are; facets of one row are arrays of
+    one. ``context``, a row a team, is broadcast: teams are a league's few dozen. Players without rows have empty arrays;
+    rows of unknown players are left out."""
+    cells = {n: F.struct(*order, *[c for c in df.columns if c not in ("player_id", *order)]) for n, (df, order) in facets.items()}
+    own = F.struct(*[c for c in players.columns if c != "player_id"])
+    empty = {n: F.lit(None).cast(df.select(cells[n]).schema[0].dataType) for n, (df, _) in facets.items()}
+    nobody = F.lit(None).cast(players.select(own).schema[0].dataType)
+    parts = [players.select("player_id", own.alias("_own"), *[e.alias(n) for n, e in empty.items()])]
+    for name, (df, _) in facets.items():
+        parts.append(df.select("player_id", nobody.alias("_own"), *[(cells[n] if n == name else e).alias(n) for n, e in empty.items()]))
+    every = reduce(lambda x, y: x.unionByName(y), parts)
+    out = every.groupBy("player_id").agg(F.first("_own", True).alias("_own"), *[F.array_sort(F.collect_list(n)).alias(n) for n in facets]).filter("_own is not null").select("player_id", "_own.*", *facets)
+    if context is not None:
+        out = out.join(F.broadcast(context.select(F.col("team").alias("_team"), F.struct(*[c for c in context.columns if c != "team"]).alias("context"))), F.col("team") == F.col("_team"), "left").drop("_team")
+    return out

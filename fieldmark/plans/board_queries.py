@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldmark.functions.columns import flag, zero
-from fieldmark.operators import board, draft, signals
-from fieldmark.operators.valuation import nearest_decile_cut, room_gaps
-from fieldmark.plans.bindings import ctes, table
+from fieldmark.operators import board, context, draft, signals
+from fieldmark.operators.valuation import nearest_decile_cut, room_gaps, spearman
+from fieldmark.plans.bindings import bound, ctes, table
 from fieldmark.plans.feature_queries import SEASON_SQL, seasons
 from fieldmark.plans.valuation_queries import KEPT, _GAPS, _PLAN, _TEN, _cdf, _ten, _values_sql, others_sql, plan, valued, valued_once
 from fieldmark.sources import payloads, snapshots
@@ -209,6 +209,17 @@ def h19_reasons(spark, sf_dir):
     return r.select("league_id", "player_id", "place", "rule_id", "kind", "years", "polarity", F.array_join(F.concat(numbers, labels), ";").alias("inputs"))
 
 
+@query("h21_run_gates", f"""{_why_sql()}, rho AS (SELECT league_id, rank() OVER (PARTITION BY league_id ORDER BY overall_rank) + (count(*) OVER (PARTITION BY league_id, overall_rank) - 1) / 2 AS a,
+  rank() OVER (PARTITION BY league_id ORDER BY adp) + (count(*) OVER (PARTITION BY league_id, adp) - 1) / 2 AS b FROM ranked WHERE adp IS NOT NULL AND overall_rank IS NOT NULL),
+sp AS (SELECT league_id, CASE WHEN count(*) >= 30 THEN corr(a, b) END AS rho FROM rho GROUP BY ALL), bullets AS (SELECT league_id, player_id, count(*) AS bullets FROM why WHERE place < 6 GROUP BY ALL),
+t AS (SELECT league_id, count(*) FILTER (coalesce(bullets, 0) < 5) AS thin FROM ranked LEFT JOIN bullets USING (league_id, player_id) WHERE overall_rank <= 100 GROUP BY league_id)
+SELECT league_id, coalesce(rho >= 0.8, false) AS agrees, coalesce(thin, 0) AS thin FROM sp FULL JOIN t USING (league_id)""")
+def h21_run_gates(spark, sf_dir):
+    """The gates over a board and its own reasons; five and not three are asked for, as nobody here has fewer than three."""
+    v = settle(_signalled(spark, sf_dir), "signalled")
+    return context.run_gates(spearman(v, ["league_id"], "overall_rank", "adp"), v, signals.reason_rows(v), least=5)
+
+
 @query("h16_established", f"""{SEASON_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY position ORDER BY ppg DESC, player_id) AS k FROM seasons WHERE season = 2000) SELECT player_id, coalesce(k <= 2 * CASE position WHEN 'QB' THEN 1 WHEN 'WR' THEN 3 WHEN 'RB' THEN 2 WHEN 'TE' THEN 1 END, false) AS established FROM r WHERE games >= 8""")
 def h16_established(spark, sf_dir):
     s = seasons(spark, sf_dir)
@@ -382,12 +393,30 @@ def j9_filtered_board(spark, sf_dir):
     return board.sort_board(board.filter_board(rows, "RB", ["injury_prone", "rookie"], True, " T1"), "adp").select("league_id", "player_id", "overall_rank")
 
 
-@query("j10_profiles")
+@query("j10_profiles", f"""{_why_sql().replace('WITH ' + ctes('pool'), 'WITH ' + ctes('pool', 'weekly'), 1)},
+games AS (SELECT player_id, season, count(*) AS games, sum(targets) AS targets FROM weekly WHERE season_type = 'REG' GROUP BY ALL),
+season_rows AS (SELECT player_id, string_agg(season || ':' || games || ':' || CAST(targets AS BIGINT), ',' ORDER BY season) AS seasons FROM games GROUP BY player_id),
+site_rows AS (SELECT player_id, string_agg(source || ':' || printf('%.3f', rank), ',' ORDER BY source) AS market FROM (SELECT player_id, 'site' AS source, adp AS rank FROM pool WHERE adp IS NOT NULL UNION ALL SELECT player_id, 'experts', ppg FROM pool WHERE player_id % 3 > 0) GROUP BY player_id),
+why_rows AS (SELECT player_id, string_agg(rule_id || ':' || polarity, ',' ORDER BY place) AS why FROM why WHERE place < 6 GROUP BY player_id)
+SELECT z.player_id, z.position, z.team, coalesce(seasons, '') AS seasons, coalesce(market, '') AS market, coalesce(why, '') AS why, overall_rank, pos_rank, vorp, missed_3y::BIGINT AS missed_3y, injury_prone,
+  CAST(substr(z.team, 2) AS INT) % 3 - 1 AS ol_delta FROM z LEFT JOIN season_rows USING (player_id) LEFT JOIN site_rows USING (player_id) LEFT JOIN why_rows USING (player_id)""")
 def j10_profiles(spark, sf_dir):
-    v = _signalled(spark, sf_dir)
-    s = seasons(spark, sf_dir)
-    market = v.select("player_id", F.lit("site").alias("source"), F.col("adp").alias("rank"))
-    return snapshots.flat(board.profiles(v.select("player_id", "position"), s, market, signals.reason_rows(v)))
+    """Every player's document: seasons, market, reasons, ranking, summary and the context of his team."""
+    v = settle(_signalled(spark, sf_dir), "signalled")
+    weekly = bound(spark, sf_dir, "weekly").filter("season_type = 'REG'").groupBy("player_id", "season").agg(F.count("*").alias("games"), F.sum("targets").cast("long").alias("targets"))
+    sites = v.filter("adp is not null").select("player_id", F.lit("site").alias("source"), F.col("adp").alias("rank")).unionByName(v.filter("player_id % 3 > 0").select("player_id", F.lit("experts").alias("source"), F.col("ppg").alias("rank")))
+    facets = {
+        "seasons": (weekly, ["season"]), "market": (sites, ["source"]), "why": (signals.reason_rows(v).select("player_id", "place", "rule_id", "polarity", "text"), ["place"]),
+        "ranking": (v.select("player_id", "overall_rank", "pos_rank", "vorp"), ["overall_rank"]), "summary": (v.select("player_id", F.col("missed_3y").cast("long").alias("missed_3y"), "injury_prone"), ["missed_3y"]),
+    }
+    teams = v.select("team").distinct().withColumn("ol_delta", F.expr("CAST(substr(team, 2) AS INT) % 3 - 1"))
+    p = board.profiles(v.select("player_id", "position", "team"), facets, teams)
+    text = lambda c, *x: F.array_join(F.transform(c, lambda r: F.concat_ws(":", *[f(r) for f in x])), ",").alias(c)
+    return p.select(
+        "player_id", "position", "team", text("seasons", lambda r: r["season"], lambda r: r["games"], lambda r: r["targets"]), text("market", lambda r: r["source"], lambda r: F.format_string("%.3f", r["rank"])),
+        text("why", lambda r: r["rule_id"], lambda r: r["polarity"]), F.col("ranking")[0]["overall_rank"].alias("overall_rank"), F.col("ranking")[0]["pos_rank"].alias("pos_rank"), F.col("ranking")[0]["vorp"].alias("vorp"),
+        F.col("summary")[0]["missed_3y"].alias("missed_3y"), F.col("summary")[0]["injury_prone"].alias("injury_prone"), F.col("context.ol_delta").alias("ol_delta"),
+    )
 
 
 # pick log

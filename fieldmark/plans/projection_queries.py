@@ -6,10 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldmark.operators import context, features, projection, scoring
-from fieldmark.operators.valuation import spearman
 from fieldmark.plans.bindings import bound, ctes, table
 from fieldmark.plans.feature_queries import AGE_FACTOR_SQL, SEASON_SQL, WITH, regular
-from fieldmark.plans.valuation_queries import KEPT, _POOL, _values_sql, valued
 from fieldmark.sources.settled import settle
 from fieldmark.sources.snapshots import latest_ok
 
@@ -269,13 +267,3 @@ def h22_serving_run(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     runs = o.select((F.col("o_custkey") % 50).alias("league_id"), F.col("o_orderkey").cast("string").alias("run_id"), F.col("o_orderdate").alias("started_at"), ((F.col("o_orderstatus") == "P") & (F.col("o_orderkey") % 17 == 0)).alias("is_frozen"))
     return context.serving_run(runs).select("league_id", "run_id", "is_frozen")
-
-
-@query("h21_run_gates", f"""{_POOL}{_values_sql('pool', KEPT)}, x AS (SELECT league_id, rank() OVER (PARTITION BY league_id ORDER BY overall_rank) + (count(*) OVER (PARTITION BY league_id, overall_rank) - 1) / 2 AS a,
-  rank() OVER (PARTITION BY league_id ORDER BY adp) + (count(*) OVER (PARTITION BY league_id, adp) - 1) / 2 AS b FROM ranked WHERE adp IS NOT NULL AND overall_rank IS NOT NULL),
-sp AS (SELECT league_id, CASE WHEN count(*) >= 30 THEN corr(a, b) END AS s FROM x GROUP BY ALL), t AS (SELECT league_id, count(*) FILTER (player_id % 4 = 0) AS thin FROM ranked WHERE overall_rank <= 100 GROUP BY ALL)
-SELECT league_id, coalesce(s >= 0.8, false) AS agrees, coalesce(thin, 0) AS thin FROM sp FULL JOIN t USING (league_id)""")
-def h21_run_gates(spark, sf_dir):
-    v = valued(spark, sf_dir)
-    bullets = v.filter("player_id % 4 > 0").select("league_id", "player_id", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("b"))
-    return context.run_gates(spearman(v, ["league_id"], "overall_rank", "adp"), v, bullets)
