@@ -13,7 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldmark.functions.columns import dominant, flag, ladder, ratio, total, zero
+from fieldmark.functions.columns import dominant, flag, free_name, ladder, ratio, total, zero
+from fieldmark.functions.ranking import tie_ranks
 
 #: Weights of a season by its age in seasons, and games that make a season rank.
 RECENCY = (0.5, 0.3, 0.2)
@@ -62,11 +63,14 @@ def season_totals(lines: DataFrame, points: Column, stats: Sequence[str]) -> Dat
 
 
 def positional_ranks(seasons: DataFrame, least_games: int = RANKED_GAMES) -> DataFrame:
-    """Least rank by ppg among players with enough games (null for others), and by points among all."""
-    enough = F.col("games") >= least_games
-    by_ppg = Window.partitionBy("season", "position", enough).orderBy(F.desc("ppg"))
-    by_points = Window.partitionBy("season", "position").orderBy(F.desc("points"))
-    return seasons.withColumns({"ppg_rank": F.when(enough, F.rank().over(by_ppg)), "points_rank": F.rank().over(by_points)})
+    """Least rank by ppg among players with enough games (null for others), and by points among all. Seasons and positions
+    are few and grow with the players, so ranks are made over range partitions."""
+    names = seasons.columns
+    enough = free_name(names, "enough")
+    rows = seasons.withColumn(enough, F.coalesce(F.col("games") >= least_games, F.lit(False)))
+    rows = tie_ranks(rows, ["season", "position", enough], "ppg", "ppg_rank")
+    rows = tie_ranks(rows, ["season", "position"], "points", "points_rank")
+    return rows.select(*names, F.when(F.col(enough), F.col("ppg_rank")).alias("ppg_rank"), "points_rank")
 
 
 def wide_seasons(seasons: DataFrame, players: DataFrame, metrics: Sequence[str], years: Sequence[int]) -> DataFrame:

@@ -6,10 +6,11 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldmark.functions.columns import flag
+from fieldmark.functions.ranking import ordinals
 
 SKILL = ("RB", "WR", "TE")
 MOST_REASONS = 6
@@ -167,6 +168,5 @@ def reason_rows(ranked: DataFrame) -> DataFrame:
 
 def prior_ranks(seasons: DataFrame, season: int, least_games: int = 8) -> DataFrame:
     """Place by points a game among all of a position, equal ones by id, kept only for those with enough games."""
-    w = Window.partitionBy("position").orderBy(F.desc("ppg"), "player_id")
-    r = seasons.filter(F.col("season") == season).withColumn("prior_rank", F.row_number().over(w))
+    r = ordinals(seasons.filter(F.col("season") == season), ["position"], [F.desc("ppg"), F.asc("player_id")], "prior_rank")
     return r.filter(F.col("games") >= least_games).select("player_id", "prior_rank")

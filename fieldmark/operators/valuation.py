@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from fieldmark.functions.columns import before, free_name, normal_cdf, running, zero
+from fieldmark.functions.ranking import tie_ranks
 from fieldmark.sources.settled import settle
 from fieldmark.operators.market import nearest_quantile
 
@@ -277,12 +278,8 @@ def nearest_decile_cut(valued: DataFrame) -> DataFrame:
 
 def spearman(a: DataFrame, keys: list[str], x: str, y: str, least: int = 30) -> DataFrame:
     """Rank correlation with average ranks for ties, per key; null for fewer than ``least`` pairs."""
-    both = a.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-
-    def average_rank(c: str) -> Column:
-        w = Window.partitionBy(*keys)
-        return F.rank().over(w.orderBy(c)) + (F.count("*").over(Window.partitionBy(*keys, c)) - 1) / 2
-
-    r = both.select(*keys, average_rank(x).alias("_x"), average_rank(y).alias("_y"))
-    return r.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("_x", "_y").alias("_r")).select(*keys, "n", F.when(F.col("n") >= least, F.col("_r")).alias("spearman"))
-
+    both = a.select(*keys, x, y).filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    both = tie_ranks(tie_ranks(both, keys, x, "x_rank", False), keys, y, "y_rank", False)
+    average = lambda r: F.col(r) + (F.col(f"{r}_ties") - 1) / 2
+    r = both.groupBy(*keys).agg(F.count("*").alias("n"), F.corr(average("x_rank"), average("y_rank")).alias("_r"))
+    return r.select(*keys, "n", F.when(F.col("n") >= least, F.col("_r")).alias("spearman"))
