@@ -33,20 +33,23 @@ _SHARE = """stint AS (SELECT player_id, season, team, sum(targets) AS t FROM reg
   (SELECT *, sum(t) OVER (PARTITION BY season, team) AS tt FROM stint) GROUP BY ALL),
 frame AS (SELECT player_id, season, games, position, team, role_key, targets_share, 1 + player_id % 3 AS depth_rank, 1 + player_id % 5 AS draft_round FROM seasons JOIN shares USING (player_id, season))"""
 _FRAME = f"{SEASON_SQL}, {_SHARE}"
-_PG = f"{_FRAME}, pg AS (SELECT *, least(greatest(targets_share * 17 / greatest(games, 8), 0), 1) AS pg FROM frame)"
+_EACH = "pg AS (SELECT *, least(greatest(targets_share * 17 / greatest(games, 8), 0), 1) AS pg FROM frame)"
+_PG = f"{_FRAME}, {_EACH}"
+#: Kinds of work, and whether what a team has free of it goes to its players.
+WORK = {"targets": True, "carries": True, "attempts": False}
 
 
 def player_seasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Player-seasons with their role, sums and shares: what the projection needs of the weekly lines."""
     lines = regular(spark, sf_dir)
     s = features.season_totals(lines, scoring.points(), _STATS).select("player_id", "season", "games", "position", "team", "role_key", *_STATS)
-    return s.join(features.season_shares(lines, ["targets"]), ["player_id", "season"], "left")
+    return s.join(features.season_shares(lines, list(WORK)), ["player_id", "season"], "left")
 
 
 def framed(seasons: DataFrame) -> DataFrame:
     """Player-seasons that have shares, with a depth rank and a draft round."""
     out = seasons.filter("targets_share is not null").withColumns({"depth_rank": 1 + F.col("player_id") % 3, "draft_round": 1 + F.col("player_id") % 5})
-    return projection.share_per_game(out, F.lit(17), F.col("games"), ["targets_share"])
+    return projection.share_per_game(out, F.lit(17), F.col("games"), [f"{w}_share" for w in WORK])
 
 
 def frame(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,12 +135,13 @@ shared AS (SELECT *, coalesce(CASE WHEN position = 'QB' AND depth_rank > 1 THEN
 _SHARED = f"{_PG}, {_OWN}, {_SLOTS}, {_ROUNDS}, {_NOW}"
 
 
-def shared(f: DataFrame) -> DataFrame:
-    """Shares of the latest season's players; ``f`` is read for each of their sources, so it is settled."""
-    own = projection.own_share(f, "targets_share_pg", 2001).withColumnRenamed("games", "own_games")
+def shared(f: DataFrame, work: str = "targets") -> DataFrame:
+    """Shares of a kind of work of the latest season's players; ``f`` is read for each of their sources, so it is settled."""
+    column = f"{work}_share_pg"
+    own = projection.own_share(f, column, 2001).withColumnRenamed("games", "own_games")
     now = f.filter("season = 2001").select("player_id", "position", "team", "depth_rank", "draft_round", (F.col("player_id") % 13 == 0).alias("is_rookie"))
-    p = projection.slot_of(now, projection.slot_baseline(f, "targets_share_pg")).join(own, "player_id", "left")
-    return projection.share_source(p.join(projection.round_factors(f, "targets_share_pg"), ["position", "draft_round"], "left"))
+    p = projection.slot_of(now, projection.slot_baseline(f, column)).join(own, "player_id", "left")
+    return projection.share_source(p.join(projection.round_factors(f, column), ["position", "draft_round"], "left"))
 
 
 @query("g9_share_source", f"{_SHARED} SELECT player_id, round(share, 6) AS share, share_source FROM shared")
@@ -155,8 +159,15 @@ had AS (SELECT *, sum(share) OVER (PARTITION BY team) AS had FROM shared), g AS
 n AS (SELECT *, sum(share + gain) OVER (PARTITION BY team) AS now_had FROM g), fit AS (SELECT *, (share + gain) * CASE WHEN team IS NOT NULL AND now_had > (SELECT budget FROM bud) THEN (SELECT budget FROM bud) / now_had ELSE 1 END AS final FROM n)"""
 
 
-def fitted(f: DataFrame) -> DataFrame:
-    return projection.fit_to_budget(shared(f), projection.measured_budget(f, "targets_share"))
+def fitted(f: DataFrame, work: str = "targets") -> DataFrame:
+    """The same within the measured budget of that work."""
+    return projection.fit_to_budget(shared(f, work), projection.measured_budget(f, f"{work}_share"), WORK[work])
+
+
+def team_work(lines: DataFrame, season: int) -> DataFrame:
+    """(team, targets_team, carries_team, attempts_team): a team's work a game in a season."""
+    games = F.count_distinct("week")
+    return lines.filter(F.col("season") == season).groupBy("team").agg(*[F.round(F.sum(w) / games, 2).alias(f"{w}_team") for w in WORK])
 
 
 @query("g11_fit_to_budget", f"{_SHARED}, {_FIT} SELECT player_id, round(gain, 6) AS gain, round(final, 6) AS share FROM fit")
@@ -178,18 +189,30 @@ def g12_context_factor(spark, sf_dir):
     return bound(spark, sf_dir, "players").select("player_id", _context().alias("factor"))
 
 
-@query("g13_projection", f"""{_SHARED}, {_FIT}, {_VOL}, {_HISTORY},
+def _fit_sql(work: str) -> str:
+    """The whole of a kind's shares as one table: player_id, position, team and what he has of it."""
+    text = f"WITH {_SHARE}, {_EACH}, {_OWN}, {_SLOTS}, {_ROUNDS}, {_NOW}, {_FIT} SELECT player_id, position, team, final FROM fit".replace("sum(targets) AS t", f"sum({work}) AS t").replace("targets_share", f"{work}_share")
+    return text if WORK[work] else text.replace("CASE WHEN team IS NOT NULL AND had > 0 THEN least(share / had * greatest(0.0, (SELECT budget FROM bud) - had), 0.5 * share) ELSE 0 END AS gain", "0.0 AS gain")
+
+
+@query("g13_projection", f"""{SEASON_SQL}, {', '.join(f'{w}_fit AS ({_fit_sql(w)})' for w in WORK)}, {_VOL}, {_HISTORY},
+per_team AS (SELECT team, {', '.join(f'round(sum({w}) / count(DISTINCT week), 2) AS {w}_team' for w in WORK)} FROM reg WHERE season = 2001 GROUP BY team),
 aged AS (SELECT player_id, {AGE_FACTOR_SQL} AS aged FROM (SELECT player_id, position, (DATE '2001-09-01' - birth_date) / 365.25 AS age FROM players)),
-ppg AS (SELECT player_id, f.position AS pos, 30 * final * (ypt * 0.1 + catch * CASE f.position WHEN 'TE' THEN 1.0 ELSE 0.5 END + rec_td * 6) + 10 * final * (ypc * 0.1 + rush_td * 6) + 5 * final * (ypa * 0.04 + pass_td * 6 - pass_int * 2) AS raw FROM fit f JOIN rates USING (player_id))
+ppg AS (SELECT player_id, t.position AS pos, targets_team * t.final * (ypt * 0.1 + catch * CASE t.position WHEN 'TE' THEN 1.0 ELSE 0.5 END + rec_td * 6) + carries_team * c.final * (ypc * 0.1 + rush_td * 6) + attempts_team * a.final * (ypa * 0.04 + pass_td * 6 - pass_int * 2) AS raw
+  FROM targets_fit t JOIN carries_fit c USING (player_id) JOIN attempts_fit a USING (player_id) JOIN per_team ON per_team.team = t.team JOIN rates USING (player_id))
 SELECT player_id, round(round(raw, 4) * coalesce(aged, 1.0) * round(least(greatest(1 + {_CONTEXT.replace('position', 'pos')}, 0.94), 1.06), 4), 3) AS inhouse_ppg
 FROM ppg LEFT JOIN aged USING (player_id)""")
 def g13_projection(spark, sf_dir):
-    """Own and slot shares, measured budget, shrunk rates, a league's scoring (tight ends get a point a catch), age and
-    context, as points a game.  The weekly lines are read once, for player-seasons that are settled."""
+    """Shares of targets, carries and passes, each with own and slot shares and a measured budget, of what a team has of them
+    a game; shrunk rates, a league's scoring (tight ends get a point a catch), age and context, as points a game."""
     s = settle(player_seasons(spark, sf_dir), "seasons")
-    p = fitted(framed(s)).select("player_id", "share").join(projection.shrunk_rates(projection.efficiency_history(s)), "player_id")
+    f = framed(s)
+    p = projection.shrunk_rates(projection.efficiency_history(s))
+    for w in WORK:
+        p = p.join(fitted(f, w).select("player_id", F.col("share").alias(f"{w}_share"), *(["team"] if w == "targets" else [])), "player_id")
+    p = p.join(F.broadcast(team_work(regular(spark, sf_dir), 2001)), "team")  # a row a team
     born = bound(spark, sf_dir, "players").select("player_id", features.age_at(F.col("birth_date"), F.lit("2001-09-01").cast("date")).alias("age"))
-    p = p.join(born, "player_id", "left").withColumns({"targets_pg": 30 * F.col("share"), "carries_pg": 10 * F.col("share"), "attempts_pg": 5 * F.col("share")})
+    p = p.join(born, "player_id", "left").withColumns({f"{w}_pg": F.col(f"{w}_share") * F.col(f"{w}_team") for w in WORK})
     out = projection.points_per_game(p, features.age_factor(F.col("position"), F.col("age")), _context(), overrides={"TE": {"rec": 1.0}})
     return out.select("player_id", F.round("inhouse_ppg", 3).alias("inhouse_ppg"))
 
