@@ -12,7 +12,7 @@ from fieldmark.plans.bindings import bound, ctes, table
 from fieldmark.plans.feature_queries import SEASON_SQL, seasons
 from fieldmark.plans.valuation_queries import KEPT, _GAPS, _PLAN, _TEN, _cdf, _ten, _values_sql, others_sql, plan, valued, valued_once
 from fieldmark.sources import payloads, snapshots
-from fieldmark.sources.settled import settle
+from fieldmark.sources.settled import new_path, settle
 from fieldmark.streaming import picks
 
 QUERIES: dict = {}
@@ -110,6 +110,35 @@ def a12_diff(spark, sf_dir):
     return snapshots.diff(a, b, "id", ["p_type", "adp"]).withColumn("max_adp_change", F.round("max_adp_change", 6))
 
 
+@query("a1_read_seasons", f"WITH {ctes('weekly')} SELECT player_id, season, week, team, targets FROM weekly WHERE season IN (1995, 1996)")
+def a1_read_seasons(spark, sf_dir):
+    """Weekly lines of two seasons, written as files and read with their schema; a third season in the files would be an error."""
+    path, names = new_path(spark, "weekly"), ["player_id", "season", "week", "team", "targets"]
+    rows = bound(spark, sf_dir, "weekly").filter("season in (1995, 1996)").select(*names)
+    rows.write.parquet(path)
+    return snapshots.read_seasons(spark, path, rows.schema, [1995, 1996])
+
+
+@query("a9_replaced_partitions", """SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS season, CASE WHEN year(o_orderdate) IN (1994, 1995) THEN o_totalprice * 2 ELSE o_totalprice END AS price, CASE WHEN year(o_orderdate) IN (1994, 1995) THEN o_orderstatus END AS status,
+  CASE WHEN year(o_orderdate) IN (1994, 1995) THEN 'second' ELSE 'first' END AS snapshot_id FROM orders WHERE year(o_orderdate) NOT IN (1994, 1995) OR o_orderkey % 3 = 0""")
+def a9_replaced_partitions(spark, sf_dir):
+    """A table by season of which a second snapshot replaces two seasons, with fewer rows and a column more."""
+    path = new_path(spark, "orders")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.year("o_orderdate").alias("season"), F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status"))
+    snapshots.replace_partition(o.drop("status"), path, ["season"], "first")
+    snapshots.replace_partition(o.filter("season in (1994, 1995) and o_orderkey % 3 = 0").withColumn("price", F.col("price") * 2), path, ["season"], "second")
+    return snapshots.read_table(spark, path).select("o_orderkey", F.col("season").cast("int").alias("season"), "price", "status", "snapshot_id")
+
+
+@query("a11_exported_board", f"WITH {ctes('pool')}, {_values_sql('pool', KEPT)} SELECT CAST(overall_rank AS VARCHAR) AS overall_rank, CAST(player_id AS VARCHAR) AS player_id, position, concat_ws('|', CASE WHEN player_id % 2 = 0 THEN 'rookie' END, CASE WHEN player_id % 3 = 0 THEN 'value' END) AS flags FROM ranked WHERE league_id = 0 AND position = 'WR' AND pos_rank <= 50")
+def a11_exported_board(spark, sf_dir):
+    """The first fifty receivers of a league's board as CSV, read back as text; that many is what is exported."""
+    path, i = new_path(spark, "board"), F.col("player_id")
+    v = valued(spark, sf_dir).filter("league_id = 0").select("overall_rank", "player_id", "position", F.array_compact(F.array(F.when(i % 2 == 0, "rookie"), F.when(i % 3 == 0, "value"))).alias("flags"))
+    snapshots.export_board(v, path, 50, "WR")
+    return spark.read.option("header", True).option("nullValue", None).csv(path).withColumn("flags", F.coalesce("flags", F.lit("")))
+
+
 # signals
 
 
