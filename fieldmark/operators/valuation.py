@@ -100,26 +100,38 @@ def value_tiers(ranked: DataFrame, share: float = 0.5, default_sd: float = 5.0)
     return ranked.join(sd, by, "left").withColumn("_drop", drop).withColumn("value_tier", 1 + F.sum("_drop").over(running(w))).drop("_sd", "_drop")
 
 
-def mixture_tiers(x: np.ndarray, k: int, steps: int = 200) -> np.ndarray:
-    """Component of each value in a one-dimensional Gaussian mixture, by EM from quantiles, numbered from the highest mean."""
+#: Where the first means of a mixture's starts lie within its k parts, and how many steps each start takes.
+STARTS, STEPS = (0.5, 0.25, 0.75), 50
+
+
+def _fitted(x: np.ndarray, k: int, start: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """Likelihood, means and component of each value after EM from one start; ``x`` is sorted."""
+    mean = np.quantile(x, (np.arange(k) + start) / k)
+    var, weight = np.full(k, max(x.var() / k**2, 1e-6)), np.full(k, 1 / k)
+    for step in range(STEPS + 1):
+        log = np.log(weight) - 0.5 * np.log(2 * np.pi * var) - (x[:, None] - mean) ** 2 / (2 * var)
+        top = log.max(1, keepdims=True)
+        p = np.exp(log - top)
+        total = p.sum(1, keepdims=True)
+        if step == STEPS:
+            break
+        p /= total
+        n = p.sum(0) + 1e-12
+        mean = (p * x[:, None]).sum(0) / n
+        var, weight = np.maximum((p * x[:, None] ** 2).sum(0) / n - mean**2, 0) + 1e-6, n / n.sum()
+    return float((top[:, 0] + np.log(total[:, 0])).sum()), mean, log.argmax(1)
+
+
+def mixture_tiers(x: np.ndarray, k: int) -> np.ndarray:
+    """Component of each value in a one-dimensional Gaussian mixture, numbered from the lowest mean: the likeliest of three
+    starts, the first of those equal to six digits. ``x`` is sorted; with fewer different values there are fewer components."""
     x = np.asarray(x, float)
     k = min(k, len(np.unique(x)))
     if k <= 1:
         return np.ones(len(x), int)
-    mean = np.quantile(x, (np.arange(k) + 0.5) / k)
-    var, weight = np.full(k, max(x.var() / k**2, 1e-6)), np.full(k, 1 / k)
-    for _ in range(steps):
-        log = np.log(weight) - 0.5 * np.log(2 * np.pi * var) - (x[:, None] - mean) ** 2 / (2 * var)
-        p = np.exp(log - log.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        n = p.sum(0) + 1e-12
-        new = (p * x[:, None]).sum(0) / n
-        var, weight = (p * (x[:, None] - new) ** 2).sum(0) / n + 1e-6, n / n.sum()
-        if np.allclose(new, mean, atol=1e-9):
-            break
-        mean = new
-    order = np.argsort(np.argsort(-mean))
-    return order[p.argmax(1)] + 1
+    fits = [_fitted(x, k, s) for s in STARTS]
+    _, mean, component = max(fits, key=lambda f: round(f[0], 6))
+    return np.argsort(np.argsort(mean, kind="stable"), kind="stable")[component] + 1
 
 
 def consensus_tiers(pool: DataFrame, k: Mapping[str, int], window: int = 60) -> DataFrame:
@@ -129,7 +141,7 @@ def consensus_tiers(pool: DataFrame, k: Mapping[str, int], window: int = 60) ->
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         g = group.sort_values("n")
-        tier = np.maximum.accumulate(_dense(mixture_tiers(-g["composite_rank"].to_numpy(), k.get(g["position"].iloc[0], 8))))
+        tier = np.maximum.accumulate(_dense(mixture_tiers(g["composite_rank"].to_numpy(), k.get(g["position"].iloc[0], 8))))
         return g.assign(tier=tier)[["league_id", "player_id", "position", "tier"]]
 
     w = Window.partitionBy("league_id", "position").orderBy("composite_rank", "player_id")

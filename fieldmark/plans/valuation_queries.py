@@ -115,7 +115,30 @@ def flagship_board(spark, sf_dir):
     return out.select("league_id", "player_id", F.round("ppg", 6).alias("ppg"), "vorp")
 
 
-@query("h6_consensus_tiers")
+#: EM as steps of a recursion over (group, start, component); tiers are components by mean, dense, and never fall down the ranks.
+_TIERS = f"""WITH RECURSIVE {ctes('pool')}, known AS (SELECT league_id, position, player_id, adp AS x, row_number() OVER (PARTITION BY league_id, position ORDER BY adp, player_id) AS n FROM pool WHERE adp IS NOT NULL),
+g AS (SELECT * FROM known WHERE n <= 60),
+sizes AS (SELECT league_id, position, list(x ORDER BY n) AS xs, count(*) AS c, greatest(var_pop(x), 0) AS spread, least(count(DISTINCT x), CASE position WHEN 'QB' THEN 6 WHEN 'WR' THEN 9 WHEN 'TE' THEN 6 ELSE 8 END) AS k FROM g GROUP BY league_id, position),
+begun AS (SELECT league_id, position, s, j, k, spread, xs, (c - 1) * (j + s) / k AS spot FROM sizes, (VALUES (0.5::DOUBLE), (0.25), (0.75)) v(s), LATERAL (SELECT unnest(range(0, k)) AS j)),
+em AS (
+  SELECT 0 AS step, league_id, position, s, j, xs[CAST(floor(spot) AS BIGINT) + 1] + (spot - floor(spot)) * (coalesce(xs[CAST(floor(spot) AS BIGINT) + 2], xs[-1]) - xs[CAST(floor(spot) AS BIGINT) + 1]) AS m, greatest(spread / (k * k), 1e-6) AS v, 1.0::DOUBLE / k AS w FROM begun
+  UNION ALL
+  SELECT step + 1, league_id, position, s, j, m, greatest(sq / n - m * m, 0) + 1e-6, n / sum(n) OVER (PARTITION BY league_id, position, s)
+  FROM (SELECT step, league_id, position, s, j, sum(p) + 1e-12 AS n, sum(p * x) / (sum(p) + 1e-12) AS m, sum(p * x * x) AS sq
+    FROM (SELECT step, league_id, position, s, j, x, e / sum(e) OVER (PARTITION BY league_id, position, s, n) AS p
+      FROM (SELECT step, league_id, position, s, j, n, x, exp(l - max(l) OVER (PARTITION BY league_id, position, s, n)) AS e
+        FROM (SELECT em.*, g.n, g.x, ln(w) - 0.5 * ln(2 * pi() * v) - (x - m) * (x - m) / (2 * v) AS l FROM em JOIN g ON g.league_id = em.league_id AND g.position = em.position WHERE step < {valuation.STEPS})))
+    GROUP BY step, league_id, position, s, j)),
+ends AS (SELECT em.*, g.n, g.player_id, ln(w) - 0.5 * ln(2 * pi() * v) - (x - m) * (x - m) / (2 * v) AS l FROM em JOIN g ON g.league_id = em.league_id AND g.position = em.position WHERE step = {valuation.STEPS}),
+each_ AS (SELECT league_id, position, s, n, max(l) + ln(sum(exp(l - top))) AS likely, arg_max(j, l) AS j FROM (SELECT *, max(l) OVER (PARTITION BY league_id, position, s, n) AS top FROM ends) GROUP BY league_id, position, s, n),
+chosen AS (SELECT league_id, position, s FROM (SELECT league_id, position, s, row_number() OVER (PARTITION BY league_id, position ORDER BY round(sum(likely), 6) DESC, CASE s WHEN 0.5 THEN 0 WHEN 0.25 THEN 1 ELSE 2 END) AS best FROM each_ GROUP BY league_id, position, s) WHERE best = 1),
+ordered_ AS (SELECT league_id, position, s, j, row_number() OVER (PARTITION BY league_id, position, s ORDER BY m, j) AS place FROM em WHERE step = {valuation.STEPS}),
+placed AS (SELECT league_id, position, e.n, dense_rank() OVER (PARTITION BY league_id, position ORDER BY place) AS tier FROM each_ e JOIN chosen USING (league_id, position, s) JOIN ordered_ USING (league_id, position, s, j)),
+tiers AS (SELECT g.league_id, g.player_id, g.position, CAST(max(tier) OVER (PARTITION BY g.league_id, g.position ORDER BY g.n) AS INT) AS tier FROM g JOIN placed p ON p.league_id = g.league_id AND p.position = g.position AND p.n = g.n)
+SELECT * FROM tiers UNION ALL SELECT k.league_id, player_id, k.position, t.tier + 1 FROM known k JOIN (SELECT league_id, position, max(tier) AS tier FROM tiers GROUP BY ALL) t ON t.league_id = k.league_id AND t.position = k.position WHERE n > 60"""
+
+
+@query("h6_consensus_tiers", _TIERS)
 def h6_consensus_tiers(spark, sf_dir):
     p = bound(spark, sf_dir, "pool").withColumn("composite_rank", F.col("adp"))
     return valuation.consensus_tiers(p, {"QB": 6, "RB": 8, "WR": 9, "TE": 6})

@@ -104,7 +104,7 @@ def test_spell_gaps(spark):
 
 
 def test_mixture_tiers():
-    x = np.array([10, 10.1, 9.9, 5, 5.1, 4.9, 1, 1.1, 0.9])
+    x = np.array([1.0, 1.1, 1.2, 9.0, 9.1, 9.3, 20.0, 20.5, 21.0])
     assert valuation.mixture_tiers(x, 3).tolist() == [1, 1, 1, 2, 2, 2, 3, 3, 3]
     assert valuation.mixture_tiers(np.array([2.0, 2.0]), 4).tolist() == [1, 1]
 
