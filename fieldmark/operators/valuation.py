@@ -7,6 +7,7 @@ tasks; one league's pool is a draft's size and fits a task by its nature.
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -185,13 +186,29 @@ def expected_best(candidates: DataFrame, keys: list[str], value: str = "value",
     return candidates.withColumn("_e", F.col(value) * F.col(p) * none_better).groupBy(*keys).agg(F.sum("_e").alias("expected_best"))
 
 
-def leave_one_out(candidates: DataFrame, keys: list[str], value: str = "value", p: str = "p") -> DataFrame:
+#: Candidates of a group that a task takes at once.
+ONE_RUN = 100_000
+
+
+def leave_one_out(candidates: DataFrame, keys: list[str], value: str = "value", p: str = "p", one_run: int = ONE_RUN) -> DataFrame:
     """``candidates`` with ``others_best``: the expected best of all others of their group, by value and then player_id.
 
     A candidate maps what is expected after him, E, to ``v p + (1 - p) E``, and such maps compose: of a run of candidates to
-    ``b + a E``.  Groups are cut into runs by range partitions, so a large one spreads over tasks; each run gives its (a, b),
-    a few rows a group are scanned from both ends, and each run is finished with what comes before and after it.  Nothing is
-    divided out, so candidates who are surely there do no harm. Null values or chances are not allowed."""
+    ``b + a E``.  A group of up to ``one_run`` candidates is one run.  Larger ones are cut into runs by range partitions, so
+    they spread over tasks; each run gives its (a, b), a few rows a group are scanned from both ends, and each run is
+    finished with what comes before and after it.  Nothing is divided out, so candidates who are surely there do no harm.
+    Null values or chances are not allowed."""
+    large = candidates.groupBy(*[F.col(k).alias(f"_large_{i}") for i, k in enumerate(keys)]).count().filter(F.col("count") > one_run).drop("count")
+    large = settle(large, "large_groups")
+    if large.isEmpty():
+        return _finished_runs(candidates, keys, value, p, None)
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_large_{i}")) for i, k in enumerate(keys)])
+    some = candidates.join(F.broadcast(large), same, "left_semi")  # a row for every ``one_run`` rows at most
+    return _finished_runs(candidates.join(F.broadcast(large), same, "left_anti"), keys, value, p, None).unionByName(_in_runs(some, keys, value, p))
+
+
+def _in_runs(candidates: DataFrame, keys: list[str], value: str, p: str) -> DataFrame:
+    """Leave-one-out of large groups, run by run."""
     kind, names = candidates.schema, candidates.columns
     marks = [free_name(names, c) for c in ("run", "a", "b", "none_before", "best_before", "best_after")]
     run_, a_, b_, none_, before_, after_ = marks
@@ -240,10 +257,23 @@ def leave_one_out(candidates: DataFrame, keys: list[str], value: str = "value",
     scanned = F.transform("_runs", lambda r, i: F.struct(r[run_].alias(run_), ahead(F.slice("_runs", F.lit(1), i)).alias("s"), behind(F.slice("_runs", i + 2, n)).alias(after_)))
     ends_ = listed.select(*keys, F.explode(scanned).alias("_r")).select(*keys, f"_r.{run_}", f"_r.s.{none_}", f"_r.s.{before_}", f"_r.{after_}")
     ends_ = ends_.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(run_).alias("_run"), none_, before_, after_)
-    both = dealt.join(ends_, [*(dealt[k].eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)), dealt[run_] == F.col("_run")]).select(*names, run_, none_, before_, after_)
-    both = both.repartition(*keys, run_).sortWithinPartitions(*keys, run_, F.desc(value), "player_id")
+    both = dealt.join(ends_, [*(dealt[k].eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)), dealt[run_] == F.col("_run")])
+    return _finished_runs(both.select(*names, run_, none_, before_, after_), keys, value, p, marks)
+
+
+def _finished_runs(rows: DataFrame, keys: list[str], value: str, p: str, marks: list[str] | None) -> DataFrame:
+    """Each run with what comes before and after it, in ``marks``; without them a group is one run and nothing does."""
+    if marks is None:
+        marks = [free_name(rows.columns, c) for c in ("run", "a", "b", "none_before", "best_before", "best_after")]
+        names = rows.columns
+        rows = rows.select(*names, F.lit(0).alias(marks[0]), F.lit(1.0).alias(marks[3]), F.lit(0.0).alias(marks[4]), F.lit(0.0).alias(marks[5]))
+    else:
+        names = [c for c in rows.columns if c not in marks]
+    run_, _, _, none_, before_, after_ = marks
+    both = rows.repartition(*keys, run_).sortWithinPartitions(*keys, run_, F.desc(value), "player_id")
     at = {c: i for i, c in enumerate([*names, run_, none_, before_, after_])}
-    out_schema = T.StructType([*kind.fields, T.StructField("others_best", T.DoubleType())])
+    by = [at[c] for c in (*keys, run_)]
+    out_schema = T.StructType([*(rows.schema[c] for c in names), T.StructField("others_best", T.DoubleType())])
 
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []

@@ -44,7 +44,8 @@ def test_leave_one_out(spark):
     rnd = np.random.default_rng(1)
     rows = [(1, i, float(rnd.integers(0, 60)), float(rnd.choice([0.0, 1.0, rnd.random(), rnd.random() / 30])), i) for i in range(400)] + [(None, 1000 + i, 5.0, 0.5, i) for i in range(3)]
     df = spark.createDataFrame(rows, "league_id long, player_id long, value double, p double, run long").repartition(6)
-    got = {r.player_id: r.others_best for r in valuation.leave_one_out(df, ["league_id"]).collect()}
+    got, cut = ({r.player_id: r.others_best for r in valuation.leave_one_out(df, ["league_id"], one_run=n).collect()} for n in (1000, 2))
+    assert got == pytest.approx(cut)
     want = {}
     for g in (1, None):
         group = sorted((-v, i, p) for k, i, v, p, _ in rows if k == g)
