@@ -26,11 +26,12 @@ zeros, and an empty ``groups_sha256``. Repeated rows give repeated rows; null id
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,7 @@ from fieldmark.llm.distinct_words import packed, unpacked
 from fieldmark.llm.frames import doc_text, give_back, settle
 
 CHUNK_CHARS = 8 << 20
-_MOST_WORDS = 300_000
+_MOST_WORDS = _MOST_WINDOWS = 250_000  # that a worker keeps from task to task
 _B_BITS = 24  # an id of B takes the low bits of a pair
 _UNITS = re.compile(r" *[^ ]+| +$")
 _RANDOM = np.random.default_rng(12).integers(1, 2**63, (2, 1 << 17), np.uint64)
@@ -72,6 +73,14 @@ def piece_bytes(piece: str) -> bytes:
     return piece.replace("▁", " ").encode()
 
 
+class _Slots(dict):
+    """Numbers things in the order in which they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        found = self[word] = len(self)
+        return found
+
+
 class _Ids:
     """Ids of texts by one tokenizer, each distinct word encoded once while a worker remembers it."""
 
@@ -82,7 +91,7 @@ class _Ids:
         self.forget()
 
     def forget(self) -> None:
-        self.words: dict[str, int] = {}
+        self.words = _Slots()
         self.start = self.size = self.flat = np.zeros(0, np.int64)
         self.exact = np.zeros(0, bool)
 
@@ -95,7 +104,13 @@ class _Ids:
         new = list(islice(self.words, before, None))
         size, flat = self.encode(new)
         start = np.cumsum(size) - size
-        exact = [b"".join(map(self.table.__getitem__, flat[a : a + n].tolist())) == w.encode() for w, a, n in zip(new, start.tolist(), size.tolist())]
+        pieces, raw = [self.table[i] for i in flat.tolist()], [w.encode() for w in new]
+        # Words are exact if all of them together are and each is as long as its tokens.
+        ends = np.concatenate([[0], np.cumsum(self.length[flat])])
+        if b"".join(pieces) == b"".join(raw) and np.array_equal(ends[start + size] - ends[start], np.fromiter(map(len, raw), np.int64, len(raw))):
+            exact = [True] * len(raw)
+        else:
+            exact = [b"".join(pieces[a:z]) == r for r, a, z in zip(raw, start.tolist(), (start + size).tolist())]
         self.start, self.size, self.flat, self.exact = (np.concatenate(x) for x in ((self.start, len(self.flat) + start), (self.size, size), (self.flat, flat), (self.exact, np.array(exact, bool))))
         ids = [V.gathered(s, self.start, self.size, self.flat) for s in slots]
         same = [bool(self.exact[s].all()) or b"".join(map(self.table.__getitem__, i.tolist())) == t.encode() for s, i, t in zip(slots, ids, texts)]
@@ -135,13 +150,13 @@ class _Pieces(_Ids):
                 units = _UNITS.findall(t)
             else:
                 units = [" " + w for w in t[1:].split(" ")]
-            out.append(np.fromiter((self.words.setdefault(w, len(self.words)) for w in units), np.int64, len(units)))
+            out.append(np.fromiter(map(self.words.__getitem__, units), np.int64, len(units)))
         return out
 
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         # The model adds the first space itself, but not to an empty text.
         ids = [i if w != " " else [self.space] for w, i in zip(words, self.model.encode([w[1:] for w in words], num_threads=1))] if words else []
-        return np.array([len(i) for i in ids], np.int64), np.fromiter((x for i in ids for x in i), np.int64)
+        return np.array([len(i) for i in ids], np.int64), np.fromiter(chain.from_iterable(ids), np.int64)
 
 
 @lru_cache(2)
@@ -154,34 +169,57 @@ def piece_model(path: str) -> _Pieces:
     return _Pieces(path)
 
 
-def align(a: tuple[int, ...], b: tuple[int, ...], length_a: np.ndarray, length_b: np.ndarray) -> tuple[list[tuple[tuple[int, ...], tuple[int, ...]]], list[int]]:
-    """The groups of a window between shared byte ends, and the pair of ids that ends each one."""
-    ends_a, ends_b = np.cumsum(length_a[list(a)]), np.cumsum(length_b[list(b)])
-    _, i, j = np.intersect1d(ends_a, ends_b, return_indices=True)
-    cuts = [(0, 0), *zip((i + 1).tolist(), (j + 1).tolist())]
-    groups = [(a[p:q], b[r:s]) for (p, r), (q, s) in zip(cuts, cuts[1:])]
-    return groups, [g[0][-1] << _B_BITS | g[1][-1] for g in groups]
-
-
 class _Memo:
     """Alignments of windows by their id tuples: group texts and pairs of each slot."""
 
     def __init__(self, one: _Ids, two: _Ids):
         self.one, self.two = one, two
+        self.lengths = one.length.tolist(), two.length.tolist()
+        self.name = [str(i) for i in range(max(len(one.table), len(two.table)))]
+        self.forget()
+
+    def forget(self) -> None:
         self.slot: dict[tuple, int] = {}
         self.text: list[bytes] = []
-        self.pairs: list[list[int]] = []
-
-    def of(self, a: tuple[int, ...], b: tuple[int, ...]) -> int:
-        found = self.slot.get((a, b))
-        if found is None:
-            found = self.slot[a, b] = len(self.text)
-            groups, pairs = align(a, b, self.one.length, self.two.length)
-            self.text.append(";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups).encode())
-            self.pairs.append(pairs)
+        self.pairs: list[int] = []  # of all slots, one after another
+        self.start: list[int] = [0]
+        self.n = np.zeros(0, np.int64)
+
+    def counts(self) -> np.ndarray:
+        """Groups of each slot; only the new ones are read."""
+        if len(self.n) < len(self.text):
+            self.n = np.concatenate([self.n, np.diff(np.array(self.start[len(self.n) :], np.int64))])
+        return self.n
+
+    def add(self, key: tuple[tuple[int, ...], tuple[int, ...]]) -> int:
+        """The slot of a window that is not known yet: its groups end at shared byte ends."""
+        a, b = key
+        (length_a, length_b), name, pairs, parts = self.lengths, self.name, self.pairs, []
+        p = q = j = end_a = end_b = 0  # a group begins at tokens p and q; tokens so far end at end_a and end_b
+        for i, x in enumerate(a, 1):
+            end_a += length_a[x]
+            while end_b < end_a:
+                end_b += length_b[b[j]]
+                j += 1
+            if end_a == end_b:
+                y = b[j - 1]
+                if i - p == 1 and j - q == 1:
+                    parts.append(f"{x}|{y}")
+                else:
+                    parts.append(",".join([name[t] for t in a[p:i]]) + "|" + ",".join([name[t] for t in b[q:j]]))
+                pairs.append(x << _B_BITS | y)
+                p, q = i, j
+        found = self.slot[key] = len(self.text)
+        self.text.append(";".join(parts).encode())
+        self.start.append(len(pairs))
         return found
 
 
+@lru_cache(2)
+def _memo(path_a: str, path_b: str) -> _Memo:
+    return _Memo(byte_level(path_a), piece_model(path_b))
+
+
 def _same_ids(flat: np.ndarray, start: np.ndarray, size: np.ndarray, first: np.ndarray) -> bool:
     """Whether each window has the ids of its ``first`` one."""
     return bool((size[first] == size).all()) and np.array_equal(V.gathered(np.arange(len(start)), start, size, flat), V.gathered(first, start, size, flat))
@@ -207,7 +245,13 @@ def window_slots(ids_a: list[np.ndarray], ids_b: list[np.ndarray], memo: _Memo)
         chosen = first
     else:  # two windows share a hash
         chosen, inverse = np.arange(len(start_a)), np.arange(len(start_a))
-    got = [memo.of(tuple(a[p : p + m].tolist()), tuple(b[q : q + n].tolist())) for p, m, q, n in zip(*(x[chosen].tolist() for x in (start_a, size_a, start_b, size_b)))]
+    all_a, all_b = a.tolist(), b.tolist()
+    ends = (start_a[chosen], (start_a + size_a)[chosen], start_b[chosen], (start_b + size_b)[chosen])
+    known, got = memo.slot.get, []
+    for p, q, r, s in zip(*(x.tolist() for x in ends)):
+        key = tuple(all_a[p:q]), tuple(all_b[r:s])
+        found = known(key)
+        got.append(memo.add(key) if found is None else found)
     slots = np.array(got, np.int64)[inverse]
     doc = np.cumsum([len(x) for x in ids_a])[:-1]
     return np.split(slots, np.searchsorted(start_a, doc))
@@ -227,48 +271,55 @@ def aligned(docs: DataFrame, path_a: str = V.BYTE_BPE_JSON, path_b: str = V.PIEC
     kinds = [pa.int64(), *[longs] * 5, pa.list_(pa.string()), *[pa.binary()] * 3, longs, longs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = byte_level(path_a), piece_model(path_b)
-        number, chars, memo, docs_ = 0, 0, _Memo(one, two), []
+        gc.disable()  # what is kept holds no cycles, and looking for them takes a tenth of the time
+        memo = _memo(path_a, path_b)
+        one, two, number, chars, docs_ = memo.one, memo.two, 0, 0, []
 
         def finished() -> pa.RecordBatch:
-            flat = np.array([p for pairs in memo.pairs for p in pairs], np.int64)
-            pairs, place = np.unique(flat, return_inverse=True)
-            size = np.array([len(p) for p in memo.pairs], np.int64)
-            start, total, slots, times = np.cumsum(size) - size, np.zeros(len(pairs), np.int64), [flat[:0]], [flat[:0]]
+            used = np.unique(np.concatenate([d[6] for d in docs_]))
+            first = np.array(memo.start, np.int64)
+            size = (first[1:] - first[:-1])[used]
+            pairs, place = np.unique(V.gathered(used, first[:-1], np.diff(first), np.array(memo.pairs, np.int64)), return_inverse=True)
+            start, total, slots, times = np.cumsum(size) - size, np.zeros(len(pairs), np.int64), [pairs[:0]], [pairs[:0]]
             for d in docs_:
-                found, n = np.unique(V.gathered(d[6], start, size, place), return_counts=True)
+                found, n = np.unique(V.gathered(np.searchsorted(used, d[6]), start, size, place), return_counts=True)
                 total[found] += n
                 slots.append(found)
                 times.append(n)
-            columns = [list(c) for c in zip(*docs_)][:6] if docs_ else [[]] * 6
+            columns = [list(c) for c in zip(*docs_)][:6]
             chunk = TaskContext.get().partitionId() << 32 | number
             row = [chunk, *columns, *(packed(np.concatenate(x)) for x in ([np.array([len(s) for s in slots[1:]], np.int64)], slots, times)), pairs.tolist(), total.tolist()]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names)
 
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), [" " + t if t else "" for t in batch.column(1).to_pylist()]
-            for rows in pretokens.batches_of(texts, 1 << 20):
+            for rows in pretokens.batches_of(texts, 2 << 20):
                 full = [i for i in rows if texts[i]]
                 a, same_a = one.of([texts[i] for i in full]) if full else ([], [])
                 b, same_b = two.of([texts[i] for i in full]) if full else ([], [])
                 good = [k for k in range(len(full)) if same_a[k] and same_b[k]]
                 slots = dict(zip((full[k] for k in good), window_slots([a[k] for k in good], [b[k] for k in good], memo))) if good else {}
                 sizes = {full[k]: (len(a[k]), len(b[k])) for k in good}
+                groups = memo.counts()
                 for i in rows:
                     chars += len(texts[i])
                     if i in slots:
-                        own = slots[i].tolist()
-                        n = sum(len(memo.pairs[s]) for s in own)
-                        text = hashlib.sha256(b";".join(map(memo.text.__getitem__, own))).hexdigest()
+                        n = int(groups[slots[i]].sum())
+                        text = hashlib.sha256(b";".join(map(memo.text.__getitem__, slots[i].tolist()))).hexdigest()
                         docs_.append((ids[i], *sizes[i], n, n, text, slots[i].astype(np.int32)))
                     else:
                         docs_.append((ids[i], 0, 0, 0, 0, "", np.zeros(0, np.int32)))
                 if chars >= chunk_chars:
                     yield finished()
-                    number, chars, memo, docs_ = number + 1, 0, _Memo(one, two), []
+                    number, chars, docs_ = number + 1, 0, []
+                    if len(memo.text) > _MOST_WINDOWS:
+                        memo.forget()
         if docs_:
             yield finished()
-        memo, docs_ = None, []
+        docs_ = []
+        if len(memo.text) > _MOST_WINDOWS:
+            memo.forget()
+        gc.enable()
         give_back()
 
     return doc_text(docs).mapInArrow(run, _ALIGNED)
