@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fieldmark.functions.columns import flag, zero
 from fieldmark.operators.valuation import BENCH, FLEX, FLEX_POSITIONS, NO_VALUE, SLOTS, leave_one_out, p_available
+from fieldmark.sources.settled import settle
 
 LATE_ROUND = 12
 
@@ -124,7 +125,7 @@ def live_tables(ranked: DataFrame, plan: DataFrame, kept: DataFrame, standing: D
     held = kept.select("league_id", "team_slot", "player_id").unionByName(standing.select("league_id", "team_slot", "player_id"))
     rosters = roster(held.join(ranked.select("league_id", "player_id", "position"), ["league_id", "player_id"]), plan)
     free = live_room(undrafted(ranked, standing.select("league_id", "player_id"), kept.select("league_id", "player_id")), live)
-    chance = live_chance(free, horizon(plan, live, slot))
+    chance = settle(live_chance(free, horizon(plan, live, slot)), "chances")  # read for values, for board and for panel
     vona = live_vona(chance, position_weights(rosters, slot)).select("league_id", "player_id", "slot_weight", "others_best", "vona")
     board = chance.join(vona, ["league_id", "player_id"], "left")
     shown = panel(board.filter("horizon is not null"), F.col("horizon_round"), k)

@@ -293,10 +293,10 @@ def j1_board(spark, sf_dir):
 
 def _live(spark, sf_dir) -> dict[str, DataFrame]:
     v = valued_once(spark, sf_dir)
-    schedule = _ten(spark, sf_dir)
-    taken = _picks(v, schedule)
+    schedule = settle(_ten(spark, sf_dir), "schedule")
+    taken = settle(_picks(v, schedule), "picks")
     made = v.select("league_id").distinct().join(taken.groupBy("league_id").agg(F.count("*").alias("picks_made")), "league_id", "left").select("league_id", zero("picks_made").alias("picks_made"))
-    return board.live_tables(v, schedule, _kept(v), taken, made, MY_SLOT)
+    return board.live_tables(v, schedule, _kept(v), taken, settle(made, "made"), MY_SLOT)
 
 
 _N = ", ".join(f"count(*) FILTER (position = '{p}') AS {p}" for p in ("QB", "WR", "RB", "TE", "K", "DEF"))
