@@ -5,7 +5,8 @@ with a space at the same byte, what is before it ends together; these verified
 shared ends are anchors, which split a document into windows of token ids, a
 word or so each.  A window's alignment (groups between shared byte ends, and
 the pair of ids that ends each group) depends on its ids alone and is memoised
-by both id tuples.
+by both id tuples; windows that are new in a batch are aligned together, by
+looking up the byte ends of each side among those of the other.
 
 A chunk is a run of documents of one task up to ``chunk_chars`` characters.  It
 writes its documents with packed numbers of their pairs, and its distinct pairs
@@ -14,10 +15,12 @@ pair of ids, and return to the chunks by a join on the pair; a pair is in a
 chunk once, so even the commonest pair has a row a chunk and no more.  A chunk
 and what returns to it are put together in one bounded task.
 
-Tokenising whole texts is exact and yet done once for each distinct word of a
-worker: the byte-level tokenizer never joins pre-tokens, and the piece model
-never joins what is before a space that follows something else, which is
-verified when the model is read.
+Tokenising whole texts is exact and yet done once for each distinct word that a
+worker remembers, and so is finding its windows: a word ends before a space that
+follows something other than white space.  There the byte-level tokenizer always
+ends a pre-token, and the piece model never joins, which is verified when it is
+read.  New words go to the libraries many at once.  A text with a word whose
+tokens differ from its bytes is tokenised and aligned as a whole.
 
 Null or empty texts, and texts whose joined token bytes differ from a space and
 the text (those with U+2581, which the model takes for a space): no tokens,
@@ -31,7 +34,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -46,10 +49,11 @@ from fieldmark.llm.distinct_words import packed, unpacked
 from fieldmark.llm.frames import doc_text, give_back, settle
 
 CHUNK_CHARS = 8 << 20
-_MOST_WORDS = _MOST_WINDOWS = 250_000  # that a worker keeps from task to task
+_MOST_WORDS, _MOST_KEPT = 500_000, 8 << 20  # that a worker keeps from task to task: words, and characters of them
+_TOGETHER = 4096  # characters of words that go to a library as one text
 _B_BITS = 24  # an id of B takes the low bits of a pair
-_UNITS = re.compile(r" *[^ ]+| +$")
-_RANDOM = np.random.default_rng(12).integers(1, 2**63, (2, 1 << 17), np.uint64)
+_CUT = re.compile(r"(?<=\S)(?= )")
+_WHITE = [chr(i) for i in range(0x3001) if chr(i).isspace()]
 _POWERS = np.cumprod(np.full(4096, 0x9E3779B97F4A7C15, np.uint64))
 
 
@@ -73,6 +77,16 @@ def piece_bytes(piece: str) -> bytes:
     return piece.replace("▁", " ").encode()
 
 
+def cut(text: str) -> list[str]:
+    """The words of a text that begins with a space, each without the space before it.
+
+    A word ends before a space that follows something other than white space; neither tokenizer joins what is before
+    such a space with what is after it, or looks beyond it."""
+    if any(f"{c} " in text for c in _WHITE):
+        return [w[1:] for w in _CUT.split(text)]
+    return text[1:].split(" ")
+
+
 class _Slots(dict):
     """Numbers things in the order in which they are first asked for."""
 
@@ -82,39 +96,53 @@ class _Slots(dict):
 
 
 class _Ids:
-    """Ids of texts by one tokenizer, each distinct word encoded once while a worker remembers it."""
+    """Ids of texts by one tokenizer."""
 
     def __init__(self, table: list[bytes]):
         self.table = table
         self.length = np.array([len(t) for t in table], np.int64)
         self.marked = np.array([t.startswith(b" ") for t in table], bool)
-        self.forget()
-
-    def forget(self) -> None:
-        self.words = _Slots()
-        self.start = self.size = self.flat = np.zeros(0, np.int64)
-        self.exact = np.zeros(0, bool)
+        # Digits, zeros, and in the last of eight bytes what follows.
+        self.digits = np.array([str(i).encode() for i in range(len(table))], "S8").view("<u8")
+
+    def flat_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number of ids of each text, all ids in order, whether the bytes of a text's ids are the text's).
+
+        Texts begin with a space; those that end like a word go to the library together and are told apart by bytes."""
+        ends_word = [not t[-1].isspace() for t in texts]
+        words = [k for k, e in enumerate(ends_word) if e]
+        groups = [[words[i] for i in rows] for rows in pretokens.batches_of([texts[k] for k in words], _TOGETHER)]
+        groups += [[k] for k, e in enumerate(ends_word) if not e]
+        size, exact = np.zeros(len(texts), np.int64), np.zeros(len(texts), bool)
+        order, parts = [], []
+        while groups:
+            apart = []
+            for group, ids in zip(groups, self.encode(["".join([texts[k] for k in g]) for g in groups])):
+                raw = [texts[k].encode() for k in group]
+                found, through = np.array(ids, np.int64), np.cumsum([len(r) for r in raw])
+                same = b"".join(map(self.table.__getitem__, ids)) == b"".join(raw)
+                if len(group) > 1:
+                    ends = np.cumsum(self.length[found])
+                    last = np.searchsorted(ends, through)
+                    if not same or not np.array_equal(ends[last], through):
+                        apart += [[k] for k in group]
+                        continue
+                    size[group] = np.diff(last, prepend=-1)
+                else:
+                    size[group] = len(ids)
+                exact[group] = same
+                order += group
+                parts.append(found)
+            groups = apart
+        flat, own = np.concatenate([*parts, np.zeros(0, np.int64)]), np.array(order, np.int64)
+        start = np.zeros(len(texts), np.int64)
+        start[own] = np.cumsum(size[own]) - size[own]
+        return size, V.gathered(np.arange(len(texts)), start, size, flat), exact
 
     def of(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
         """Ids of each text, and whether their bytes are the text's."""
-        if len(self.words) > _MOST_WORDS:
-            self.forget()
-        before = len(self.words)
-        slots = self.slots(texts)
-        new = list(islice(self.words, before, None))
-        size, flat = self.encode(new)
-        start = np.cumsum(size) - size
-        pieces, raw = [self.table[i] for i in flat.tolist()], [w.encode() for w in new]
-        # Words are exact if all of them together are and each is as long as its tokens.
-        ends = np.concatenate([[0], np.cumsum(self.length[flat])])
-        if b"".join(pieces) == b"".join(raw) and np.array_equal(ends[start + size] - ends[start], np.fromiter(map(len, raw), np.int64, len(raw))):
-            exact = [True] * len(raw)
-        else:
-            exact = [b"".join(pieces[a:z]) == r for r, a, z in zip(raw, start.tolist(), (start + size).tolist())]
-        self.start, self.size, self.flat, self.exact = (np.concatenate(x) for x in ((self.start, len(self.flat) + start), (self.size, size), (self.flat, flat), (self.exact, np.array(exact, bool))))
-        ids = [V.gathered(s, self.start, self.size, self.flat) for s in slots]
-        same = [bool(self.exact[s].all()) or b"".join(map(self.table.__getitem__, i.tolist())) == t.encode() for s, i, t in zip(slots, ids, texts)]
-        return ids, same
+        size, flat, exact = self.flat_of(texts)
+        return np.split(flat, np.cumsum(size)[:-1]), exact.tolist()
 
 
 class _ByteLevel(_Ids):
@@ -127,11 +155,8 @@ class _ByteLevel(_Ids):
             table[i] = name.encode() if name == special else byte_level_bytes(name)
         super().__init__(table)
 
-    def slots(self, texts: list[str]) -> list[np.ndarray]:
-        return pretokens.slots_of(texts, self.words)
-
-    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        return V.library_flat(self.path, words, plain_text=True)
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in V.library_tokenizer(self.path, True).encode_batch_fast(texts, add_special_tokens=False)]
 
 
 class _Pieces(_Ids):
@@ -143,20 +168,9 @@ class _Pieces(_Ids):
         self.space = self.model.piece_to_id("▁")
         super().__init__([piece_bytes(p) for p in names])
 
-    def slots(self, texts: list[str]) -> list[np.ndarray]:
-        out = []
-        for t in texts:
-            if "  " in t or t[-1] == " ":
-                units = _UNITS.findall(t)
-            else:
-                units = [" " + w for w in t[1:].split(" ")]
-            out.append(np.fromiter(map(self.words.__getitem__, units), np.int64, len(units)))
-        return out
-
-    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str]) -> list[list[int]]:
         # The model adds the first space itself, but not to an empty text.
-        ids = [i if w != " " else [self.space] for w, i in zip(words, self.model.encode([w[1:] for w in words], num_threads=1))] if words else []
-        return np.array([len(i) for i in ids], np.int64), np.fromiter(chain.from_iterable(ids), np.int64)
+        return [i if t != " " else [self.space] for t, i in zip(texts, self.model.encode([t[1:] for t in texts], num_threads=1))] if texts else []
 
 
 @lru_cache(2)
@@ -170,49 +184,80 @@ def piece_model(path: str) -> _Pieces:
 
 
 class _Memo:
-    """Alignments of windows by their id tuples: group texts and pairs of each slot."""
+    """Alignments of windows by their id tuples: group texts and pairs of each slot; and windows of words."""
 
     def __init__(self, one: _Ids, two: _Ids):
         self.one, self.two = one, two
-        self.lengths = one.length.tolist(), two.length.tolist()
-        self.name = [str(i) for i in range(max(len(one.table), len(two.table)))]
+        self.random = np.random.default_rng(12).integers(1, 2**63, len(one.table) + len(two.table), np.uint64)
         self.forget()
 
     def forget(self) -> None:
-        self.slot: dict[tuple, int] = {}
+        none = np.zeros(0, np.int64)
+        self.slot: dict[bytes, int] = {}
         self.text: list[bytes] = []
-        self.pairs: list[int] = []  # of all slots, one after another
-        self.start: list[int] = [0]
-        self.n = np.zeros(0, np.int64)
-
-    def counts(self) -> np.ndarray:
-        """Groups of each slot; only the new ones are read."""
-        if len(self.n) < len(self.text):
-            self.n = np.concatenate([self.n, np.diff(np.array(self.start[len(self.n) :], np.int64))])
-        return self.n
-
-    def add(self, key: tuple[tuple[int, ...], tuple[int, ...]]) -> int:
-        """The slot of a window that is not known yet: its groups end at shared byte ends."""
-        a, b = key
-        (length_a, length_b), name, pairs, parts = self.lengths, self.name, self.pairs, []
-        p = q = j = end_a = end_b = 0  # a group begins at tokens p and q; tokens so far end at end_a and end_b
-        for i, x in enumerate(a, 1):
-            end_a += length_a[x]
-            while end_b < end_a:
-                end_b += length_b[b[j]]
-                j += 1
-            if end_a == end_b:
-                y = b[j - 1]
-                if i - p == 1 and j - q == 1:
-                    parts.append(f"{x}|{y}")
-                else:
-                    parts.append(",".join([name[t] for t in a[p:i]]) + "|" + ",".join([name[t] for t in b[q:j]]))
-                pairs.append(x << _B_BITS | y)
-                p, q = i, j
-        found = self.slot[key] = len(self.text)
-        self.text.append(";".join(parts).encode())
-        self.start.append(len(pairs))
-        return found
+        self.n = self.pairs = none  # groups of each slot, and pairs of all slots, one after another
+        self.words, self.chars = _Slots(), 0
+        self.n_a = self.n_b = self.n_windows = self.windows = none  # of each word; windows of all words, one after another
+        self.exact = np.zeros(0, bool)
+
+    def trim(self) -> None:
+        if len(self.words) > _MOST_WORDS or self.chars > _MOST_KEPT:
+            self.forget()
+
+    def add(self, keys: list[bytes], a: np.ndarray, size_a: np.ndarray, b: np.ndarray, size_b: np.ndarray) -> None:
+        """Windows that are not known yet, all at once; a group ends where tokens of both end."""
+        ends_a, ends_b = np.cumsum(self.one.length[a]), np.cumsum(self.two.length[b])
+        at_a, at_b = np.zeros((2, int(ends_a[-1]) + 1), bool)
+        at_a[ends_a] = at_b[ends_b] = True
+        last_a, last_b = at_b[ends_a], at_a[ends_b]
+        to_a, to_b = np.flatnonzero(last_a), np.flatnonzero(last_b)
+        in_a, in_b = np.diff(to_a, prepend=-1), np.diff(to_b, prepend=-1)
+        # A group's ids of A, its ids of B, the next group: each as digits, zeros and what follows.
+        written = np.empty(len(a) + len(b), "<u8")
+        place_a, place_b = np.arange(len(a)) + np.repeat(np.cumsum(in_b) - in_b, in_a), np.arange(len(b)) + np.repeat(np.cumsum(in_a), in_b)
+        for place, ids, last, own, sign in ((place_a, a, last_a, self.one, "|"), (place_b, b, last_b, self.two, ";")):
+            written[place] = own.digits[ids] | np.where(last, np.uint64(ord(sign)), np.uint64(ord(","))) << np.uint64(56)
+        through_a, through_b = np.cumsum(size_a), np.cumsum(size_b)
+        ends = np.cumsum(np.count_nonzero(written.view(np.uint8).reshape(-1, 8), axis=1))[through_a + through_b - 1].tolist()
+        text = written.tobytes().translate(None, b"\0")
+        self.slot.update(zip(keys, range(len(self.text), len(self.text) + len(keys))))
+        self.text += [text[p : q - 1] for p, q in zip([0, *ends], ends)]
+        self.n = np.concatenate([self.n, np.diff(np.cumsum(last_a)[through_a - 1], prepend=0)])
+        self.pairs = np.concatenate([self.pairs, a[to_a] << _B_BITS | b[to_b]])
+
+    def slots(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of words of each text, slots of all words in order); texts begin with a space."""
+        before, get, n, found = len(self.words), self.words.__getitem__, [], []
+        for t in texts:
+            words = cut(t)
+            n.append(len(words))
+            found.extend(map(get, words))
+        new = [" " + w for w in islice(self.words, before, None)]
+        if new:
+            self.chars += sum(map(len, new))
+            (n_a, a, same_a), (n_b, b, same_b) = self.one.flat_of(new), self.two.flat_of(new)
+            good = same_a & same_b
+            n_windows = np.zeros(len(new), np.int64)
+            n_windows[good], windows = flat_windows(a[np.repeat(good, n_a)], n_a[good], b[np.repeat(good, n_b)], n_b[good], self)
+            for name, more in (("n_a", n_a), ("n_b", n_b), ("n_windows", n_windows), ("windows", windows), ("exact", good)):
+                setattr(self, name, np.concatenate([getattr(self, name), more]))
+        return np.array(n, np.int64), np.array(found, np.int64)
+
+    def aligned(self, texts: list[str]) -> list[tuple[int, int, np.ndarray] | None]:
+        """(n_a, n_b, windows) of each text, which begins with a space; None where ids do not give the text's bytes."""
+        n, words = self.slots(texts)
+        start = np.cumsum(self.n_windows) - self.n_windows
+        windows = V.gathered(words, start, self.n_windows, self.windows)
+        sums = [np.concatenate([[0], np.cumsum(x[words])]) for x in (self.n_a, self.n_b, self.n_windows, ~self.exact)]
+        to = np.cumsum(n)
+        n_a, n_b, _, odd = (s[to] - s[to - n] for s in sums)
+        own = np.split(windows, sums[2][to][:-1])
+        out: list[tuple[int, int, np.ndarray] | None] = list(zip(n_a.tolist(), n_b.tolist(), own))
+        for k in np.flatnonzero(odd).tolist():  # words differ from their bytes; does the text as a whole?
+            self.chars += len(texts[k])
+            (a, same_a), (b, same_b) = self.one.of([texts[k]]), self.two.of([texts[k]])
+            out[k] = (len(a[0]), len(b[0]), window_slots(a, b, self)[0]) if same_a[0] and same_b[0] else None
+        return out
 
 
 @lru_cache(2)
@@ -220,41 +265,42 @@ def _memo(path_a: str, path_b: str) -> _Memo:
     return _Memo(byte_level(path_a), piece_model(path_b))
 
 
-def _same_ids(flat: np.ndarray, start: np.ndarray, size: np.ndarray, first: np.ndarray) -> bool:
-    """Whether each window has the ids of its ``first`` one."""
-    return bool((size[first] == size).all()) and np.array_equal(V.gathered(np.arange(len(start)), start, size, flat), V.gathered(first, start, size, flat))
-
-
-def _hashed(flat: np.ndarray, start: np.ndarray, size: np.ndarray, side: int) -> np.ndarray:
-    inside = np.arange(len(flat)) - np.repeat(start, size)
-    return np.add.reduceat(_RANDOM[side][flat] * _POWERS[inside & 4095], start) ^ (size.astype(np.uint64) << np.uint64(40 + 8 * side))
+def flat_windows(a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray, memo: _Memo) -> tuple[np.ndarray, np.ndarray]:
+    """(number of windows of each text, the memo's slots of all windows in order) of texts with so many ids each."""
+    if not len(n_a):
+        return n_a, n_a
+    begin_a, begin_b = (np.cumsum(t.length[x]) - t.length[x] for t, x in ((memo.one, a), (memo.two, b)))
+    # A text is written with a space before it, so each begins with an anchor.
+    space_a, space_b = np.flatnonzero(memo.one.marked[a]), np.flatnonzero(memo.two.marked[b])
+    at_a, at_b = np.zeros((2, max(int(begin_a[-1]), int(begin_b[-1])) + 1), bool)
+    at_a[begin_a[space_a]] = at_b[begin_b[space_b]] = True
+    start_a, start_b = space_a[at_b[begin_a[space_a]]], space_b[at_a[begin_b[space_b]]]
+    size_a, size_b = np.diff(start_a, append=len(a)), np.diff(start_b, append=len(b))
+    # Each window's ids of A and then of B, told apart by their numbers.
+    both, size = np.empty(len(a) + len(b), np.int32), size_a + size_b
+    start = start_a + start_b
+    both[np.arange(len(a)) + np.repeat(start_b, size_a)] = a
+    both[np.arange(len(b)) + np.repeat(start_a + size_a, size_b)] = b + len(memo.one.table)
+    inside = np.arange(len(both)) - np.repeat(start, size)
+    hashed = np.add.reduceat(memo.random[both] * _POWERS[inside & 4095], start) ^ (size.astype(np.uint64) << np.uint64(40))
+    _, chosen, inverse = np.unique(hashed, return_index=True, return_inverse=True)
+    same = chosen[inverse]
+    if not np.array_equal(size[same], size) or not np.array_equal(both[np.repeat(start[same], size) + inside], both):  # two windows share a hash
+        chosen = inverse = np.arange(len(start))
+    raw, wide = both.tobytes(), both.itemsize
+    keys = [raw[p:q] for p, q in zip((start[chosen] * wide).tolist(), ((start + size)[chosen] * wide).tolist())]
+    first = {key: k for key, k in zip(keys, chosen.tolist()) if key not in memo.slot}
+    if first:
+        new = np.fromiter(first.values(), np.int64, len(first))
+        memo.add(list(first), V.gathered(new, start_a, size_a, a), size_a[new], V.gathered(new, start_b, size_b, b), size_b[new])
+    slots = np.fromiter(map(memo.slot.__getitem__, keys), np.int64, len(keys))[inverse]
+    return np.diff(np.searchsorted(start_a, np.cumsum(n_a)), prepend=0), slots
 
 
 def window_slots(ids_a: list[np.ndarray], ids_b: list[np.ndarray], memo: _Memo) -> list[np.ndarray]:
-    """For each document the memo's slots of its windows, in order; all documents have tokens."""
-    a, b = np.concatenate(ids_a), np.concatenate(ids_b)
-    length_a, length_b = memo.one.length[a], memo.two.length[b]
-    begin_a, begin_b = np.cumsum(length_a) - length_a, np.cumsum(length_b) - length_b
-    space_a, space_b = np.flatnonzero(memo.one.marked[a]), np.flatnonzero(memo.two.marked[b])
-    # A text is written with a space before it, so each document begins with an anchor.
-    _, i, j = np.intersect1d(begin_a[space_a], begin_b[space_b], assume_unique=True, return_indices=True)
-    start_a, start_b = space_a[i], space_b[j]
-    size_a, size_b = np.diff(start_a, append=len(a)), np.diff(start_b, append=len(b))
-    _, first, inverse = np.unique(_hashed(a, start_a, size_a, 0) ^ _hashed(b, start_b, size_b, 1), return_index=True, return_inverse=True)
-    if _same_ids(a, start_a, size_a, first[inverse]) and _same_ids(b, start_b, size_b, first[inverse]):
-        chosen = first
-    else:  # two windows share a hash
-        chosen, inverse = np.arange(len(start_a)), np.arange(len(start_a))
-    all_a, all_b = a.tolist(), b.tolist()
-    ends = (start_a[chosen], (start_a + size_a)[chosen], start_b[chosen], (start_b + size_b)[chosen])
-    known, got = memo.slot.get, []
-    for p, q, r, s in zip(*(x.tolist() for x in ends)):
-        key = tuple(all_a[p:q]), tuple(all_b[r:s])
-        found = known(key)
-        got.append(memo.add(key) if found is None else found)
-    slots = np.array(got, np.int64)[inverse]
-    doc = np.cumsum([len(x) for x in ids_a])[:-1]
-    return np.split(slots, np.searchsorted(start_a, doc))
+    """For each text the memo's slots of its windows, in order; all texts have tokens."""
+    n, slots = flat_windows(*(x for ids in (ids_a, ids_b) for x in (np.concatenate(ids), np.array([len(i) for i in ids], np.int64))), memo)
+    return np.split(slots, np.cumsum(n)[:-1])
 
 
 _ALIGNED = (
@@ -272,53 +318,53 @@ def aligned(docs: DataFrame, path_a: str = V.BYTE_BPE_JSON, path_b: str = V.PIEC
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # what is kept holds no cycles, and looking for them takes a tenth of the time
-        memo = _memo(path_a, path_b)
-        one, two, number, chars, docs_ = memo.one, memo.two, 0, 0, []
+        memo, number, chars, parts = _memo(path_a, path_b), 0, 0, []
 
         def finished() -> pa.RecordBatch:
-            used = np.unique(np.concatenate([d[6] for d in docs_]))
-            first = np.array(memo.start, np.int64)
-            size = (first[1:] - first[:-1])[used]
-            pairs, place = np.unique(V.gathered(used, first[:-1], np.diff(first), np.array(memo.pairs, np.int64)), return_inverse=True)
-            start, total, slots, times = np.cumsum(size) - size, np.zeros(len(pairs), np.int64), [pairs[:0]], [pairs[:0]]
-            for d in docs_:
-                found, n = np.unique(V.gathered(np.searchsorted(used, d[6]), start, size, place), return_counts=True)
-                total[found] += n
+            held = np.zeros(len(memo.n), bool)
+            for *_, windows in parts:
+                held[windows] = True
+            used, place_of = np.flatnonzero(held), np.cumsum(held) - 1
+            size = memo.n[used]
+            pairs, place = np.unique(V.gathered(used, np.cumsum(memo.n) - memo.n, memo.n, memo.pairs), return_inverse=True)
+            start, total = np.cumsum(size) - size, np.zeros(len(pairs), np.int64)
+            sizes, slots, times = [], [pairs[:0]], [pairs[:0]]
+            for _, _, _, links, _, windows in parts:
+                found = V.gathered(place_of[windows], start, size, place)
+                total += np.bincount(found, minlength=len(pairs))
+                found, n = np.unique(np.repeat(np.arange(len(links)) * len(pairs), links) + found, return_counts=True)
+                doc, found = np.divmod(found, max(1, len(pairs)))
+                sizes.append(np.bincount(doc, minlength=len(links)))
                 slots.append(found)
                 times.append(n)
-            columns = [list(c) for c in zip(*docs_)][:6]
+            ids, n_a, n_b, links, texts = ([v for p in parts for v in p[c]] for c in range(5))
             chunk = TaskContext.get().partitionId() << 32 | number
-            row = [chunk, *columns, *(packed(np.concatenate(x)) for x in ([np.array([len(s) for s in slots[1:]], np.int64)], slots, times)), pairs.tolist(), total.tolist()]
+            row = [chunk, ids, n_a, n_b, links, links, texts, *(packed(np.concatenate(x)) for x in (sizes, slots, times)), pairs.tolist(), total.tolist()]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names)
 
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), [" " + t if t else "" for t in batch.column(1).to_pylist()]
             for rows in pretokens.batches_of(texts, 2 << 20):
                 full = [i for i in rows if texts[i]]
-                a, same_a = one.of([texts[i] for i in full]) if full else ([], [])
-                b, same_b = two.of([texts[i] for i in full]) if full else ([], [])
-                good = [k for k in range(len(full)) if same_a[k] and same_b[k]]
-                slots = dict(zip((full[k] for k in good), window_slots([a[k] for k in good], [b[k] for k in good], memo))) if good else {}
-                sizes = {full[k]: (len(a[k]), len(b[k])) for k in good}
-                groups = memo.counts()
+                found = dict(zip(full, memo.aligned([texts[i] for i in full]))) if full else {}
+                n_a, n_b, links, digests, windows = [], [], [], [], [np.zeros(0, np.int64)]
                 for i in rows:
-                    chars += len(texts[i])
-                    if i in slots:
-                        n = int(groups[slots[i]].sum())
-                        text = hashlib.sha256(b";".join(map(memo.text.__getitem__, slots[i].tolist()))).hexdigest()
-                        docs_.append((ids[i], *sizes[i], n, n, text, slots[i].astype(np.int32)))
-                    else:
-                        docs_.append((ids[i], 0, 0, 0, 0, "", np.zeros(0, np.int32)))
+                    of_a, of_b, own = found.get(i) or (0, 0, windows[0])
+                    n_a.append(of_a)
+                    n_b.append(of_b)
+                    links.append(int(memo.n[own].sum()))
+                    digests.append(hashlib.sha256(b";".join(map(memo.text.__getitem__, own.tolist()))).hexdigest() if len(own) else "")
+                    windows.append(own)
+                parts.append(([ids[i] for i in rows], n_a, n_b, links, digests, np.concatenate(windows).astype(np.int32)))
+                chars += sum(len(texts[i]) for i in rows)
                 if chars >= chunk_chars:
                     yield finished()
-                    number, chars, docs_ = number + 1, 0, []
-                    if len(memo.text) > _MOST_WINDOWS:
-                        memo.forget()
-        if docs_:
+                    number, chars, parts = number + 1, 0, []
+                    memo.trim()
+        if parts:
             yield finished()
-        docs_ = []
-        if len(memo.text) > _MOST_WINDOWS:
-            memo.forget()
+        parts = []
+        memo.trim()
         gc.enable()
         give_back()
 

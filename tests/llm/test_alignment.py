@@ -114,3 +114,65 @@ def test_windows(texts):
         slots = alignment.window_slots([a[k] for k in good], [b[k] for k in good], memo)
         for k, s in zip(good, slots):
             assert b";".join(memo.text[i] for i in s.tolist()).decode() == plain.document(texts[k])[3]
+
+
+@given(st.lists(st.text(alphabet="ab \n\t\r\x1c\x85\xa0\u2003\u3000's1.é漢<|>", min_size=1, max_size=30), min_size=1, max_size=6))
+@settings(max_examples=200, deadline=None)
+def test_words(texts):
+    """Words with white space of all kinds between them: ids of cut words are those of whole texts, groups too."""
+    plain = plain_tokenizers()
+    memo = alignment._Memo(alignment.byte_level(V.BYTE_BPE_JSON), alignment.piece_model(V.PIECE_BPE))
+    for t in texts:
+        words = alignment.cut(" " + t)
+        assert "".join(" " + w for w in words) == " " + t
+        for ids, own in zip(plain.tokens(t), (memo.one, memo.two)):
+            assert [i for x in own.of([" " + w for w in words])[0] for i in x.tolist()] == [i for i, _ in ids]
+    for t, got in zip(texts, memo.aligned([" " + t for t in texts])):
+        n_a, n_b, links, groups = plain.document(t)
+        assert groups is not None and got[:2] == (n_a, n_b) and b";".join(memo.text[i] for i in got[2].tolist()).decode() == groups
+        assert int(memo.n[got[2]].sum()) == len(links)
+
+
+def counted(monkeypatch, owner, name, size):
+    """Sums of ``size`` of what a function of ``owner`` is called with."""
+    seen, real = [], getattr(owner, name)
+    monkeypatch.setattr(owner, name, lambda *a, **b: seen.append(size(*a)) or real(*a, **b))
+    return seen
+
+
+def test_known_words_are_not_aligned_again(monkeypatch):
+    """The work of a text is that of its new words: no tokens of known ones go to a library or through windows."""
+    one, two = alignment.byte_level(V.BYTE_BPE_JSON), alignment.piece_model(V.PIECE_BPE)
+    memo = alignment._Memo(one, two)
+    texts = [" some words, " * 50 + "and\nothers", " and\nothers some words," * 40, " low ▁ line"]
+    encoded = [counted(monkeypatch, x, "encode", lambda t: sum(map(len, t))) for x in (one, two)]
+    windows = counted(monkeypatch, alignment, "flat_windows", lambda a, *_: len(a))
+    first = memo.aligned(texts[:2])
+    assert all(0 < sum(e) < 100 for e in encoded) and 0 < sum(windows) < 30
+    for seen in (*encoded, windows):
+        seen.clear()
+    again = memo.aligned(texts[:2])
+    assert not any(map(sum, (*encoded, windows)))
+    assert [(a, b, w.tolist()) for a, b, w in again] == [(a, b, w.tolist()) for a, b, w in first]
+    assert memo.aligned(texts)[2] is None  # a text that B does not give back, beside others
+
+
+def test_new_windows_are_aligned_together(monkeypatch):
+    one, two = alignment.byte_level(V.BYTE_BPE_JSON), alignment.piece_model(V.PIECE_BPE)
+    memo = alignment._Memo(one, two)
+    calls = counted(monkeypatch, memo, "add", lambda *_: 1)
+    text = "".join(f" w{i}" for i in range(500))
+    slots = alignment.window_slots(one.of([text])[0], two.of([text])[0], memo)[0]
+    assert sorted(set(slots.tolist())) == list(range(500)) and len(calls) == 1
+
+
+def test_long_words_are_forgotten(monkeypatch):
+    """What a worker keeps is bounded by characters as well, however few the words."""
+    monkeypatch.setattr(alignment, "_MOST_KEPT", 5000)
+    memo = alignment._Memo(alignment.byte_level(V.BYTE_BPE_JSON), alignment.piece_model(V.PIECE_BPE))
+    kept = []
+    for k in "abc":
+        memo.aligned([" " + k * 2000])
+        memo.trim()
+        kept.append(len(memo.words))
+    assert kept == [1, 2, 0] and not memo.text and not memo.slot
