@@ -10,7 +10,7 @@ from fieldmark.operators import board, context, draft, signals
 from fieldmark.operators.valuation import nearest_decile_cut, room_gaps, spearman
 from fieldmark.plans.bindings import bound, ctes, table
 from fieldmark.plans.feature_queries import SEASON_SQL, seasons
-from fieldmark.plans.valuation_queries import KEPT, _GAPS, _PLAN, _TEN, _cdf, _ten, _values_sql, others_sql, plan, valued, valued_once
+from fieldmark.plans.valuation_queries import KEPT, _GAPS, _PLAN, _TEN, _cdf, _ten, _values_sql, keepers, leagues, others_sql, plan, valued, valued_once
 from fieldmark.sources import payloads, snapshots
 from fieldmark.sources.settled import new_path, settle
 from fieldmark.streaming import picks
@@ -462,6 +462,12 @@ def pick_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _logged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The pick log, and the schedules of the leagues in it: those of all customers have 160 rows each."""
+    events = pick_events(spark, sf_dir)
+    return events, draft.schedule(picks.heard(leagues(spark, sf_dir), events), picks.heard(keepers(spark, sf_dir), events))
+
+
 _LOG = f"""WITH RECURSIVE {_PLAN},
 slots AS (SELECT league_id, list({{'overall_pick': overall_pick, 'round': round, 'team_slot': team_slot}} ORDER BY overall_pick) AS slots, list(overall_pick ORDER BY overall_pick) AS numbers FROM plan WHERE live_pick_no IS NOT NULL GROUP BY league_id),
 e AS (SELECT event_id, CAST(floor(user_id / 20) AS BIGINT) AS league_id, CASE WHEN event_type = 'error' THEN 'undo' WHEN event_id % 97 = 0 THEN 'reset' ELSE 'pick' END AS action, event_id % 401 AS player_id,
@@ -487,7 +493,7 @@ decided AS (SELECT f.*, e.action, e.player_id, list_position(s.numbers, f.pick)
   CAST(len(held) AS INT) AS standing, reason FROM decided""")
 def k1_pick_log(spark, sf_dir):
     """Every event's decision under its league's schedule of 8 to 12 teams with keepers, folded in batch; the stream gives the same rows."""
-    return picks.fold_in_batch(pick_events(spark, sf_dir), plan(spark, sf_dir)).drop("picked_at")
+    return picks.fold_in_batch(*_logged(spark, sf_dir)).drop("picked_at")
 
 
 @query("k2_standing_picks", f"{_LOG}, ends AS (SELECT league_id, max(n) AS n FROM decided GROUP BY league_id) SELECT league_id, CAST(h.overall_pick AS INT) AS overall_pick, CAST(h.team_slot AS INT) AS team_slot, h.player_id FROM (SELECT d.league_id, unnest(held) AS h FROM decided d JOIN ends USING (league_id, n))")

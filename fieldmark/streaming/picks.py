@@ -91,6 +91,12 @@ def packed_plan(plan: DataFrame) -> DataFrame:
     return live.groupBy(F.col("league_id").cast("long").alias("league_id")).agg(F.array_sort(F.collect_list(slot)).alias("slots"))
 
 
+def heard(rows: DataFrame, events: DataFrame) -> DataFrame:
+    """Rows of leagues that have an event; others have no part in a decision. Null is a league like any other."""
+    leagues = events.select(F.col("league_id").cast("long").alias("_league")).distinct()
+    return rows.join(leagues, F.col("league_id").eqNullSafe(F.col("_league")), "left_semi")
+
+
 def _micros(events: DataFrame) -> DataFrame:
     named = "overall_pick" in events.columns
     return events.select(
@@ -108,8 +114,9 @@ def fold_in_batch(events: DataFrame, plan: DataFrame) -> DataFrame:
     """Decisions on a whole log under the leagues' schedules.
 
     What stands is bounded by a schedule, but refused picks, undos and resets are not: a league's events are read in order
-    after its schedule, batch by batch, and only its state is held. Of rows with one id in a league the first in time
-    counts. Null times come first; a league without a schedule refuses every pick."""
+    after its schedule, batch by batch, and only its state is held; of a batch's schedules one at a time is unpacked, as
+    those of leagues without events follow each other. Of rows with one id in a league the first in time counts. Null times
+    come first; a league without a schedule refuses every pick."""
     names = ["event_id", "action", "player_id", "team_slot", "source", "overall_pick", "at"]
     rest = [c for c in names if c not in ("event_id", "at")]
     once = _micros(events).groupBy("league_id", "event_id").agg(F.min(F.struct("at", *rest)).alias("e")).select("league_id", "event_id", "e.*")
@@ -121,12 +128,13 @@ def fold_in_batch(events: DataFrame, plan: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         league, standing, slots = object(), {}, []
         for b in batches:
-            columns, rows = [b.column(c).to_pylist() for c in ("league_id", "slots", *names)], []
-            for of, plan_, *e in zip(*columns):
+            columns, plans, rows = [b.column(c).to_pylist() for c in ("league_id", *names)], b.column("slots"), []
+            for i, (of, *e) in enumerate(zip(*columns)):
                 if of != league:
                     league, standing, slots = of, {}, []
-                if plan_ is not None:
-                    slots = [Slot(s["overall_pick"], s["round"], s["team_slot"]) for s in plan_]
+                if plans[i].is_valid:
+                    live = plans[i].values
+                    slots = [Slot(*s) for s in zip(*(live.field(c).to_pylist() for c in Slot._fields))]
                     continue
                 for standing, row in _folded(league, [Event(*e)], standing, slots):
                     rows.append(row)

@@ -1,10 +1,14 @@
 """The batch fold of long logs."""
 
+import tracemalloc
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from fieldmark.operators import draft
 from fieldmark.plans import registry
 from fieldmark.plans.board_queries import pick_events
+from fieldmark.plans.valuation_queries import plan as league_plan
 from fieldmark.streaming import picks
 
 
@@ -47,3 +51,39 @@ def test_null_leagues_and_players(spark):
     plan = draft.schedule(spark.createDataFrame([(None, 2, 2), (4, 2, 2)], "league_id long, teams long, rounds int"))
     got = {r.event_id: (r.live_pick_no, r.reason) for r in picks.fold_in_batch(d, plan).collect()}
     assert got == {1: (None, "unknown event"), 2: (1, None), 3: (1, None)}
+
+
+def test_schedules_of_a_batch_are_not_unpacked_together(spark, monkeypatch):
+    plan = draft.schedule(spark.createDataFrame([(1, 10, 16)], "league_id long, teams long, rounds int"))
+    events = spark.createDataFrame([], picks.EVENTS)
+    caught = []
+    frame = type(events)
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, f, schema, real=frame.mapInArrow: caught.append((f, self)) or real(self, f, schema))
+    picks.fold_in_batch(events, plan)
+    (run, rows), n = caught[0], 2000
+    one = rows.toArrow().combine_chunks().to_batches()[0]
+    slots, ids = one.column("slots"), pa.array([*range(n), n - 1], pa.int64())
+    given = {"league_id": ids, "slots": pa.concat_arrays([*[slots] * n, pa.nulls(1, slots.type)]), "action": pa.array([None] * n + ["pick"]), "player_id": ids}
+    batch = pa.RecordBatch.from_arrays([given.get(f.name, pa.nulls(n + 1, f.type)) for f in one.schema], names=one.schema.names)
+    tracemalloc.start()
+    try:
+        out = [r for b in run(iter([batch])) for r in b.to_pylist()]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert [(r["league_id"], r["overall_pick"], r["round"], r["team_slot"], r["reason"]) for r in out] == [(n - 1, 1, 1, 1, None)]
+    assert peak < 8e6  # all of them together take 110 MB
+
+
+def _schedules(spark, sf, name, monkeypatch, of="packed_plan", at=0):
+    """The leagues whose schedules a query makes, and those of its log."""
+    seen = []
+    monkeypatch.setattr(picks, of, lambda *a, real=getattr(picks, of): seen.append(a[at]) or real(*a))
+    registry.queries()[name](spark, sf)
+    ids = lambda d: {r.league_id for r in d.select("league_id").distinct().collect()}
+    return ids(seen[0]), ids(pick_events(spark, sf)), ids(league_plan(spark, sf))
+
+
+def test_pick_log_makes_schedules_of_its_leagues_only(spark, sf, monkeypatch):
+    made, heard, every = _schedules(spark, sf, "k1_pick_log", monkeypatch)
+    assert made == heard & every and len(every) > 10 * len(made) > 0
