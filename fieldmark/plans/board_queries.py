@@ -499,7 +499,7 @@ def k1_pick_log(spark, sf_dir):
 @query("k2_standing_picks", f"{_LOG}, ends AS (SELECT league_id, max(n) AS n FROM decided GROUP BY league_id) SELECT league_id, CAST(h.overall_pick AS INT) AS overall_pick, CAST(h.team_slot AS INT) AS team_slot, h.player_id FROM (SELECT d.league_id, unnest(held) AS h FROM decided d JOIN ends USING (league_id, n))")
 def k2_standing_picks(spark, sf_dir):
     """What stands at the end of each league's log: one pick a slot."""
-    return picks.standing_in_batch(picks.fold_in_batch(pick_events(spark, sf_dir), plan(spark, sf_dir)))
+    return picks.standing_in_batch(picks.fold_in_batch(*_logged(spark, sf_dir)))
 
 
 @query("k3_live_state", f"{_LOG}, ends AS (SELECT league_id, max(n) AS n FROM decided GROUP BY league_id) SELECT d.league_id, CAST(len(held) AS INT) AS picks_made, CAST(slots[len(held) + 1].team_slot AS INT) AS team_slot, CAST(slots[len(held) + 1].round AS INT) AS round FROM decided d JOIN ends USING (league_id, n)")

@@ -23,7 +23,7 @@ from collections.abc import Iterable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -244,12 +244,14 @@ def standing_picks(decided: DataFrame) -> DataFrame:
 
 
 def standing_in_batch(decided: DataFrame) -> DataFrame:
-    """The same of a whole log's decisions: picks after their league's last reset that no undo took back, by slots."""
+    """The same of a whole log's decisions: picks after their league's last reset that no undo took back, by slots.
+
+    The decisions are read once: a slot's last one and the league's last reset are few."""
     done = decided.filter("reason is null").withColumn("when", F.struct("picked_at", "event_id"))
-    resets = done.filter("action = 'reset'").groupBy(F.col("league_id").alias("l")).agg(F.max("when").alias("reset_at"))
-    after = done.filter("action <> 'reset'").join(resets, F.col("league_id").eqNullSafe(F.col("l")), "left").filter(F.col("reset_at").isNull() | (F.col("when") > F.col("reset_at")))
-    last = after.groupBy("league_id", "overall_pick").agg(F.max_by(F.struct("action", "team_slot", "player_id"), "when").alias("p"))
-    return last.filter("p.action = 'pick'").select("league_id", "overall_pick", "p.team_slot", "p.player_id")
+    last = done.groupBy("league_id", "overall_pick").agg(F.max_by(F.struct("when", "action", "team_slot", "player_id"), "when").alias("p"))
+    reset_at = F.max(F.when(F.col("p.action") == "reset", F.col("p.when"))).over(Window.partitionBy("league_id"))
+    after = last.withColumn("reset_at", reset_at).filter("p.action = 'pick'").filter(F.col("reset_at").isNull() | (F.col("p.when") > F.col("reset_at")))
+    return after.select("league_id", "overall_pick", "p.team_slot", "p.player_id")
 
 
 def live_state(decided: DataFrame, plan: DataFrame) -> DataFrame:

@@ -87,3 +87,19 @@ def _schedules(spark, sf, name, monkeypatch, of="packed_plan", at=0):
 def test_pick_log_makes_schedules_of_its_leagues_only(spark, sf, monkeypatch):
     made, heard, every = _schedules(spark, sf, "k1_pick_log", monkeypatch)
     assert made == heard & every and len(every) > 10 * len(made) > 0
+
+
+def test_standing_picks_make_schedules_of_their_leagues_only(spark, sf, monkeypatch):
+    made, heard, every = _schedules(spark, sf, "k2_standing_picks", monkeypatch)
+    assert made == heard & every and len(every) > 10 * len(made) > 0
+
+
+def test_standing_picks_fold_once(spark, sf):
+    """A null time, a null league and a reset count as ever; the plan holds the fold once."""
+    rows = [(1, 4, "pick", 7, 1, None), (2, 4, "reset", None, 2, "01"), (3, 4, "pick", 8, 3, "02"), (4, 4, "undo", 8, 3, "03"), (5, 4, "pick", 9, 3, "04"), (6, None, "pick", 7, 1, "01"), (7, 5, "pick", 7, 1, None), (8, 5, "pick", 8, 2, "01"), (9, 5, "undo", 8, 2, "02")]
+    d = spark.createDataFrame([(e, g, a, p, None if a == "reset" else n, None if t is None else f"2026-01-01 00:00:{t}") for e, g, a, p, n, t in rows], "event_id long, league_id long, action string, player_id long, overall_pick int, picked_at string")
+    d = d.withColumns({"picked_at": F.col("picked_at").cast("timestamp"), "team_slot": F.lit(1), "reason": F.lit(None).cast("string")})
+    got = sorted(((r.league_id, r.overall_pick, r.player_id) for r in picks.standing_in_batch(d).collect()), key=repr)
+    assert got == [(4, 3, 9), (5, 1, 7), (None, 1, 7)]
+    plan = registry.queries()["k2_standing_picks"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
