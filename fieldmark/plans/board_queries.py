@@ -10,7 +10,7 @@ from fieldmark.operators import board, context, draft, signals
 from fieldmark.operators.valuation import nearest_decile_cut, room_gaps, spearman
 from fieldmark.plans.bindings import bound, ctes, table
 from fieldmark.plans.feature_queries import SEASON_SQL, seasons
-from fieldmark.plans.valuation_queries import KEPT, _GAPS, _PLAN, _TEN, _cdf, _ten, _values_sql, keepers, leagues, others_sql, plan, valued, valued_once
+from fieldmark.plans.valuation_queries import KEPT, _GAPS, _PLAN, _TEN, _cdf, _ten, _values_sql, keepers, leagues, others_sql, valued, valued_once
 from fieldmark.sources import payloads, snapshots
 from fieldmark.sources.settled import new_path, settle
 from fieldmark.streaming import picks
@@ -505,5 +505,5 @@ def k2_standing_picks(spark, sf_dir):
 @query("k3_live_state", f"{_LOG}, ends AS (SELECT league_id, max(n) AS n FROM decided GROUP BY league_id) SELECT d.league_id, CAST(len(held) AS INT) AS picks_made, CAST(slots[len(held) + 1].team_slot AS INT) AS team_slot, CAST(slots[len(held) + 1].round AS INT) AS round FROM decided d JOIN ends USING (league_id, n)")
 def k3_live_state(spark, sf_dir):
     """Picks made and who is on the clock in each league."""
-    schedule = plan(spark, sf_dir)
-    return picks.live_state(picks.fold_in_batch(pick_events(spark, sf_dir), schedule), schedule)
+    events, schedule = _logged(spark, sf_dir)
+    return picks.live_state(picks.fold_in_batch(events, schedule), schedule)

@@ -103,3 +103,10 @@ def test_standing_picks_fold_once(spark, sf):
     assert got == [(4, 3, 9), (5, 1, 7), (None, 1, 7)]
     plan = registry.queries()["k2_standing_picks"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1
+
+
+def test_live_state_makes_schedules_of_its_leagues_only(spark, sf, monkeypatch):
+    """Both where the log is folded and where the next slot is looked up."""
+    for of, at in (("packed_plan", 0), ("live_state", 1)):
+        made, heard, every = _schedules(spark, sf, "k3_live_state", monkeypatch, of, at)
+        assert made == heard & every and len(every) > 10 * len(made) > 0
