@@ -226,12 +226,39 @@ def numbered(rows: DataFrame, key: str, buckets: int = 4096) -> DataFrame:
     return h.join(F.broadcast(offset), F.col("_b") == F.col("_ob")).withColumn("_no", F.col("_o") + F.col("_r")).drop("_b", "_ob", "_o", "_r")
 
 
+#: Most players in a list, and the parts that a team's rows are dealt to.
+LISTED, DEALT = 1024, 64
+
+
+def _listed(players: DataFrame) -> DataFrame:
+    """(_t, _players): each team's players in lists of a bounded length; players without a team are in none."""
+    known = players.filter("team is not null").select(F.col("team").alias("_t"), "player_id", F.pmod(F.xxhash64("player_id"), F.lit(16)).alias("_h"))
+    nth = F.row_number().over(Window.partitionBy("_t", "_h").orderBy("player_id"))
+    lists = known.withColumn("_n", F.floor((nth - 1) / LISTED)).groupBy("_t", "_h", "_n")
+    return lists.agg(F.collect_list(F.struct("player_id"))["player_id"].alias("_players")).select("_t", "_players")  # a null stays
+
+
+def _every_pair(rows: DataFrame, players: DataFrame) -> DataFrame:
+    """Each row with each of its team's players, as ``player_id``.
+
+    A team's rows and players are multiplied, and the pairs are the result, so making them is the work. Rows are dealt to
+    parts of a team, and lists of players are copied to each part; how many tasks make pairs depends neither on the number
+    of teams nor on the few bytes that are shuffled."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lists = _listed(players).withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))))
+    part = F.pmod(F.xxhash64(*[c for c, kind in rows.dtypes if "map<" not in kind]), F.lit(DEALT)).cast("int")
+    # one key of part and team, so that both sides keep their partitions in the join; list by list, so that files repeat a few players at a time
+    lists = lists.select(F.concat_ws("|", F.col("_p").cast("string"), "_t").alias("_k"), "_players").repartition(tasks, "_k")
+    dealt = rows.filter("team is not null").withColumn("_d", F.concat_ws("|", part.cast("string"), "team")).repartition(tasks, "_d")
+    both = lists.join(dealt, F.col("_k") == F.col("_d"))
+    return both.select(*rows.columns, F.explode("_players").alias("player_id"))
+
+
 def match_market(names: DataFrame, hub: DataFrame) -> DataFrame:
     """Market rows to players: by name and position; where several players share them, only if the team agrees; else by
-    last name, position and team; defences by team alone."""
-    defence = names.filter("position = 'DEF'")
-    team = hub.filter("position = 'DEF'").select(F.col("player_id"), F.col("team").alias("_t"))
-    found = [defence.join(team, F.col("team") == F.col("_t")).select(*names.columns, "player_id", F.lit("team").alias("matched_by"))]
+    last name, position and team; defences by team alone, each with all that its team has."""
+    defence, team = (d.filter("position = 'DEF'") for d in (names, hub))
+    found = [_every_pair(defence, team).withColumn("matched_by", F.lit("team"))]
     rest, people = names.filter("position <> 'DEF'"), hub.filter("position <> 'DEF'")
     got, left = _step(rest, people, ["name_norm", "position"], "name_pos")
     found.append(got)
